@@ -21,9 +21,12 @@ from paddock.operators import event as ev  # noqa: E402
 from paddock.operators import form as fm  # noqa: E402
 from paddock.operators import reliability as rl  # noqa: E402
 from paddock.operators import venue as vn  # noqa: E402
+from paddock.functions import scalars as sc  # noqa: E402
 from paddock.plans import matrix as mx  # noqa: E402
+from paddock.plans import metrics as mt  # noqa: E402
+from paddock.plans import validate as vd  # noqa: E402
 from paddock.session import ensure_checkpoint_dir  # noqa: E402
-from paddock.sources.adapter import star_facts  # noqa: E402
+from paddock.sources.adapter import derived_strings, star_facts  # noqa: E402
 from paddock.spec import adapter_params  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -173,10 +176,8 @@ def q_venue_retention(spark, sf):
 
 
 def q_global_retention(spark, sf):
-    # one row: the blended index of a venue with no history is the global mean
-    ret = vn.venue_retention(_entries(spark, sf), P)
-    g = ret.filter(F.col("track_retention_confidence") == 0).agg(F.max("track_retention_idx").alias("g"))
-    return _r(g.withColumnRenamed("g", "global_retention"), [], ["global_retention"])
+    g = vn.global_retention(vn.retention_inputs(_entries(spark, sf), P), P)
+    return _r(g, [], ["global_retention"])
 
 
 def q_venue_event_rate(spark, sf):
@@ -194,6 +195,103 @@ def q_labels(spark, sf):
     return _entries(spark, sf).select("raceId", "driverId", "regulatory_era", "is_classified", "pu_manufacturer")
 
 
+def _test_matrix(spark, sf):
+    """Feature table of the test period with the reference's baselines."""
+    full = _features(spark, sf).filter(F.col("season") == P.test_period)
+    return mt.baseline_predictions(full)
+
+
+STRATEGIES = {"grid": "grid", "qualifying": "qualifying_pos", "championship": "championship_pred_pos"}
+METRIC_COLS = ["exp_pts_err", "p1_acc", "top3_acc", "top10_acc", "spearman_rho", "mae"]
+
+
+def q_compare_strategies(spark, sf):
+    res = mt.compare_strategies(_test_matrix(spark, sf), STRATEGIES)
+    return _r(res, ["strategy", "events"], METRIC_COLS)
+
+
+def q_rank_baseline(spark, sf):
+    df = _test_matrix(spark, sf)
+    df = mt.rank_within(df, "driver_form_ewma", "form_pred_pos", ascending=True)
+    return df.select("raceId", "driverId", "championship_pred_pos", "form_pred_pos")
+
+
+def q_ndcg(spark, sf):
+    res = mt.ndcg_at_k(_test_matrix(spark, sf), "driver_pts_lag", P.ndcg_cuts)
+    return _r(res, [], [f"ndcg_{k}" for k in P.ndcg_cuts])
+
+
+def q_split_profile(spark, sf):
+    full = _features(spark, sf)
+    train, test = mt.chrono_split(full, P.test_period)
+    prof = mt.split_profile(train).withColumn("split", F.lit("train")).unionByName(
+        mt.split_profile(test).withColumn("split", F.lit("test")))
+    return _r(prof, ["split", "min_period", "max_period", "events", "rows"], ["dnf_rate"])
+
+
+def q_classification_accuracy(spark, sf):
+    df = _test_matrix(spark, sf).withColumn(
+        "predicted_classified",
+        ((F.lit(1.0) - F.col("driver_dnf_rate_10")) >= F.lit(P.classify_threshold)).cast("bigint"))
+    return _r(mt.classification_accuracy(df, "predicted_classified"), [], ["accuracy"])
+
+
+def q_sweep_decay(spark, sf):
+    res = vd.sweep_decay(_entries(spark, sf), P)
+    return _r(res, ["combo_id", "summer_break_round", "folds"],
+              ["off_season_decay", "regulation_reset_decay", "summer_break_decay", "driver_reg_reset_decay",
+               "mean_exp_pts_err"])
+
+
+def q_best_params(spark, sf):
+    res = vd.best_params(vd.sweep_decay(_entries(spark, sf), P))
+    return _r(res, ["combo_id", "summer_break_round"],
+              ["off_season_decay", "regulation_reset_decay", "summer_break_decay", "driver_reg_reset_decay",
+               "mean_exp_pts_err"])
+
+
+def q_distinct_counts(spark, sf):
+    base = _entries(spark, sf)
+    return base.groupBy("circuitId").agg(
+        F.countDistinct("season").alias("periods"), F.countDistinct("raceId").alias("events"),
+        F.countDistinct("driverId").alias("entities"))
+
+
+def _agg_strings(spark, sf):
+    """Lap-time strings and numeric strings derived from the line items."""
+    return derived_strings(spark, sf)
+
+
+def q_lap_time_ms(spark, sf):
+    df = _agg_strings(spark, sf)
+    out = df.select("l_orderkey", "l_linenumber",
+                    sc.lap_time_ms("lap").alias("q1_ms"), sc.lap_time_ms("lap_short").alias("q2_ms"),
+                    sc.lap_time_ms("numtxt").alias("q3_ms"))
+    out = out.withColumn("best_ms", sc.best_of("q1_ms", "q2_ms", "q3_ms"))
+    return _r(out, ["l_orderkey", "l_linenumber"], ["q1_ms", "q2_ms", "q3_ms", "best_ms"])
+
+
+def q_numeric_coercion(spark, sf):
+    df = _agg_strings(spark, sf)
+    return _r(df.select("l_orderkey", "l_linenumber", sc.normalize_null("numtxt").alias("clean_txt"),
+                        sc.to_number(sc.normalize_null("numtxt")).alias("num"),
+                        sc.to_int(sc.normalize_null("numtxt"), 0).alias("int_or_zero")),
+              ["l_orderkey", "l_linenumber", "clean_txt", "int_or_zero"], ["num"])
+
+
+def q_event_key(spark, sf):
+    r, _, _ = star_facts(spark, sf)
+    return r.select(sc.event_key(F.col("season").cast("string"), F.col("round").cast("string")).alias("key"),
+                    "raceId").distinct()
+
+
+def q_position_maps(spark, sf):
+    r, _, _ = star_facts(spark, sf)
+    return _r(r.select("raceId", "driverId", sc.relevance_of("positionOrder").alias("relevance"),
+                       sc.points_of("grid").alias("grid_points")),
+              ["raceId", "driverId", "relevance"], ["grid_points"])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p23_feature_matrix": q_matrix,
     "p10_drop_non_starters": q_drop_non_starters,
@@ -220,6 +318,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a8_venue_event_rate": q_venue_event_rate,
     "w8_w11_fail_rates": q_fail_rates,
     "p17_p19_labels": q_labels,
+    "m8_compare_strategies": q_compare_strategies,
+    "w14_w15_rank": q_rank_baseline,
+    "a13_ndcg": q_ndcg,
+    "a15_split_profile": q_split_profile,
+    "a16_classification_accuracy": q_classification_accuracy,
+    "m5_sweep_decay": q_sweep_decay,
+    "a17_best_params": q_best_params,
+    "a18_distinct_counts": q_distinct_counts,
+    "p8_p9_lap_time_ms": q_lap_time_ms,
+    "p6_p7_numeric_coercion": q_numeric_coercion,
+    "p4_event_key": q_event_key,
+    "p20_p22_position_maps": q_position_maps,
 }
 
 

@@ -9,7 +9,9 @@ exponential weights, correlated ranges for past periods. Only lookup tables
 
 from __future__ import annotations
 
-from paddock.sources.adapter import ADAPTER_SQL_CTES
+from paddock.sources.adapter import ADAPTER_SQL_CTES, STRINGS_SQL_CTE
+from paddock.functions.scalars import NUMERIC_PATTERN
+from paddock.spec import SWEEP_GRID
 from paddock.spec import RELEVANCE_BY_POSITION, RELEVANCE_DEFAULT, adapter_params
 
 P = adapter_params()
@@ -311,4 +313,172 @@ def oracle_queries() -> dict[str, str]:
                                         "driver_team_dnf_rate_10", "pu_dnf_rate_10")) + " FROM matrix")
     q["p17_p19_labels"] = with_features(
         "SELECT raceId, driverId, regulatory_era, is_classified, pu_manufacturer FROM e1")
+    q.update(metric_queries())
+    q.update(string_queries())
+    return q
+
+
+TEST = P.test_period
+
+
+def _pct(num: str, k: int) -> str:
+    return f"(CASE WHEN events > 0 THEN {num} / (events * {k}) * 100.0 ELSE 0.0 END)"
+
+
+def metric_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    t = f"""t AS (
+  SELECT raceId, driverId, positionOrder AS target, qualifying_pos, grid, driver_pts_lag, driver_form_ewma,
+         driver_dnf_rate_10, is_classified,
+         CAST(rank() OVER (PARTITION BY raceId ORDER BY driver_pts_lag DESC) AS BIGINT) AS champ,
+         CAST(rank() OVER (PARTITION BY raceId ORDER BY driver_form_ewma ASC) AS BIGINT) AS form_rank
+  FROM (SELECT e4.*, coalesce(d_rate, {P.dnf_rate_fill}) AS driver_dnf_rate_10 FROM e4) WHERE season = {TEST}
+)"""
+    q["m8_compare_strategies"] = with_features(f""", {t},
+lg AS (
+  SELECT raceId, target, 'grid' AS strategy, CAST(grid AS DOUBLE) AS pred FROM t
+  UNION ALL SELECT raceId, target, 'qualifying', CAST(qualifying_pos AS DOUBLE) FROM t
+  UNION ALL SELECT raceId, target, 'championship', CAST(champ AS DOUBLE) FROM t
+),
+flat AS (
+  SELECT strategy, count(DISTINCT raceId) AS events,
+    avg(abs({points_case('target')} - {points_case('pred')})) AS exp_pts_err,
+    sum(CASE WHEN target = 1 AND pred = 1 THEN 1 ELSE 0 END) AS p1,
+    sum(CASE WHEN target <= 3 AND pred <= 3 THEN 1 ELSE 0 END) AS t3,
+    sum(CASE WHEN target <= 10 AND pred <= 10 THEN 1 ELSE 0 END) AS t10
+  FROM lg GROUP BY strategy
+),
+rk AS (
+  SELECT strategy, raceId,
+    rank() OVER (PARTITION BY strategy, raceId ORDER BY target)
+      + (count(*) OVER (PARTITION BY strategy, raceId, target) - 1) / 2.0 AS ra,
+    rank() OVER (PARTITION BY strategy, raceId ORDER BY pred)
+      + (count(*) OVER (PARTITION BY strategy, raceId, pred) - 1) / 2.0 AS rb
+  FROM lg WHERE target IS NOT NULL AND pred IS NOT NULL
+),
+rho AS (
+  SELECT strategy, avg(r) AS spearman_rho FROM (
+    SELECT strategy, raceId, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS r
+    FROM rk GROUP BY strategy, raceId) GROUP BY strategy
+),
+mae AS (
+  SELECT strategy, avg(m) AS mae FROM (
+    SELECT strategy, raceId, avg(abs(target - pred)) AS m FROM lg GROUP BY strategy, raceId) GROUP BY strategy
+)
+SELECT f.strategy, f.events, {r6('exp_pts_err')} AS exp_pts_err, {r6(_pct('p1', 1))} AS p1_acc,
+  {r6(_pct('t3', 3))} AS top3_acc, {r6(_pct('t10', 10))} AS top10_acc,
+  {r6('coalesce(spearman_rho, 0.0)')} AS spearman_rho, {r6('coalesce(mae, 0.0)')} AS mae
+FROM flat f LEFT JOIN rho USING (strategy) LEFT JOIN mae USING (strategy)""".replace("WITH \n, ", "WITH "))
+    q["w14_w15_rank"] = with_features(f""", {t}
+SELECT raceId, driverId, champ AS championship_pred_pos, form_rank AS form_pred_pos FROM t""")
+    cuts = P.ndcg_cuts
+    dcg = ", ".join(
+        f"sum(CASE WHEN rk <= {k} THEN gain / log2(rk + 1.0) ELSE 0.0 END) AS d{k}, "
+        f"sum(CASE WHEN ideal <= {k} THEN gain / log2(ideal + 1.0) ELSE 0.0 END) AS i{k}" for k in cuts)
+    q["a13_ndcg"] = with_features(f""", {t},
+rr AS (
+  SELECT raceId, CAST({relevance_case('target')} AS DOUBLE) AS gain,
+    row_number() OVER (PARTITION BY raceId ORDER BY driver_pts_lag DESC, driverId) AS rk,
+    row_number() OVER (PARTITION BY raceId ORDER BY {relevance_case('target')} DESC, driverId) AS ideal
+  FROM t
+),
+per AS (SELECT raceId, {dcg} FROM rr GROUP BY raceId)
+SELECT {", ".join(f"{r6(f'avg(CASE WHEN i{k} > 0 THEN d{k} / i{k} ELSE 1.0 END)')} AS ndcg_{k}" for k in cuts)}
+FROM per""")
+    prof = (f"count(DISTINCT raceId) AS events, count(*) AS rows, "
+            f"{r6('avg(1.0 - is_classified)')} AS dnf_rate")
+    q["a15_split_profile"] = with_features(
+        f"SELECT 'train' AS split, min(season) AS min_period, max(season) AS max_period, {prof} "
+        f"FROM matrix WHERE season < {TEST} UNION ALL "
+        f"SELECT 'test' AS split, min(season), max(season), {prof} FROM matrix WHERE season = {TEST}")
+    q["a16_classification_accuracy"] = with_features(
+        f"SELECT {r6(f'avg(CAST((CASE WHEN 1.0 - driver_dnf_rate_10 >= {P.classify_threshold} THEN 1 ELSE 0 END) = is_classified AS DOUBLE)) * 100.0')} "
+        f"AS accuracy FROM matrix WHERE season = {TEST}")
+    q["m5_sweep_decay"] = with_features(_sweep_ctes() + f"""
+SELECT g.combo_id, g.summer_break_round, f.folds, {r6('g.off_season_decay')} AS off_season_decay,
+  {r6('g.regulation_reset_decay')} AS regulation_reset_decay, {r6('g.summer_break_decay')} AS summer_break_decay,
+  {r6('g.driver_reg_reset_decay')} AS driver_reg_reset_decay, {r6('f.err')} AS mean_exp_pts_err
+FROM (SELECT combo_id, avg(err) AS err, count(*) AS folds FROM folds GROUP BY combo_id) f JOIN grid g USING (combo_id)""")
+    q["a17_best_params"] = with_features(_sweep_ctes() + f""",
+per AS (SELECT combo_id, avg(err) AS err FROM folds GROUP BY combo_id)
+SELECT g.combo_id, g.summer_break_round, {r6('g.off_season_decay')} AS off_season_decay,
+  {r6('g.regulation_reset_decay')} AS regulation_reset_decay, {r6('g.summer_break_decay')} AS summer_break_decay,
+  {r6('g.driver_reg_reset_decay')} AS driver_reg_reset_decay, {r6('p.err')} AS mean_exp_pts_err
+FROM per p JOIN grid g USING (combo_id) ORDER BY round(p.err, 9), g.combo_id LIMIT 1""")
+    q["a18_distinct_counts"] = with_features(
+        "SELECT circuitId, count(DISTINCT season) AS periods, count(DISTINCT raceId) AS events, "
+        "count(DISTINCT driverId) AS entities FROM e2 GROUP BY circuitId")
+    return q
+
+
+def _sweep_ctes() -> str:
+    names = list(SWEEP_GRID)
+    vals = []
+    for i, (name, values) in enumerate(SWEEP_GRID.items()):
+        rows = ", ".join(f"({j}, {v})" for j, v in enumerate(values))
+        vals.append(f"(VALUES {rows}) v{i}(i{i}, {name})")
+    cid = "0"
+    for i, (name, values) in enumerate(SWEEP_GRID.items()):
+        cid = f"({cid}) * {len(values)} + i{i}"
+    vp = ", ".join(str(v) for v in P.validation_periods)
+    return f""",
+grid AS (SELECT CAST({cid} AS BIGINT) AS combo_id, {", ".join(names)} FROM {" CROSS JOIN ".join(vals)}),
+sin AS (
+  SELECT e2.raceId, e2.season, e2.round, e2.positionOrder, d.v AS dv, cf.v AS cv, fs.first_round
+  FROM e2
+  LEFT JOIN dform d ON e2.raceId = d.raceId AND e2.driverId = d.driverId
+  LEFT JOIN cform cf ON e2.season = cf.season AND e2.round = cf.round AND e2.constructorId = cf.constructorId
+  LEFT JOIN first_seq fs ON e2.season = fs.season
+  WHERE e2.season IN ({vp})
+),
+x AS (
+  SELECT g.combo_id, s.raceId, s.season, s.positionOrder,
+    coalesce(s.cv, 0.0)
+      * (CASE WHEN s.round = s.first_round THEN g.off_season_decay ELSE 1.0 END)
+      * (CASE WHEN s.round = s.first_round AND s.season IN {RESETS} THEN g.regulation_reset_decay ELSE 1.0 END)
+      * (CASE WHEN s.round = g.summer_break_round THEN g.summer_break_decay ELSE 1.0 END)
+    - coalesce(s.dv, (SELECT m FROM med))
+      * (CASE WHEN s.season IN {RESETS} AND s.round = s.first_round THEN g.driver_reg_reset_decay ELSE 1.0 END)
+      AS score
+  FROM sin s CROSS JOIN grid g
+),
+xr AS (
+  SELECT combo_id, season, positionOrder,
+    rank() OVER (PARTITION BY combo_id, raceId ORDER BY score DESC) AS pred
+  FROM x
+),
+folds AS (
+  SELECT combo_id, season, avg(abs({points_case('positionOrder')} - {points_case('pred')})) AS err
+  FROM xr GROUP BY combo_id, season
+)"""
+
+
+def tonum(x: str) -> str:
+    return f"(CASE WHEN regexp_matches({x}, '{NUMERIC_PATTERN}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+
+
+def lap_ms(x: str) -> str:
+    parts = f"string_split({x}, ':')"
+    return (f"(CASE WHEN {x} IS NULL OR {x} = '' OR {x} = '\\N' THEN NULL "
+            f"WHEN len({parts}) = 2 THEN {tonum(f'{parts}[1]')} * 60000.0 + {tonum(f'{parts}[2]')} * 1000.0 "
+            f"WHEN len({parts}) = 1 THEN {tonum(x)} * 1000.0 END)")
+
+
+def string_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["p8_p9_lap_time_ms"] = f"""WITH {STRINGS_SQL_CTE},
+l AS (SELECT l_orderkey, l_linenumber, {lap_ms('lap')} AS q1_ms, {lap_ms('lap_short')} AS q2_ms,
+             {lap_ms('numtxt')} AS q3_ms FROM strs)
+SELECT l_orderkey, l_linenumber, {r6('q1_ms')} AS q1_ms, {r6('q2_ms')} AS q2_ms, {r6('q3_ms')} AS q3_ms,
+       {r6('least(q1_ms, q2_ms, q3_ms)')} AS best_ms FROM l"""
+    q["p6_p7_numeric_coercion"] = f"""WITH {STRINGS_SQL_CTE},
+c AS (SELECT l_orderkey, l_linenumber, CASE WHEN numtxt <> '\\N' THEN numtxt END AS clean_txt FROM strs),
+n AS (SELECT *, {tonum('clean_txt')} AS num FROM c)
+SELECT l_orderkey, l_linenumber, clean_txt, {r6('num')} AS num,
+       coalesce(CASE WHEN num = floor(num) THEN CAST(num AS BIGINT) END, 0) AS int_or_zero FROM n"""
+    q["p4_event_key"] = (f"WITH {ADAPTER_SQL_CTES}\nSELECT DISTINCT CAST(season AS VARCHAR) || '_' || "
+                         f"CAST(round AS VARCHAR) AS key, raceId FROM fact_results")
+    q["p20_p22_position_maps"] = (f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, "
+                                  f"CAST({relevance_case('positionOrder')} AS BIGINT) AS relevance, "
+                                  f"{r6(points_case('grid'))} AS grid_points FROM fact_results")
     return q

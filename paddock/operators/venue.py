@@ -78,20 +78,31 @@ def _past_correlation(df: DataFrame, params: Params, spec: PanelSpec) -> DataFra
     return rho.withColumnRenamed("_target", spec.period)
 
 
+def retention_inputs(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Per (venue, period): past row count, past periods, past correlation."""
+    past = _past_windows(df, params, spec)
+    rho = _past_correlation(df, params, spec)
+    return past.join(rho, [spec.venue, spec.period], "left")
+
+
+def global_retention(per: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Mean of the defined past correlations with enough rows; fill when
+    none (A7). One row, column ``global_retention``."""
+    src = per
+    if params.as_of_period is not None:
+        src = src.filter(F.col(spec.period) < F.lit(params.as_of_period))
+    return src.filter((F.col("_past_rows") >= params.retention_global_min_rows) & F.col("_rho").isNotNull()) \
+        .agg(F.coalesce(F.avg("_rho"), F.lit(params.retention_fill)).alias("global_retention"))
+
+
 def venue_retention(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Rank retention per (venue, period) (A6) with the global mean.
 
     Output: venue, period, track_retention_idx, track_retention_confidence.
+    The correlation table is computed once and used for both.
     """
-    past = _past_windows(df, params, spec)
-    rho = _past_correlation(df, params, spec)
-    per = past.join(rho, [spec.venue, spec.period], "left")
-    # global mean of the defined correlations with enough rows (A7), one scalar
-    g_src = per
-    if params.as_of_period is not None:
-        g_src = g_src.filter(F.col(spec.period) < F.lit(params.as_of_period))
-    g = g_src.filter((F.col("_past_rows") >= params.retention_global_min_rows) & F.col("_rho").isNotNull()) \
-        .agg(F.coalesce(F.avg("_rho"), F.lit(params.retention_fill)).alias("g")).scalar()
+    per = retention_inputs(df, params, spec)
+    g = global_retention(per, params, spec).scalar()
     conf = F.least(F.col("_past_periods").cast("double") / F.lit(float(params.retention_window)), F.lit(1.0))
     raw = F.when(F.col("_past_rows") >= params.retention_min_rows, F.coalesce(F.col("_rho"), g)).otherwise(g)
     return per.select(

@@ -150,3 +150,59 @@ fact_sprints_r AS (
 fact_sprints AS (
   SELECT *, {sql_points_case('sprint_finish')} AS sprint_points FROM fact_sprints_r
 )"""
+
+
+# ---------------------------------------------------------------------------
+# Time and number strings derived from the line items, for the string
+# parsers (lap times, numeric coercion, null tokens).
+
+def lap_string(ms, short: bool = False) -> F.Column:
+    """``m:ss.fff`` (or ``s.fff`` when short) for a millisecond count."""
+    frac = F.lpad((ms % 1000).cast("string"), 3, "0")
+    if short:
+        return F.concat(F.floor(ms / 1000).cast("bigint").cast("string"), F.lit("."), frac)
+    return F.concat(F.floor(ms / 60000).cast("bigint").cast("string"), F.lit(":"),
+                    F.lpad(F.floor((ms % 60000) / 1000).cast("bigint").cast("string"), 2, "0"),
+                    F.lit("."), frac)
+
+
+def noisy_number_string(qty, line) -> F.Column:
+    """A numeric-looking string whose shape depends on the line number:
+    plain, null token, typed suffix, padded, empty, three-part, letter."""
+    q = qty.cast("bigint").cast("string")
+    return (F.when(line == 1, q)
+            .when(line == 2, F.lit("\\N"))
+            .when(line == 3, F.concat(q, F.lit("D")))
+            .when(line == 4, F.concat(F.lit(" "), q, F.lit(" ")))
+            .when(line == 5, F.lit(""))
+            .when(line == 6, F.concat(q, F.lit(":"), line.cast("string"), F.lit(":1")))
+            .otherwise(F.concat(F.lit("R"), q)))
+
+
+def derived_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(table_path(sf_dir, "lineitem"))
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        lap_string(F.round(F.col("l_extendedprice") * 10).cast("bigint")).alias("lap"),
+        lap_string(F.round(F.col("l_extendedprice") * 7).cast("bigint"), short=True).alias("lap_short"),
+        noisy_number_string(F.col("l_quantity"), F.col("l_linenumber")).alias("numtxt"))
+
+
+STRINGS_SQL_CTE = """
+strs AS (
+  SELECT l_orderkey, l_linenumber,
+    CAST(floor(CAST(round(l_extendedprice * 10) AS BIGINT) / 60000) AS BIGINT)::VARCHAR || ':'
+      || lpad(CAST(floor((CAST(round(l_extendedprice * 10) AS BIGINT) % 60000) / 1000) AS BIGINT)::VARCHAR, 2, '0')
+      || '.' || lpad((CAST(round(l_extendedprice * 10) AS BIGINT) % 1000)::VARCHAR, 3, '0') AS lap,
+    CAST(floor(CAST(round(l_extendedprice * 7) AS BIGINT) / 1000) AS BIGINT)::VARCHAR || '.'
+      || lpad((CAST(round(l_extendedprice * 7) AS BIGINT) % 1000)::VARCHAR, 3, '0') AS lap_short,
+    CASE l_linenumber
+      WHEN 1 THEN CAST(l_quantity AS BIGINT)::VARCHAR
+      WHEN 2 THEN '\\N'
+      WHEN 3 THEN CAST(l_quantity AS BIGINT)::VARCHAR || 'D'
+      WHEN 4 THEN ' ' || CAST(l_quantity AS BIGINT)::VARCHAR || ' '
+      WHEN 5 THEN ''
+      WHEN 6 THEN CAST(l_quantity AS BIGINT)::VARCHAR || ':' || l_linenumber::VARCHAR || ':1'
+      ELSE 'R' || CAST(l_quantity AS BIGINT)::VARCHAR END AS numtxt
+  FROM lineitem
+)"""
