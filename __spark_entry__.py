@@ -26,6 +26,7 @@ from paddock.plans import matrix as mx  # noqa: E402
 from paddock.plans import metrics as mt  # noqa: E402
 from paddock.plans import validate as vd  # noqa: E402
 from paddock.session import ensure_checkpoint_dir  # noqa: E402
+from paddock.sources import raw  # noqa: E402
 from paddock.sources.adapter import derived_strings, star_facts  # noqa: E402
 from paddock.spec import adapter_params  # noqa: E402
 
@@ -292,6 +293,74 @@ def q_position_maps(spark, sf):
               ["raceId", "driverId", "relevance"], ["grid_points"])
 
 
+def _landed(spark, sf):
+    """Land the adapter's facts as nested JSON pages in a fresh scratch
+    folder under the shared checkpoint folder; returns the folder."""
+    from paddock.session import scratch_path
+    from paddock.sources.landing import land_facts
+    r, q, s = star_facts(spark, sf)
+    root = scratch_path(spark, "landing")
+    land_facts(r, q, s, root)
+    return root
+
+
+def q_parse_results(spark, sf):
+    root = _landed(spark, sf)
+    df = raw.parse_results(raw.read_raw(spark, raw.raw_glob(root, "results")), P)
+    return _r(df, ["raceId", "season", "round", "circuitId", "driverId", "constructorId", "status"],
+              ["grid", "positionOrder", "points"])
+
+
+def q_parse_qualifying(spark, sf):
+    root = _landed(spark, sf)
+    df = raw.parse_qualifying(raw.read_raw(spark, raw.raw_glob(root, "qualifying")), P)
+    return _r(df, ["raceId", "driverId"], ["qualifying_pos", "q1_ms", "q2_ms", "q3_ms", "driver_best_q_ms"])
+
+
+def q_parse_sprints(spark, sf):
+    root = _landed(spark, sf)
+    df = raw.parse_sprints(raw.read_raw(spark, raw.raw_glob(root, "sprint")), P)
+    return _r(df, ["raceId", "driverId"], ["sprint_finish", "sprint_points"])
+
+
+def q_missing_pages(spark, sf):
+    root = _landed(spark, sf)
+    return raw.missing_pages(raw.read_raw(spark, raw.raw_glob(root, "race_")))
+
+
+def q_pending_requests(spark, sf):
+    root = _landed(spark, sf)
+    r, _, _ = star_facts(spark, sf)
+    return raw.pending_requests(r, raw.read_raw(spark, raw.raw_glob(root, "race_")))
+
+
+def q_active_entities(spark, sf):
+    root = _landed(spark, sf)
+    return raw.active_entities(raw.read_raw(spark, raw.raw_glob(root, "active_drivers")))
+
+
+def q_event_universe(spark, sf):
+    root = _landed(spark, sf)
+    listing = raw.read_raw(spark, raw.raw_glob(root, "active_drivers"))
+    period = F.regexp_extract("_file", r"active_drivers_([0-9]+)_offset", 1).cast("bigint")
+    latest = listing.select(F.max(period).alias("p")).scalar()
+    active = raw.active_entities(listing.filter(period == latest))
+    return raw.event_universe(raw.read_raw(spark, raw.raw_glob(root, "results")), active, P.first_period)
+
+
+def q_ingest_incremental(spark, sf):
+    from paddock.session import scratch_path
+    from paddock.streaming.ingest import ingest_incremental, read_ingested
+    root = _landed(spark, sf)
+    sink, ckpt = scratch_path(spark, "facts"), scratch_path(spark, "stream-ckpt")
+    glob = raw.raw_glob(root, "results")[0]
+    ingest_incremental(spark, glob, sink, ckpt, P)
+    ingest_incremental(spark, glob, sink, ckpt, P)  # second pass: nothing new
+    df = read_ingested(spark, sink)
+    return _r(df, ["raceId", "season", "round", "circuitId", "driverId", "constructorId", "status"],
+              ["grid", "positionOrder", "points"])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p23_feature_matrix": q_matrix,
     "p10_drop_non_starters": q_drop_non_starters,
@@ -330,6 +399,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_p7_numeric_coercion": q_numeric_coercion,
     "p4_event_key": q_event_key,
     "p20_p22_position_maps": q_position_maps,
+    "p1_parse_results": q_parse_results,
+    "p2_parse_qualifying": q_parse_qualifying,
+    "p3_parse_sprints": q_parse_sprints,
+    "s2_missing_pages": q_missing_pages,
+    "s3_pending_requests": q_pending_requests,
+    "s4_active_entities": q_active_entities,
+    "s5_event_universe": q_event_universe,
+    "st1_ingest_incremental": q_ingest_incremental,
 }
 
 

@@ -315,6 +315,39 @@ def oracle_queries() -> dict[str, str]:
         "SELECT raceId, driverId, regulatory_era, is_classified, pu_manufacturer FROM e1")
     q.update(metric_queries())
     q.update(string_queries())
+    q.update(raw_queries())
+    return q
+
+
+def raw_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    res = (f"SELECT raceId, season, round, circuitId, driverId, constructorId, status, {r6('grid')} AS grid, "
+           f"{r6('positionOrder')} AS positionOrder, {r6('points')} AS points FROM fact_results "
+           f"WHERE season >= {P.first_period}")
+    q["p1_parse_results"] = f"WITH {ADAPTER_SQL_CTES}\n{res}"
+    q["st1_ingest_incremental"] = f"WITH {ADAPTER_SQL_CTES}\n{res}"
+    q["p2_parse_qualifying"] = (
+        f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('qualifying_pos')} AS qualifying_pos, "
+        f"{r6('q1_ms')} AS q1_ms, {r6('q2_ms')} AS q2_ms, {r6('q3_ms')} AS q3_ms, "
+        f"{r6('driver_best_q_ms')} AS driver_best_q_ms FROM fact_qualifying")
+    q["p3_parse_sprints"] = (
+        f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('sprint_finish')} AS sprint_finish, "
+        f"{r6('sprint_points')} AS sprint_points FROM fact_sprints")
+    q["s2_missing_pages"] = "SELECT CAST(NULL AS VARCHAR) AS prefix, CAST(NULL AS BIGINT) AS offset WHERE false"
+    q["s3_pending_requests"] = f"""WITH {ADAPTER_SQL_CTES},
+ev AS (SELECT DISTINCT raceId, season, round FROM fact_results),
+landed AS (
+  SELECT season, round, 'results' AS endpoint FROM ev
+  UNION SELECT e.season, e.round, 'qualifying' FROM ev e WHERE e.raceId IN (SELECT raceId FROM fact_qualifying)
+  UNION SELECT e.season, e.round, 'sprint' FROM ev e WHERE e.raceId IN (SELECT raceId FROM fact_sprints)
+)
+SELECT season, round, endpoint FROM ev, (VALUES ('results'), ('qualifying'), ('sprint')) t(endpoint)
+EXCEPT SELECT season, round, endpoint FROM landed"""
+    q["s4_active_entities"] = f"WITH {ADAPTER_SQL_CTES}\nSELECT DISTINCT driverId AS id FROM fact_results"
+    q["s5_event_universe"] = f"""WITH {ADAPTER_SQL_CTES}
+SELECT DISTINCT season, round FROM fact_results
+WHERE season >= {P.first_period}
+  AND driverId IN (SELECT driverId FROM fact_results WHERE season = (SELECT max(season) FROM fact_results))"""
     return q
 
 

@@ -8,11 +8,10 @@ decayed-form operator.
 ignore_na=False, min_periods=1).mean()``: for row t the weighted mean of all
 earlier non-null values with weight (1-alpha)^(t-1-j). Trailing nulls scale
 numerator and denominator alike, so the value at t equals the EWMA anchored
-at the newest earlier non-null row. We therefore compute, at every non-null
-row r, the fold over the K rows ending at r (K = ``Params.ewma_horizon``,
-beyond which a weight is below 1e-17 of the anchor's) and carry the newest
-such value forward with ``last(ignorenulls)``. Runs of nulls of any length
-are exact; no Python runs per row.
+at the newest earlier non-null row. We compute that anchored value at every
+non-null row with running sums of rebased weights (see ``ewma_prior``) and
+carry the newest one forward with ``last(ignorenulls)``. Runs of nulls of any
+length are exact; no Python runs per row, no arrays are built.
 """
 
 from __future__ import annotations
@@ -27,43 +26,56 @@ from ..spec import PanelSpec, Params
 DEFAULT_SPEC = PanelSpec()
 
 
-def _horizon(alpha: float) -> int:
-    beta = 1.0 - alpha
+def _block_size(beta: float) -> int:
+    """Rows per block such that beta^-block stays below 1e300."""
     if beta <= 0.0:
         return 1
-    return max(1, int(math.ceil(math.log(1e-17) / math.log(beta))))
+    if beta >= 1.0:
+        return 1 << 40
+    return max(1, int(300.0 / -math.log10(beta)))
 
 
 def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
-               alpha: float, out: str, horizon: int | None = None) -> DataFrame:
+               alpha: float, out: str, block: int | None = None) -> DataFrame:
     """Exponentially weighted mean of the *earlier* rows of each partition.
 
     ``order`` must make rows unique within a partition. Null when no earlier
     non-null value exists.
+
+    Rows are numbered i within the partition and cut into blocks of B rows
+    (B from ``_block_size``: the rebased weights beta^-offset stay finite).
+    At a non-null row r of block b the EWMA anchored at r is
+
+        (L_r + beta^B * T_{b-1}) / (LW_r + beta^B * TW_{b-1})
+
+    with L/LW running sums of beta^-offset * x (resp. beta^-offset) inside
+    the block and T/TW the totals of the previous block (a range frame over
+    the block number). Older blocks weigh below beta^B ~ 1e-300 relative to
+    x_r, so the value is exact in double precision; each step is O(1) per
+    row. The anchored value is carried forward to later rows.
     """
-    k = horizon or _horizon(alpha)
     beta = 1.0 - alpha
+    bsz = block or _block_size(beta)
+    if 0.0 < beta < 1.0 and beta ** bsz > 1e-17:
+        raise ValueError(f"block {bsz} too small for alpha {alpha}: tail weight {beta ** bsz:.3g}")
     w = Window.partitionBy(*partition).orderBy(*order)
-    idx = "_ewma_idx"
     x = F.col(value).cast("double")
-    df = df.withColumn(idx, F.row_number().over(w))
-    hist = F.collect_list(F.when(x.isNotNull(), F.struct(F.col(idx).alias("i"), x.alias("x")))) \
-        .over(w.rowsBetween(-(k - 1), 0))
-    me = F.col(idx)
-
-    def fold(h: Column) -> Column:
-        acc = F.aggregate(
-            h, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")),
-            lambda a, e: F.struct(
-                (a["num"] + F.pow(F.lit(beta), (me - e["i"]).cast("double")) * e["x"]).alias("num"),
-                (a["den"] + F.pow(F.lit(beta), (me - e["i"]).cast("double"))).alias("den")))
-        return acc["num"] / acc["den"]
-
-    anchored = "_ewma_anchor"
-    df = df.withColumn(anchored, F.when(x.isNotNull(), fold(hist)))
+    idx, blk, off = "_ew_i", "_ew_b", "_ew_o"
+    df = df.withColumn(idx, F.row_number().over(w) - 1) \
+           .withColumn(blk, F.floor(F.col(idx) / F.lit(bsz))) \
+           .withColumn(off, F.col(idx) - F.col(blk) * F.lit(bsz))
+    wt = F.when(x.isNotNull(), F.pow(F.lit(beta), -F.col(off).cast("double"))).otherwise(F.lit(0.0))
+    df = df.withColumn("_ew_w", wt).withColumn("_ew_xw", F.coalesce(x * F.col("_ew_w"), F.lit(0.0)))
+    in_block = Window.partitionBy(*partition, blk).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
+    carry = F.lit(beta ** bsz) if bsz < (1 << 40) else F.lit(0.0)
+    num = F.sum("_ew_xw").over(in_block) + carry * F.coalesce(F.sum("_ew_xw").over(prev_block), F.lit(0.0))
+    den = F.sum("_ew_w").over(in_block) + carry * F.coalesce(F.sum("_ew_w").over(prev_block), F.lit(0.0))
+    anchored = "_ew_anchor"
+    df = df.withColumn(anchored, F.when(x.isNotNull(), num / den))
     df = df.withColumn(out, F.last(anchored, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1)))
-    return df.drop(idx, anchored)
+    return df.drop(idx, blk, off, "_ew_w", "_ew_xw", anchored)
 
 
 def weekend_reward(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:

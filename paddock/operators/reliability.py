@@ -79,6 +79,17 @@ def rolling_prior_rate(source: DataFrame, keys: list[str], flag: str, out: str,
                        F.when(cnt > 0, total.cast("double") / cnt.cast("double")).alias(out))
 
 
+def entity_prior_rate(df: DataFrame, keys: list[str], flag: str, out: str,
+                      params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Rows-mode rate for keys that contain the entity (one row per event):
+    a plain bounded window, since an entity's history is bounded by the
+    number of events it entered."""
+    w = Window.partitionBy(*keys).orderBy(
+        spec.period, spec.seq, F.col(spec.outcome).asc_nulls_last(), F.col(spec.entity).asc_nulls_last())
+    return df.withColumn(out, F.avg(F.col(flag).cast("double")).over(
+        w.rowsBetween(-params.reliability_window, -1)))
+
+
 def reliability_features(df: DataFrame, params: Params = Params(),
                          spec: PanelSpec = DEFAULT_SPEC, source: DataFrame | None = None) -> DataFrame:
     """W8 entity, W9 team, W10 entity-team, W11 supplier failure rates.
@@ -88,13 +99,11 @@ def reliability_features(df: DataFrame, params: Params = Params(),
     """
     src = source if source is not None else df
     fill = F.lit(params.dnf_rate_fill)
-    # entity keys have one row per event: both modes coincide, rows is exact
-    specs = [([spec.entity], "driver_dnf_rate_10", "rows"),
-             ([spec.team], "constructor_dnf_rate_10", None),
-             ([spec.entity, spec.team], "driver_team_dnf_rate_10", "rows"),
-             ([spec.supplier], "pu_dnf_rate_10", None)]
-    for keys, out, mode in specs:
-        df = df.join(rolling_prior_rate(src, keys, "is_dnf", out, params, spec, mode),
+    df = entity_prior_rate(df, [spec.entity], "is_dnf", "driver_dnf_rate_10", params, spec)
+    df = entity_prior_rate(df, [spec.entity, spec.team], "is_dnf", "driver_team_dnf_rate_10", params, spec)
+    # team and supplier keys can be hot: pre-aggregated / prefix-sum path
+    for keys, out in (([spec.team], "constructor_dnf_rate_10"), ([spec.supplier], "pu_dnf_rate_10")):
+        df = df.join(rolling_prior_rate(src, keys, "is_dnf", out, params, spec),
                      [spec.event, spec.entity], "left")
     return df.withColumn("driver_dnf_rate_10", F.coalesce("driver_dnf_rate_10", fill)) \
              .withColumn("constructor_dnf_rate_10", F.coalesce("constructor_dnf_rate_10", fill)) \

@@ -3,8 +3,8 @@
 The sweep splits the decayed form into its parameter-free part (raw EWMAs,
 computed once) and per-period factors; the parameter grid is a small table
 (product of the ranges, 576 rows by default — bounded by construction) that
-is broadcast and crossed with the validation rows, so every combination is
-scored in one data-parallel query.
+is exploded next to every validation row as a literal array, so every
+combination is scored in one data-parallel query without a join.
 """
 
 from __future__ import annotations
@@ -82,6 +82,20 @@ def param_grid(spark: SparkSession, ranges: dict | None = None) -> DataFrame:
     return grid.select(cid.cast("bigint").alias("combo_id"), *ranges.keys())
 
 
+def grid_array(ranges: dict | None = None):
+    """The same grid as a literal array of structs (bounded by the ranges)."""
+    import itertools
+    ranges = ranges or SWEEP_GRID
+    names = list(ranges)
+    items = []
+    for cid, combo in enumerate(itertools.product(*ranges.values())):
+        fields = [F.lit(cid).cast("bigint").alias("combo_id")]
+        for n, v in zip(names, combo):
+            fields.append(F.lit(v).cast("bigint" if n == "summer_break_round" else "double").alias(n))
+        items.append(F.struct(*fields))
+    return F.array(*items)
+
+
 def sweep_inputs(entries: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Parameter-free columns the sweep needs, per entry of the validation
     periods: raw entity/team EWMAs, median, first seq of the period."""
@@ -104,10 +118,11 @@ def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec =
     spark = entries.sparkSession
     grid = param_grid(spark, ranges)
     inputs = sweep_inputs(entries, params, spec)
-    cols = {k: F.col(k) for k in SWEEP_GRID}
+    cols = {k: F.col(k) for k in (ranges or SWEEP_GRID)}
     drv_f, con_f = fm.decay_factors(F.col(spec.period), F.col(spec.seq), F.col("_first_seq"), cols,
                                     params.reset_periods)
-    x = inputs.crossJoin(F.broadcast(grid)).select(
+    # every entry meets every combination: explode the bounded literal grid
+    x = inputs.select("*", F.explode(grid_array(ranges)).alias("_g")).select("*", "_g.*").drop("_g").select(
         "combo_id", spec.event, spec.period, spec.outcome,
         (F.coalesce("_drv_ewma_raw", "_median") * drv_f).alias("_drv"),
         fm.apply_factors(F.coalesce(F.col("_con_ewma_raw"), F.lit(0.0)), con_f).alias("_con"))
@@ -117,7 +132,7 @@ def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec =
         F.avg(expected_points_error(F.col(spec.outcome), F.col("_pred"))).alias("_err"))
     per = folds.groupBy("combo_id").agg(F.avg("_err").alias("mean_exp_pts_err"),
                                         F.count(F.lit(1)).alias("folds"))
-    return grid.join(per, "combo_id", "inner")
+    return grid.join(F.broadcast(per), "combo_id", "inner")
 
 
 def best_params(sweep: DataFrame) -> DataFrame:
