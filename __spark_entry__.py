@@ -54,9 +54,8 @@ def q_matrix(spark, sf):
     ensure_checkpoint_dir(spark)
     r, q, s = star_facts(spark, sf)
     m = mx.feature_matrix(r, q, s, P)
-    doubles = [f.name for f in m.schema.fields if f.dataType.simpleString() == "double"]
-    others = [c for c in m.columns if c not in doubles]
-    return _r(m, others, doubles)
+    return m.select(*[F.round(F.col(f.name), 6).alias(f.name) if f.dataType.simpleString() == "double"
+                      else F.col(f.name) for f in m.schema.fields])
 
 
 def q_drop_non_starters(spark, sf):
@@ -361,6 +360,49 @@ def q_ingest_incremental(spark, sf):
               ["grid", "positionOrder", "points"])
 
 
+def _split(spark, sf):
+    full = _features(spark, sf)
+    return mt.chrono_split(full, P.test_period)
+
+
+def q_fit_ranker(spark, sf):
+    from paddock.plans import models as md
+    train, test = _split(spark, sf)
+    model = md.fit_ranker(train, params=P)
+    return md.score_ranker(model, test).select("raceId", "driverId", "score", "pred_pos")
+
+
+def q_classifier(spark, sf):
+    from paddock.plans import models as md
+    train, test = _split(spark, sf)
+    model = md.fit_classifier(train, params=P)
+    out = md.classify(model, test, params=P)
+    return out.select("raceId", "driverId", "survival_prob", "predicted_classified", "is_classified")
+
+
+def q_two_stage(spark, sf):
+    from paddock.plans import models as md
+    train, test = _split(spark, sf)
+    ranked = md.two_stage_rank(train, test, params=P)
+    return mt.compare_strategies(ranked, {"two_stage": "two_stage_pred_pos", "qualifying": "qualifying_pos"})
+
+
+def q_chrono_cv(spark, sf):
+    return vd.chrono_cv(_features(spark, sf), P)
+
+
+def q_leakage_alarm(spark, sf):
+    from paddock.plans import models as md
+    return md.leakage_alarm(q_matrix(spark, sf), P)
+
+
+def q_importances(spark, sf):
+    from paddock.plans import models as md
+    train, _ = _split(spark, sf)
+    model = md.fit_ranker(train, params=P)
+    return md.importances(model, md.feature_names(), spark).limit(10)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p23_feature_matrix": q_matrix,
     "p10_drop_non_starters": q_drop_non_starters,
@@ -407,6 +449,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s4_active_entities": q_active_entities,
     "s5_event_universe": q_event_universe,
     "st1_ingest_incremental": q_ingest_incremental,
+    "m1_fit_ranker": q_fit_ranker,
+    "m2_classifier": q_classifier,
+    "m3_two_stage": q_two_stage,
+    "m4_chrono_cv": q_chrono_cv,
+    "m6_leakage_alarm": q_leakage_alarm,
+    "m7_t2_importances": q_importances,
 }
 
 

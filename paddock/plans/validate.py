@@ -82,18 +82,24 @@ def param_grid(spark: SparkSession, ranges: dict | None = None) -> DataFrame:
     return grid.select(cid.cast("bigint").alias("combo_id"), *ranges.keys())
 
 
-def grid_array(ranges: dict | None = None):
-    """The same grid as a literal array of structs (bounded by the ranges)."""
-    import itertools
+def grid_columns(ranges: dict | None = None) -> tuple:
+    """(combo id generator, {name: value column}) for the grid: the id is
+    exploded from ``sequence(0, n-1)`` and each parameter is decoded from it
+    (mixed radix, first parameter slowest) through a small literal array."""
     ranges = ranges or SWEEP_GRID
-    names = list(ranges)
-    items = []
-    for cid, combo in enumerate(itertools.product(*ranges.values())):
-        fields = [F.lit(cid).cast("bigint").alias("combo_id")]
-        for n, v in zip(names, combo):
-            fields.append(F.lit(v).cast("bigint" if n == "summer_break_round" else "double").alias(n))
-        items.append(F.struct(*fields))
-    return F.array(*items)
+    sizes = [len(v) for v in ranges.values()]
+    total = 1
+    for n in sizes:
+        total *= n
+    gen = F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("combo_id")
+    cols = {}
+    stride = total
+    for (name, values), n in zip(ranges.items(), sizes):
+        stride //= n
+        i = (F.floor(F.col("combo_id") / F.lit(stride)) % F.lit(n)).cast("int")
+        dtype = "bigint" if name == "summer_break_round" else "double"
+        cols[name] = F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), i + 1)
+    return gen, cols
 
 
 def sweep_inputs(entries: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
@@ -118,12 +124,14 @@ def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec =
     spark = entries.sparkSession
     grid = param_grid(spark, ranges)
     inputs = sweep_inputs(entries, params, spec)
-    cols = {k: F.col(k) for k in (ranges or SWEEP_GRID)}
+    gen, pcols = grid_columns(ranges)
+    # every entry meets every combination: explode the bounded id range
+    x = inputs.select("*", gen).select("*", *[c.alias(n) for n, c in pcols.items()])
+    cols = {k: F.col(k) for k in pcols}
     drv_f, con_f = fm.decay_factors(F.col(spec.period), F.col(spec.seq), F.col("_first_seq"), cols,
                                     params.reset_periods)
-    # every entry meets every combination: explode the bounded literal grid
-    x = inputs.select("*", F.explode(grid_array(ranges)).alias("_g")).select("*", "_g.*").drop("_g").select(
-        "combo_id", spec.event, spec.period, spec.outcome,
+    x = x.select(
+        F.col("combo_id").cast("bigint").alias("combo_id"), spec.event, spec.period, spec.outcome,
         (F.coalesce("_drv_ewma_raw", "_median") * drv_f).alias("_drv"),
         fm.apply_factors(F.coalesce(F.col("_con_ewma_raw"), F.lit(0.0)), con_f).alias("_con"))
     x = x.withColumn("_score", F.col("_con") - F.col("_drv")).withColumn(

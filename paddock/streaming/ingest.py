@@ -28,7 +28,8 @@ def _stream_raw(spark: SparkSession, path_glob: str) -> DataFrame:
 
 def ingest_incremental(spark: SparkSession, landing_glob: str, sink: str, checkpoint: str,
                        params: Params = Params()) -> int:
-    """Run one availableNow pass; returns the number of rows appended."""
+    """Run one availableNow pass; returns the number of pages read (0 when
+    nothing new was landed)."""
     rows = explode_results(_stream_raw(spark, landing_glob), params)
     q = rows.writeStream.format("parquet").option("path", sink) \
         .option("checkpointLocation", checkpoint).outputMode("append") \
