@@ -360,6 +360,29 @@ def q_ingest_incremental(spark, sf):
               ["grid", "positionOrder", "points"])
 
 
+def q_group_sizes(spark, sf):
+    return _entries(spark, sf).groupBy("raceId").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def q_extended_matrix(spark, sf):
+    r, q, s = star_facts(spark, sf)
+    ext = mx.extended_matrix(r, q, s, P)
+    return _r(ext, ["raceId", "driverId", "is_sprint_weekend"],
+              ["grid", "team_point_contribution_pct", "pace_x_overtaking", "grid_x_retention"])
+
+
+def q_params_artifact(spark, sf):
+    from paddock.session import scratch_path
+    best = vd.best_params(vd.sweep_decay(_entries(spark, sf), P)).first()
+    chosen = P.with_(off_season_decay=best.off_season_decay, regulation_reset_decay=best.regulation_reset_decay,
+                     summer_break_decay=best.summer_break_decay, driver_reg_reset_decay=best.driver_reg_reset_decay,
+                     summer_seq=int(best.summer_break_round))
+    path = scratch_path(spark, "params")
+    raw.save_params(spark, chosen, path)
+    return _r(spark.read.parquet(path), ["summer_break_round"],
+              ["off_season_decay", "regulation_reset_decay", "summer_break_decay", "driver_reg_reset_decay"])
+
+
 def _split(spark, sf):
     full = _features(spark, sf)
     return mt.chrono_split(full, P.test_period)
@@ -449,6 +472,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s4_active_entities": q_active_entities,
     "s5_event_universe": q_event_universe,
     "st1_ingest_incremental": q_ingest_incremental,
+    "a3_group_sizes": q_group_sizes,
+    "p29_p30_extended_matrix": q_extended_matrix,
+    "s8_params_artifact": q_params_artifact,
     "m1_fit_ranker": q_fit_ranker,
     "m2_classifier": q_classifier,
     "m3_two_stage": q_two_stage,

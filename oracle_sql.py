@@ -316,6 +316,19 @@ def oracle_queries() -> dict[str, str]:
     q.update(metric_queries())
     q.update(string_queries())
     q.update(raw_queries())
+    q["a3_group_sizes"] = with_features("SELECT raceId, count(*) AS entries FROM e2 GROUP BY raceId")
+    q["p29_p30_extended_matrix"] = with_features(f"""
+SELECT m.raceId, m.driverId,
+  CAST(max(CASE WHEN m.sprint_finish IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY m.raceId) AS BIGINT)
+    AS is_sprint_weekend,
+  {r6('e.grid')} AS grid,
+  {r6('m.driver_pts_lag / nullif(m.team_pts_lag, 0)')} AS team_point_contribution_pct,
+  {r6('m.pace_delta_pct * (1.0 - m.track_retention_idx)')} AS pace_x_overtaking,
+  {r6('e.grid * m.track_retention_idx')} AS grid_x_retention
+FROM matrix m JOIN e2 e ON m.raceId = e.raceId AND m.driverId = e.driverId""")
+    best = q["a17_best_params"]
+    q["s8_params_artifact"] = (f"SELECT summer_break_round, off_season_decay, regulation_reset_decay, "
+                               f"summer_break_decay, driver_reg_reset_decay FROM ({best})")
     return q
 
 
