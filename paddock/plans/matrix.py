@@ -87,16 +87,20 @@ def entries_table(results: DataFrame, qualifying: DataFrame, sprints: DataFrame,
                   materialize: bool = True) -> DataFrame:
     """Joined, filtered, labelled entries: the input of every feature block.
 
-    With ``materialize`` the table is checkpointed into the shared folder
-    named by ``spark.checkpoint.dir`` (reliable, survives executor loss): it
-    feeds a dozen branches, and cutting the lineage here keeps each branch's
-    plan short and the upstream scan from running more than once.
+    With ``materialize`` the table is written as parquet into a fresh folder
+    under the shared checkpoint folder (``spark.checkpoint.dir``) and read
+    back: it feeds a dozen branches, so the upstream scan runs once, the
+    lineage is cut (a lost executor re-reads files, it does not recompute),
+    and each branch gets column pruning and real size statistics for its
+    join strategy.
     """
     base = label_columns(prepare_entries(results, qualifying, sprints, params, spec), params, spec)
     if materialize:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(base.sparkSession)
-        base = base.checkpoint(eager=True)
+        from ..session import scratch_path
+        spark = base.sparkSession
+        path = scratch_path(spark, "entries")
+        base.write.mode("overwrite").parquet(path)
+        base = spark.read.parquet(path)
     return base
 
 
