@@ -19,11 +19,16 @@ DEFAULT_SPEC = PanelSpec()
 
 
 def rank_within(df: DataFrame, score: str, out: str, spec: PanelSpec = DEFAULT_SPEC,
-                ascending: bool = False) -> DataFrame:
+                ascending: bool = False, skew_safe: bool = False) -> DataFrame:
     """Rank per event; ties share the lowest rank number.
 
-    Null scores rank last (the reference raises on them).
+    Null scores rank last (the reference raises on them). ``skew_safe``
+    computes the same ranks without a window over a whole event (for events
+    holding a large share of the rows).
     """
+    if skew_safe:
+        from ..functions.ranking import distributed_rank
+        return distributed_rank(df, [spec.event], [(score, ascending)], out)
     o = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
     return df.withColumn(out, F.rank().over(Window.partitionBy(spec.event).orderBy(o)).cast("bigint"))
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import distributed_rank
 from ..functions.scalars import points_of
 from ..session import table_path
 from ..spec import POINTS_BY_POSITION
@@ -62,31 +63,38 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     base = _entry_aggregates(spark, sf_dir).withColumn(
         "raceId", F.concat_ws("_", F.col("season").cast("string"), F.col("round").cast("string"))
     )
-    race = Window.partitionBy("raceId")
-    results = base.select(
+    # an event here is a calendar month: one key holds ~1/84 of all line
+    # items, so per-event orders use the skew-safe rank (no window over a
+    # whole event); (value, supplier key) is unique, so rank = row_number.
+    ranked = distributed_rank(base, ["raceId"], [("sumline", False), ("suppkey", True)], "_grid")
+    ranked = distributed_rank(ranked, ["raceId"], [("sumqty", False), ("suppkey", True)], "_pos")
+    results = ranked.select(
         "raceId", "season", "round",
         F.concat(F.lit("c"), ((F.col("round") - 1) % VENUES).cast("string")).alias("circuitId"),
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
         F.concat(F.lit("n"), (F.col("s_nationkey") % TEAMS).cast("string")).alias("constructorId"),
-        F.row_number().over(race.orderBy(F.desc("sumline"), "suppkey")).cast("double").alias("grid"),
-        F.row_number().over(race.orderBy(F.desc("sumqty"), "suppkey")).cast("double").alias("positionOrder"),
+        F.col("_grid").cast("double").alias("grid"),
+        F.col("_pos").cast("double").alias("positionOrder"),
         _status().alias("status"),
     ).withColumn("points", points_of("positionOrder"))
 
     timed = base.filter(~((F.col("suppkey") % 7 == 0) & (F.col("round") % 5 == 0)))
+    timed = distributed_rank(timed, ["raceId"], [("q_best", True), ("suppkey", True)], "_qpos")
     qualifying = timed.select(
         "raceId",
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
-        F.row_number().over(race.orderBy("q_best", "suppkey")).cast("double").alias("qualifying_pos"),
+        F.col("_qpos").cast("double").alias("qualifying_pos"),
         F.col("q_slow").cast("double").alias("q1_ms"),
         F.lit(None).cast("double").alias("q2_ms"),
         F.col("q_best").cast("double").alias("q3_ms"),
     ).withColumn("driver_best_q_ms", F.least("q1_ms", "q2_ms", "q3_ms"))
 
-    sprints = base.filter(F.col("round").isin(list(SPRINT_MONTHS))).select(
+    sprint_base = distributed_rank(base.filter(F.col("round").isin(list(SPRINT_MONTHS))), ["raceId"],
+                                   [("n", False), ("suppkey", True)], "_spos")
+    sprints = sprint_base.select(
         "raceId",
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
-        F.row_number().over(race.orderBy(F.desc("n"), "suppkey")).cast("double").alias("sprint_finish"),
+        F.col("_spos").cast("double").alias("sprint_finish"),
     ).withColumn("sprint_points", points_of("sprint_finish"))
     return results, qualifying, sprints
 
