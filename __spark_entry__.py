@@ -406,7 +406,8 @@ def q_classifier(spark, sf):
 def q_two_stage(spark, sf):
     from paddock.plans import models as md
     train, test = _split(spark, sf)
-    ranked = md.two_stage_rank(train, test, params=P)
+    from paddock.spec import CATEGORICAL
+    ranked = md.two_stage_rank(train, test, params=P, categorical=CATEGORICAL)
     return mt.compare_strategies(ranked, {"two_stage": "two_stage_pred_pos", "qualifying": "qualifying_pos"})
 
 

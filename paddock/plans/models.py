@@ -42,6 +42,17 @@ def assemble(df: DataFrame, features: Sequence[str] = FEATURES, out: str = "feat
     return VectorAssembler(inputCols=names, outputCol=out).transform(tmp).drop(*names)
 
 
+def index_categoricals(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str]):
+    """Category columns -> indices fitted on the training split (P25); unseen
+    categories get their own index (``handleInvalid="keep"``). Returns
+    (train, others, index column names)."""
+    from pyspark.ml.feature import StringIndexer
+    names = [f"{c}__idx" for c in cols]
+    model = StringIndexer(inputCols=list(cols), outputCols=names, handleInvalid="keep",
+                          stringOrderType="alphabetAsc").fit(train)
+    return model.transform(train), [model.transform(o) for o in others], names
+
+
 def feature_names(features: Sequence[str] = FEATURES) -> list[str]:
     out = []
     for c in features:
@@ -99,10 +110,15 @@ def classify(model, df: DataFrame, features: Sequence[str] = FEATURES, params: P
 
 def two_stage_rank(train: DataFrame, test: DataFrame, features: Sequence[str] = FEATURES,
                    params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
-                   ranker_kw: dict | None = None, classifier_kw: dict | None = None) -> DataFrame:
+                   ranker_kw: dict | None = None, classifier_kw: dict | None = None,
+                   categorical: Sequence[str] = ()) -> DataFrame:
     """M2 on all entries, M1 on classified entries only, merged (P28): entries
     predicted to finish come first by rank score, the others after them by
-    survival probability. Ordered by two keys, not an offset (Q24)."""
+    survival probability. Ordered by two keys, not an offset (Q24).
+    ``categorical`` columns are indexed on the training split (P25)."""
+    if categorical:
+        train, (test,), idx = index_categoricals(train, [test], categorical)
+        features = list(features) + idx
     clf = fit_classifier(train, features, params=params, **(classifier_kw or {}))
     rk = fit_ranker(train.filter(F.col("is_classified") == 1), features, params=params, spec=spec,
                     **(ranker_kw or {}))
