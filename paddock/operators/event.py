@@ -7,7 +7,8 @@ head-to-head.
 Event-wide extremes are computed with ``groupBy(event)`` (map-side partial
 aggregation, so a hot event never lands whole in one task) and joined back;
 the event table is tiny and is broadcast when Spark's size statistics allow.
-Team-mate values use ordered windows over (event, team), never a self-join.
+Team-mate values come from partially aggregated first/second values per
+(event, team), never a self-join and never a window over a whole team.
 """
 
 from __future__ import annotations
@@ -56,25 +57,49 @@ def event_extremes(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
 
 
 def peer_first_values(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT_SPEC,
-                      suffix: str = "_tm") -> DataFrame:
+                      suffix: str = "_tm", method: str = "aggregate") -> DataFrame:
     """First non-null value of each column among the *other* members of the
     same (event, team), in entry order (J3, Q9: chosen per column).
 
-    Preceding members come first in entry order, so the answer is the first
-    non-null of the preceding frame, else of the following frame. Both frames
-    share one partitioning and sort.
+    ``aggregate`` (default): per (event, team) and column, the first and the
+    second non-null (order key, value) are found with two partially
+    aggregated ``min`` passes; a row takes the second when it is itself the
+    first. Nothing is ever grouped by raw rows, so a huge team-in-event
+    splits across tasks. ``window``: the same through two ordered frames
+    (preceding, then following members) over (event, team).
     """
-    order = [F.col(spec.outcome).asc_nulls_last(), F.col(spec.entity).asc_nulls_last()]
-    w = Window.partitionBy(spec.event, spec.team).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    out = df
-    for c in cols:
-        out = out.withColumn(
-            c + suffix,
-            F.coalesce(F.first(c, ignorenulls=True).over(before),
-                       F.first(c, ignorenulls=True).over(after)))
-    return out
+    key = [spec.event, spec.team]
+    if method == "window":
+        order = [F.col(spec.outcome).asc_nulls_last(), F.col(spec.entity).asc_nulls_last()]
+        w = Window.partitionBy(*key).orderBy(*order)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        after = w.rowsBetween(1, Window.unboundedFollowing)
+        out = df
+        for c in cols:
+            out = out.withColumn(c + suffix, F.coalesce(F.first(c, ignorenulls=True).over(before),
+                                                        F.first(c, ignorenulls=True).over(after)))
+        return out
+
+    def ord_struct(c):
+        # entry order with nulls last, then the value; null when value is null
+        o, e = F.col(spec.outcome), F.col(spec.entity)
+        return F.when(F.col(c).isNotNull(), F.struct(
+            o.isNull().alias("o_null"), o.alias("o"), e.isNull().alias("e_null"), e.alias("e"),
+            F.col(c).alias("v")))
+
+    first = df.groupBy(*key).agg(*[F.min(ord_struct(c)).alias(f"_p1_{i}") for i, c in enumerate(cols)])
+    tagged = df.select(*key, *[ord_struct(c).alias(f"_s_{i}") for i, c in enumerate(cols)]) \
+        .join(first, key, "inner")
+    second = tagged.groupBy(*key).agg(*[
+        F.min(F.when(F.col(f"_s_{i}") != F.col(f"_p1_{i}"), F.col(f"_s_{i}"))).alias(f"_p2_{i}")
+        for i in range(len(cols))])
+    out = df.join(first, key, "left").join(second, key, "left")
+    for i, c in enumerate(cols):
+        own = ord_struct(c)
+        p1, p2 = F.col(f"_p1_{i}"), F.col(f"_p2_{i}")
+        is_self = own.isNotNull() & p1.eqNullSafe(own)
+        out = out.withColumn(c + suffix, F.when(is_self, p2["v"]).otherwise(p1["v"]))
+    return out.drop(*[f"_p{k}_{i}" for k in (1, 2) for i in range(len(cols))])
 
 
 def pace_features(df: DataFrame, params: Params = Params(),

@@ -162,3 +162,20 @@ def test_venue_retention_thresholds(spark):
     g = vn.global_retention(vn.retention_inputs(df, p), p).first()[0]
     assert got[2016].track_retention_idx == pytest.approx(g)
     assert got[2020].track_retention_idx == pytest.approx(1.0)
+
+
+def test_peer_aggregate_equals_window(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for rnd in range(12):
+        for d in range(int(rng.integers(1, 9))):
+            t = float(rng.integers(1000, 2000)) if rng.random() > 0.4 else None
+            pos = float(d + 1) if rng.random() > 0.1 else None
+            rows.append((f"r{rnd}", 2020, rnd, "c", f"d{d}", f"t{int(rng.integers(0, 3))}", 0.0, pos, 0.0, "x", t))
+    df = _panel(spark, rows)
+    cols = ["driver_best_q_ms", "positionOrder"]
+    a = ev.peer_first_values(df, cols, method="aggregate").select("raceId", "driverId", "driver_best_q_ms_tm",
+                                                                  "positionOrder_tm")
+    w = ev.peer_first_values(df, cols, method="window").select("raceId", "driverId", "driver_best_q_ms_tm",
+                                                               "positionOrder_tm")
+    assert a.exceptAll(w).count() == 0 and w.exceptAll(a).count() == 0
