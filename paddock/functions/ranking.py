@@ -27,24 +27,39 @@ def _sorted(c: str, asc: bool):
 
 
 def distributed_rank(df: DataFrame, group: list[str], order: list[tuple[str, bool]], out: str,
-                     partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = rank within ``group`` by ``order`` [(column, ascending)]."""
+                     partitions: int | None = None, cumulative: tuple[str, str] | None = None) -> DataFrame:
+    """Add ``out`` = rank within ``group`` by ``order`` [(column, ascending)].
+
+    With ``cumulative=(value, name)`` also adds ``name`` = sum of ``value``
+    over the rows of the group up to and including this order key (a
+    running sum, computed the same way).
+    """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [c for c, _ in order]
     sort_cols = [F.col(g).asc_nulls_last() for g in group] + [_sorted(c, a) for c, a in order]
-    vals = df.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    if cumulative:
+        aggs.append(F.coalesce(F.sum(cumulative[0]), F.lit(0)).alias("_wsum"))
+    vals = df.groupBy(*group, *keys).agg(*aggs)
     ranged = vals.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id())
     local = Window.partitionBy("_pid", *group).orderBy(*[_sorted(c, a) for c, a in order]) \
         .rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_before", F.coalesce(F.sum("_cnt").over(local), F.lit(0)))
-    offsets = ranged.groupBy("_pid", *group).agg(F.sum("_cnt").alias("_ptot")) \
-        .withColumn("_off", F.coalesce(F.sum("_ptot").over(
-            Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
-        .drop("_ptot")
+    tot_aggs = [F.sum("_cnt").alias("_ptot")]
+    if cumulative:
+        ranged = ranged.withColumn("_wbefore", F.coalesce(F.sum("_wsum").over(local), F.lit(0)))
+        tot_aggs.append(F.sum("_wsum").alias("_pwtot"))
+    prev = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_pid", *group).agg(*tot_aggs) \
+        .withColumn("_off", F.coalesce(F.sum("_ptot").over(prev), F.lit(0)))
+    outs = [(F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out)]
+    if cumulative:
+        offsets = offsets.withColumn("_woff", F.coalesce(F.sum("_pwtot").over(prev), F.lit(0)))
+        outs.append((F.col("_woff") + F.col("_wbefore") + F.col("_wsum")).alias(cumulative[1]))
+    offsets = offsets.drop("_ptot", "_pwtot")
     ranks = ranged.join(offsets, ["_pid", *group]) \
-        .select(*[F.col(c).alias(f"_r_{c}") for c in group + keys],
-                (F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out))
+        .select(*[F.col(c).alias(f"_r_{c}") for c in group + keys], *outs)
     cond = None
     for c in group + keys:
         e = df[c].eqNullSafe(ranks[f"_r_{c}"])

@@ -9,8 +9,9 @@ Neither mode runs a window over all rows of a key: a team or supplier key can
 hold a large share of the panel. Both start from a pre-aggregate per (key,
 event) — one row per event the key took part in — and run the ordered
 window there. ``rows`` mode then places each row by its index within the key
-(events before + position inside the event) and takes the difference of two
-prefix sums; the far end of the frame is an equi-join on (key, index).
+(events before + position inside the event, from the skew-safe
+``distributed_rank``) and takes the difference of two prefix sums; the far
+end of the frame is an equi-join on (key, index).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import distributed_rank
 from ..spec import PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
@@ -62,19 +64,20 @@ def rolling_prior_rate(source: DataFrame, keys: list[str], flag: str, out: str,
     ev = ev.select(*keys, spec.event,
                    F.coalesce(F.sum("_ev_n").over(before), F.lit(0)).alias("_rows_before"),
                    F.coalesce(F.sum("_ev_sum").over(before), F.lit(0)).alias("_sum_before"))
-    inner = Window.partitionBy(*keys, spec.event).orderBy(
-        F.col(spec.outcome).asc_nulls_last(), F.col(spec.entity).asc_nulls_last())
+    # position and running failure count inside (key, event), in entry order,
+    # without a window over the rows of a (key, event)
     x = F.col(flag).cast("bigint")
-    rows = src.join(ev, [*keys, spec.event], "left") \
-        .withColumn("_idx", F.col("_rows_before") + F.row_number().over(inner)) \
-        .withColumn("_prefix", F.col("_sum_before") + F.sum(x).over(
-            inner.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = distributed_rank(src.withColumn("_x", x), [*keys, spec.event],
+                            [(spec.outcome, True), (spec.entity, True)], "_pos", cumulative=("_x", "_cum"))
+    rows = rows.join(ev, [*keys, spec.event], "left") \
+        .withColumn("_idx", F.col("_rows_before") + F.col("_pos")) \
+        .withColumn("_prefix", F.col("_sum_before") + F.col("_cum"))
     # prefix at index i - n - 1 (the row just outside the frame)
     far = rows.select(*[F.col(k) for k in keys], (F.col("_idx") + n + 1).alias("_idx"),
                       F.col("_prefix").alias("_prefix_far"))
     rows = rows.join(far, [*keys, "_idx"], "left")
     cnt = F.least(F.col("_idx") - 1, F.lit(n))
-    total = (F.col("_prefix") - x) - F.coalesce(F.col("_prefix_far"), F.lit(0))
+    total = (F.col("_prefix") - F.col("_x")) - F.coalesce(F.col("_prefix_far"), F.lit(0))
     return rows.select(spec.event, spec.entity,
                        F.when(cnt > 0, total.cast("double") / cnt.cast("double")).alias(out))
 
