@@ -104,14 +104,19 @@ def compare_strategies(df: DataFrame, strategies: Mapping[str, str], spec: Panel
 
 
 def ndcg_at_k(df: DataFrame, score: str, ks=(1, 3, 10), spec: PanelSpec = DEFAULT_SPEC,
-              label: Column | None = None) -> DataFrame:
+              label: Column | None = None, skew_safe: bool = False) -> DataFrame:
     """Mean NDCG@k over events; identity gain on relevance labels, log2
     discount; an event whose ideal DCG is 0 scores 1 (A13)."""
     lab = label if label is not None else relevance_of(spec.outcome)
-    w = Window.partitionBy(spec.event)
-    rows = df.select(spec.event, spec.entity, F.col(score).alias("_score"), lab.cast("double").alias("_gain")) \
-        .withColumn("_rk", F.row_number().over(w.orderBy(F.col("_score").desc_nulls_last(), spec.entity))) \
-        .withColumn("_ideal", F.row_number().over(w.orderBy(F.col("_gain").desc(), spec.entity)))
+    rows = df.select(spec.event, spec.entity, F.col(score).alias("_score"), lab.cast("double").alias("_gain"))
+    if skew_safe:
+        from ..functions.ranking import distributed_rank
+        rows = distributed_rank(rows, [spec.event], [("_score", False), (spec.entity, True)], "_rk")
+        rows = distributed_rank(rows, [spec.event], [("_gain", False), (spec.entity, True)], "_ideal")
+    else:
+        w = Window.partitionBy(spec.event)
+        rows = rows.withColumn("_rk", F.row_number().over(w.orderBy(F.col("_score").desc_nulls_last(), spec.entity))) \
+            .withColumn("_ideal", F.row_number().over(w.orderBy(F.col("_gain").desc(), spec.entity)))
     aggs = []
     for k in ks:
         aggs.append(F.sum(F.when(F.col("_rk") <= k, F.col("_gain") / F.log2(F.col("_rk") + 1.0))
@@ -129,7 +134,7 @@ def classification_accuracy(df: DataFrame, pred: str, truth: str = "is_classifie
                    * 100.0).alias("accuracy"))
 
 
-def baseline_predictions(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def baseline_predictions(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False) -> DataFrame:
     """Reference baselines: qualifying position as is; championship leader =
     rank by lagged points (W15)."""
-    return rank_within(df, "driver_pts_lag", "championship_pred_pos", spec)
+    return rank_within(df, "driver_pts_lag", "championship_pred_pos", spec, skew_safe=skew_safe)

@@ -80,9 +80,12 @@ def fit_ranker(train: DataFrame, features: Sequence[str] = FEATURES, trees: int
 
 
 def score_ranker(model, df: DataFrame, features: Sequence[str] = FEATURES, score: str = "score",
-                 pos: str = "pred_pos", spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+                 pos: str = "pred_pos", spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False) -> DataFrame:
     """Score, then rank per event by score descending, ties share."""
     scored = model.transform(assemble(df, features)).withColumnRenamed("prediction", score).drop("features")
+    if skew_safe:
+        from ..functions.ranking import distributed_rank
+        return distributed_rank(scored, [spec.event], [(score, False)], pos)
     return scored.withColumn(pos, F.rank().over(
         Window.partitionBy(spec.event).orderBy(F.col(score).desc_nulls_last())).cast("bigint"))
 
