@@ -1,10 +1,9 @@
 """Venue block: Spearman correlation (A5) and venue rank retention.
 
-Spearman = Pearson of average ranks over pairwise-complete rows. Ranks are
-computed on the *distinct values* of each group (``groupBy(keys, value)``,
-partially aggregated), with a running count over them; the rows get their
-rank back by an equi-join on (keys, value). No window ever spans the raw rows
-of a group, and zero variance gives null (``try_divide``), never an error.
+Spearman = Pearson of average ranks over pairwise-complete rows. Ranks come
+from the skew-safe ``distributed_rank`` (distinct values per group,
+range-partitioned, offsets per partition), so no window ever spans a whole
+group; zero variance gives null (``try_divide``), never an error.
 
 Retention for (venue, period T) uses the rows of that venue in periods
 T-W..T-1. Each row is replicated to the W target periods it serves
@@ -17,26 +16,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import distributed_rank
 from ..spec import PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
 
 
-def _avg_rank(pairs: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Average rank (ties share the mean of their positions) of ``col`` per group."""
+def _with_avg_rank(pairs: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """Average rank of ``col`` per group (ties share the mean of their
+    positions) = (rank + inclusive running count) / 2, both from the
+    skew-safe ``distributed_rank``: no window spans a whole group."""
+    ranked = distributed_rank(pairs.withColumn("_one", F.lit(1)), keys, [(col, True)], "_rk",
+                              cumulative=("_one", "_cum"))
+    return ranked.withColumn(out, (F.col("_rk") + F.col("_cum")).cast("double") / 2.0) \
+        .drop("_one", "_rk", "_cum")
+
+
+def _with_avg_rank_window(pairs: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """Same average rank with a running count over the distinct values of
+    each group (one task per group): cheaper when groups are small."""
     vals = pairs.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     ranked = vals.withColumn(
-        out, (F.sum("_cnt").over(w) - F.col("_cnt")).cast("double") + (F.col("_cnt") + 1) / 2.0)
-    return ranked.drop("_cnt")
+        out, (F.sum("_cnt").over(w) - F.col("_cnt")).cast("double") + (F.col("_cnt") + 1) / 2.0).drop("_cnt")
+    return pairs.join(ranked, [*keys, col])
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "rho",
-             n_out: str | None = None) -> DataFrame:
+             n_out: str | None = None, skew_safe: bool = True) -> DataFrame:
     """Spearman rank correlation of ``a`` and ``b`` per group of ``keys``.
 
     Rows where either value is null (or NaN) are dropped first. Null when the
     group has fewer than two complete rows or either side is constant.
+    ``skew_safe=False`` ranks with one window per group (small groups).
     """
     def clean(c):
         v = F.col(c).cast("double")
@@ -44,16 +56,14 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "rho",
 
     pairs = df.select(*keys, clean(a).alias("_a"), clean(b).alias("_b")) \
               .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    ra = _avg_rank(pairs, keys, "_a", "_ra")
-    rb = _avg_rank(pairs, keys, "_b", "_rb")
-    ranked = pairs.join(ra, [*keys, "_a"]).join(rb, [*keys, "_b"])
+    rank = _with_avg_rank if skew_safe else _with_avg_rank_window
+    ranked = rank(rank(pairs, keys, "_a", "_ra"), keys, "_b", "_rb")
     aggs = [F.try_divide(F.covar_pop("_ra", "_rb"),
                          F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias(out)]
     if n_out:
         aggs.append(F.count(F.lit(1)).alias(n_out))
-    res = ranked.groupBy(*keys).agg(*aggs)
     # a lone pair has zero spread on both sides: undefined like pandas
-    return res
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def _past_windows(df: DataFrame, params: Params, spec: PanelSpec) -> DataFrame:

@@ -68,10 +68,13 @@ def expected_points_error(target: Column, pred: Column) -> Column:
     return F.abs(points_of(target) - points_of(pred))
 
 
-def rank_metrics(long: DataFrame, spec: PanelSpec = DEFAULT_SPEC, group: str = "strategy") -> DataFrame:
+def rank_metrics(long: DataFrame, spec: PanelSpec = DEFAULT_SPEC, group: str = "strategy",
+                 skew_safe: bool = False) -> DataFrame:
     """Metric bundle per strategy (A9-A12, A14): exp_pts_err, p1_acc,
     top3_acc, top10_acc, spearman_rho (mean per event, undefined skipped,
-    0 when none), mae (mean per event of the mean absolute error)."""
+    0 when none), mae (mean per event of the mean absolute error).
+    Per-event correlations rank with one window per (strategy, event) unless
+    ``skew_safe``."""
     t, p = F.col("target"), F.col("pred")
 
     def hits(k):
@@ -82,7 +85,7 @@ def rank_metrics(long: DataFrame, spec: PanelSpec = DEFAULT_SPEC, group: str = "
         F.avg(expected_points_error(t, p)).alias("exp_pts_err"),
         F.sum(((t == 1) & (p == 1)).cast("bigint")).alias("_p1"),
         hits(3).alias("_top3"), hits(10).alias("_top10"))
-    rho = spearman(long, [group, spec.event], "target", "pred", "_rho") \
+    rho = spearman(long, [group, spec.event], "target", "pred", "_rho", skew_safe=skew_safe) \
         .groupBy(group).agg(F.avg("_rho").alias("spearman_rho"))
     mae = long.groupBy(group, spec.event).agg(F.avg(F.abs(t - p)).alias("_mae")) \
         .groupBy(group).agg(F.avg("_mae").alias("mae"))
