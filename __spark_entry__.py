@@ -25,7 +25,7 @@ from paddock.functions import scalars as sc  # noqa: E402
 from paddock.plans import matrix as mx  # noqa: E402
 from paddock.plans import metrics as mt  # noqa: E402
 from paddock.plans import validate as vd  # noqa: E402
-from paddock.session import ensure_checkpoint_dir  # noqa: E402
+from paddock.session import ensure_checkpoint_dir, materialize  # noqa: E402
 from paddock.sources import raw  # noqa: E402
 from paddock.sources.adapter import derived_strings, star_facts  # noqa: E402
 from paddock.spec import adapter_params  # noqa: E402
@@ -200,7 +200,7 @@ def q_labels(spark, sf):
 
 def _test_matrix(spark, sf):
     """Feature table of the test period with the reference's baselines."""
-    full = _features(spark, sf).filter(F.col("season") == P.test_period)
+    full = materialize(_features(spark, sf).filter(F.col("season") == P.test_period), "test-period")
     # adapter events are calendar months: use the skew-safe ranks
     return mt.baseline_predictions(full, skew_safe=SKEW_SAFE)
 
@@ -389,7 +389,8 @@ def q_params_artifact(spark, sf):
 
 def _split(spark, sf):
     full = _features(spark, sf)
-    return mt.chrono_split(full, P.test_period)
+    train, test = mt.chrono_split(full, P.test_period)
+    return materialize(train, "train"), materialize(test, "test")
 
 
 def q_fit_ranker(spark, sf):

@@ -96,11 +96,8 @@ def entries_table(results: DataFrame, qualifying: DataFrame, sprints: DataFrame,
     """
     base = label_columns(prepare_entries(results, qualifying, sprints, params, spec), params, spec)
     if materialize:
-        from ..session import scratch_path
-        spark = base.sparkSession
-        path = scratch_path(spark, "entries")
-        base.write.mode("overwrite").parquet(path)
-        base = spark.read.parquet(path)
+        from ..session import materialize as write_and_read
+        base = write_and_read(base, "entries")
     return base
 
 

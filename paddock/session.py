@@ -66,3 +66,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet into a fresh folder under the shared checkpoint
+    folder and read it back: cuts lineage (executor loss re-reads files),
+    computes a table once when several branches or a sampling pass (range
+    partitioning) read it, and gives the optimizer real size statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
