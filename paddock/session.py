@@ -49,10 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        # unset (tests, local runs): our own folder; core configs cannot be
+        # changed at runtime, so only the context is told
         conf_dir = tempfile.mkdtemp(prefix="paddock-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
