@@ -12,6 +12,10 @@ computes the same numbers in parallel:
 4. rank = offset + rows before inside the partition + 1, joined back on
    (g, k) (null-safe).
 
+The range-partitioned table is written once (parquet in the shared
+checkpoint folder): its partition ids come from a sampled partitioner, and
+two consumers of an unmaterialized copy could see different assignments.
+
 Ties share the lowest rank, as with ``rank()``; with a unique order key it
 equals ``row_number()``.
 """
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _sorted(c: str, asc: bool):
     return F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last()
@@ -43,6 +49,10 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[tuple[str, boo
         aggs.append(F.coalesce(F.sum(cumulative[0]), F.lit(0)).alias("_wsum"))
     vals = df.groupBy(*group, *keys).agg(*aggs)
     ranged = vals.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id())
+    # the partition id comes from a sampled range partitioner: write it once
+    # so every consumer (and any recomputation after executor loss) sees the
+    # same assignment
+    ranged = materialize(ranged, "rank-ranges")
     local = Window.partitionBy("_pid", *group).orderBy(*[_sorted(c, a) for c, a in order]) \
         .rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_before", F.coalesce(F.sum("_cnt").over(local), F.lit(0)))
@@ -65,3 +75,32 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[tuple[str, boo
         e = df[c].eqNullSafe(ranks[f"_r_{c}"])
         cond = e if cond is None else cond & e
     return df.join(ranks, cond, "left").drop(*[f"_r_{c}" for c in group + keys])
+
+
+def distributed_row_number(df: DataFrame, group: list[str], order: list[tuple[str, bool]], out: str,
+                           partitions: int | None = None) -> DataFrame:
+    """``row_number()`` within ``group`` by ``order`` when the order key is
+    unique within the group (e.g. ends in an entity id); group keys non-null.
+
+    Rows are range-partitioned by (group, order) — a hot group spans many
+    partitions — and sorted inside each partition, so the position inside a
+    partition follows the total order. A small table of per-(partition,
+    group) first positions and row counts gives each partition's offset in
+    its group. One shuffle of the rows, no join of the rows with themselves.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort_cols = [F.col(g).asc_nulls_last() for g in group] + [_sorted(c, a) for c, a in order]
+    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols) \
+        .withColumn("_drn_pid", F.spark_partition_id()) \
+        .withColumn("_drn_pos", F.monotonically_increasing_id() - F.col("_drn_pid").cast("bigint") * F.lit(1 << 33))
+    # partition ids and positions depend on the sampled range partitioner and
+    # the physical order: write them once so both consumers below (and any
+    # recomputation after executor loss) see the same values
+    ranged = materialize(ranged, "row-ranges")
+    prev = Window.partitionBy(*group).orderBy("_drn_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = ranged.groupBy("_drn_pid", *group).agg(F.min("_drn_pos").alias("_drn_first"), F.count(F.lit(1)).alias("_drn_n")) \
+        .withColumn("_drn_off", F.coalesce(F.sum("_drn_n").over(prev), F.lit(0))).drop("_drn_n")
+    return ranged.join(stats, ["_drn_pid", *group]) \
+        .withColumn(out, (F.col("_drn_off") + F.col("_drn_pos") - F.col("_drn_first") + 1).cast("bigint")) \
+        .drop("_drn_pid", "_drn_pos", "_drn_first", "_drn_off")

@@ -113,9 +113,9 @@ def ndcg_at_k(df: DataFrame, score: str, ks=(1, 3, 10), spec: PanelSpec = DEFAUL
     lab = label if label is not None else relevance_of(spec.outcome)
     rows = df.select(spec.event, spec.entity, F.col(score).alias("_score"), lab.cast("double").alias("_gain"))
     if skew_safe:
-        from ..functions.ranking import distributed_rank
-        rows = distributed_rank(rows, [spec.event], [("_score", False), (spec.entity, True)], "_rk")
-        rows = distributed_rank(rows, [spec.event], [("_gain", False), (spec.entity, True)], "_ideal")
+        from ..functions.ranking import distributed_row_number
+        rows = distributed_row_number(rows, [spec.event], [("_score", False), (spec.entity, True)], "_rk")
+        rows = distributed_row_number(rows, [spec.event], [("_gain", False), (spec.entity, True)], "_ideal")
     else:
         w = Window.partitionBy(spec.event)
         rows = rows.withColumn("_rk", F.row_number().over(w.orderBy(F.col("_score").desc_nulls_last(), spec.entity))) \

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import distributed_rank
+from ..functions.ranking import distributed_row_number
 from ..functions.scalars import points_of
 from ..session import materialize, table_path
 from ..spec import POINTS_BY_POSITION
@@ -68,9 +68,9 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     base = materialize(base, "entry-aggregates")
     # an event here is a calendar month: one key holds ~1/84 of all line
     # items, so per-event orders use the skew-safe rank (no window over a
-    # whole event); (value, supplier key) is unique, so rank = row_number.
-    ranked = distributed_rank(base, ["raceId"], [("sumline", False), ("suppkey", True)], "_grid")
-    ranked = distributed_rank(ranked, ["raceId"], [("sumqty", False), ("suppkey", True)], "_pos")
+    # whole event); (value, supplier key) is unique: distributed row_number.
+    ranked = distributed_row_number(base, ["raceId"], [("sumline", False), ("suppkey", True)], "_grid")
+    ranked = distributed_row_number(ranked, ["raceId"], [("sumqty", False), ("suppkey", True)], "_pos")
     results = ranked.select(
         "raceId", "season", "round",
         F.concat(F.lit("c"), ((F.col("round") - 1) % VENUES).cast("string")).alias("circuitId"),
@@ -82,7 +82,7 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     ).withColumn("points", points_of("positionOrder"))
 
     timed = base.filter(~((F.col("suppkey") % 7 == 0) & (F.col("round") % 5 == 0)))
-    timed = distributed_rank(timed, ["raceId"], [("q_best", True), ("suppkey", True)], "_qpos")
+    timed = distributed_row_number(timed, ["raceId"], [("q_best", True), ("suppkey", True)], "_qpos")
     qualifying = timed.select(
         "raceId",
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
@@ -92,8 +92,8 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.col("q_best").cast("double").alias("q3_ms"),
     ).withColumn("driver_best_q_ms", F.least("q1_ms", "q2_ms", "q3_ms"))
 
-    sprint_base = distributed_rank(base.filter(F.col("round").isin(list(SPRINT_MONTHS))), ["raceId"],
-                                   [("n", False), ("suppkey", True)], "_spos")
+    sprint_base = distributed_row_number(base.filter(F.col("round").isin(list(SPRINT_MONTHS))), ["raceId"],
+                                         [("n", False), ("suppkey", True)], "_spos")
     sprints = sprint_base.select(
         "raceId",
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
