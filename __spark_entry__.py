@@ -8,6 +8,7 @@ Spark result and the DuckDB oracle hash alike.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -495,10 +496,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_matrix(spark, SMOKE_DIR)
 
 
+def _optional(name: str):
+    """The module, or None where the text subpackage is not installed."""
+    parent = name.rpartition(".")[0]
+    if parent and importlib.util.find_spec(parent) is None or importlib.util.find_spec(name) is None:
+        return None
+    return importlib.import_module(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    found = dict(_QUERIES)
+    if (text := _optional("paddock.llm.queries")) is not None:
+        found |= text.QUERIES
+        if (pipeline := _optional("corpus_pipeline")) is not None:
+            found["pipeline"] = pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import oracle_queries
-    return oracle_queries()
+    found = oracle_queries()
+    if (text := _optional("paddock.llm.queries")) is not None:
+        found |= text.ORACLE_SQL
+        if (pipeline := _optional("corpus_pipeline")) is not None and pipeline.ORACLE_SQL:
+            found["pipeline"] = pipeline.ORACLE_SQL
+    return found
