@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.llm.chat_format import format_turns, read_back
+from paddock.llm.jaccard_join import JaccardJoin, jaccard_components
 from paddock.llm.line_rules import line_quality
 from paddock.llm.url_filter import filter_urls
 
@@ -37,10 +38,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), JaccardJoin(size=4, percent=85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_quality": op5_line_quality,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,4 +66,26 @@ ORACLE_SQL: dict[str, str] = {
                                FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(24 + length(safe_role) + length(safe_text))::BIGINT AS formatted_chars
         FROM safe GROUP BY conv_id""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+            FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b
+            ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (
+            SELECT doc_id AS id, doc_id AS node FROM documents
+            UNION SELECT r.id, l.y FROM reach r JOIN both_ways l ON l.x = r.node)
+        SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id
+        FROM documents d LEFT JOIN sizes s USING (doc_id)
+        JOIN (SELECT id, min(node) AS c FROM reach GROUP BY id) r ON r.id = d.doc_id""",
 }

@@ -151,3 +151,28 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The set of ``size``-word shingles (A-Z lower-cased) of every text.
+
+    Returns hashes sorted by (row, hash) without repeats, their rows, and the
+    set sizes. Texts of fewer words have their whole sequence as one shingle.
+    """
+    words = Words(*utf8(texts))
+    hashes = words.hashes(lower=True)
+    values, at = shingles(hashes, words.row, size)
+    rows = words.row[at]
+    count = np.diff(words.first)
+    for few in range(1, size):
+        short = np.flatnonzero(count == few)
+        if len(short):
+            at = gather(words.first[short], np.full(len(short), few))
+            part, first = shingles(hashes[at], words.row[at], few)
+            values, rows = np.concatenate([values, part]), np.concatenate([rows, words.row[at][first]])
+    order = np.lexsort((values, rows))
+    values, rows = values[order], rows[order]
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+    values, rows = values[fresh], rows[fresh]
+    return values, rows, np.bincount(rows, minlength=len(texts))
