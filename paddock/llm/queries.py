@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.llm.chat_format import format_turns, read_back
 from paddock.llm.jaccard_join import JaccardJoin, jaccard_components
 from paddock.llm.line_rules import line_quality
+from paddock.llm.substring_dedup import repeated_passages
 from paddock.llm.url_filter import filter_urls
 
 
+def workers_find_library(spark: SparkSession) -> None:
+    """Put the library's folder on the Python workers' path, for clusters that have it there but not installed."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_library(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,11 +54,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), JaccardJoin(size=4, percent=85))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_quality": op5_line_quality,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
