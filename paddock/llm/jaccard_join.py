@@ -15,15 +15,20 @@ steps, each exact:
    its subspace and its cell is a region. Sets with more than e empty slices
    also join the regions of their (e + 1)-subsets of empty slices, so nothing
    is lost and unrelated sets do not meet in an empty slice.
-3. Inside a region the smallest id is the pivot. Members within the radius are
-   linked to it, hence to each other; only members beyond it, and the boundary
-   members that the triangle inequality lets reach them, go to the next round
-   with a new pivot, until no region has members left to compare.
+3. A region becomes Voronoi regions of document pivots. Members carry their
+   counts in 32 hash buckets; the L1 distance of the counts never exceeds the
+   symmetric difference. A member within the radius of a pivot belongs to it,
+   else it is a new pivot; a member within two radii of an earlier pivot is
+   replicated there. So two near members always share a region, and members
+   that only met by chance part without looking at a text.
+4. (member, pivot) pairs within the radius are verified with the texts. Regions
+   whose members are not yet all in one component go through steps 3 and 4
+   again without their pivot; members of the region's first component need no
+   further pivots among themselves.
 
 Pairs are thus (member, pivot): linear in the size of a region, never all
 pairs. Equal sets are grouped before the join and represented by the smallest
-id. The result has every document's component under the links; ``links`` are
-spanning links, not all pairs.
+id. The result has every document's component under the links.
 
 Defined results: a null or blank text has an empty set and links with nothing;
 texts shorter than a shingle are one shingle; repeated ids are one document
@@ -56,6 +61,15 @@ class JaccardJoin:
     percent: int = 80
     shell_ratio: float = 1.5
     extra_slices: int = 2
+    buckets: int = 32
+
+    def radius(self, a, b):
+        """Largest symmetric difference of linked sets of sizes a and b."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def reach(self, a):
+        """The radius with the largest partner that a set of size a can have."""
+        return self.radius(a, a * 100 // self.percent)
 
     def shells(self, largest: int) -> np.ndarray:
         """Lower bounds of the size shells up to and beyond ``largest``; a partner
@@ -82,8 +96,10 @@ def regions(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, how: Jaccar
         if not member.any():
             continue
         upper = bounds[np.minimum(shell, len(bounds) - 2) + 1] - 1
-        differ = 2 * upper * (100 - how.percent) // (100 + how.percent)
-        slices = np.where(differ > 0, differ + 1 + how.extra_slices, 1)
+        differ = how.radius(upper, upper)
+        # a shell's smallest sets have about 3.5 shingles a slice, so 3 % of the slices are empty
+        spare = how.extra_slices + np.ceil(0.03 * differ + 2 * np.sqrt(0.03 * differ)).astype(np.int64)
+        slices = np.where(differ > 0, differ + 1 + spare, 1)
         use = member[rows]
         r, h, s = rows[use], values[use], scrambled[use]
         part = ((h >> U64(32)) * slices[r].astype(U64)) >> U64(32)  # ascending within a row
@@ -95,10 +111,10 @@ def regions(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, how: Jaccar
         keys.append(mix(total ^ tag))
         owners.append(r[at])
         filled = np.bincount(r[at], minlength=len(sizes))
-        for row in np.flatnonzero(member & (slices - filled > how.extra_slices) & (slices > 1)):
+        for row in np.flatnonzero(member & (slices - filled > spare) & (slices > 1)):
             own = (values[first[row]:first[row] + sizes[row]] >> U64(32)) * U64(slices[row]) >> U64(32)
             empty = np.setdiff1d(np.arange(slices[row]), own.astype(np.int64))
-            subsets = np.array(list(combinations(empty.tolist(), how.extra_slices + 1)), dtype=U64)
+            subsets = np.array(list(combinations(empty.tolist(), int(spare[row]) + 1)), dtype=U64)
             total = np.full(len(subsets), (int(shell[row]) << 40) + 0xE3, dtype=U64)
             for i in range(subsets.shape[1]):
                 total = mix(total + subsets[:, i] + U64(1))
@@ -111,7 +127,8 @@ def regions(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, how: Jaccar
 
 
 def signed(docs: DataFrame, how: JaccardJoin) -> DataFrame:
-    """(id, n, h1, h2, keys): set size, 128-bit digest of the set and region keys. A narrow map."""
+    """(id, n, h1, h2, counts, keys): set size, 128-bit digest of the set, its counts in hash
+    buckets (at most 255 each, which keeps the bound) and region keys. A narrow map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -124,38 +141,89 @@ def signed(docs: DataFrame, how: JaccardJoin) -> DataFrame:
                     if len(full):
                         out[full] = np.add.reduceat(mix(values ^ salt), (np.cumsum(sizes) - sizes)[full])
                     digests.append(pa.array(out.view(np.int64)))
+                bucket = rows * how.buckets + (values % U64(how.buckets)).astype(np.int64)
+                filled = np.minimum(np.bincount(bucket, minlength=len(sizes) * how.buckets), 255).astype(np.uint8)
+                filled = [x.tobytes() for x in filled.reshape(-1, how.buckets)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes.astype(np.int64)), *digests,
-                     list_array(pa.array(keys.view(np.int64)), counts)], ["id", "n", "h1", "h2", "keys"])
+                    [part.column("id"), pa.array(sizes.astype(np.int64)), *digests, pa.array(filled, pa.binary()),
+                     list_array(pa.array(keys.view(np.int64)), counts)], ["id", "n", "h1", "h2", "counts", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, counts binary, keys array<long>")
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """(key, x, p): members of regions of two or more ids with their pivot, the
-    smallest by (far first, id). Rows of a region are streamed in order; only
-    the current pivot is held."""
+def shared_regions(members: DataFrame) -> DataFrame:
+    """(key, x) of the regions that two or more ids are in. Rows of a region are streamed in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key and pivot of the region that the previous batch ended in
+        last = None  # key and id of the previous row, and whether it was given out
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, x = (batch.column(i).to_numpy() for i in (0, 1))
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = key[1:] != key[:-1]
-            at = np.flatnonzero(fresh)
-            pivot = x[at]
-            if last is not None and last[0] == key[0]:
-                pivot = pivot.copy()
-                pivot[0] = last[1]
-            p = np.repeat(pivot, np.diff(np.append(at, len(key))))
-            last = (key[-1], p[-1])
-            pair = x != p
-            yield pa.RecordBatch.from_arrays([pa.array(key[pair]), pa.array(x[pair]), pa.array(p[pair])],
-                                             ["key", "x", "p"])
+            if last is not None:
+                key, x = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], x])
+            same = key[1:] == key[:-1]
+            keep = np.zeros(len(key), dtype=bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            tail = bool(keep[-1])
+            if last is not None and last[2]:
+                keep[0] = False
+            last = (key[-1], x[-1], tail or (len(key) == 1 and last is not None and last[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(x[keep])], ["key", "x"])
+
+    return members.repartition("key").sortWithinPartitions("key", "x").mapInArrow(run, "key long, x long")
+
+
+def voronoi(members: DataFrame, how: JaccardJoin) -> DataFrame:
+    """(key, x, p, test): Voronoi regions of (key, x, far, n, counts) around pivots p (step 3).
+
+    ``test`` marks members within the radius of the pivot. The rows of a region
+    are streamed, members beyond the first component (``far``) first; only the
+    region's pivots are held.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pivots, sketches, sizes = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, x, far, n = (batch.column(i).to_numpy() for i in range(4))
+            counts = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, how.buckets).astype(
+                np.int32)
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+                if current != key[a]:
+                    current, pivots, sketches, sizes = key[a], [], [], []
+                rest, done = np.arange(a, b), 0  # members still without a pivot; pivots already met
+                whole = np.arange(a, b)
+                while True:
+                    while done < len(pivots):
+                        apart = np.abs(counts[whole] - sketches[done]).sum(axis=1)
+                        near = apart <= how.radius(n[whole], sizes[done])
+                        window = (apart <= how.reach(n[whole]) + how.reach(sizes[done])) & (x[whole] != pivots[done])
+                        # a later pivot meets only members after it, and an earlier one has the others
+                        if window.any():
+                            at = whole[window]
+                            out.append((np.full(len(at), current), x[at], np.full(len(at), pivots[done]), near[window]))
+                        rest = rest[~np.isin(rest, whole[near])]
+                        done += 1
+                    rest = rest[far[rest] > 0]
+                    if not len(rest):
+                        break
+                    first = rest[0]
+                    pivots.append(x[first])
+                    sketches.append(counts[first])
+                    sizes.append(n[first])
+                    whole = np.arange(first + 1, b)
+                    rest = rest[1:]
+            if out:
+                k, m, p, t = (np.concatenate(c) for c in zip(*out, strict=True))
+                cell = mix(k.view(U64) ^ mix(p.view(U64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(m), pa.array(p), pa.array(t)],
+                                                 ["key", "x", "p", "test"])
 
     ordered = members.repartition("key").sortWithinPartitions("key", F.col("far").desc(), "x")
-    return ordered.select("key", "x").mapInArrow(run, "key long, x long, p long")
+    return ordered.select("key", "x", "far", "n", "counts").mapInArrow(run, "key long, x long, p long, test boolean")
 
 
 def overlap(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,20 +239,19 @@ def overlap(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.
 
 
 def verified(pairs: DataFrame, docs: DataFrame, how: JaccardJoin) -> DataFrame:
-    """(x, p, near, distance) of pairs, from the texts."""
+    """The linked ones of the pairs (x, p), from the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text_x"):
                 for some in pieces(part, "text_p"):
                     inter, union = overlap(some.column("text_x"), some.column("text_p"), how.size)
+                    near = np.flatnonzero(100 * inter >= how.percent * union)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("x"), some.column("p"), pa.array(100 * inter >= how.percent * union),
-                         pa.array(1.0 - inter / np.maximum(union, 1))], ["x", "p", "near", "distance"])
+                        [some.column("x").take(near), some.column("p").take(near)], ["x", "p"])
 
     texts = pairs.join(docs.select(F.col("id").alias("x"), F.col("text").alias("text_x")), "x")
     texts = texts.join(docs.select(F.col("id").alias("p"), F.col("text").alias("text_p")), "p")
-    return texts.select("x", "p", "text_x", "text_p").mapInArrow(
-        run, "x long, p long, near boolean, distance double")
+    return texts.select("x", "p", "text_x", "text_p").mapInArrow(run, "x long, p long")
 
 
 def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), *, id_col: str = "doc_id",
@@ -196,30 +263,29 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), *, id_
     classes = materialize(sets.select("id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select(
         "id", "n", "rep"), "classes")
     copies = classes.filter("rep <> id").select("id").distinct()
-    members = sets.filter("n > 0 AND id IS NOT NULL").join(copies, "id", "left_anti").select(
-        F.explode("keys").alias("key"), F.col("id").alias("x"), F.lit(0).alias("far"))
-
-    radius = 1 - how.percent / 100
-    links = None
-    while True:
-        star = materialize(_star(members), "regions")
-        seen = materialize(verified(star.select("x", "p").distinct(), docs, how), "distances")
-        near = seen.filter("near").select("x", "p")
+    keyed = sets.filter("n > 0 AND id IS NOT NULL").join(copies, "id", "left_anti").select(
+        F.explode("keys").alias("key"), F.col("id").alias("x"))
+    sketch = sets.select(F.col("id").alias("x"), "n", "counts").dropDuplicates(["x"])
+    members = materialize(shared_regions(keyed).withColumn("far", F.lit(1)), "members")
+
+    links = found = None
+    while not members.isEmpty():
+        cells = materialize(voronoi(members.join(sketch, "x"), how), "cells")
+        near = materialize(verified(materialize(cells.filter("test").select("x", "p").distinct(), "pairs"), docs, how),
+                           "links")
         links = near if links is None else links.unionByName(near)
-        if seen.filter("NOT near").isEmpty():
-            break
-        # only regions with members beyond the radius go on; of the members within it, those
-        # that the triangle inequality lets reach one beyond it
-        beyond = star.join(seen.filter("NOT near"), ["x", "p"]).groupBy("key").agg(
-            F.min("distance").alias("reach"))
-        left = star.join(beyond, "key").join(seen, ["x", "p"]).filter(
-            ~F.col("near") | (F.col("distance") >= F.col("reach") - radius - 1e-9)).select(
-            "key", "x", F.when(F.col("near"), 0).otherwise(1).alias("far"))
-        alive = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-        members = materialize(left.join(alive, "key", "left_semi"), "remaining")
-        if members.isEmpty():
-            break
-    found = components(links, "x", "p").select(F.col("node").alias("rep"), "component")
+        found = materialize(components(links, "x", "p"), "components")
+        # cells whose members are in two or more components go on, without their pivot
+        named = cells.join(found.withColumnRenamed("node", "x"), "x", "left").select(
+            "key", "x", F.coalesce("component", "x").alias("component"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
+            "low < high")
+        members = materialize(named.join(mixed, "key").select(
+            "key", "x", F.when(F.col("component") == F.col("low"), 0).otherwise(1).alias("far")), "members")
+    if found is None:
+        return classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                              F.coalesce("rep", "id").alias("component_id"))
+    found = found.select(F.col("node").alias("rep"), "component")
     return classes.join(found, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep", "id").alias("component_id"))
