@@ -12,9 +12,10 @@ steps, each exact:
 2. Inside a shell the shingle universe is cut into m = k + 1 + e slices by
    hash. The slices are subspaces whose distances add up, so two near sets
    coincide in at least e + 1 of them. Every distinct projection is a pivot of
-   its subspace and its cell is a region. Sets with more than e empty slices
-   also join the regions of their (e + 1)-subsets of empty slices, so nothing
-   is lost and unrelated sets do not meet in an empty slice.
+   its subspace and its cell is a region. The few sets with more than e empty
+   slices also meet by them: in the regions of their (e + 1)-subsets of empty
+   slices where k is small, else in one region of the shell. So nothing is
+   lost, and unrelated sets do not meet in an empty slice.
 3. A region becomes Voronoi regions of document pivots. Members carry their
    counts in 32 hash buckets; the L1 distance of the counts never exceeds the
    symmetric difference. A member within the radius of a pivot belongs to it,
@@ -63,6 +64,18 @@ class JaccardJoin:
     extra_slices: int = 2
     buckets: int = 32
 
+    few: int = 10  # up to so many differing shingles, subsets of empty slices are enumerated
+
+    def spare(self, differ: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+        """Slices beyond differ + 1, so that few sets of at least ``smallest`` shingles have more
+        empty slices: their mean number and three standard deviations."""
+        spare = np.full(len(differ), self.extra_slices)
+        for _ in range(3):
+            m = differ + 1 + spare
+            mean = m * np.exp(-smallest / m)
+            spare = self.extra_slices + np.ceil(mean + 3 * np.sqrt(mean)).astype(np.int64)
+        return np.where(differ > self.few, spare, self.extra_slices)
+
     def radius(self, a, b):
         """Largest symmetric difference of linked sets of sizes a and b."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
@@ -97,8 +110,7 @@ def regions(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, how: Jaccar
             continue
         upper = bounds[np.minimum(shell, len(bounds) - 2) + 1] - 1
         differ = how.radius(upper, upper)
-        # a shell's smallest sets have about 3.5 shingles a slice, so 3 % of the slices are empty
-        spare = how.extra_slices + np.ceil(0.03 * differ + 2 * np.sqrt(0.03 * differ)).astype(np.int64)
+        spare = how.spare(differ, bounds[shell] * how.percent // 100)
         slices = np.where(differ > 0, differ + 1 + spare, 1)
         use = member[rows]
         r, h, s = rows[use], values[use], scrambled[use]
@@ -111,7 +123,8 @@ def regions(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, how: Jaccar
         keys.append(mix(total ^ tag))
         owners.append(r[at])
         filled = np.bincount(r[at], minlength=len(sizes))
-        for row in np.flatnonzero(member & (slices - filled > spare) & (slices > 1)):
+        sparse = member & (slices - filled > spare) & (slices > 1)
+        for row in np.flatnonzero(sparse & (differ <= how.few)):
             own = (values[first[row]:first[row] + sizes[row]] >> U64(32)) * U64(slices[row]) >> U64(32)
             empty = np.setdiff1d(np.arange(slices[row]), own.astype(np.int64))
             subsets = np.array(list(combinations(empty.tolist(), int(spare[row]) + 1)), dtype=U64)
@@ -120,6 +133,9 @@ def regions(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, how: Jaccar
                 total = mix(total + subsets[:, i] + U64(1))
             keys.append(total)
             owners.append(np.full(len(subsets), row))
+        row = np.flatnonzero(sparse & (differ > how.few))
+        keys.append(mix((shell[row].astype(U64) << U64(40)) + U64(0x7F)))
+        owners.append(row)
     if not keys:
         return np.zeros(0, U64), np.zeros(len(sizes), np.int64)
     keys, owners = np.concatenate(keys), np.concatenate(owners)
