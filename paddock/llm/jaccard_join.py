@@ -16,19 +16,19 @@ steps, each exact:
    slices also meet by them: in the regions of their (e + 1)-subsets of empty
    slices where k is small, else in one region of the shell. So nothing is
    lost, and unrelated sets do not meet in an empty slice.
-3. A region becomes Voronoi regions of document pivots. Members carry their
-   counts in 32 hash buckets; the L1 distance of the counts never exceeds the
-   symmetric difference. A member within the radius of a pivot belongs to it,
-   else it is a new pivot; a member within two radii of an earlier pivot is
-   replicated there. So two near members always share a region, and members
-   that only met by chance part without looking at a text.
-4. (member, pivot) pairs within the radius are verified with the texts. Regions
-   whose members are not yet all in one component go through steps 3 and 4
-   again without their pivot; members of the region's first component need no
-   further pivots among themselves.
-
-Pairs are thus (member, pivot): linear in the size of a region, never all
-pairs. Equal sets are grouped before the join and represented by the smallest
+   Regions take the name of their smallest id and those of one name merge: a
+   cluster that coincides in many slices becomes one region.
+3. Members carry their counts in 128 hash buckets; the L1 distance of counts
+   never exceeds the symmetric difference. Within a region a member beyond the
+   radius of all pivots becomes a pivot, every other belongs to the Voronoi cell
+   of its closest pivot: one pair each, verified with the texts. Members that
+   only met by chance part without looking at a text.
+4. Recursion on what is left: a region's largest component so far stays as it
+   is; its other members meet those members of the region, in any other
+   component, that the bound does not exclude. These pairs are verified too.
+
+Pairs within a component are never needed, so a group of copies costs one pair
+a member. Equal sets are grouped before the join and represented by the smallest
 id. The result has every document's component under the links.
 
 Defined results: a null or blank text has an empty set and links with nothing;
@@ -62,7 +62,7 @@ class JaccardJoin:
     percent: int = 80
     shell_ratio: float = 1.5
     extra_slices: int = 2
-    buckets: int = 32
+    buckets: int = 128
 
     few: int = 10  # up to so many differing shingles, subsets of empty slices are enumerated
 
@@ -80,10 +80,6 @@ class JaccardJoin:
         """Largest symmetric difference of linked sets of sizes a and b."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def reach(self, a):
-        """The radius with the largest partner that a set of size a can have."""
-        return self.radius(a, a * 100 // self.percent)
-
     def shells(self, largest: int) -> np.ndarray:
         """Lower bounds of the size shells up to and beyond ``largest``; a partner
         of a set is in its own shell, the one below or the one above."""
@@ -167,79 +163,108 @@ def signed(docs: DataFrame, how: JaccardJoin) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, counts binary, keys array<long>")
 
 
-def shared_regions(members: DataFrame) -> DataFrame:
-    """(key, x) of the regions that two or more ids are in. Rows of a region are streamed in order."""
+def named_regions(members: DataFrame) -> DataFrame:
+    """(region, x): members of regions of two or more ids, under the region's smallest
+    id. Rows of a region are streamed in order; only the current name is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key and id of the previous row, and whether it was given out
+        last = None  # key and name of the region that the previous batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, x = (batch.column(i).to_numpy() for i in (0, 1))
-            if last is not None:
-                key, x = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], x])
-            same = key[1:] == key[:-1]
-            keep = np.zeros(len(key), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            tail = bool(keep[-1])
-            if last is not None and last[2]:
-                keep[0] = False
-            last = (key[-1], x[-1], tail or (len(key) == 1 and last is not None and last[2]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(x[keep])], ["key", "x"])
-
-    return members.repartition("key").sortWithinPartitions("key", "x").mapInArrow(run, "key long, x long")
-
-
-def voronoi(members: DataFrame, how: JaccardJoin) -> DataFrame:
-    """(key, x, p, test): Voronoi regions of (key, x, far, n, counts) around pivots p (step 3).
-
-    ``test`` marks members within the radius of the pivot. The rows of a region
-    are streamed, members beyond the first component (``far``) first; only the
-    region's pivots are held.
-    """
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = key[1:] != key[:-1]
+            at = np.flatnonzero(fresh)
+            name = x[at]
+            if last is not None and last[0] == key[0]:
+                name = name.copy()
+                name[0] = last[1]
+            region = np.repeat(name, np.diff(np.append(at, len(key))))
+            last = (key[-1], region[-1])
+            other = region != x
+            yield pa.RecordBatch.from_arrays([pa.array(region[other]), pa.array(x[other])], ["region", "x"])
+
+    ordered = members.repartition("key").sortWithinPartitions("key", "x")
+    others = ordered.mapInArrow(run, "region long, x long").distinct()
+    return others.unionByName(others.select("region", F.col("region").alias("x")).distinct())
+
+
+def _sketches(column: pa.Array, buckets: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, buckets).astype(np.int16)
+
+
+def cells(members: DataFrame, how: JaccardJoin) -> DataFrame:
+    """(x, p): members of (region, x, n, counts) and the closest pivot of their region
+    within the radius (step 3). Rows are streamed; only the region's pivots are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, pivots, sketches, sizes = None, [], [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, x, far, n = (batch.column(i).to_numpy() for i in range(4))
-            counts = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, how.buckets).astype(
-                np.int32)
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            out: list[tuple[np.ndarray, ...]] = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-                if current != key[a]:
-                    current, pivots, sketches, sizes = key[a], [], [], []
-                rest, done = np.arange(a, b), 0  # members still without a pivot; pivots already met
+            region, x, n = (batch.column(i).to_numpy() for i in range(3))
+            counts = _sketches(batch.column(3), how.buckets)
+            out_x, out_p = [], []
+            begin = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else []
+            for a, b in zip(begin, [*begin[1:], len(region)], strict=True):
+                if current != region[a]:
+                    current, pivots, sketches, sizes = region[a], [], [], []
                 whole = np.arange(a, b)
+                closest, owner = np.full(b - a, np.inf), np.full(b - a, -1)
+                done, begun = 0, 0
                 while True:
-                    while done < len(pivots):
-                        apart = np.abs(counts[whole] - sketches[done]).sum(axis=1)
-                        near = apart <= how.radius(n[whole], sizes[done])
-                        window = (apart <= how.reach(n[whole]) + how.reach(sizes[done])) & (x[whole] != pivots[done])
-                        # a later pivot meets only members after it, and an earlier one has the others
-                        if window.any():
-                            at = whole[window]
-                            out.append((np.full(len(at), current), x[at], np.full(len(at), pivots[done]), near[window]))
-                        rest = rest[~np.isin(rest, whole[near])]
-                        done += 1
-                    rest = rest[far[rest] > 0]
-                    if not len(rest):
+                    for j in range(done, len(pivots)):
+                        apart = np.abs(counts[whole[begun:]] - sketches[j]).sum(axis=1)
+                        within = apart <= how.radius(n[whole[begun:]], sizes[j])
+                        better = np.flatnonzero(within & (apart < closest[begun:])) + begun
+                        closest[better], owner[better] = apart[better - begun], j
+                    done = len(pivots)
+                    free = np.flatnonzero(owner[begun:] < 0)
+                    if not len(free):
                         break
-                    first = rest[0]
-                    pivots.append(x[first])
-                    sketches.append(counts[first])
-                    sizes.append(n[first])
-                    whole = np.arange(first + 1, b)
-                    rest = rest[1:]
-            if out:
-                k, m, p, t = (np.concatenate(c) for c in zip(*out, strict=True))
-                cell = mix(k.view(U64) ^ mix(p.view(U64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(m), pa.array(p), pa.array(t)],
-                                                 ["key", "x", "p", "test"])
-
-    ordered = members.repartition("key").sortWithinPartitions("key", F.col("far").desc(), "x")
-    return ordered.select("key", "x", "far", "n", "counts").mapInArrow(run, "key long, x long, p long, test boolean")
+                    begun += int(free[0])
+                    owner[begun] = len(pivots)
+                    closest[begun] = -1
+                    pivots.append(x[whole[begun]])
+                    sketches.append(counts[whole[begun]])
+                    sizes.append(n[whole[begun]])
+                    begun += 1
+                p = np.array(pivots)[owner]
+                keep = p != x[whole]
+                out_x.append(x[whole][keep])
+                out_p.append(p[keep])
+            if out_x:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_p))],
+                                                 ["x", "p"])
+
+    ordered = members.repartition("region").sortWithinPartitions("region", "x")
+    return ordered.select("region", "x", "n", "counts").mapInArrow(run, "x long, p long").distinct()
+
+
+def across(members: DataFrame, how: JaccardJoin) -> DataFrame:
+    """(x, p): pairs in one region of (region, x, far, component, n, counts), of different
+    components and not excluded by the bound, one of them beyond the region's largest
+    component (step 4). Only those members are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for batch in batches:
+            region, x, far, component, n = (batch.column(i).to_numpy() for i in range(5))
+            counts = _sketches(batch.column(5), how.buckets)
+            begin = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else []
+            for a, b in zip(begin, [*begin[1:], len(region)], strict=True):
+                if current != region[a]:
+                    current, held = region[a], []
+                for i in range(a, b):
+                    if far[i]:
+                        held.append((x[i], component[i], n[i], counts[i]))
+                for hx, hc, hn, hs in held:
+                    some = np.arange(a, b)
+                    some = some[(component[some] != hc) & ((far[some] == 0) | (x[some] > hx))]
+                    near = np.abs(counts[some] - hs).sum(axis=1) <= how.radius(n[some], hn)
+                    if near.any():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.maximum(x[some[near]], hx)), pa.array(np.minimum(x[some[near]], hx))], ["x", "p"])
+
+    ordered = members.repartition("region").sortWithinPartitions("region", F.col("far").desc(), "x")
+    return ordered.select("region", "x", "far", "component", "n", "counts").mapInArrow(
+        run, "x long, p long").distinct()
 
 
 def overlap(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,25 +307,21 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), *, id_
     keyed = sets.filter("n > 0 AND id IS NOT NULL").join(copies, "id", "left_anti").select(
         F.explode("keys").alias("key"), F.col("id").alias("x"))
     sketch = sets.select(F.col("id").alias("x"), "n", "counts").dropDuplicates(["x"])
-    members = materialize(shared_regions(keyed).withColumn("far", F.lit(1)), "members")
-
-    links = found = None
-    while not members.isEmpty():
-        cells = materialize(voronoi(members.join(sketch, "x"), how), "cells")
-        near = materialize(verified(materialize(cells.filter("test").select("x", "p").distinct(), "pairs"), docs, how),
-                           "links")
-        links = near if links is None else links.unionByName(near)
-        found = materialize(components(links, "x", "p"), "components")
-        # cells whose members are in two or more components go on, without their pivot
-        named = cells.join(found.withColumnRenamed("node", "x"), "x", "left").select(
-            "key", "x", F.coalesce("component", "x").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-            "low < high")
-        members = materialize(named.join(mixed, "key").select(
-            "key", "x", F.when(F.col("component") == F.col("low"), 0).otherwise(1).alias("far")), "members")
-    if found is None:
-        return classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                              F.coalesce("rep", "id").alias("component_id"))
+    members = materialize(named_regions(keyed).join(sketch, "x"), "members")
+
+    pairs = materialize(cells(members, how), "pairs")
+    links = materialize(verified(pairs, docs, how), "links")
+    found = components(links, "x", "p")
+    named = members.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn(
+        "component", F.coalesce("component", "x"))
+    # a region's largest component; regions of one component are done
+    largest = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(
+        F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    left = named.join(largest.select("region", F.col("most.component").alias("main")), "region").withColumn(
+        "far", F.when(F.col("component") == F.col("main"), 0).otherwise(1))
+    more = materialize(across(left, how).join(pairs, ["x", "p"], "left_anti"), "pairs")
+    links = links.unionByName(materialize(verified(more, docs, how), "links"))
+    found = components(links, "x", "p")
     found = found.select(F.col("node").alias("rep"), "component")
     return classes.join(found, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -120,7 +120,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         longer = shift > 0
         if longer.any():
             for i in np.flatnonzero(longer):
-                part[i] *= U64(pow(_BASE, int(shift[i]), 1 << 64))
+                part[i:i + 1] *= U64(pow(_BASE, int(shift[i]), 1 << 64))
         out[low:high] += part
     return mix(out ^ (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
