@@ -9,8 +9,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.llm.chat_format import format_turns, read_back
+from paddock.llm.decontaminate import benchmark_leaks
 from paddock.llm.jaccard_join import JaccardJoin, jaccard_components
+from paddock.llm.language import identify
 from paddock.llm.line_rules import line_quality
+from paddock.llm.quality import judge_quality
+from paddock.llm.sentence_pieces import encode
 from paddock.llm.substring_dedup import repeated_passages
 from paddock.llm.url_filter import filter_urls
 
@@ -28,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -59,7 +79,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_decontaminate": op4_decontaminate,
     "op5_line_quality": op5_line_quality,
+    "op6_language": op6_language,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
