@@ -13,6 +13,7 @@ from paddock.llm.decontaminate import benchmark_leaks
 from paddock.llm.jaccard_join import JaccardJoin, jaccard_components
 from paddock.llm.language import identify
 from paddock.llm.line_rules import line_quality
+from paddock.llm.main_text import extract
 from paddock.llm.quality import judge_quality
 from paddock.llm.sentence_pieces import encode
 from paddock.llm.substring_dedup import repeated_passages
@@ -36,6 +37,10 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +85,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
+    "op2_main_text": op2_main_text,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_quality": op5_line_quality,

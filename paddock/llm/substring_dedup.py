@@ -285,8 +285,8 @@ def drop_passages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
     """``docs`` with the words of the found passages cut out of the text; all columns stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts = batch.column("spans").to_pylist(), batch.column(text_col).to_pylist()
-            for i, (text, cut) in enumerate(zip(texts, spans, strict=True)):
+            cuts_of, texts = batch.column("__cut_spans").to_pylist(), batch.column(text_col).to_pylist()
+            for i, (text, cut) in enumerate(zip(texts, cuts_of, strict=True)):
                 if text is None or not cut:
                     continue
                 raw = text.encode()
@@ -301,8 +301,8 @@ def drop_passages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
             cols = [pa.array(texts, pa.string()) if name == text_col else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = docs.columns
-    cuts = found.groupBy(F.col(id_col).alias("cut_id")).agg(
-        F.collect_set(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("spans"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("cut_id"), "left").select(*names, "spans")
+    names, spans, cut_id = docs.columns, "__cut_spans", "__cut_id"
+    cuts = found.groupBy(F.col(id_col).alias(cut_id)).agg(
+        F.collect_set(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias(spans))
+    joined = docs.join(cuts, F.col(id_col) == F.col(cut_id), "left").select(*names, spans)
     return joined.mapInArrow(run, docs.schema)
