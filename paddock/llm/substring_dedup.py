@@ -48,6 +48,7 @@ class PassageRules:
     min_words: int = 50
     hashes: int = 4  # min-hash functions; each finds an exact repeat on its own
     min_hashes: int = 1  # functions that must agree on a candidate region
+    max_gap: int = 10  # unshared shingles that runs join across (about six changed words)
     grid: int = 8  # step of the exact runs of the second grouping
 
     @property
@@ -161,11 +162,13 @@ def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
 
 
 def passages(shared: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
-    """Runs of shared shingles, joined while ``percent`` of the whole is shared; the long ones as [start, stop)."""
+    """Runs of shared shingles, joined across small gaps while ``percent`` of the whole is shared;
+    the long ones as [start, stop)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
     out: list[list[int]] = []
     for start, stop in edge.reshape(-1, 2).tolist():
-        if out and 100 * (out[-1][2] + stop - start) >= how.percent * (stop - out[-1][0]):
+        if out and start - out[-1][1] <= how.max_gap and \
+                100 * (out[-1][2] + stop - start) >= how.percent * (stop - out[-1][0]):
             out[-1][1], out[-1][2] = stop, out[-1][2] + stop - start
         else:
             out.append([start, stop, stop - start])
