@@ -211,7 +211,7 @@ METRIC_COLS = ["exp_pts_err", "p1_acc", "top3_acc", "top10_acc", "spearman_rho",
 
 
 def q_compare_strategies(spark, sf):
-    res = mt.compare_strategies(_test_matrix(spark, sf), STRATEGIES)
+    res = mt.compare_strategies(_test_matrix(spark, sf), STRATEGIES, skew_safe=SKEW_SAFE)
     return _r(res, ["strategy", "events"], METRIC_COLS)
 
 
@@ -222,7 +222,7 @@ def q_rank_baseline(spark, sf):
 
 
 def q_ndcg(spark, sf):
-    res = mt.ndcg_at_k(_test_matrix(spark, sf), "driver_pts_lag", P.ndcg_cuts, skew_safe=SKEW_SAFE)
+    res = mt.ndcg_at_k(_test_matrix(spark, sf), "driver_pts_lag", P.ndcg_cuts)
     return _r(res, [], [f"ndcg_{k}" for k in P.ndcg_cuts])
 
 

@@ -27,16 +27,17 @@ DEFAULT_SPEC = PanelSpec()
 
 
 def _block_size(beta: float) -> int:
-    """Rows per block such that beta^-block stays below 1e300."""
+    """Rows per block such that beta^-block stays below 1e100: weight times
+    value is finite for any value up to 1e200."""
     if beta <= 0.0:
         return 1
     if beta >= 1.0:
         return 1 << 40
-    return max(1, int(300.0 / -math.log10(beta)))
+    return max(1, int(100.0 / -math.log10(beta)))
 
 
 def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
-               alpha: float, out: str, block: int | None = None) -> DataFrame:
+               alpha: float, out: str) -> DataFrame:
     """Exponentially weighted mean of the *earlier* rows of each partition.
 
     ``order`` must make rows unique within a partition. Null when no earlier
@@ -50,14 +51,12 @@ def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
 
     with L/LW running sums of beta^-offset * x (resp. beta^-offset) inside
     the block and T/TW the totals of the previous block (a range frame over
-    the block number). Older blocks weigh below beta^B ~ 1e-300 relative to
+    the block number). Older blocks weigh below beta^B, about 1e-100, relative to
     x_r, so the value is exact in double precision; each step is O(1) per
     row. The anchored value is carried forward to later rows.
     """
     beta = 1.0 - alpha
-    bsz = block or _block_size(beta)
-    if 0.0 < beta < 1.0 and beta ** bsz > 1e-17:
-        raise ValueError(f"block {bsz} too small for alpha {alpha}: tail weight {beta ** bsz:.3g}")
+    bsz = _block_size(beta)
     w = Window.partitionBy(*partition).orderBy(*order)
     x = F.col(value).cast("double")
     idx, blk, off = "_ew_i", "_ew_b", "_ew_o"

@@ -84,6 +84,9 @@ def _past_correlation(df: DataFrame, params: Params, spec: PanelSpec) -> DataFra
         spec.venue,
         F.explode(F.sequence(F.col(spec.period) + 1, F.col(spec.period) + wlen)).alias("_target"),
         spec.start, spec.outcome)
+    # periods in which the venue never appears need no correlation
+    wanted = df.select(spec.venue, F.col(spec.period).alias("_target")).distinct()
+    shifted = shifted.join(wanted, [spec.venue, "_target"], "left_semi")
     rho = spearman(shifted, [spec.venue, "_target"], spec.start, spec.outcome, "_rho")
     return rho.withColumnRenamed("_target", spec.period)
 

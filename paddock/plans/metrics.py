@@ -101,32 +101,31 @@ def rank_metrics(long: DataFrame, spec: PanelSpec = DEFAULT_SPEC, group: str = "
         F.coalesce("mae", F.lit(0.0)).alias("mae"))
 
 
-def compare_strategies(df: DataFrame, strategies: Mapping[str, str], spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def compare_strategies(df: DataFrame, strategies: Mapping[str, str], spec: PanelSpec = DEFAULT_SPEC,
+                       skew_safe: bool = False) -> DataFrame:
     """One metric row per strategy column (M8)."""
-    return rank_metrics(to_long(df, strategies, spec), spec)
+    return rank_metrics(to_long(df, strategies, spec), spec, skew_safe=skew_safe)
 
 
 def ndcg_at_k(df: DataFrame, score: str, ks=(1, 3, 10), spec: PanelSpec = DEFAULT_SPEC,
-              label: Column | None = None, skew_safe: bool = False) -> DataFrame:
+              label: Column | None = None) -> DataFrame:
     """Mean NDCG@k over events; identity gain on relevance labels, log2
-    discount; an event whose ideal DCG is 0 scores 1 (A13)."""
+    discount; an event whose ideal DCG is 0 scores 1 (A13).
+
+    Only the first max(k) rows of an event by score and by gain matter. Spark
+    applies the rank limit before the shuffle as well, so an event of any
+    size sends max(k) rows per task."""
     lab = label if label is not None else relevance_of(spec.outcome)
     rows = df.select(spec.event, spec.entity, F.col(score).alias("_score"), lab.cast("double").alias("_gain"))
-    if skew_safe:
-        from ..functions.ranking import distributed_row_number
-        rows = distributed_row_number(rows, [spec.event], [("_score", False), (spec.entity, True)], "_rk")
-        rows = distributed_row_number(rows, [spec.event], [("_gain", False), (spec.entity, True)], "_ideal")
-    else:
-        w = Window.partitionBy(spec.event)
-        rows = rows.withColumn("_rk", F.row_number().over(w.orderBy(F.col("_score").desc_nulls_last(), spec.entity))) \
-            .withColumn("_ideal", F.row_number().over(w.orderBy(F.col("_gain").desc(), spec.entity)))
-    aggs = []
-    for k in ks:
-        aggs.append(F.sum(F.when(F.col("_rk") <= k, F.col("_gain") / F.log2(F.col("_rk") + 1.0))
-                          .otherwise(0.0)).alias(f"_dcg{k}"))
-        aggs.append(F.sum(F.when(F.col("_ideal") <= k, F.col("_gain") / F.log2(F.col("_ideal") + 1.0))
-                          .otherwise(0.0)).alias(f"_idcg{k}"))
-    per = rows.groupBy(spec.event).agg(*aggs)
+
+    def dcg(order: Column, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(spec.event).orderBy(order, spec.entity))
+        top = rows.withColumn("_rk", rank).filter(F.col("_rk") <= max(ks))
+        return top.groupBy(spec.event).agg(*[
+            F.sum(F.when(F.col("_rk") <= k, F.col("_gain") / F.log2(F.col("_rk") + 1.0)).otherwise(0.0))
+            .alias(f"{name}{k}") for k in ks])
+
+    per = dcg(F.col("_score").desc_nulls_last(), "_dcg").join(dcg(F.col("_gain").desc(), "_idcg"), spec.event)
     return per.agg(*[F.avg(F.when(F.col(f"_idcg{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_idcg{k}"))
                            .otherwise(1.0)).alias(f"ndcg_{k}") for k in ks])
 

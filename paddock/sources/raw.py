@@ -6,10 +6,17 @@ all members are strings. Pages are read with an explicit schema (no
 inference pass), exploded with ``posexplode`` (array positions kept for a
 deterministic keep-first), and de-duplicated on (event, entity) by the
 smallest (file, race index, row index).
+
+A malformed page never disappears: its text is kept in ``_corrupt_record``,
+the parsers raise on it (or, with ``on_bad="quarantine"``, leave it to
+``bad_pages``), and the landing audit does not count it as landed. Rows
+without an entity id match nothing later; the parsers leave them to
+``keyless_rows``.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +44,14 @@ RACE_SCHEMA = T.StructType([
     T.StructField("SprintResults", _arr(("Driver", _DRIVER), ("position", S), ("points", S))),
 ])
 
+CORRUPT = "_corrupt_record"
 RAW_SCHEMA = T.StructType([T.StructField("MRData", T.StructType([
     T.StructField("total", S),
     T.StructField("DriverTable", T.StructType([T.StructField("Drivers", _arr(("driverId", S)))])),
     T.StructField("ConstructorTable", T.StructType([
         T.StructField("Constructors", _arr(("constructorId", S)))])),
     T.StructField("RaceTable", T.StructType([T.StructField("Races", T.ArrayType(RACE_SCHEMA))])),
-]))])
+])), T.StructField(CORRUPT, S)])
 
 PAGE_RE = r"([^/=]+?)_offset_([0-9]+)(\.json)?$"
 
@@ -53,12 +61,41 @@ def read_raw(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Adds ``_file`` (page name without folder) for ordering and audits.
     """
-    df = spark.read.schema(RAW_SCHEMA).option("multiLine", True).json(paths)
+    return with_page_name(json_options(spark.read).json(paths))
+
+
+def json_options(reader):
+    """The options of every page reader, batch or stream."""
+    return reader.schema(RAW_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def with_page_name(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
     # a page is a file named <prefix>_offset_<n>.json or a folder page=<name>
     name = F.coalesce(F.nullif(F.regexp_extract(path, r"page=([^/]+)", 1), F.lit("")),
                       F.regexp_extract(path, r"([^/]+)$", 1))
-    return df.select("MRData", name.alias("_file"))
+    return df.select("MRData", CORRUPT, name.alias("_file"))
+
+
+def _is_bad():
+    return F.col(CORRUPT).isNotNull() | F.col("MRData").isNull()
+
+
+def bad_pages(raw: DataFrame) -> DataFrame:
+    """Malformed pages with their text: the quarantine table."""
+    return raw.filter(_is_bad()).select("_file", F.col(CORRUPT).alias("text"))
+
+
+def good_pages(raw: DataFrame, on_bad: str = "raise") -> DataFrame:
+    """Pages that parsed. ``raise`` fails the query on a malformed page and
+    names it; ``quarantine`` leaves such pages to ``bad_pages``."""
+    if on_bad == "quarantine":
+        return raw.filter(~_is_bad())
+    if on_bad != "raise":
+        raise ValueError(f"on_bad: {on_bad}")
+    message = F.concat(F.lit("malformed page "), F.col("_file"))
+    return raw.withColumn("MRData", F.when(_is_bad(), F.raise_error(message)).otherwise(F.col("MRData")))
 
 
 def raw_glob(root: str, kind: str) -> list[str]:
@@ -66,8 +103,8 @@ def raw_glob(root: str, kind: str) -> list[str]:
     return [f"{root.rstrip('/')}/page=*{kind}*/*.json"]
 
 
-def _races(raw: DataFrame, params: Params) -> DataFrame:
-    r = raw.select("_file", F.posexplode("MRData.RaceTable.Races").alias("_race_idx", "race"))
+def _races(raw: DataFrame, params: Params, on_bad: str) -> DataFrame:
+    r = good_pages(raw, on_bad).select("_file", F.posexplode("MRData.RaceTable.Races").alias("_race_idx", "race"))
     season, rnd = to_int("race.season", 0), to_int("race.round", 0)
     r = r.select("_file", "_race_idx", "race", season.alias("season"), rnd.alias("round"))
     return r.filter(F.col("season") >= F.lit(params.first_period)) \
@@ -77,15 +114,25 @@ def _races(raw: DataFrame, params: Params) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per (raceId, driverId): the first by (file, race, row)."""
     keys = keys or ["raceId", "driverId"]
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
     w = Window.partitionBy(*keys).orderBy("_file", "_race_idx", "_row_idx")
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1) \
              .drop("_rn", "_file", "_race_idx", "_row_idx")
 
 
-def explode_results(raw: DataFrame, params: Params = Params()) -> DataFrame:
+def keyless_rows(exploded: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows that the keep-first leaves out because a key is null."""
+    missing = F.lit(False)
+    for k in keys or ["raceId", "driverId"]:
+        missing = missing | F.col(k).isNull()
+    return exploded.filter(missing)
+
+
+def explode_results(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
     """Results pages -> flat rows with their page position, before the
     keep-first (streaming-safe: no window)."""
-    r = _races(raw, params).select("*", F.posexplode("race.Results").alias("_row_idx", "res"))
+    r = _races(raw, params, on_bad).select("*", F.posexplode("race.Results").alias("_row_idx", "res"))
     nn = normalize_null
     out = r.select(
         "_file", "_race_idx", "_row_idx", "raceId", "season", "round",
@@ -99,14 +146,14 @@ def explode_results(raw: DataFrame, params: Params = Params()) -> DataFrame:
     return out
 
 
-def parse_results(raw: DataFrame, params: Params = Params()) -> DataFrame:
+def parse_results(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
     """Results pages -> fact_results."""
-    return keep_first(explode_results(raw, params))
+    return keep_first(explode_results(raw, params, on_bad))
 
 
-def parse_qualifying(raw: DataFrame, params: Params = Params()) -> DataFrame:
+def parse_qualifying(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
     """Qualifying pages -> fact_qualifying."""
-    r = _races(raw, params).select("*", F.posexplode("race.QualifyingResults").alias("_row_idx", "q"))
+    r = _races(raw, params, on_bad).select("*", F.posexplode("race.QualifyingResults").alias("_row_idx", "q"))
     out = r.select(
         "_file", "_race_idx", "_row_idx", "raceId",
         F.col("q.Driver.driverId").alias("driverId"),
@@ -116,9 +163,9 @@ def parse_qualifying(raw: DataFrame, params: Params = Params()) -> DataFrame:
     return keep_first(out.withColumn("driver_best_q_ms", best_of("q1_ms", "q2_ms", "q3_ms")))
 
 
-def parse_sprints(raw: DataFrame, params: Params = Params()) -> DataFrame:
+def parse_sprints(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
     """Sprint pages -> fact_sprints."""
-    r = _races(raw, params).select("*", F.posexplode("race.SprintResults").alias("_row_idx", "s"))
+    r = _races(raw, params, on_bad).select("*", F.posexplode("race.SprintResults").alias("_row_idx", "s"))
     out = r.select(
         "_file", "_race_idx", "_row_idx", "raceId",
         F.col("s.Driver.driverId").alias("driverId"),
@@ -131,22 +178,24 @@ def parse_sprints(raw: DataFrame, params: Params = Params()) -> DataFrame:
 # landing contract
 
 def page_index(raw: DataFrame) -> DataFrame:
-    """(prefix, offset, total) for every landed page."""
+    """(prefix, offset, total, landed) for every page file; a malformed page is not landed."""
     m = F.regexp_extract("_file", PAGE_RE, 1)
     o = F.regexp_extract("_file", PAGE_RE, 2)
     return raw.select(m.alias("prefix"), o.cast("bigint").alias("offset"),
-                      to_int("MRData.total", 0).alias("total"))
+                      to_int("MRData.total", 0).alias("total"), (~_is_bad()).alias("landed"))
 
 
 def missing_pages(raw: DataFrame, page_size: int = 100) -> DataFrame:
-    """Pages an endpoint should have (offsets 0, size, ... below total) but
-    that are not landed (S2). A total of 0 expects no page beyond offset 0."""
+    """Pages an endpoint should have (offsets 0, size, ... below total, and
+    every page file there is) but that are not landed (S2). A total of 0
+    expects no page beyond offset 0."""
     idx = page_index(raw)
-    expected = idx.groupBy("prefix").agg(F.max("total").alias("total")) \
+    expected = idx.groupBy("prefix").agg(F.max(F.when(F.col("landed"), F.col("total"))).alias("total")) \
         .select("prefix", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                               F.greatest(F.col("total") - 1, F.lit(0)).cast("bigint"),
+                                               F.greatest(F.coalesce("total", F.lit(0)) - 1, F.lit(0)).cast("bigint"),
                                                F.lit(page_size).cast("bigint"))).alias("offset"))
-    return expected.join(idx.select("prefix", "offset"), ["prefix", "offset"], "left_anti")
+    expected = expected.unionByName(idx.filter("NOT landed").select("prefix", "offset")).distinct()
+    return expected.join(idx.filter("landed").select("prefix", "offset"), ["prefix", "offset"], "left_anti")
 
 
 def pending_requests(events: DataFrame, landed: DataFrame,
@@ -155,7 +204,7 @@ def pending_requests(events: DataFrame, landed: DataFrame,
     without a landed page (S3). ``events`` has season, round."""
     eps = F.array(*[F.lit(e) for e in endpoints])
     want = events.select("season", "round").distinct().select("season", "round", F.explode(eps).alias("endpoint"))
-    got = page_index(landed).select(
+    got = page_index(landed).filter("landed").select(
         F.regexp_extract("prefix", r"^race_([0-9]+)_([0-9]+)_(.+)$", 1).cast("bigint").alias("season"),
         F.regexp_extract("prefix", r"^race_([0-9]+)_([0-9]+)_(.+)$", 2).cast("bigint").alias("round"),
         F.regexp_extract("prefix", r"^race_([0-9]+)_([0-9]+)_(.+)$", 3).alias("endpoint")).distinct()
@@ -163,7 +212,8 @@ def pending_requests(events: DataFrame, landed: DataFrame,
 
 
 def active_entities(raw: DataFrame, kind: str = "driver") -> DataFrame:
-    """Distinct ids from listing pages."""
+    """Distinct ids from listing pages (S4); a malformed page is an error."""
+    raw = good_pages(raw)
     if kind == "driver":
         return raw.select(F.explode("MRData.DriverTable.Drivers.driverId").alias("id")).distinct()
     return raw.select(F.explode("MRData.ConstructorTable.Constructors.constructorId").alias("id")).distinct()
@@ -172,7 +222,7 @@ def active_entities(raw: DataFrame, kind: str = "driver") -> DataFrame:
 def event_universe(race_pages: DataFrame, active: DataFrame, start_period: int) -> DataFrame:
     """Distinct (season, round) from period ``start_period`` on in which an
     active entity took part (S5): explode, filter, semi-join, distinct."""
-    r = race_pages.select(F.explode("MRData.RaceTable.Races").alias("race"))
+    r = good_pages(race_pages).select(F.explode("MRData.RaceTable.Races").alias("race"))
     r = r.select(to_int("race.season", 0).alias("season"), to_int("race.round", 0).alias("round"),
                  F.explode("race.Results.Driver.driverId").alias("id"))
     r = r.filter(F.col("season") >= F.lit(start_period))
@@ -207,7 +257,9 @@ def load_params(spark: SparkSession, path: str, defaults: Params = Params()) ->
     back to the defaults (S8). The single row is the artifact, not data."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # missing or unreadable artifact -> defaults
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return defaults
     cols = []
     for f in PARAM_FIELDS:

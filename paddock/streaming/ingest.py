@@ -10,33 +10,40 @@ re-landed pages never duplicate facts and earlier events are never lost.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.raw import RAW_SCHEMA, explode_results, keep_first
+from pyspark.sql import functions as F
+
+from ..sources.raw import explode_results, json_options, keep_first, with_page_name
 from ..spec import Params
 
 
 def _stream_raw(spark: SparkSession, path_glob: str) -> DataFrame:
-    from pyspark.sql import functions as F
-    df = spark.readStream.schema(RAW_SCHEMA).option("multiLine", True) \
-        .option("maxFilesPerTrigger", 1000).json(path_glob)
-    path = F.col("_metadata.file_path")
-    name = F.coalesce(F.nullif(F.regexp_extract(path, r"page=([^/]+)", 1), F.lit("")),
-                      F.regexp_extract(path, r"([^/]+)$", 1))
-    return df.select("MRData", name.alias("_file"))
+    return with_page_name(json_options(spark.readStream).option("maxFilesPerTrigger", 1000).json(path_glob))
+
+
+def _pages(spark: SparkSession, sink: str) -> int:
+    try:
+        return spark.read.parquet(sink).agg(F.countDistinct("_file").alias("n")).first().n
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
 
 
 def ingest_incremental(spark: SparkSession, landing_glob: str, sink: str, checkpoint: str,
-                       params: Params = Params()) -> int:
-    """Run one availableNow pass; returns the number of pages read (0 when
-    nothing new was landed)."""
-    rows = explode_results(_stream_raw(spark, landing_glob), params)
+                       params: Params = Params(), on_bad: str = "raise") -> int:
+    """Run one availableNow pass; returns the number of pages whose rows are
+    new in the sink (0 when nothing new was landed), counted in the sink. A
+    malformed page fails the pass unless ``on_bad`` is ``quarantine``."""
+    before = _pages(spark, sink)
+    rows = explode_results(_stream_raw(spark, landing_glob), params, on_bad)
     q = rows.writeStream.format("parquet").option("path", sink) \
         .option("checkpointLocation", checkpoint).outputMode("append") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    progress = q.recentProgress
-    return int(sum(p.get("numInputRows", 0) for p in progress)) if progress else 0
+    return _pages(spark, sink) - before
 
 
 def read_ingested(spark: SparkSession, sink: str) -> DataFrame:

@@ -35,18 +35,21 @@ def test_ewma_prior_matches_pandas(spark):
     pdf = pd.DataFrame(rows, columns=["k", "i", "x"])
     exp = pdf.groupby("k")["x"].transform(lambda s: s.shift(1).ewm(alpha=0.4, min_periods=1).mean())
     df = spark.createDataFrame(rows, "k long, i long, x double")
-    for block in (None, 80):
-        got = fm.ewma_prior(df, "x", ["k"], ["i"], 0.4, "e", block=block).toPandas() \
-            .sort_values(["k", "i"])["e"].to_numpy(dtype=float)
-        e = exp.to_numpy(dtype=float)
-        assert (np.isnan(got) == np.isnan(e)).all()
-        assert np.nanmax(np.abs(got - e)) < 1e-9
-
-
-def test_ewma_block_too_small_rejected(spark):
-    df = spark.createDataFrame([(1, 1, 1.0)], "k long, i long, x double")
-    with pytest.raises(ValueError):
-        fm.ewma_prior(df, "x", ["k"], ["i"], 0.4, "e", block=10)
+    got = fm.ewma_prior(df, "x", ["k"], ["i"], 0.4, "e").toPandas() \
+        .sort_values(["k", "i"])["e"].to_numpy(dtype=float)
+    e = exp.to_numpy(dtype=float)
+    assert (np.isnan(got) == np.isnan(e)).all()
+    assert np.nanmax(np.abs(got - e)) < 1e-9
+
+
+def test_ewma_prior_of_large_values_over_long_histories(spark):
+    rng = np.random.default_rng(3)
+    for alpha in (0.4, 0.05, 0.9):
+        x = 5e8 + rng.integers(0, 1000, 3000).astype(float)
+        exp = pd.Series(x).shift(1).ewm(alpha=alpha).mean().to_numpy()
+        df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k long, i long, x double")
+        got = fm.ewma_prior(df, "x", ["k"], ["i"], alpha, "e").toPandas().sort_values("i")["e"].to_numpy(dtype=float)
+        assert np.isnan(got[0]) and np.allclose(got[1:], exp[1:], rtol=1e-12)
 
 
 def test_peer_values_per_column_first_non_null(spark):

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from paddock.session import scratch_path
@@ -70,6 +71,32 @@ def test_missing_pages_and_pending(spark, tmp_path):
     assert pend == [(2020, 1, "qualifying"), (2020, 2, "qualifying"), (2020, 2, "results"), (2020, 2, "sprint")]
 
 
+def test_malformed_pages_are_never_lost(spark, tmp_path):
+    d = str(tmp_path)
+    res = [{"Driver": {"driverId": c}, "Constructor": {"constructorId": "t"}, "grid": "1", "position": "2",
+            "points": "18", "status": "Finished"} for c in "ab"]
+    race = {"season": "2020", "round": "1", "Circuit": {"circuitId": "x"}, "Results": res + [dict(res[0], Driver={})]}
+    _write(d, "race_2020_1_results_offset_0.json", _page([race], total="300"))
+    _write(d, "race_2020_1_results_offset_100.json", _page([dict(race, round="2")], total="300"))
+    cut = json.dumps(_page([dict(race, round="3")], total="300"))[:-40]
+    with open(os.path.join(d, "race_2020_1_results_offset_200.json"), "w") as f:
+        f.write(cut)
+    pages = raw.read_raw(spark, f"{d}/*.json")
+    with pytest.raises(Exception, match="malformed page race_2020_1_results_offset_200"):
+        raw.parse_results(pages).collect()
+    assert raw.parse_results(pages, on_bad="quarantine").count() == 4  # the entry without an id matches nothing
+    assert raw.keyless_rows(raw.explode_results(pages, on_bad="quarantine")).count() == 2
+    bad = raw.bad_pages(pages).collect()
+    assert [r._file for r in bad] == ["race_2020_1_results_offset_200.json"] and bad[0].text == cut
+    assert [(r.prefix, r.offset) for r in raw.missing_pages(pages).collect()] == [("race_2020_1_results", 200)]
+
+
+def test_unreadable_params_are_an_error(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        raw.load_params(spark, str(tmp_path))
+
+
 def test_params_roundtrip_and_fallback(spark):
     path = scratch_path(spark, "params")
     p = Params().with_(off_season_decay=0.5, summer_seq=14)
