@@ -65,6 +65,12 @@ class RegionModel:
     left_out_total: float = -6.0  # at most per element
 
 
+def is_marked(name: str) -> bool:
+    """A class or id that begins or ends with a mark; ``has-sidebar`` tells of another element."""
+    parts = re.split(r"[^a-z0-9]+", name)
+    return parts[0] not in ("has", "with", "no") and (parts[0] in MARKS or parts[-1] in MARKS)
+
+
 class Element:
     __slots__ = ("name", "container", "out", "by_class", "inside", "spent")
 
@@ -78,7 +84,8 @@ class Element:
                or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
                or name == "header" and not self.inside)
         if not out and name not in ("html", "body", *ARTICLE):
-            self.by_class = out = bool(MARKS.intersection(tokens)) or "header" in tokens and not self.inside
+            names = f"{found.get('class', '')} {found.get('id', '')}".split()
+            self.by_class = out = any(is_marked(n) for n in names) or "header" in tokens and not self.inside
         if (name in ARTICLE or found.get("itemprop") == "articlebody") and not marked:
             self.inside = True
         self.out = out or parent is not None and parent.out

@@ -248,10 +248,11 @@ def word_nbest(word: str, path: str, nbest: int) -> tuple[tuple[float, tuple[int
             elif j == i - 1:
                 edges[i].append((j, known.unk_score, tuple(spell(word[j], known))))
         forward[i] = max(forward[j] + s for j, s, _ in edges[i])
-    # entries: -(score of the suffix + exact score of the best prefix), suffix score, position, ids as a linked list
-    agenda, tick, out = [(-forward[n], 0, 0.0, n, None)], 0, []
+    # entries: -(score of the suffix + exact score of the best prefix), position, order, suffix score, ids as a
+    # linked list; among equal scores the path nearest its end goes first, else ties would grow the agenda
+    agenda, tick, out = [(-forward[n], n, 0, 0.0, None)], 0, []
     while agenda and len(out) < nbest:
-        _, _, done, at, tail = heapq.heappop(agenda)
+        _, at, _, done, tail = heapq.heappop(agenda)
         if at == 0:
             ids = []
             while tail is not None:
@@ -261,8 +262,8 @@ def word_nbest(word: str, path: str, nbest: int) -> tuple[tuple[float, tuple[int
             continue
         for j, s, ids in edges[at]:
             tick += 1
-            heapq.heappush(agenda, (-(done + s + forward[j]), tick, done + s, j, (ids, tail)))
-    return tuple(out)
+            heapq.heappush(agenda, (-round(done + s + forward[j], 4), j, tick, done + s, (ids, tail)))
+    return tuple(sorted(out, key=lambda x: -x[0]))
 
 
 def merge_nbest(choices: list[tuple[int, tuple[tuple[float, tuple[int, ...]], ...]]], base: float, nbest: int):
