@@ -56,16 +56,24 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, Words]:
     return words.hashes(lower=True), words
 
 
-def simhash(bits: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """64-bit SimHash of the windows [start, start + width); ``bits`` are prefix sums modulo 2^16."""
-    ones = bits[start + width] - bits[start]
-    return np.packbits(ones * np.uint16(2) > width, axis=1, bitorder="little").view(U64).ravel()
+_LANES = U64(0x0001000100010001)  # the lowest bit of four 16-bit counters
 
 
 def bit_sums(values: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((len(values) + 1, 64), dtype=np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=out[1:])
+    """Prefix sums of the hash bits: row j counts the bits j, j + 16, j + 32 and j + 48 in four
+    16-bit counters of one integer. Differences of windows below 2^15 are exact in every counter."""
+    out = np.zeros((16, len(values) + 1), dtype=U64)
+    for j in range(16):
+        np.cumsum((values >> U64(j)) & _LANES, out=out[j, 1:])
+    return out
+
+
+def simhash(sums: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """64-bit SimHash of the windows [start, start + width): the bits that most of its hashes have."""
+    lift = U64((1 << 15) - 1 - width // 2) * _LANES  # a majority reaches the counter's top bit
+    stop, out = start + width, np.zeros(len(start), dtype=U64)
+    for j in range(16):
+        out |= (((sums[j][stop] - sums[j][start] + lift) >> U64(15)) & _LANES) << U64(j)
     return out
 
 
@@ -73,7 +81,7 @@ class WindowClass:
     """Fingerprints of the items of one length class and their block index."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], shortest: int, share: float):
-        self.width = max(1, int(np.ceil(share * shortest)))
+        self.width = min(max(1, int(np.ceil(share * shortest))), 1 << 14)
         self.stride = shortest - self.width + 1
         prints, owner, offset = [], [], []
         for i, values in items:
