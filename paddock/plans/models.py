@@ -3,16 +3,16 @@
 MLlib has no learning-to-rank objective. The ranker is pointwise: gradient
 boosted trees regress log1p(relevance label) and entries are ranked per
 event by the score. Scores therefore differ from a LambdaRank learner; the
-metrics that judge them are exact. Training sets are persisted while a
-learner iterates and released afterwards; the tree learners checkpoint into
-the session's checkpoint folder.
+metrics that judge them are exact. A training set is its features and label
+only, written once as parquet in the shared checkpoint folder: the learner
+reads it for every tree, its partitions follow its size, and a lost executor
+re-reads files.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,68 +21,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import relevance_of
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from ..spec import FEATURES, PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
 MISSING = -1.0
 
 
-def assemble(df: DataFrame, features: Sequence[str] = FEATURES, out: str = "features") -> DataFrame:
-    """Feature vector: each feature with nulls as a sentinel plus an
+def assemble(df: DataFrame, features: Sequence[str] = FEATURES, out: str = "features",
+             categorical: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """Feature vector: each numeric feature with nulls as a sentinel plus an
     is-missing indicator, so no row is dropped (nulls are meaningful, e.g.
-    no second ranking in the event)."""
+    no second ranking in the event); ``categorical`` index columns go in as
+    they are, so the learner sees their categories. ``keep``: the other
+    columns of the result (default: all)."""
     cols, names = [], []
     for c in features:
         v = F.col(c).cast("double")
         v = F.when(~F.isnan(v), v)
         cols += [F.coalesce(v, F.lit(MISSING)).alias(f"_f_{c}"), v.isNull().cast("double").alias(f"_m_{c}")]
         names += [f"_f_{c}", f"_m_{c}"]
-    tmp = df.select("*", *cols)
-    return VectorAssembler(inputCols=names, outputCol=out).transform(tmp).drop(*names)
+    kept = df.columns if keep is None else [c for c in keep if c not in categorical]
+    tmp = df.select(*kept, *([] if keep is None else categorical), *cols)
+    made = VectorAssembler(inputCols=[*names, *categorical], outputCol=out).transform(tmp)
+    return made.drop(*names, *([] if keep is None else categorical))
 
 
-def index_categoricals(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str]):
+def index_categoricals(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str],
+                       max_categories: int = 256):
     """Category columns -> indices fitted on the training split (P25); unseen
-    categories get their own index (``handleInvalid="keep"``). Returns
-    (train, others, index column names)."""
+    categories get their own index (``handleInvalid="keep"``). Columns with
+    more than ``max_categories`` values are left out: a tree must look at all
+    categories of a column at once, so ids of entities are no features at
+    scale. Returns (train, others, index column names)."""
     from pyspark.ml.feature import StringIndexer
-    names = [f"{c}__idx" for c in cols]
-    model = StringIndexer(inputCols=list(cols), outputCols=names, handleInvalid="keep",
+    counts = train.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
+    used = [c for c in cols if 0 < counts[c] <= max_categories]
+    if not used:
+        return train, list(others), []
+    names = [f"{c}__idx" for c in used]
+    model = StringIndexer(inputCols=used, outputCols=names, handleInvalid="keep",
                           stringOrderType="alphabetAsc").fit(train)
     return model.transform(train), [model.transform(o) for o in others], names
 
 
-def feature_names(features: Sequence[str] = FEATURES) -> list[str]:
-    out = []
-    for c in features:
-        out += [c, f"{c}__missing"]
-    return out
+def feature_names(features: Sequence[str] = FEATURES, categorical: Sequence[str] = ()) -> list[str]:
+    """Source feature of every slot of the vector."""
+    return [c for c in features for _ in range(2)] + list(categorical)
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _training(df: DataFrame, features: Sequence[str], categorical: Sequence[str], label) -> tuple[DataFrame, int]:
+    """Features and label, written once, and the bins that the largest category needs."""
+    data = assemble(df.withColumn("_label", label), features, categorical=categorical, keep=["_label"])
+    bins = 32
+    for attr in (data.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])):
+        bins = max(bins, len(attr.get("vals", [])) + 1)
+    meta = data.schema["features"].metadata
+    stored = materialize(data, "training-set")
+    return stored.withColumn("features", F.col("features").alias("features", metadata=meta)), bins
 
 
 def fit_ranker(train: DataFrame, features: Sequence[str] = FEATURES, trees: int = 150, rate: float = 0.05,
-               depth: int = 5, min_rows: int = 20, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC):
+               depth: int = 5, min_rows: int = 20, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
+               categorical: Sequence[str] = ()):
     """Pointwise ranker: GBT regression on log1p(relevance) (M1)."""
-    data = _persisted(assemble(train, features).withColumn(
-        "_label", F.log1p(relevance_of(spec.outcome).cast("double"))))
-    try:
-        model = GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
-                             maxDepth=depth, minInstancesPerNode=min_rows, seed=params.seed,
-                             checkpointInterval=10).fit(data)
-    finally:
-        data.unpersist()
-    return model
+    data, bins = _training(train, features, categorical, F.log1p(relevance_of(spec.outcome).cast("double")))
+    return GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
+                        maxDepth=depth, minInstancesPerNode=min_rows, seed=params.seed, maxBins=bins,
+                        checkpointInterval=10).fit(data)
 
 
 def score_ranker(model, df: DataFrame, features: Sequence[str] = FEATURES, score: str = "score",
-                 pos: str = "pred_pos", spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False) -> DataFrame:
+                 pos: str = "pred_pos", spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False,
+                 categorical: Sequence[str] = ()) -> DataFrame:
     """Score, then rank per event by score descending, ties share."""
-    scored = model.transform(assemble(df, features)).withColumnRenamed("prediction", score).drop("features")
+    scored = model.transform(assemble(df, features, categorical=categorical)).withColumnRenamed(
+        "prediction", score).drop("features")
     if skew_safe:
         from ..functions.ranking import distributed_rank
         return distributed_rank(scored, [spec.event], [(score, False)], pos)
@@ -91,20 +105,18 @@ def score_ranker(model, df: DataFrame, features: Sequence[str] = FEATURES, score
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str] = FEATURES, trees: int = 100, rate: float = 0.05,
-                   depth: int = 4, params: Params = Params(), label: str = "is_classified"):
+                   depth: int = 4, params: Params = Params(), label: str = "is_classified",
+                   categorical: Sequence[str] = ()):
     """P(classified) with gradient boosted trees (M2)."""
-    data = _persisted(assemble(train, features).withColumn("_label", F.col(label).cast("double")))
-    try:
-        model = GBTClassifier(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
-                              maxDepth=depth, seed=params.seed, checkpointInterval=10).fit(data)
-    finally:
-        data.unpersist()
-    return model
+    data, bins = _training(train, features, categorical, F.col(label).cast("double"))
+    return GBTClassifier(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate, maxBins=bins,
+                         maxDepth=depth, seed=params.seed, checkpointInterval=10).fit(data)
 
 
-def classify(model, df: DataFrame, features: Sequence[str] = FEATURES, params: Params = Params()) -> DataFrame:
+def classify(model, df: DataFrame, features: Sequence[str] = FEATURES, params: Params = Params(),
+             categorical: Sequence[str] = ()) -> DataFrame:
     """Adds survival_prob and predicted_classified."""
-    out = model.transform(assemble(df, features))
+    out = model.transform(assemble(df, features, categorical=categorical))
     return out.withColumn("survival_prob", vector_to_array("probability")[1]) \
               .withColumn("predicted_classified",
                           (F.col("survival_prob") >= F.lit(params.classify_threshold)).cast("bigint")) \
@@ -114,28 +126,43 @@ def classify(model, df: DataFrame, features: Sequence[str] = FEATURES, params: P
 def two_stage_rank(train: DataFrame, test: DataFrame, features: Sequence[str] = FEATURES,
                    params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
                    ranker_kw: dict | None = None, classifier_kw: dict | None = None,
-                   categorical: Sequence[str] = ()) -> DataFrame:
+                   categorical: Sequence[str] = (), skew_safe: bool = False) -> DataFrame:
     """M2 on all entries, M1 on classified entries only, merged (P28): entries
     predicted to finish come first by rank score, the others after them by
     survival probability. Ordered by two keys, not an offset (Q24).
-    ``categorical`` columns are indexed on the training split (P25)."""
+    ``categorical`` columns are indexed on the training split (P25). The
+    ranker alone over all entries is ``single_stage_pred_pos``."""
+    idx: Sequence[str] = ()
     if categorical:
         train, (test,), idx = index_categoricals(train, [test], categorical)
-        features = list(features) + idx
-    clf = fit_classifier(train, features, params=params, **(classifier_kw or {}))
+    clf = fit_classifier(train, features, params=params, categorical=idx, **(classifier_kw or {}))
     rk = fit_ranker(train.filter(F.col("is_classified") == 1), features, params=params, spec=spec,
-                    **(ranker_kw or {}))
-    t = classify(clf, test, features, params)
-    t = rk.transform(assemble(t, features)).withColumnRenamed("prediction", "rank_score").drop("features")
-    key2 = F.when(F.col("predicted_classified") == 1, F.col("rank_score")).otherwise(F.col("survival_prob"))
-    w = Window.partitionBy(spec.event).orderBy(F.col("predicted_classified").desc(), key2.desc_nulls_last())
-    return t.withColumn("two_stage_pred_pos", F.rank().over(w).cast("bigint"))
+                    categorical=idx, **(ranker_kw or {}))
+    t = classify(clf, test, features, params, idx)
+    t = rk.transform(assemble(t, features, categorical=idx)).withColumnRenamed("prediction", "rank_score") \
+        .drop("features")
+    t = t.withColumn("_key2", F.when(F.col("predicted_classified") == 1, F.col("rank_score"))
+                     .otherwise(F.col("survival_prob")))
+    if skew_safe:
+        from ..functions.ranking import distributed_rank
+        t = materialize(t, "two-stage-scores")
+        t = distributed_rank(t, [spec.event], [("predicted_classified", False), ("_key2", False)],
+                             "two_stage_pred_pos")
+        return distributed_rank(t, [spec.event], [("rank_score", False)], "single_stage_pred_pos").drop("_key2")
+    w = Window.partitionBy(spec.event)
+    return t.withColumn("two_stage_pred_pos", F.rank().over(w.orderBy(
+        F.col("predicted_classified").desc(), F.col("_key2").desc_nulls_last())).cast("bigint")) \
+        .withColumn("single_stage_pred_pos", F.rank().over(w.orderBy(
+            F.col("rank_score").desc_nulls_last())).cast("bigint")).drop("_key2")
 
 
 def importances(model, names: Sequence[str], spark) -> DataFrame:
-    """Feature importances as a table, sorted descending."""
-    vals = [float(v) for v in model.featureImportances.toArray()]
-    return spark.createDataFrame(list(zip(names, vals)), "feature string, importance double") \
+    """Feature importances summed per source feature, sorted descending.
+    ``names``: the source feature of every slot of the vector."""
+    total: dict[str, float] = {}
+    for name, v in zip(names, model.featureImportances.toArray(), strict=True):
+        total[name] = total.get(name, 0.0) + float(v)
+    return spark.createDataFrame(list(total.items()), "feature string, importance double") \
         .orderBy(F.desc("importance"), "feature")
 
 
@@ -155,12 +182,10 @@ def leakage_alarm(df: DataFrame, params: Params = Params(), spec: PanelSpec = DE
     data = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric],
                      F.col(spec.outcome).cast("double").alias("_label")) \
              .filter(F.col("_label").isNotNull())
-    data = _persisted(VectorAssembler(inputCols=numeric, outputCol="features").transform(data))
-    try:
-        model = RandomForestRegressor(featuresCol="features", labelCol="_label", numTrees=50, maxDepth=5,
-                                      seed=params.seed).fit(data)
-    finally:
-        data.unpersist()
+    data = materialize(VectorAssembler(inputCols=numeric, outputCol="features").transform(data).select(
+        "features", "_label"), "alarm-set")
+    model = RandomForestRegressor(featuresCol="features", labelCol="_label", numTrees=50, maxDepth=5,
+                                  featureSubsetStrategy="all", seed=params.seed).fit(data)
     imp = importances(model, numeric, df.sparkSession)
     top = imp.agg(F.max("importance").alias("_top")).scalar()
     return imp.withColumn("alarm", top > F.lit(params.leakage_threshold))

@@ -1,23 +1,26 @@
 """Chronological validation (M4) and decay-parameter sweep.
 
 The sweep splits the decayed form into its parameter-free part (raw EWMAs,
-computed once) and per-period factors; the parameter grid is a small table
-(product of the ranges, 576 rows by default — bounded by construction) that
-is exploded next to every validation row as a literal array, so every
-combination is scored in one data-parallel query without a join.
+computed once) and per-period factors. An event's ranking depends on its
+factors only, and few combinations differ in them, so entries are ranked once
+per event and distinct set of factors; the errors are mapped back to the
+combinations in the small event x grid table.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Sequence
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import distributed_rank
 from ..operators import form as fm
 from ..operators.venue import spearman
+from ..session import materialize
 from ..spec import FEATURES, SWEEP_GRID, PanelSpec, Params
 from .metrics import expected_points_error
 from .models import fit_ranker, score_ranker
@@ -29,36 +32,49 @@ DEFAULT_SPEC = PanelSpec()
 # M4: expanding-window cross-validation
 
 def chrono_cv(matrix: DataFrame, params: Params = Params(), features: Sequence[str] = FEATURES,
-              spec: PanelSpec = DEFAULT_SPEC, ranker_kw: dict | None = None) -> DataFrame:
+              spec: PanelSpec = DEFAULT_SPEC, ranker_kw: dict | None = None, skew_safe: bool = False,
+              threads: int = 4) -> DataFrame:
     """For each validation period v: train on periods < v, score v.
 
-    One row per fold: events, pace_rho (qualifying position vs outcome),
-    model_rho, p1_acc, beats_baseline. The fold loop only launches fits;
-    all metrics are one grouped query over the union of fold predictions.
+    One row per fold: events, train_rows, val_rows, scored_rows, pace_rho
+    (qualifying position vs outcome), model_rho, p1_acc, beats_baseline. The
+    input is written once, features and keys only. Folds are fitted side by
+    side; all metrics are one grouped query over the union of the folds.
     """
     kw = dict(trees=100, rate=0.03, depth=4, min_rows=20)
     kw.update(ranker_kw or {})
-    data = matrix.persist(StorageLevel.MEMORY_AND_DISK)
-    preds = []
-    for v in params.validation_periods:
+    needed = dict.fromkeys([spec.event, spec.entity, spec.period, spec.outcome, "qualifying_pos", *features])
+    data = materialize(matrix.select(*needed), "cv-input")
+
+    def fold(v: int) -> DataFrame:
         train = data.filter(F.col(spec.period) < F.lit(v))
         val = data.filter(F.col(spec.period) == F.lit(v))
         model = fit_ranker(train, features, params=params, spec=spec, **kw)
-        preds.append(score_ranker(model, val, features, spec=spec).select(
+        return score_ranker(model, val, features, spec=spec, skew_safe=skew_safe).select(
             F.lit(v).cast("bigint").alias("fold"), spec.event, spec.entity,
             F.col(spec.outcome).cast("double").alias("target"),
             F.col("qualifying_pos").cast("double").alias("pace"),
-            F.col("pred_pos").cast("double").alias("model")))
-    allp = reduce(DataFrame.unionByName, preds)
+            F.col("pred_pos").cast("double").alias("model"))
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        preds = list(pool.map(inheritable_thread_target(fold), params.validation_periods))
+    allp = materialize(reduce(DataFrame.unionByName, preds), "cv-predictions")
     base = allp.groupBy("fold").agg(
-        F.countDistinct(spec.event).alias("events"),
+        F.countDistinct(spec.event).alias("events"), F.count(F.lit(1)).alias("val_rows"),
+        F.count("model").alias("scored_rows"),
         F.sum(((F.col("target") == 1) & (F.col("model") == 1)).cast("bigint")).alias("_p1"))
-    pace = spearman(allp, ["fold", spec.event], "target", "pace", "_r", skew_safe=False).groupBy("fold") \
-        .agg(F.avg("_r").alias("pace_rho"))
-    mod = spearman(allp, ["fold", spec.event], "target", "model", "_r", skew_safe=False).groupBy("fold") \
-        .agg(F.avg("_r").alias("model_rho"))
-    out = base.join(pace, "fold", "left").join(mod, "fold", "left").select(
-        "fold", "events",
+    sizes = data.groupBy(spec.period).agg(F.count(F.lit(1)).alias("_n"))
+    before = reduce(DataFrame.unionByName, [
+        sizes.filter(F.col(spec.period) < F.lit(v)).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("train_rows"))
+        .select(F.lit(v).cast("bigint").alias("fold"), "train_rows") for v in params.validation_periods])
+
+    def rho(col: str, out: str) -> DataFrame:
+        return spearman(allp, ["fold", spec.event], "target", col, "_r", skew_safe=skew_safe).groupBy("fold") \
+            .agg(F.avg("_r").alias(out))
+
+    out = base.join(before, "fold").join(rho("pace", "pace_rho"), "fold", "left") \
+        .join(rho("model", "model_rho"), "fold", "left").select(
+        "fold", "events", "train_rows", "val_rows", "scored_rows",
         F.coalesce("pace_rho", F.lit(0.0)).alias("pace_rho"),
         F.coalesce("model_rho", F.lit(0.0)).alias("model_rho"),
         (F.col("_p1").cast("double") / F.col("events") * 100.0).alias("p1_acc"))
@@ -117,30 +133,40 @@ def sweep_inputs(entries: DataFrame, params: Params = Params(), spec: PanelSpec
 
 
 def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
-                ranges: dict | None = None) -> DataFrame:
+                ranges: dict | None = None, skew_safe: bool = False) -> DataFrame:
     """Mean expected points error of every decay combination over the
     validation periods (M5, ``form`` scorer): entries are ranked per event by
     decayed team form minus decayed entity form. One row per combination."""
     spark = entries.sparkSession
     grid = param_grid(spark, ranges)
-    inputs = sweep_inputs(entries, params, spec)
+    inputs = materialize(sweep_inputs(entries, params, spec), "sweep-inputs")
+    # events x combinations, without entries: the factors of each
     gen, pcols = grid_columns(ranges)
-    # every entry meets every combination: explode the bounded id range
-    x = inputs.select("*", gen).select("*", *[c.alias(n) for n, c in pcols.items()])
-    cols = {k: F.col(k) for k in pcols}
-    drv_f, con_f = fm.decay_factors(F.col(spec.period), F.col(spec.seq), F.col("_first_seq"), cols,
-                                    params.reset_periods)
-    x = x.select(
-        F.col("combo_id").cast("bigint").alias("combo_id"), spec.event, spec.period, spec.outcome,
-        (F.coalesce("_drv_ewma_raw", "_median") * drv_f).alias("_drv"),
-        fm.apply_factors(F.coalesce(F.col("_con_ewma_raw"), F.lit(0.0)), con_f).alias("_con"))
-    x = x.withColumn("_score", F.col("_con") - F.col("_drv")).withColumn(
-        "_pred", F.rank().over(Window.partitionBy("combo_id", spec.event).orderBy(F.desc("_score"))))
-    folds = x.groupBy("combo_id", spec.period).agg(
-        F.avg(expected_points_error(F.col(spec.outcome), F.col("_pred"))).alias("_err"))
-    per = folds.groupBy("combo_id").agg(F.avg("_err").alias("mean_exp_pts_err"),
-                                        F.count(F.lit(1)).alias("folds"))
-    return grid.join(F.broadcast(per), "combo_id", "inner")
+    events = inputs.select(spec.event, spec.period, spec.seq, "_first_seq").distinct()
+    x = events.select("*", gen).select("*", *[c.alias(n) for n, c in pcols.items()])
+    drv_f, con_f = fm.decay_factors(F.col(spec.period), F.col(spec.seq), F.col("_first_seq"),
+                                    {k: F.col(k) for k in pcols}, params.reset_periods)
+    names = ["_f0", *[f"_f{i + 1}" for i in range(len(con_f))]]
+    factors = x.select("combo_id", spec.event, spec.period,
+                       *[c.cast("double").alias(n) for n, c in zip(names, [drv_f, *con_f], strict=True)])
+    variants = factors.select(spec.event, *names).distinct()
+    # entries once per event and distinct set of factors
+    score = fm.apply_factors(F.coalesce(F.col("_con_ewma_raw"), F.lit(0.0)), [F.col(n) for n in names[1:]]) \
+        - F.coalesce("_drv_ewma_raw", "_median") * F.col("_f0")
+    scored = inputs.join(variants, spec.event).select(spec.event, *names, spec.outcome, score.alias("_score"))
+    if skew_safe:
+        ranked = distributed_rank(scored, [spec.event, *names], [("_score", False)], "_pred")
+    else:
+        ranked = scored.withColumn("_pred", F.rank().over(
+            Window.partitionBy(spec.event, *names).orderBy(F.desc("_score"))))
+    errors = ranked.groupBy(spec.event, *names).agg(
+        F.sum(expected_points_error(F.col(spec.outcome), F.col("_pred"))).alias("_err"),
+        F.count(F.lit(1)).alias("_n"))
+    folds = factors.join(errors, [spec.event, *names]).groupBy("combo_id", spec.period).agg(
+        (F.sum("_err") / F.sum("_n")).alias("_err"))
+    per = folds.groupBy(F.col("combo_id").cast("bigint").alias("combo_id")).agg(
+        F.avg("_err").alias("mean_exp_pts_err"), F.count(F.lit(1)).alias("folds"))
+    return grid.join(per, "combo_id", "inner")
 
 
 def best_params(sweep: DataFrame) -> DataFrame:

@@ -10,10 +10,7 @@ thresholds and fills are read from it.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field, replace
-from typing import Sequence
-
 
 @dataclass(frozen=True)
 class PanelSpec:
@@ -46,11 +43,11 @@ RELEVANCE_DEFAULT = 1
 # Championship points by finishing position 1..10; any other position -> 0.
 POINTS_BY_POSITION = (25.0, 18.0, 15.0, 12.0, 10.0, 8.0, 6.0, 4.0, 2.0, 1.0)
 
-# Regulatory eras: (first season, last season, label); anything else -> default.
+# Regulatory eras (first season, last season, label); anything else -> default.
 ERAS = ((2014, 2021, "V6_Hybrid_v1"), (2022, 2025, "Ground_Effect"))
 ERA_DEFAULT = "2026_Reset"
 
-# Supplier rules, tested in order, first match wins:
+# Supplier rules, tested in order, first match wins:
 # (team ids, list of (from season, to season) ranges, label); None = open end.
 SUPPLIER_RULES = (
     (("mercedes", "williams"), ((None, None),), "mercedes"),
@@ -78,7 +75,7 @@ SUPPLIER_RULES = (
 )
 SUPPLIER_DEFAULT = "other"
 
-# Canonical model features, target and categorical columns.
+# Fixed names: canonical model features, target and categorical columns.
 FEATURES = (
     "qualifying_pos", "grid_penalty_delta", "pace_delta_pct",
     "teammate_delta_pct", "teammate_h2h_form", "sprint_finish",
@@ -140,19 +137,6 @@ class Params:
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 
-    @property
-    def ewma_horizon(self) -> int:
-        """Rows of history after which a weight is below double precision.
-
-        (1 - alpha)^K <= 1e-17 relative to the newest weight; the EWMA fold
-        is anchored at the newest non-null value, so the dropped tail never
-        exceeds that bound (see ``operators.form.ewma_prior``).
-        """
-        beta = 1.0 - self.ewma_alpha
-        if beta <= 0.0:
-            return 1
-        return max(1, int(math.ceil(math.log(1e-17) / math.log(beta))))
-
 
 # Sweep ranges for the decay parameters (fixed values of the reference).
 SWEEP_GRID = {
@@ -178,6 +162,10 @@ ADAPTER_SUPPLIER_RULES = (
 )
 
 
+# Sweep ranges whose every parameter acts on the adapter's rounds 1 to 12.
+ADAPTER_SWEEP_GRID = {**SWEEP_GRID, "summer_break_round": (7, 8, 9)}
+
+
 def adapter_params(**kw) -> Params:
     base = Params(
         first_period=1995,
@@ -199,7 +187,3 @@ def sweep_grid(ranges: dict | None = None) -> list[dict]:
     for name, values in ranges.items():
         combos = [dict(c, **{name: v}) for c in combos for v in values]
     return combos
-
-
-def as_tuple(x: Sequence | None) -> tuple:
-    return tuple(x) if x is not None else ()

@@ -94,3 +94,54 @@ def test_two_stage_small(spark):
         if r.predicted_classified == 0:
             mates = [x for x in got if x.raceId == r.raceId and x.predicted_classified == 1]
             assert all(m.two_stage_pred_pos < r.two_stage_pred_pos for m in mates)
+
+
+def _toy_matrix(spark, n=400):
+    import random
+    rng = random.Random(3)
+    rows = [(f"2000_{i // 10}", f"d{i}", 2000 + i // 200, float(i % 10 + 1), rng.random(), f"c{i % 10}",
+             int(i % 10 < 8)) for i in range(n)]
+    return spark.createDataFrame(rows, "raceId string, driverId string, season long, positionOrder double, "
+                                       "x double, circuitId string, is_classified long")
+
+
+def test_category_columns_stay_categories(spark):
+    from paddock.plans import models as md
+    df = _toy_matrix(spark)
+    train, (test,), idx = md.index_categoricals(df, [df], ["circuitId", "driverId"], max_categories=20)
+    assert idx == ["circuitId__idx"]  # driverId has too many values to be a feature
+    model = md.fit_ranker(train, ["x"], trees=3, min_rows=1, categorical=idx)
+    data = md.assemble(train, ["x"], categorical=idx)
+    attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
+    assert [a["name"] for a in attrs["nominal"]] == idx
+    # the outcome is a function of the category alone: a tree on categories finds it with one split set
+    assert "in {" in model.toDebugString
+    imp = {r.feature: r.importance for r in md.importances(model, md.feature_names(["x"], idx), spark).collect()}
+    assert set(imp) == {"x", "circuitId__idx"} and abs(sum(imp.values()) - 1) < 1e-9 and imp["circuitId__idx"] > 0.9
+
+
+def test_leakage_alarm_names_a_copy_of_the_outcome(spark):
+    from paddock.plans import models as md
+    df = _toy_matrix(spark)
+    clean = md.leakage_alarm(df.select("raceId", "driverId", "positionOrder", "x", "season"))
+    assert not clean.filter("alarm").count()
+    bad = md.leakage_alarm(df.select("positionOrder", "x", "season", (F.col("positionOrder") * 2).alias("copy")))
+    assert bad.filter("alarm").count() == 3 and bad.first().feature == "copy"
+
+
+def test_each_sweep_parameter_changes_some_error(spark):
+    from paddock.sources.adapter import star_facts
+    from paddock.spec import ADAPTER_SWEEP_GRID, adapter_params
+    p = adapter_params()
+    entries = mx.entries_table(*star_facts(spark, "/root/testdata/sf0.001"), p)
+    rows = vd.sweep_decay(entries, p, ranges=ADAPTER_SWEEP_GRID, skew_safe=True).collect()
+    assert len(rows) == 576
+    for name in ADAPTER_SWEEP_GRID:
+        rest = [n for n in ADAPTER_SWEEP_GRID if n != name]
+        groups = {}
+        for r in rows:
+            groups.setdefault(tuple(r[n] for n in rest), set()).add(round(r.mean_exp_pts_err, 9))
+        assert any(len(g) > 1 for g in groups.values()), name
+    window = vd.sweep_decay(entries, p, ranges=ADAPTER_SWEEP_GRID).collect()
+    assert {(r.combo_id, round(r.mean_exp_pts_err, 9)) for r in rows} == {
+        (r.combo_id, round(r.mean_exp_pts_err, 9)) for r in window}
