@@ -1,106 +1,108 @@
-"""Skew-safe ranks: rank() within a group without a window over the group.
+"""Skew-safe ranks: rank() within a group, with large groups split.
 
 ``rank() OVER (PARTITION BY g ORDER BY k)`` puts every row of a group in one
-task. When one group can hold a large share of the data, ``distributed_rank``
-computes the same numbers in parallel:
-
-1. distinct (g, k) with their multiplicity (partial aggregation);
-2. range-partition those by (g, k) — a hot group is split over many
-   partitions — and number them inside each partition;
-3. per (partition, g) totals (a table of at most partitions + groups rows)
-   give each partition's offset within its group;
-4. rank = offset + rows before inside the partition + 1, joined back on
-   (g, k) (null-safe).
-
-The range-partitioned table is written once (parquet in the shared
-checkpoint folder): its partition ids come from a sampled partitioner, and
-two consumers of an unmaterialized copy could see different assignments.
-
-Ties share the lowest rank, as with ``rank()``; with a unique order key it
-equals ``row_number()``.
+task. ``distributed_rank`` computes the same numbers and splits the groups
+that are larger than ``split_rows``:
+
+1. group sizes (partial aggregation) tell the large groups;
+2. a large group gets bounds: the order keys of its rows whose hash falls
+   below a rate that leaves about ``BUCKETS`` of them, sorted. They depend on
+   the rows only, so every consumer and every recomputation after executor
+   loss sees the same bounds, and nothing has to be written;
+3. a row's bucket is the number of bounds below its key, the window runs per
+   (group, bucket), and the sizes of the earlier buckets of the group (a table
+   of at most a few dozen rows per large group) give the offset.
+
+Ties share a key, hence a bucket, and the lowest rank, as with ``rank()``;
+with a unique order key it equals ``row_number()``. Small groups are one
+bucket. The plan is lazy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+SPLIT_ROWS = 100_000
+BUCKETS = 64
+_HASHES = 1 << 30
+_NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
 def _sorted(c: str, asc: bool):
     return F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last()
 
 
+def _key(df: DataFrame, order: list[tuple[str, bool]]) -> Column | None:
+    """A struct that sorts ascending as ``order`` does, nulls last; None when a
+    descending column cannot be negated (such groups stay whole)."""
+    parts = []
+    for c, asc in order:
+        kind = df.schema[c].dataType.typeName()
+        value = F.col(c)
+        if not asc:
+            if kind.split("(")[0] not in _NUMERIC:
+                return None
+            value = F.col(c).cast("double")
+            value = F.when(F.isnan(value), F.lit(float("-inf"))).otherwise(-value)
+        parts += [F.col(c).isNull(), value]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
+    """Null-safe join on (left column, right column) pairs; drops the right ones."""
+    on = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
+    return left.join(right, on, how).drop(*[b for _, b in pairs])
+
+
 def distributed_rank(df: DataFrame, group: list[str], order: list[tuple[str, bool]], out: str,
-                     partitions: int | None = None, cumulative: tuple[str, str] | None = None) -> DataFrame:
+                     cumulative: tuple[str, str] | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Add ``out`` = rank within ``group`` by ``order`` [(column, ascending)].
 
     With ``cumulative=(value, name)`` also adds ``name`` = sum of ``value``
-    over the rows of the group up to and including this order key (a
-    running sum, computed the same way).
+    over the rows of the group up to and including this order key.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [c for c, _ in order]
-    sort_cols = [F.col(g).asc_nulls_last() for g in group] + [_sorted(c, a) for c, a in order]
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    key, names = _key(df, order), [f"_rank_g{i}" for i in range(len(group))]
+    pairs = list(zip(group, names, strict=True))
+    bucketed = df.withColumn("_rank_bucket", F.lit(0))
+    if key is not None:
+        renamed = [F.col(g).alias(n) for g, n in pairs]
+        large = df.groupBy(*renamed).agg(F.count(F.lit(1)).alias("_rank_n")).filter(F.col("_rank_n") > split_rows)
+        chosen = F.pmod(F.xxhash64(*group, *[c for c, _ in order]), F.lit(_HASHES)) \
+            < F.lit(BUCKETS * _HASHES).cast("double") / F.col("_rank_n")
+        keyed = df.select(*group, *[c for c, _ in order if c not in group])
+        bounds = _join(keyed, large, pairs, "inner").filter(chosen).groupBy(*renamed).agg(
+            F.sort_array(F.collect_set(key)).alias("_rank_bounds"))
+        bucketed = _join(df, bounds, pairs, "left").withColumn(
+            "_rank_bucket", F.when(F.col("_rank_bounds").isNotNull(), F.size(F.filter("_rank_bounds", lambda b: b < key)))
+            .otherwise(F.lit(0))).withColumn("_rank_split", F.col("_rank_bounds").isNotNull()).drop("_rank_bounds")
+    w = Window.partitionBy(*group, "_rank_bucket").orderBy(*[_sorted(c, a) for c, a in order])
+    ranked = bucketed.withColumn(out, F.rank().over(w).cast("bigint"))
+    if cumulative:
+        ranked = ranked.withColumn(cumulative[1], F.coalesce(F.sum(cumulative[0]).over(
+            w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    if key is None:
+        return ranked.drop("_rank_bucket")
+    # rows (and sums) of the earlier buckets of each split group
+    sums = [F.count(F.lit(1)).alias("_rank_rows")]
     if cumulative:
-        aggs.append(F.coalesce(F.sum(cumulative[0]), F.lit(0)).alias("_wsum"))
-    vals = df.groupBy(*group, *keys).agg(*aggs)
-    ranged = vals.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id())
-    # the partition id comes from a sampled range partitioner: write it once
-    # so every consumer (and any recomputation after executor loss) sees the
-    # same assignment
-    ranged = materialize(ranged, "rank-ranges")
-    local = Window.partitionBy("_pid", *group).orderBy(*[_sorted(c, a) for c, a in order]) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("_before", F.coalesce(F.sum("_cnt").over(local), F.lit(0)))
-    tot_aggs = [F.sum("_cnt").alias("_ptot")]
+        sums.append(F.coalesce(F.sum(cumulative[0]), F.lit(0)).alias("_rank_sum"))
+    before = Window.partitionBy(*names).orderBy("_rank_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bucketed.filter("_rank_split").groupBy(*[F.col(g).alias(n) for g, n in pairs], F.col("_rank_bucket").alias("_rank_b")) \
+        .agg(*sums).withColumn("_rank_off", F.sum("_rank_rows").over(before))
     if cumulative:
-        ranged = ranged.withColumn("_wbefore", F.coalesce(F.sum("_wsum").over(local), F.lit(0)))
-        tot_aggs.append(F.sum("_wsum").alias("_pwtot"))
-    prev = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_pid", *group).agg(*tot_aggs) \
-        .withColumn("_off", F.coalesce(F.sum("_ptot").over(prev), F.lit(0)))
-    outs = [(F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out)]
+        offsets = offsets.withColumn("_rank_off_sum", F.sum("_rank_sum").over(before)).drop("_rank_sum")
+    ranked = _join(ranked, offsets.drop("_rank_rows"), [*pairs, ("_rank_bucket", "_rank_b")], "left")
+    ranked = ranked.withColumn(out, F.col(out) + F.coalesce("_rank_off", F.lit(0)))
     if cumulative:
-        offsets = offsets.withColumn("_woff", F.coalesce(F.sum("_pwtot").over(prev), F.lit(0)))
-        outs.append((F.col("_woff") + F.col("_wbefore") + F.col("_wsum")).alias(cumulative[1]))
-    offsets = offsets.drop("_ptot", "_pwtot")
-    ranks = ranged.join(offsets, ["_pid", *group]) \
-        .select(*[F.col(c).alias(f"_r_{c}") for c in group + keys], *outs)
-    cond = None
-    for c in group + keys:
-        e = df[c].eqNullSafe(ranks[f"_r_{c}"])
-        cond = e if cond is None else cond & e
-    return df.join(ranks, cond, "left").drop(*[f"_r_{c}" for c in group + keys])
+        ranked = ranked.withColumn(cumulative[1], F.col(cumulative[1]) + F.coalesce("_rank_off_sum", F.lit(0)))
+    return ranked.drop("_rank_bucket", "_rank_split", "_rank_off", "_rank_off_sum")
 
 
 def distributed_row_number(df: DataFrame, group: list[str], order: list[tuple[str, bool]], out: str,
-                           partitions: int | None = None) -> DataFrame:
+                           split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``row_number()`` within ``group`` by ``order`` when the order key is
-    unique within the group (e.g. ends in an entity id); group keys non-null.
-
-    Rows are range-partitioned by (group, order) — a hot group spans many
-    partitions — and sorted inside each partition, so the position inside a
-    partition follows the total order. A small table of per-(partition,
-    group) first positions and row counts gives each partition's offset in
-    its group. One shuffle of the rows, no join of the rows with themselves.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [F.col(g).asc_nulls_last() for g in group] + [_sorted(c, a) for c, a in order]
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols) \
-        .withColumn("_drn_pid", F.spark_partition_id()) \
-        .withColumn("_drn_pos", F.monotonically_increasing_id() - F.col("_drn_pid").cast("bigint") * F.lit(1 << 33))
-    # partition ids and positions depend on the sampled range partitioner and
-    # the physical order: write them once so both consumers below (and any
-    # recomputation after executor loss) see the same values
-    ranged = materialize(ranged, "row-ranges")
-    prev = Window.partitionBy(*group).orderBy("_drn_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = ranged.groupBy("_drn_pid", *group).agg(F.min("_drn_pos").alias("_drn_first"), F.count(F.lit(1)).alias("_drn_n")) \
-        .withColumn("_drn_off", F.coalesce(F.sum("_drn_n").over(prev), F.lit(0))).drop("_drn_n")
-    return ranged.join(stats, ["_drn_pid", *group]) \
-        .withColumn(out, (F.col("_drn_off") + F.col("_drn_pos") - F.col("_drn_first") + 1).cast("bigint")) \
-        .drop("_drn_pid", "_drn_pos", "_drn_first", "_drn_off")
+    unique within the group (e.g. ends in an entity id)."""
+    return distributed_rank(df, group, order, out, split_rows=split_rows)

@@ -1,9 +1,8 @@
 """Venue block: Spearman correlation (A5) and venue rank retention.
 
 Spearman = Pearson of average ranks over pairwise-complete rows. Ranks come
-from the skew-safe ``distributed_rank`` (distinct values per group,
-range-partitioned, offsets per partition), so no window ever spans a whole
-group; zero variance gives null (``try_divide``), never an error.
+from the skew-safe ``distributed_rank``, so no window ever spans a whole
+large group; zero variance gives null (``try_divide``), never an error.
 
 Retention for (venue, period T) uses the rows of that venue in periods
 T-W..T-1. Each row is replicated to the W target periods it serves

@@ -182,3 +182,21 @@ def test_peer_aggregate_equals_window(spark):
     w = ev.peer_first_values(df, cols, method="window").select("raceId", "driverId", "driver_best_q_ms_tm",
                                                                "positionOrder_tm")
     assert a.exceptAll(w).count() == 0 and w.exceptAll(a).count() == 0
+
+
+def test_distributed_rank_equals_rank_when_groups_are_split(spark):
+    from pyspark.sql import Window
+    from paddock.functions.ranking import distributed_rank
+    rng = np.random.default_rng(5)
+    rows = [(None if g == "n" else g, None if rng.random() < 0.05 else float(rng.integers(0, 60)),
+             float("nan") if rng.random() < 0.03 else float(rng.normal()), i, int(rng.integers(0, 5)))
+            for i, g in enumerate(["a"] * 900 + ["b"] * 40 + ["n"] * 300 + ["c"])]
+    df = spark.createDataFrame(rows, "g string, x double, y double, i long, v long").repartition(5)
+    for order in ([("x", True)], [("x", False)], [("x", False), ("i", True)], [("y", False), ("x", True)]):
+        w = Window.partitionBy("g").orderBy(*[F.col(c).asc_nulls_last() if a else F.col(c).desc_nulls_last()
+                                              for c, a in order])
+        want = df.select("i", F.rank().over(w).cast("bigint").alias("r"), F.sum("v").over(
+            w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("s"))
+        for split in (50, 10**6):
+            got = distributed_rank(df, ["g"], order, "r", cumulative=("v", "s"), split_rows=split).select("i", "r", "s")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (order, split)
