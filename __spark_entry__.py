@@ -301,74 +301,90 @@ def q_position_maps(spark, sf):
               ["raceId", "driverId", "relevance"], ["grid_points"])
 
 
-def _landed(spark, sf):
-    """Land the adapter's facts as nested JSON pages in a fresh scratch
-    folder under the shared checkpoint folder; returns the folder."""
+def _landed(spark, sf, *kinds, **how):
+    """Land the adapter's facts as nested JSON pages of some kinds in a fresh
+    scratch folder under the shared checkpoint folder; returns the pages."""
     from paddock.session import scratch_path
     from paddock.sources.landing import land_facts
     r, q, s = star_facts(spark, sf)
     root = scratch_path(spark, "landing")
-    land_facts(r, q, s, root)
-    return root
+    land_facts(r, q, s, root, kinds=kinds, **how)
+    return raw.read_raw(spark, raw.landing_paths(root, *kinds), lines=True)
 
 
 def q_parse_results(spark, sf):
-    root = _landed(spark, sf)
-    df = raw.parse_results(raw.read_raw(spark, raw.raw_glob(root, "results")), P)
+    df = raw.parse_results(_landed(spark, sf, "results"), P)
     return _r(df, ["raceId", "season", "round", "circuitId", "driverId", "constructorId", "status"],
               ["grid", "positionOrder", "points"])
 
 
 def q_parse_qualifying(spark, sf):
-    root = _landed(spark, sf)
-    df = raw.parse_qualifying(raw.read_raw(spark, raw.raw_glob(root, "qualifying")), P)
+    df = raw.parse_qualifying(_landed(spark, sf, "qualifying"), P)
     return _r(df, ["raceId", "driverId"], ["qualifying_pos", "q1_ms", "q2_ms", "q3_ms", "driver_best_q_ms"])
 
 
 def q_parse_sprints(spark, sf):
-    root = _landed(spark, sf)
-    df = raw.parse_sprints(raw.read_raw(spark, raw.raw_glob(root, "sprint")), P)
+    df = raw.parse_sprints(_landed(spark, sf, "sprint"), P)
     return _r(df, ["raceId", "driverId"], ["sprint_finish", "sprint_points"])
 
 
 def q_missing_pages(spark, sf):
-    root = _landed(spark, sf)
-    return raw.missing_pages(raw.read_raw(spark, raw.raw_glob(root, "race_")))
+    """Pages of 25; every third page from the second on is never landed."""
+    pages = _landed(spark, sf, "results", "qualifying", "sprint", page_size=25, skip=F.col("_page") % 3 == 1)
+    return raw.missing_pages(pages, 25)
 
 
 def q_pending_requests(spark, sf):
-    root = _landed(spark, sf)
     r, _, _ = star_facts(spark, sf)
-    return raw.pending_requests(r, raw.read_raw(spark, raw.raw_glob(root, "race_")))
+    return raw.pending_requests(r, _landed(spark, sf, "results", "qualifying", "sprint"))
 
 
 def q_active_entities(spark, sf):
-    root = _landed(spark, sf)
-    return raw.active_entities(raw.read_raw(spark, raw.raw_glob(root, "active_drivers")))
+    return raw.active_entities(_landed(spark, sf, "active_drivers"))
 
 
 def q_event_universe(spark, sf):
-    root = _landed(spark, sf)
-    listing = raw.read_raw(spark, raw.raw_glob(root, "active_drivers"))
+    pages = _landed(spark, sf, "results", "active_drivers")
+    listing = pages.filter(F.col("_file").startswith("active_drivers"))
     period = F.regexp_extract("_file", r"active_drivers_([0-9]+)_offset", 1).cast("bigint")
     latest = listing.select(F.max(period).alias("p")).scalar()
     active = raw.active_entities(listing.filter(period == latest))
-    return raw.event_universe(raw.read_raw(spark, raw.raw_glob(root, "results")), active, P.first_period)
+    return raw.event_universe(pages.filter(F.col("_file").startswith("race_")), active, P.first_period)
 
 
 def q_ingest_incremental(spark, sf):
+    """Two landed batches, an ingest after each, and a last one that finds nothing new."""
     from paddock.session import scratch_path
+    from paddock.sources.landing import land_facts
     from paddock.streaming.ingest import ingest_incremental, read_ingested
-    root = _landed(spark, sf)
-    sink, ckpt = scratch_path(spark, "facts"), scratch_path(spark, "stream-ckpt")
-    glob = raw.raw_glob(root, "results")[0]
-    ingest_incremental(spark, glob, sink, ckpt, P)
-    ingest_incremental(spark, glob, sink, ckpt, P)  # second pass: nothing new
+    r, q, s = star_facts(spark, sf)
+    root, sink, ckpt = (scratch_path(spark, n) for n in ("landing", "facts", "stream-ckpt"))
+    for batch in (r.filter(F.col("season") < P.test_period - 2), r.filter(F.col("season") >= P.test_period - 2)):
+        land_facts(batch, q, s, root, kinds=["results"])
+        ingest_incremental(spark, raw.landing_paths(root, "results")[0], sink, ckpt, P, lines=True)
+    ingest_incremental(spark, raw.landing_paths(root, "results")[0], sink, ckpt, P, lines=True)
     df = read_ingested(spark, sink)
     return _r(df, ["raceId", "season", "round", "circuitId", "driverId", "constructorId", "status"],
               ["grid", "positionOrder", "points"])
 
 
+def q_event_rates(spark, sf):
+    """Failure rates over whole earlier events: the leak-free mode."""
+    base = _entries(spark, sf)
+    p = P.with_(reliability_mode="events")
+    team = rl.rolling_prior_rate(base, ["constructorId"], "is_dnf", "team_rate", p)
+    supplier = rl.rolling_prior_rate(base, ["pu_manufacturer"], "is_dnf", "supplier_rate", p)
+    return _r(team.join(supplier, ["raceId", "driverId"]), ["raceId", "driverId"], ["team_rate", "supplier_rate"])
+
+
+def q_as_of(spark, sf):
+    """The global median and retention mean as known before the test period."""
+    base, p = _entries(spark, sf), P.with_(as_of_period=P.test_period)
+    g = vn.global_retention(vn.retention_inputs(base, p), p).select("global_retention").scalar()
+    return _r(fm.global_median(base, "positionOrder", p).withColumn("global_retention", g),
+              [], ["_median", "global_retention"]).withColumnRenamed("_median", "median_outcome")
+
+
 def q_group_sizes(spark, sf):
     return _entries(spark, sf).groupBy("raceId").agg(F.count(F.lit(1)).alias("entries"))
 
@@ -548,6 +564,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s4_active_entities": q_active_entities,
     "s5_event_universe": q_event_universe,
     "st1_ingest_incremental": q_ingest_incremental,
+    "w9_w11_event_rates": q_event_rates,
+    "a4_a7_as_of_period": q_as_of,
     "a3_group_sizes": q_group_sizes,
     "p29_p30_extended_matrix": q_extended_matrix,
     "s8_params_artifact": q_params_artifact,

@@ -346,7 +346,16 @@ def raw_queries() -> dict[str, str]:
     q["p3_parse_sprints"] = (
         f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('sprint_finish')} AS sprint_finish, "
         f"{r6('sprint_points')} AS sprint_points FROM fact_sprints")
-    q["s2_missing_pages"] = "SELECT CAST(NULL AS VARCHAR) AS prefix, CAST(NULL AS BIGINT) AS offset WHERE false"
+    q["s2_missing_pages"] = f"""WITH {ADAPTER_SQL_CTES},
+ev AS (SELECT DISTINCT raceId, season, round FROM fact_results),
+tot AS (
+  SELECT raceId, 'results' AS kind, count(*) AS n FROM fact_results GROUP BY raceId
+  UNION ALL SELECT raceId, 'qualifying', count(*) FROM fact_qualifying GROUP BY raceId
+  UNION ALL SELECT raceId, 'sprint', count(*) FROM fact_sprints GROUP BY raceId
+),
+pages AS (SELECT raceId, kind, unnest(range(0, CAST((n + 24) // 25 AS BIGINT))) AS page FROM tot)
+SELECT 'race_' || season || '_' || round || '_' || kind AS prefix, CAST(page * 25 AS BIGINT) AS offset
+FROM pages JOIN ev USING (raceId) WHERE page % 3 = 1"""
     q["s3_pending_requests"] = f"""WITH {ADAPTER_SQL_CTES},
 ev AS (SELECT DISTINCT raceId, season, round FROM fact_results),
 landed AS (
@@ -494,6 +503,20 @@ SELECT g.combo_id, g.summer_break_round, {r6('g.off_season_decay')} AS off_seaso
   {r6('g.regulation_reset_decay')} AS regulation_reset_decay, {r6('g.summer_break_decay')} AS summer_break_decay,
   {r6('g.driver_reg_reset_decay')} AS driver_reg_reset_decay, {r6('p.err')} AS mean_exp_pts_err
 FROM per p JOIN grid g USING (combo_id) ORDER BY round(p.err, 9), g.combo_id LIMIT 1""")
+    rates = ", ".join(
+        f"""{name} AS (
+  SELECT {key}, raceId, sum(s) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS rate
+  FROM (SELECT {key}, season, round, raceId, sum(is_dnf) AS s, count(*) AS n FROM e3 GROUP BY ALL)
+  WINDOW w AS (PARTITION BY {key} ORDER BY season, round ROWS BETWEEN {P.reliability_window} PRECEDING AND 1 PRECEDING))"""
+        for name, key in (("tr", "constructorId"), ("sr", "pu_manufacturer")))
+    q["w9_w11_event_rates"] = with_features(f""", {rates}
+SELECT e3.raceId, e3.driverId, {r6('tr.rate')} AS team_rate, {r6('sr.rate')} AS supplier_rate
+FROM e3 JOIN tr ON tr.raceId = e3.raceId AND tr.constructorId = e3.constructorId
+JOIN sr ON sr.raceId = e3.raceId AND sr.pu_manufacturer = e3.pu_manufacturer""")
+    q["a4_a7_as_of_period"] = with_features(f"""
+SELECT (SELECT {r6('quantile_cont(positionOrder, 0.5)')} FROM e2 WHERE season < {TEST}) AS median_outcome,
+  (SELECT {r6(f'coalesce(avg(rho), {P.retention_fill})')} FROM ret_base
+   WHERE season < {TEST} AND n_rows >= {P.retention_global_min_rows} AND rho IS NOT NULL) AS global_retention""")
     q["a18_distinct_counts"] = with_features(
         "SELECT circuitId, count(DISTINCT season) AS periods, count(DISTINCT raceId) AS events, "
         "count(DISTINCT driverId) AS entities FROM e2 GROUP BY circuitId")

@@ -2,17 +2,22 @@
 
 Used to exercise the raw readers on data derived from the given tables and
 as the batch source for incremental ingestion tests. Each endpoint is cut
-into pages of ``page_size`` rows in entry order; each page becomes one file
-``page=<prefix>_offset_<n>/part-*.json`` holding one JSON object. Pages are
-the unit of grouping, so no group exceeds ``page_size`` rows.
+into pages of ``page_size`` rows in entry order; a page is one JSON object
+with its name, many pages to a file, in a folder per kind of page. Pages are
+the unit of grouping, so no group exceeds ``page_size`` rows, and positions
+come from the skew-safe row number, so no window spans a large event.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import distributed_row_number
 from .adapter import lap_string
+from .raw import KINDS, landing_paths
 
 
 def _num_str(c: Column) -> Column:
@@ -20,11 +25,10 @@ def _num_str(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
-def _paginate(df: DataFrame, group: list[str], order: list, elem: Column, page_size: int) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order)
-    idx = F.row_number().over(w) - 1
+def _paginate(df: DataFrame, group: list[str], order: list[str], elem: Column, page_size: int) -> DataFrame:
     tot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
-    x = df.withColumn("_i", idx).withColumn("_page", F.floor(F.col("_i") / page_size).cast("bigint")) \
+    x = distributed_row_number(df, group, [(c, True) for c in order], "_i").withColumn("_i", F.col("_i") - 1)
+    x = x.withColumn("_page", F.floor(F.col("_i") / page_size).cast("bigint")) \
           .join(tot, group, "left")
     pages = x.groupBy(*group, "_page", "_total").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_i"), elem.alias("e")))).alias("_items"))
@@ -32,9 +36,11 @@ def _paginate(df: DataFrame, group: list[str], order: list, elem: Column, page_s
 
 
 def _race_pages(df: DataFrame, kind: str, array_name: str, elem: Column, page_size: int,
-                circuit: bool = False) -> DataFrame:
+                circuit: bool = False, skip: Column | None = None) -> DataFrame:
     group = ["season", "round"] + (["circuitId"] if circuit else [])
-    p = _paginate(df, group, [F.col("_ord").asc_nulls_last(), "driverId"], elem, page_size)
+    p = _paginate(df, group, ["_ord", "driverId"], elem, page_size)
+    if skip is not None:
+        p = p.filter(~skip)
     race_fields = [F.col("season").cast("string").alias("season"), F.col("round").cast("string").alias("round")]
     if circuit:
         race_fields.append(F.struct(F.col("circuitId").alias("circuitId")).alias("Circuit"))
@@ -46,17 +52,18 @@ def _race_pages(df: DataFrame, kind: str, array_name: str, elem: Column, page_si
         F.struct(F.array(race).alias("Races")).alias("RaceTable")).alias("MRData"))
 
 
-def result_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
+def result_pages(results: DataFrame, page_size: int = 100, skip: Column | None = None) -> DataFrame:
     elem = F.struct(
         F.struct(F.col("driverId").alias("driverId")).alias("Driver"),
         F.struct(F.col("constructorId").alias("constructorId")).alias("Constructor"),
         _num_str(F.col("grid")).alias("grid"), _num_str(F.col("positionOrder")).alias("position"),
         _num_str(F.col("points")).alias("points"), F.col("status").alias("status"))
     df = results.withColumn("_ord", F.col("positionOrder"))
-    return _race_pages(df, "results", "Results", elem, page_size, circuit=True)
+    return _race_pages(df, "results", "Results", elem, page_size, circuit=True, skip=skip)
 
 
-def qualifying_pages(qualifying: DataFrame, events: DataFrame, page_size: int = 100) -> DataFrame:
+def qualifying_pages(qualifying: DataFrame, events: DataFrame, page_size: int = 100,
+                     skip: Column | None = None) -> DataFrame:
     """``events`` maps raceId -> season, round."""
     q = qualifying.join(events.select("raceId", "season", "round").distinct(), "raceId")
 
@@ -68,15 +75,16 @@ def qualifying_pages(qualifying: DataFrame, events: DataFrame, page_size: int =
         _num_str(F.col("qualifying_pos")).alias("position"),
         lap("q1_ms").alias("Q1"), lap("q2_ms").alias("Q2"), lap("q3_ms").alias("Q3"))
     return _race_pages(q.withColumn("_ord", F.col("qualifying_pos")), "qualifying", "QualifyingResults",
-                       elem, page_size)
+                       elem, page_size, skip=skip)
 
 
-def sprint_pages(sprints: DataFrame, events: DataFrame, page_size: int = 100) -> DataFrame:
+def sprint_pages(sprints: DataFrame, events: DataFrame, page_size: int = 100,
+                 skip: Column | None = None) -> DataFrame:
     s = sprints.join(events.select("raceId", "season", "round").distinct(), "raceId")
     elem = F.struct(
         F.struct(F.col("driverId").alias("driverId")).alias("Driver"),
         _num_str(F.col("sprint_finish")).alias("position"), _num_str(F.col("sprint_points")).alias("points"))
-    return _race_pages(s.withColumn("_ord", F.col("sprint_finish")), "sprint", "SprintResults", elem, page_size)
+    return _race_pages(s.withColumn("_ord", F.col("sprint_finish")), "sprint", "SprintResults", elem, page_size, skip=skip)
 
 
 def driver_listing_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
@@ -90,16 +98,19 @@ def driver_listing_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
         F.struct(F.col("_items").alias("Drivers")).alias("DriverTable")).alias("MRData"))
 
 
-def write_pages(pages: DataFrame, root: str, mode: str = "append") -> None:
-    """One file per page: all rows of a page name go to one task."""
-    pages.repartition("page").write.mode(mode).partitionBy("page").json(root)
+def write_pages(pages: DataFrame, root: str, kind: str, mode: str = "append") -> None:
+    """Page files of one kind: one page a line, as many pages a file as a task has."""
+    pages.write.mode(mode).json(landing_paths(root, kind)[0])
 
 
 def land_facts(results: DataFrame, qualifying: DataFrame, sprints: DataFrame, root: str,
-               page_size: int = 100) -> None:
-    """Land all endpoints of all events under ``root``."""
+               page_size: int = 100, kinds: Iterable[str] = KINDS, skip: Column | None = None) -> None:
+    """Land the wanted kinds of pages of all events under ``root``. Pages for
+    which ``skip`` (over ``_page``, the page's number) holds are left out."""
     events = results.select("raceId", "season", "round").distinct()
-    write_pages(result_pages(results, page_size), root)
-    write_pages(qualifying_pages(qualifying, events, page_size), root)
-    write_pages(sprint_pages(sprints, events, page_size), root)
-    write_pages(driver_listing_pages(results, page_size), root)
+    made = {"results": lambda: result_pages(results, page_size, skip),
+            "qualifying": lambda: qualifying_pages(qualifying, events, page_size, skip),
+            "sprint": lambda: sprint_pages(sprints, events, page_size, skip),
+            "active_drivers": lambda: driver_listing_pages(results, page_size)}
+    for kind in kinds:
+        write_pages(made[kind](), root, kind)

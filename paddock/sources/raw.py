@@ -1,8 +1,10 @@
 """Raw nested JSON pages -> fact tables.
 
-A page is one JSON object per file (multi-line allowed) with the envelope
+A page is one JSON object with the envelope
 ``MRData{total, RaceTable.Races[], DriverTable.Drivers[], ConstructorTable...}``;
-all members are strings. Pages are read with an explicit schema (no
+all members are strings. A file holds one page (multi-line, named
+``<prefix>_offset_<n>.json``) or many (``lines``: one object per line with the
+page's name in ``page``). Pages are read with an explicit schema (no
 inference pass), exploded with ``posexplode`` (array positions kept for a
 deterministic keep-first), and de-duplicated on (event, entity) by the
 smallest (file, race index, row index).
@@ -51,33 +53,40 @@ RAW_SCHEMA = T.StructType([T.StructField("MRData", T.StructType([
     T.StructField("ConstructorTable", T.StructType([
         T.StructField("Constructors", _arr(("constructorId", S)))])),
     T.StructField("RaceTable", T.StructType([T.StructField("Races", T.ArrayType(RACE_SCHEMA))])),
-])), T.StructField(CORRUPT, S)])
+])), T.StructField("page", S), T.StructField(CORRUPT, S)])
 
 PAGE_RE = r"([^/=]+?)_offset_([0-9]+)(\.json)?$"
 
 
-def read_raw(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Read pages (S1). ``paths`` may be globs, e.g. ``dir/*results*.json``.
+def read_raw(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """Read pages (S1). ``paths`` may be globs, e.g. ``dir/*results*.json``, or
+    folders of page files (``lines``).
 
     Adds ``_file`` (page name without folder) for ordering and audits.
     """
-    return with_page_name(json_options(spark.read).json(paths))
+    return with_page_name(json_options(spark.read, lines).json(paths))
 
 
-def json_options(reader):
+def json_options(reader, lines: bool = False):
     """The options of every page reader, batch or stream."""
-    return reader.schema(RAW_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE") \
+    return reader.schema(RAW_SCHEMA).option("multiLine", not lines).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", CORRUPT)
 
 
 def with_page_name(df: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    # a page is a file named <prefix>_offset_<n>.json or a folder page=<name>
-    name = F.coalesce(F.nullif(F.regexp_extract(path, r"page=([^/]+)", 1), F.lit("")),
-                      F.regexp_extract(path, r"([^/]+)$", 1))
+    # the name inside the page file, else that of the file
+    name = F.coalesce("page", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
     return df.select("MRData", CORRUPT, name.alias("_file"))
 
 
+KINDS = ("results", "qualifying", "sprint", "active_drivers")
+
+
+def landing_paths(root: str, *kinds: str) -> list[str]:
+    """Folders of the page files of some kinds under a landing folder."""
+    return [f"{root.rstrip('/')}/{kind}" for kind in kinds]
+
+
 def _is_bad():
     return F.col(CORRUPT).isNotNull() | F.col("MRData").isNull()
 
@@ -98,11 +107,6 @@ def good_pages(raw: DataFrame, on_bad: str = "raise") -> DataFrame:
     return raw.withColumn("MRData", F.when(_is_bad(), F.raise_error(message)).otherwise(F.col("MRData")))
 
 
-def raw_glob(root: str, kind: str) -> list[str]:
-    """Glob(s) for one kind of page under a landing folder."""
-    return [f"{root.rstrip('/')}/page=*{kind}*/*.json"]
-
-
 def _races(raw: DataFrame, params: Params, on_bad: str) -> DataFrame:
     r = good_pages(raw, on_bad).select("_file", F.posexplode("MRData.RaceTable.Races").alias("_race_idx", "race"))
     season, rnd = to_int("race.season", 0), to_int("race.round", 0)

@@ -1,7 +1,7 @@
 """Incremental landing -> facts with Structured Streaming (ST1).
 
-New pages are picked up by a file stream source (explicit schema, one JSON
-object per file), exploded with their page positions and appended to a
+New pages are picked up by a file stream source (explicit schema, one page
+per file or many), exploded with their page positions and appended to a
 parquet sink. The sink and its checkpoint make the ingestion exactly-once
 and restartable after executor or driver loss; a second run only reads pages
 it has not seen. The keep-first dedup runs on read, over the whole sink, so
@@ -19,8 +19,8 @@ from ..sources.raw import explode_results, json_options, keep_first, with_page_n
 from ..spec import Params
 
 
-def _stream_raw(spark: SparkSession, path_glob: str) -> DataFrame:
-    return with_page_name(json_options(spark.readStream).option("maxFilesPerTrigger", 1000).json(path_glob))
+def _stream_raw(spark: SparkSession, path_glob: str, lines: bool) -> DataFrame:
+    return with_page_name(json_options(spark.readStream, lines).option("maxFilesPerTrigger", 1000).json(path_glob))
 
 
 def _pages(spark: SparkSession, sink: str) -> int:
@@ -33,12 +33,12 @@ def _pages(spark: SparkSession, sink: str) -> int:
 
 
 def ingest_incremental(spark: SparkSession, landing_glob: str, sink: str, checkpoint: str,
-                       params: Params = Params(), on_bad: str = "raise") -> int:
+                       params: Params = Params(), on_bad: str = "raise", lines: bool = False) -> int:
     """Run one availableNow pass; returns the number of pages whose rows are
     new in the sink (0 when nothing new was landed), counted in the sink. A
     malformed page fails the pass unless ``on_bad`` is ``quarantine``."""
     before = _pages(spark, sink)
-    rows = explode_results(_stream_raw(spark, landing_glob), params, on_bad)
+    rows = explode_results(_stream_raw(spark, landing_glob, lines), params, on_bad)
     q = rows.writeStream.format("parquet").option("path", sink) \
         .option("checkpointLocation", checkpoint).outputMode("append") \
         .trigger(availableNow=True).start()

@@ -117,18 +117,18 @@ def test_stream_equals_batch_and_second_run_adds_nothing(spark):
     first = r.filter(F.col("season") <= 1997)
     land_facts(first, q.limit(0), s.limit(0), root)
     sink, ckpt = scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
-    glob = raw.raw_glob(root, "results")[0]
-    n1 = ingest_incremental(spark, glob, sink, ckpt, p)
+    glob = raw.landing_paths(root, "results")[0]
+    n1 = ingest_incremental(spark, glob, sink, ckpt, p, lines=True)
     # pages of 100 entries: one results page per event at this scale
     assert n1 == first.select("raceId").distinct().count()
     # land the remaining seasons; only those pages are read
     rest = r.filter(F.col("season") > 1997)
     land_facts(rest, q.limit(0), s.limit(0), root)
-    n2 = ingest_incremental(spark, glob, sink, ckpt, p)
+    n2 = ingest_incremental(spark, glob, sink, ckpt, p, lines=True)
     assert n2 == rest.select("raceId").distinct().count()
-    assert ingest_incremental(spark, glob, sink, ckpt, p) == 0
+    assert ingest_incremental(spark, glob, sink, ckpt, p, lines=True) == 0
     streamed = read_ingested(spark, sink)
-    batch = raw.parse_results(raw.read_raw(spark, raw.raw_glob(root, "results")), p)
+    batch = raw.parse_results(raw.read_raw(spark, raw.landing_paths(root, "results"), lines=True), p)
     cols = ["raceId", "driverId", "grid", "positionOrder", "points", "status"]
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
