@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.text import list_array
+from paddock.llm.text import list_array, map_batches
 
 # GPT-2's split pattern, as the vocabulary files document it (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -117,7 +117,7 @@ def format_turns(conversations: DataFrame, template: ChatTemplate = ChatTemplate
                                   F.col("turn").cast("long").alias("turn"),
                                   F.col("role").cast("string").alias("role"),
                                   F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "conv_id long, turn long, role string, tokens array<int>, loss array<tinyint>")
+    return map_batches(narrow, run, "conv_id long, turn long, role string, tokens array<int>, loss array<tinyint>")
 
 
 def parse(tokens: np.ndarray, mask: np.ndarray, template: ChatTemplate) -> tuple[str, str, str, int]:
@@ -170,6 +170,7 @@ def read_back(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> Data
                 [pa.array([v], pa.string() if isinstance(v, str) else pa.int64()) for v in last], names)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tokens")
-    return ordered.select("conv_id", "tokens", "loss").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-             "formatted_chars long, n_tokens long, n_loss_tokens long")
+    return map_batches(
+        ordered.select("conv_id", "tokens", "loss"), run,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+        "formatted_chars long, n_tokens long, n_loss_tokens long")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.text import U64, Words, gather, pieces, shingles, utf8
+from paddock.llm.text import U64, Words, gather, map_batches, pieces, shingles, utf8
 
 NOT_ALNUM = np.zeros(256, dtype=bool)
 NOT_ALNUM[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -189,7 +189,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = Le
                          pa.array([x for *_, x, _ in found], pa.float64()),
                          pa.array([w for *_, w in found], pa.int64())], ["id", "item", "similarity", "start_word"])
 
-        found = docs.mapInArrow(run, schema)
+        found = map_batches(docs, run, schema)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("id", "item").agg(F.max(F.struct("similarity", -F.col("start_word"))).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("m.similarity"),

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm.decontaminate import NOT_ALNUM
-from paddock.llm.text import Words, pieces, utf8
+from paddock.llm.text import Words, map_batches, pieces, utf8
 
 UNKNOWN = "und"
 NOT_LETTER = NOT_ALNUM.copy()
@@ -240,5 +240,5 @@ def identify(docs: DataFrame, model: LanguageModel = LanguageModel(), *, id_col:
 
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", held_out.alias("held_out"), "text").mapInArrow(
-        run, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
+    return map_batches(docs.select("id", held_out.alias("held_out"), "text"), run,
+                       f"{id_col} {kind}, held_out boolean, lang_pred string, score double")

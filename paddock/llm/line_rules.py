@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.text import ASCII_LOWER, Words, gather, pieces, shingles, span_hashes, utf8
+from paddock.llm.text import ASCII_LOWER, Words, gather, map_batches, pieces, shingles, span_hashes, utf8
 
 
 @dataclass(frozen=True)
@@ -162,4 +162,4 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str
                 yield pa.RecordBatch.from_arrays(arrays, ["id", *cols])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+    return map_batches(narrow, run, SCHEMA).withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.text import pieces
+from paddock.llm.text import map_batches, pieces
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
@@ -231,7 +231,7 @@ def learn_weights(pages: DataFrame, model: RegionModel) -> dict[str, float]:
                 [pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()),
                  pa.array([outside[n] for n in names], pa.int64())], ["feature", "inside", "outside"])
 
-    counts = sample.mapInArrow(run, "feature string, inside long, outside long").groupBy("feature").agg(
+    counts = map_batches(sample, run, "feature string, inside long, outside long").groupBy("feature").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(model.max_features).collect()
     weights = {}
@@ -262,4 +262,4 @@ def extract(pages: DataFrame, model: RegionModel = RegionModel(), *, id_col: str
                      pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
 
     kind = named.schema["id"].dataType.simpleString()
-    return named.mapInArrow(run, f"{id_col} {kind}, url string, text string, n_chars long")
+    return map_batches(named, run, f"{id_col} {kind}, url string, text string, n_chars long")

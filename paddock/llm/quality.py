@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.decontaminate import NOT_ALNUM
-from paddock.llm.text import U64, Words, gather, list_array, pieces, utf8
+from paddock.llm.text import U64, Words, gather, list_array, map_batches, pieces, utf8
 from paddock.session import materialize
 
 
@@ -154,7 +154,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, model: QualityModel) ->
 
     # the broadcast side is bounded by max_labels rows of three numbers
     joined = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("text", "low", "toxic")
-    return joined.mapInArrow(run, "ids array<int>, low double, toxic double").limit(2 * model.max_labels)
+    return map_batches(joined, run, "ids array<int>, low double, toxic double").limit(2 * model.max_labels)
 
 
 def document_evidence(docs: DataFrame, labels: DataFrame, model: QualityModel) -> DataFrame:
@@ -172,7 +172,7 @@ def document_evidence(docs: DataFrame, labels: DataFrame, model: QualityModel) -
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("host"), part.column("path"), *scores],
                                                  ["id", "host", "path", "p_low", "p_toxic"])
 
-    return docs.mapInArrow(run, "id long, host string, path string, p_low double, p_toxic double")
+    return map_batches(docs, run, "id long, host string, path string, p_low double, p_toxic double")
 
 
 def _strength(groups: DataFrame, rate: Column, model: QualityModel) -> float:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.text import U64, gather, list_array, pieces, span_hashes, utf8
+from paddock.llm.text import U64, gather, list_array, map_batches, pieces, span_hashes, utf8
 
 SPACE = "▁"
 _CELLS = 1 << 17  # word positions in one numpy block
@@ -353,8 +353,8 @@ def encode(docs: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"{id_col} {kind}, ids array<int>, n_tokens long, score double, exact boolean, "
-                                  f"alternatives {ALTERNATIVES}")
+    return map_batches(narrow, run, f"{id_col} {kind}, ids array<int>, n_tokens long, score double, exact boolean, "
+                                    f"alternatives {ALTERNATIVES}")
 
 
 def decode(encoded: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "doc_id") -> DataFrame:
@@ -373,4 +373,4 @@ def decode(encoded: DataFrame, model: PieceModel = PieceModel(), *, id_col: str
 
     narrow = encoded.select(F.col(id_col).alias("id"), "ids")
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"{id_col} {kind}, text string")
+    return map_batches(narrow, run, f"{id_col} {kind}, text string")

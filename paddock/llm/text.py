@@ -12,8 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
+BATCH_ROWS = 2_000  # rows of a batch that travels between Spark and a Python worker
 # Odd multiplier of the polynomial byte hash and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -44,6 +46,16 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_ROWS rows: texts are long, and a
+    batch is held by the JVM and by the worker at once. The limit is a setting of the
+    session; a smaller one is left as it is."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``max_bytes`` of text, so the
     arrays made from one run stay small; a longer text is a run of its own."""
