@@ -34,10 +34,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.text import U64, Words, mix, pieces, shingles, utf8
+from paddock.llm.text import U64, Words, map_batches, mix, pieces, shingles, utf8
 from paddock.session import materialize
 
 
@@ -46,28 +46,36 @@ class PassageRules:
     size: int = 5  # words per shingle
     percent: int = 80  # shared shingles of a passage
     min_words: int = 50
-    hashes: int = 4  # min-hash functions; each finds an exact repeat on its own
+    hashes: int = 3  # min-hash functions; each finds an exact repeat on its own
     min_hashes: int = 1  # functions that must agree on a candidate region
     max_gap: int = 10  # unshared shingles that runs join across (about six changed words)
-    grid: int = 8  # step of the exact runs of the second grouping
+    grid: int = 16  # step of the exact runs of the second grouping
+    chunk: int = 1_000  # regions that travel with one copy of their pivot's text
 
     @property
     def width(self) -> int:
         return self.min_words - self.size + 1
 
 
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``width`` neighbours, by doubling."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values = pick(values[:len(values) - step], values[step:])
+        reach += step
+    return values
+
+
 def window_minima(values: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are the leftmost minimum of a window of ``width`` within one row."""
+    """Positions that are a minimum of a window of ``width`` within one row (with all ties); values are above 0."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, reach = np.arange(len(values)), 1
-    while reach < width:
-        step = min(reach, width - reach)
-        a, b = best[:len(best) - step], best[step:]
-        best = np.where(values[b] < values[a], b, a)
-        reach += step
-    return np.unique(best[:n][rows[:n] == rows[width - 1:]])
+    low = np.zeros(n + 2 * (width - 1), dtype=U64)
+    low[width - 1:width - 1 + n] = np.where(rows[:n] == rows[width - 1:], _sliding(values, width, np.minimum), U64(0))
+    # the largest minimum of the windows around a position is its own value if it is one of them
+    return np.flatnonzero(_sliding(low, width, np.maximum) == values)
 
 
 def compact_windows(values: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray,
@@ -77,22 +85,23 @@ def compact_windows(values: np.ndarray, rows: np.ndarray, first: np.ndarray, las
     v, row = values[c], rows[c]
     n = len(c)
     before, after = np.arange(n) - 1, np.arange(n) + 1
-    while True:  # pointer jumping to the next smaller value on either side, within the row
-        here = np.flatnonzero((before >= 0) & (row[np.maximum(before, 0)] == row) & (v[np.maximum(before, 0)] > v))
-        if not len(here):
-            break
+    # pointer jumping to the next smaller value on either side, within the row
+    here = np.arange(n)
+    while len(here):
+        b = np.maximum(before[here], 0)
+        here = here[(before[here] >= 0) & (row[b] == row[here]) & (v[b] > v[here])]
         before[here] = before[before[here]]
-    while True:
-        here = np.flatnonzero((after < n) & (row[np.minimum(after, n - 1)] == row)
-                              & (v[np.minimum(after, n - 1)] >= v))
-        if not len(here):
-            break
+    here = np.arange(n)
+    while len(here):
+        b = np.minimum(after[here], n - 1)
+        here = here[(after[here] < n) & (row[b] == row[here]) & (v[b] >= v[here])]
         after[here] = after[after[here]]
     inside = (before >= 0) & (row[np.maximum(before, 0)] == row)
     left = np.where(inside, c[np.maximum(before, 0)] + 1, first[row])
     inside = (after < n) & (row[np.minimum(after, max(n - 1, 0))] == row) if n else np.zeros(0, bool)
     right = np.where(inside, c[np.minimum(after, max(n - 1, 0))] - 1, last[row])
-    return left, c, right
+    wide = right - left + 1 >= width  # of ties only the leftmost has wide windows to its left
+    return left[wide], c[wide], right[wide]
 
 
 class Sequences:
@@ -114,7 +123,7 @@ def windows(docs: DataFrame, how: PassageRules) -> DataFrame:
                 seq = Sequences(part.column("text"), how.size)
                 ids = part.column("id").to_numpy()
                 for f in range(how.hashes):
-                    v = mix(seq.values ^ mix(np.full(1, f + 1, dtype=U64)))
+                    v = mix(seq.values ^ mix(np.full(1, f + 1, dtype=U64))) | U64(1)
                     left, c, right = compact_windows(v, seq.rows, seq.first, seq.stop - 1, how.width)
                     row = seq.rows[c]
                     base = seq.first[row]
@@ -124,7 +133,7 @@ def windows(docs: DataFrame, how: PassageRules) -> DataFrame:
                          pa.array((left - base).astype(np.int32)), pa.array((right - base).astype(np.int32))],
                         ["key", "id", "f", "c", "l", "r"])
 
-    return docs.mapInArrow(run, "key long, id long, f byte, c int, l int, r int")
+    return map_batches(docs, run, "key long, id long, f byte, c int, l int, r int")
 
 
 def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
@@ -154,10 +163,11 @@ def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
                 + [pa.array(col[keep].astype(np.int32)) for col in (c - pc, c - before, c + beyond, c)], names)
 
     ordered = found.repartition("key").sortWithinPartitions("key", "id", "c")
-    star = ordered.mapInArrow(run, "x long, p long, f byte, diagonal int, lo int, hi int, c int")
+    star = map_batches(ordered, run, "x long, p long, f byte, diagonal int, lo int, hi int, c int")
     merged = star.groupBy("x", "p", "diagonal").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("f").alias("fs"),
-        F.collect_set("c").alias("at"))
+        # one function's windows are enough for the second grouping
+        F.collect_set(F.when(F.col("f") == 0, F.col("c"))).alias("at"))
     return merged.filter(F.size("fs") >= how.min_hashes).drop("fs")
 
 
@@ -175,68 +185,96 @@ def passages(shared: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in out if b - a >= how.width]
 
 
+def _by_length(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows whose lists have about ``most`` entries together."""
+    ends = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()))
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def verify(regions: DataFrame, docs: DataFrame, how: PassageRules) -> DataFrame:
     """Rows of two kinds: passages (p, start, stop; key null) and, for windows that no
     passage covers, exact runs around them (key, start, content) for the second grouping."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, slack = ["x", "p", "lo", "hi", "at", "content"], how.max_gap
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in (some for text in pieces(batch, "text") for some in _by_length(text, "asked", 4 * how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
                 short = (seq.values >> U64(32)).astype(np.uint32)
-                content = []
-                for i, (lo, hi, d) in enumerate(zip(*(part.column(k).to_pylist() for k in ("lo", "hi", "diagonal")),
-                                                    strict=True)):
-                    a = max(seq.first[i], seq.first[i] + lo - d - how.width)
-                    content.append(short[a:max(a, min(seq.stop[i], seq.first[i] + hi - d + 1 + how.width))].tobytes())
+                asked = part.column("asked")
+                row = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
+                flat = asked.flatten()
+                fields = {n: flat.field(n) for n in ("x", "diagonal", "lo", "hi", "at")}
+                lo, hi, shift = (fields[n].to_numpy() for n in ("lo", "hi", "diagonal"))
+                first, stop = seq.first[row], seq.stop[row]
+                a = np.clip(first + lo - shift - slack, first, stop)
+                b = np.clip(first + hi - shift + 1 + slack, first, stop)
+                content = [short[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in ("x", "p", "lo", "hi", "at")] + [pa.array(content, pa.binary())],
-                    ["x", "p", "lo", "hi", "at", "content"])
+                    [fields["x"], part.column("p").take(pa.array(row)), fields["lo"], fields["hi"], fields["at"],
+                     pa.array(content, pa.binary())], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = max(how.width - how.grid + 1, 1)
+        run = how.width - how.grid + 1
+        offsets = sorted({*range(0, run, how.grid), run - 1})  # of the window inside its exact runs
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in (some for text in pieces(batch, "text") for some in _by_length(text, "regions", 4 * how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
                 short = (seq.values >> U64(32)).astype(np.uint32)
-                rows: list[tuple] = []
-                for i, (x, given) in enumerate(zip(part.column("x").to_pylist(), part.column("regions").to_pylist(),
-                                                   strict=True)):
-                    own, exact = short[seq.first[i]:seq.stop[i]], seq.values[seq.first[i]:seq.stop[i]]
-                    spans, missed = [], set()
+                ids = part.column("x").to_pylist()
+                spans, missed = [], []
+                for i, given in enumerate(part.column("regions").to_pylist()):
+                    base = int(seq.first[i])
+                    own, covered, left = short[base:seq.stop[i]], [], set()
                     for g in given:
-                        lo, hi = g["lo"], g["hi"]
-                        other = np.frombuffer(g["content"], dtype=np.uint32)
-                        good = passages(np.isin(own[lo:hi + 1], other), how)
-                        rows += [(x, g["p"], lo + a, lo + b, None, None) for a, b in good]
-                        spans += [(lo + a, lo + b) for a, b in good]
-                        missed.update(c for c in g["at"] if not any(lo + a <= c < lo + b for a, b in good))
-                    grid = set()
-                    for c in missed:
-                        if any(a <= c < b for a, b in spans):
-                            continue
-                        for a in range(0, run, how.grid):  # runs with c at offsets 0, grid, 2 grid, ...
-                            if c - a >= 0 and c - a + run <= len(own):
-                                grid.add((c - a, c))
-                    for s, c in sorted(grid):
-                        total = mix(exact[s:s + run] + np.arange(run, dtype=U64)).sum(dtype=U64)
-                        key = mix(total + U64(c - s) + exact[c:c + 1])
-                        a, b = max(0, s - how.grid), min(len(own), s + run + how.grid)
-                        pad = np.zeros(2 * how.grid, dtype=np.uint32)
-                        pad[how.grid - (s - a):how.grid] = own[a:s]
-                        pad[how.grid:how.grid + b - s - run] = own[s + run:b]
-                        rows.append((x, None, s, s + run, int(key.view(np.int64)[0]), pad.tobytes()))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                        lo, hi, at = g["lo"], g["hi"], np.array(g["at"])
+                        good = passages(np.isin(own[lo:hi + 1], np.frombuffer(g["content"], dtype=np.uint32)), how)
+                        spans += [(ids[i], g["p"], lo + a, lo + b) for a, b in good]
+                        covered += [(lo + a, lo + b) for a, b in good]
+                        left.update(at.tolist())
+                    missed += [base + c for c in left if not any(a <= c < b for a, b in covered)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(col), t) for col, t in zip(
-                        cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                    [pa.array([r[j] for r in spans], t) for j, t in enumerate(
+                        (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                    + [pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.binary())],
                     ["x", "p", "start", "stop", "key", "content"])
-
-    other = regions.join(docs.select(F.col("id").alias("p"), "text"), "p").select(
-        "x", "p", "diagonal", "lo", "hi", "at", "text").mapInArrow(
-        cut, "x long, p long, lo int, hi int, at array<int>, content binary")
+                # exact runs around the windows that no passage covers
+                total = np.zeros(len(seq.values) + 1, dtype=U64)
+                np.cumsum(mix(seq.values), out=total[1:])
+                c = np.array(sorted(missed), dtype=np.int64)
+                row = seq.rows[c] if len(c) else c
+                for offset in offsets:
+                    s = c - offset
+                    fits = (s >= seq.first[row]) & (s + run <= seq.stop[row])
+                    s, r, at = s[fits], row[fits], c[fits]
+                    if not len(s):
+                        continue
+                    key = mix((total[s + run] - total[s]) ^ mix(seq.values[at] + U64(offset)))
+                    reach = np.concatenate([np.arange(-how.grid, 0), run + np.arange(how.grid)])
+                    near = s[:, None] + reach[None, :]
+                    inside = (near >= seq.first[r][:, None]) & (near < seq.stop[r][:, None])
+                    pad = np.where(inside, short[np.clip(near, 0, len(short) - 1)], 0).astype(np.uint32)
+                    begin = (s - seq.first[r]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("x").take(pa.array(r)), pa.nulls(len(s), pa.int64()), pa.array(begin),
+                         pa.array(begin + np.int32(run)), pa.array(key.view(np.int64)),
+                         pa.array([x.tobytes() for x in pad], pa.binary())],
+                        ["x", "p", "start", "stop", "key", "content"])
+
+    # a pivot document's text goes with its regions in chunks of bounded size, however many there are
+    many = regions.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    chunk = F.pmod(F.xxhash64("x", "diagonal"), F.ceil(F.col("n") / how.chunk))
+    asked = regions.join(many, "p").groupBy("p", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct("x", "diagonal", "lo", "hi", "at")).alias("asked"))
+    pivots = asked.join(docs.select(F.col("id").alias("p"), "text"), "p").select("p", "text", "asked")
+    other = map_batches(pivots, cut, "x long, p long, lo int, hi int, at array<int>, content binary")
     grouped = other.groupBy("x").agg(F.collect_list(F.struct("p", "lo", "hi", "at", "content")).alias("regions"))
-    return grouped.join(docs.select(F.col("id").alias("x"), "text"), "x").select("x", "text", "regions").mapInArrow(
-        compare, "x long, p long, start int, stop int, key long, content binary")
+    members = grouped.join(docs.select(F.col("id").alias("x"), "text"), "x").select("x", "text", "regions")
+    return map_batches(members, compare, "x long, p long, start int, stop int, key long, content binary")
 
 
 def exact_runs(missed: DataFrame, how: PassageRules) -> DataFrame:
@@ -263,24 +301,34 @@ def exact_runs(missed: DataFrame, how: PassageRules) -> DataFrame:
                                                  ["x", "p", "start", "stop"])
 
     ordered = missed.repartition("key").sortWithinPartitions("key", "x", "start")
-    return ordered.select("key", "x", "start", "stop", "content").mapInArrow(
-        run, "x long, p long, start long, stop long")
+    return map_batches(ordered.select("key", "x", "start", "stop", "content"), run,
+                       "x long, p long, start long, stop long")
 
 
 def repeated_passages(docs: DataFrame, how: PassageRules = PassageRules(), *, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """(doc_id, ref_doc_id, start_word, end_word, n_words): passages of a document that a
-    document with a smaller id has too, as half-open word ranges."""
+    """(doc_id, start_word, end_word, n_words, ref_doc_ids): passages of a document that documents
+    with smaller ids (one of each group of texts) have too, as half-open word ranges."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(
         "id IS NOT NULL")
     regions = materialize(candidates(windows(docs, how), how), "regions")
     checked = materialize(verify(regions, docs, how), "passages")
     spans = checked.filter("key IS NULL").select("x", "p", F.col("start").cast("long"), F.col("stop").cast("long"))
-    spans = spans.unionByName(exact_runs(checked.filter("key IS NOT NULL"), how)).distinct()
-    end = F.col("stop") + how.size - 1
-    return spans.select(F.col("x").alias(id_col), F.col("p").alias(f"ref_{id_col}"),
-                        F.col("start").alias("start_word"), end.alias("end_word"),
-                        (end - F.col("start")).alias("n_words"))
+    spans = spans.unionByName(exact_runs(checked.filter("key IS NOT NULL"), how))
+    return merged_spans(spans, how).select(
+        F.col("x").alias(id_col), F.col("start").alias("start_word"), F.col("stop").alias("end_word"),
+        (F.col("stop") - F.col("start")).alias("n_words"), F.col("refs").alias(f"ref_{id_col}s"))
+
+
+def merged_spans(spans: DataFrame, how: PassageRules) -> DataFrame:
+    """Overlapping passages of a document as one word range with the documents that have parts of it."""
+    once = spans.groupBy("x", "start", "stop").agg(F.collect_set("p").alias("ps"))
+    order = Window.partitionBy("x").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(order)
+    return once.withColumn("before", before).withColumn("island", island).groupBy("x", "island").agg(
+        F.min("start").alias("start"), (F.max("stop") + how.size - 1).alias("stop"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("refs"))
 
 
 def drop_passages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
@@ -308,4 +356,4 @@ def drop_passages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
     cuts = found.groupBy(F.col(id_col).alias(cut_id)).agg(
         F.collect_set(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias(spans))
     joined = docs.join(cuts, F.col(id_col) == F.col(cut_id), "left").select(*names, spans)
-    return joined.mapInArrow(run, docs.schema)
+    return map_batches(joined, run, docs.schema)
