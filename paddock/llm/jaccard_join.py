@@ -18,8 +18,8 @@ steps, each exact:
    lost, and unrelated sets do not meet in an empty slice.
    Regions take the name of their smallest id and those of one name merge: a
    cluster that coincides in many slices becomes one region.
-3. Members carry their counts in 128 hash buckets; the L1 distance of counts
-   never exceeds the symmetric difference. Within a region a member beyond the
+3. Members carry their counts in hash buckets, about two to four shingles in
+   each; the L1 distance of counts never exceeds the symmetric difference. Within a region a member beyond the
    radius of all pivots becomes a pivot, every other belongs to the Voronoi cell
    of its closest pivot: one pair each, verified with the texts. Members that
    only met by chance part without looking at a text.
@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.components import components
-from paddock.llm.text import U64, list_array, mix, pieces, shingle_sets
+from paddock.llm.text import U64, list_array, map_batches, mix, pieces, shingle_sets
 from paddock.session import materialize
 
 
@@ -62,7 +62,7 @@ class JaccardJoin:
     percent: int = 80
     shell_ratio: float = 1.5
     extra_slices: int = 2
-    buckets: int = 128
+    buckets: int = 128  # at least; doubled until a set has at most four shingles a bucket
 
     few: int = 10  # up to so many differing shingles, subsets of empty slices are enumerated
 
@@ -153,14 +153,12 @@ def signed(docs: DataFrame, how: JaccardJoin) -> DataFrame:
                     if len(full):
                         out[full] = np.add.reduceat(mix(values ^ salt), (np.cumsum(sizes) - sizes)[full])
                     digests.append(pa.array(out.view(np.int64)))
-                bucket = rows * how.buckets + (values % U64(how.buckets)).astype(np.int64)
-                filled = np.minimum(np.bincount(bucket, minlength=len(sizes) * how.buckets), 255).astype(np.uint8)
-                filled = [x.tobytes() for x in filled.reshape(-1, how.buckets)]
+                filled = sketches(values, sizes, how.buckets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(sizes.astype(np.int64)), *digests, pa.array(filled, pa.binary()),
                      list_array(pa.array(keys.view(np.int64)), counts)], ["id", "n", "h1", "h2", "counts", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, counts binary, keys array<long>")
+    return map_batches(docs, run, "id long, n long, h1 long, h2 long, counts binary, keys array<long>")
 
 
 def named_regions(members: DataFrame) -> DataFrame:
@@ -185,33 +183,52 @@ def named_regions(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(region[other]), pa.array(x[other])], ["region", "x"])
 
     ordered = members.repartition("key").sortWithinPartitions("key", "x")
-    others = ordered.mapInArrow(run, "region long, x long").distinct()
+    others = materialize(map_batches(ordered, run, "region long, x long").distinct(), "regions")  # read twice
     return others.unionByName(others.select("region", F.col("region").alias("x")).distinct())
 
 
-def _sketches(column: pa.Array, buckets: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, buckets).astype(np.int16)
+def sketches(values: np.ndarray, sizes: np.ndarray, least: int) -> list[bytes]:
+    """Counts of every set in hash buckets, a power of two times ``least``, one byte each."""
+    buckets = least << np.ceil(np.log2(np.maximum(sizes / (4 * least), 1))).astype(np.int64)
+    first = np.cumsum(buckets) - buckets
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = first[row] + (values & (buckets[row] - 1).astype(U64)).astype(np.int64)
+    flat = np.minimum(np.bincount(place, minlength=int(buckets.sum())), 255).astype(np.uint8).tobytes()
+    return [flat[a:a + n] for a, n in zip(first.tolist(), buckets.tolist(), strict=True)]
+
+
+def folded(given: list[bytes], buckets: int) -> np.ndarray:
+    """Sketches as one matrix with ``buckets`` columns; larger ones are folded, which keeps the bound."""
+    out = np.empty((len(given), buckets), dtype=np.int32)
+    size = np.fromiter(map(len, given), dtype=np.int64, count=len(given))
+    for n in np.unique(size).tolist():
+        some = np.flatnonzero(size == n)
+        own = np.frombuffer(b"".join(given[i] for i in some), np.uint8).reshape(len(some), n // buckets, buckets)
+        out[some] = own.sum(axis=1, dtype=np.int32)
+    return out
 
 
 def cells(members: DataFrame, how: JaccardJoin) -> DataFrame:
     """(x, p): members of (region, x, n, counts) and the closest pivot of their region
     within the radius (step 3). Rows are streamed; only the region's pivots are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pivots, sketches, sizes = None, [], [], []
+        current, pivots, kept, sizes = None, [], [], []
         for batch in batches:
             region, x, n = (batch.column(i).to_numpy() for i in range(3))
-            counts = _sketches(batch.column(3), how.buckets)
+            given = batch.column(3).to_pylist()
             out_x, out_p = [], []
             begin = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else []
             for a, b in zip(begin, [*begin[1:], len(region)], strict=True):
                 if current != region[a]:
-                    current, pivots, sketches, sizes = region[a], [], [], []
-                whole = np.arange(a, b)
+                    current, pivots, kept, sizes = region[a], [], [], []
+                whole, own = np.arange(a, b), given[a:b]
+                width = min(map(len, [*own, *kept]))
+                counts, old = folded(own, width), folded(kept, width)
                 closest, owner = np.full(b - a, np.inf), np.full(b - a, -1)
                 done, begun = 0, 0
                 while True:
                     for j in range(done, len(pivots)):
-                        apart = np.abs(counts[whole[begun:]] - sketches[j]).sum(axis=1)
+                        apart = np.abs(counts[begun:] - old[j]).sum(axis=1)
                         within = apart <= how.radius(n[whole[begun:]], sizes[j])
                         better = np.flatnonzero(within & (apart < closest[begun:])) + begun
                         closest[better], owner[better] = apart[better - begun], j
@@ -223,7 +240,8 @@ def cells(members: DataFrame, how: JaccardJoin) -> DataFrame:
                     owner[begun] = len(pivots)
                     closest[begun] = -1
                     pivots.append(x[whole[begun]])
-                    sketches.append(counts[whole[begun]])
+                    kept.append(own[begun])
+                    old = np.concatenate([old, counts[begun:begun + 1]])
                     sizes.append(n[whole[begun]])
                     begun += 1
                 p = np.array(pivots)[owner]
@@ -235,7 +253,7 @@ def cells(members: DataFrame, how: JaccardJoin) -> DataFrame:
                                                  ["x", "p"])
 
     ordered = members.repartition("region").sortWithinPartitions("region", "x")
-    return ordered.select("region", "x", "n", "counts").mapInArrow(run, "x long, p long").distinct()
+    return map_batches(ordered.select("region", "x", "n", "counts"), run, "x long, p long").distinct()
 
 
 def across(members: DataFrame, how: JaccardJoin) -> DataFrame:
@@ -246,25 +264,25 @@ def across(members: DataFrame, how: JaccardJoin) -> DataFrame:
         current, held = None, None
         for batch in batches:
             region, x, far, component, n = (batch.column(i).to_numpy() for i in range(5))
-            counts = _sketches(batch.column(5), how.buckets)
+            given = batch.column(5).to_pylist()
             begin = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else []
             for a, b in zip(begin, [*begin[1:], len(region)], strict=True):
                 if current != region[a]:
                     current, held = region[a], []
-                for i in range(a, b):
-                    if far[i]:
-                        held.append((x[i], component[i], n[i], counts[i]))
-                for hx, hc, hn, hs in held:
+                held += [(x[i], component[i], n[i], given[i]) for i in range(a, b) if far[i]]
+                width = min(map(len, [*given[a:b], *(h[3] for h in held)]))
+                counts, old = folded(given[a:b], width), folded([h[3] for h in held], width)
+                for (hx, hc, hn, _), hs in zip(held, old, strict=True):
                     some = np.arange(a, b)
                     some = some[(component[some] != hc) & ((far[some] == 0) | (x[some] > hx))]
-                    near = np.abs(counts[some] - hs).sum(axis=1) <= how.radius(n[some], hn)
+                    near = np.abs(counts[some - a] - hs).sum(axis=1) <= how.radius(n[some], hn)
                     if near.any():
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.maximum(x[some[near]], hx)), pa.array(np.minimum(x[some[near]], hx))], ["x", "p"])
 
     ordered = members.repartition("region").sortWithinPartitions("region", F.col("far").desc(), "x")
-    return ordered.select("region", "x", "far", "component", "n", "counts").mapInArrow(
-        run, "x long, p long").distinct()
+    return map_batches(ordered.select("region", "x", "far", "component", "n", "counts"), run,
+                       "x long, p long").distinct()
 
 
 def overlap(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +310,7 @@ def verified(pairs: DataFrame, docs: DataFrame, how: JaccardJoin) -> DataFrame:
 
     texts = pairs.join(docs.select(F.col("id").alias("x"), F.col("text").alias("text_x")), "x")
     texts = texts.join(docs.select(F.col("id").alias("p"), F.col("text").alias("text_p")), "p")
-    return texts.select("x", "p", "text_x", "text_p").mapInArrow(run, "x long, p long")
+    return map_batches(texts.select("x", "p", "text_x", "text_p"), run, "x long, p long")
 
 
 def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), *, id_col: str = "doc_id",
