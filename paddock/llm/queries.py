@@ -97,6 +97,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_quality": r"""
+        WITH given AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        worded AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM given),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM worded WHERE len(w) >= 8)),
+        repeated AS (
+            SELECT doc_id, count(DISTINCT j) AS n FROM (
+                SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (
+                    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows) WHERE c > 1)
+            GROUP BY doc_id),
+        cut AS (
+            SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+            FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM given)),
+        lines AS (
+            SELECT *, len(w) AS n, length(line) AS width,
+                   translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                   length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper,
+                   length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters,
+                   row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again
+            FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM cut) WHERE len(w) > 0),
+        judged AS (
+            SELECT doc_id, n, again,
+                (NOT regexp_matches(w[-1], '[.!?:;"'')]$') AND n <= 3)
+                OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 30 * n
+                OR (100 * upper > 70 * letters AND letters > 20)
+                OR 100 * length(regexp_replace(line, '[^0-9]', '', 'g')) > 50 * width
+                OR (length(regexp_replace(line, '[^|<>]', '', 'g')) >= 2
+                    AND 5 * length(regexp_replace(line, '[^|<>]', '', 'g')) >= n)
+                OR len(list_filter(['cookie', 'javascript', 'lorem ipsum', 'terms of use', 'privacy policy',
+                                    'all rights reserved', 'click here', 'sign in', 'subscribe'],
+                                   lambda p: contains(low, p) AND 2 * length(p) >= width)) > 0
+                OR again AS bad
+            FROM lines),
+        per AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad_lines, count(*) FILTER (again) AS n_dup,
+                   coalesce(sum(n) FILTER (NOT bad), 0) AS clean FROM judged GROUP BY doc_id),
+        counted AS (
+            SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(p.n_dup, 0) AS n_dup_lines,
+                   coalesce(r.n, 0) AS n_repeat_words, coalesce(p.n_lines, 0) AS n_lines,
+                   coalesce(p.n_bad_lines, 0) AS n_bad_lines, coalesce(p.clean, 0) AS clean_words
+            FROM worded w LEFT JOIN per p USING (doc_id) LEFT JOIN repeated r USING (doc_id))
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+               n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+                   AND 100 * (n_words - clean_words) <= 50 * n_words AS kept,
+               n_lines::BIGINT AS n_lines, n_bad_lines::BIGINT AS n_bad_lines, clean_words::BIGINT AS clean_words
+        FROM counted""",
     "op7_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
