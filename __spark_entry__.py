@@ -343,6 +343,10 @@ def q_active_entities(spark, sf):
     return raw.active_entities(_landed(spark, sf, "active_drivers"))
 
 
+def q_active_teams(spark, sf):
+    return raw.active_entities(_landed(spark, sf, "active_constructors"), "constructor")
+
+
 def q_event_universe(spark, sf):
     pages = _landed(spark, sf, "results", "active_drivers")
     listing = pages.filter(F.col("_file").startswith("active_drivers"))
@@ -562,6 +566,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s2_missing_pages": q_missing_pages,
     "s3_pending_requests": q_pending_requests,
     "s4_active_entities": q_active_entities,
+    "s4_active_constructors": q_active_teams,
     "s5_event_universe": q_event_universe,
     "st1_ingest_incremental": q_ingest_incremental,
     "w9_w11_event_rates": q_event_rates,

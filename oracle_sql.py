@@ -339,13 +339,14 @@ def raw_queries() -> dict[str, str]:
            f"WHERE season >= {P.first_period}")
     q["p1_parse_results"] = f"WITH {ADAPTER_SQL_CTES}\n{res}"
     q["st1_ingest_incremental"] = f"WITH {ADAPTER_SQL_CTES}\n{res}"
+    floor = f"WHERE raceId IN (SELECT raceId FROM fact_results WHERE season >= {P.first_period})"
     q["p2_parse_qualifying"] = (
         f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('qualifying_pos')} AS qualifying_pos, "
         f"{r6('q1_ms')} AS q1_ms, {r6('q2_ms')} AS q2_ms, {r6('q3_ms')} AS q3_ms, "
-        f"{r6('driver_best_q_ms')} AS driver_best_q_ms FROM fact_qualifying")
+        f"{r6('driver_best_q_ms')} AS driver_best_q_ms FROM fact_qualifying {floor}")
     q["p3_parse_sprints"] = (
         f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('sprint_finish')} AS sprint_finish, "
-        f"{r6('sprint_points')} AS sprint_points FROM fact_sprints")
+        f"{r6('sprint_points')} AS sprint_points FROM fact_sprints {floor}")
     q["s2_missing_pages"] = f"""WITH {ADAPTER_SQL_CTES},
 ev AS (SELECT DISTINCT raceId, season, round FROM fact_results),
 tot AS (
@@ -366,6 +367,7 @@ landed AS (
 SELECT season, round, endpoint FROM ev, (VALUES ('results'), ('qualifying'), ('sprint')) t(endpoint)
 EXCEPT SELECT season, round, endpoint FROM landed"""
     q["s4_active_entities"] = f"WITH {ADAPTER_SQL_CTES}\nSELECT DISTINCT driverId AS id FROM fact_results"
+    q["s4_active_constructors"] = f"WITH {ADAPTER_SQL_CTES}\nSELECT DISTINCT constructorId AS id FROM fact_results"
     q["s5_event_universe"] = f"""WITH {ADAPTER_SQL_CTES}
 SELECT DISTINCT season, round FROM fact_results
 WHERE season >= {P.first_period}

@@ -87,15 +87,24 @@ def sprint_pages(sprints: DataFrame, events: DataFrame, page_size: int = 100,
     return _race_pages(s.withColumn("_ord", F.col("sprint_finish")), "sprint", "SprintResults", elem, page_size, skip=skip)
 
 
-def driver_listing_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
-    """active_drivers_<season> listing pages: distinct entities per period."""
-    d = results.select("season", "driverId").distinct()
-    p = _paginate(d, ["season"], ["driverId"], F.struct(F.col("driverId").alias("driverId")), page_size)
-    name = F.concat(F.lit("active_drivers_"), F.col("season").cast("string"), F.lit("_offset_"),
+def listing_pages(results: DataFrame, entity: str, prefix: str, table: str, array: str,
+                  page_size: int = 100) -> DataFrame:
+    """Listing pages ``<prefix>_<season>``: distinct ids of a column per period."""
+    d = results.select("season", F.col(entity)).distinct()
+    p = _paginate(d, ["season"], [entity], F.struct(F.col(entity).alias(entity)), page_size)
+    name = F.concat(F.lit(f"{prefix}_"), F.col("season").cast("string"), F.lit("_offset_"),
                     (F.col("_page") * page_size).cast("string"))
     return p.select(name.alias("page"), F.struct(
         F.col("_total").cast("string").alias("total"),
-        F.struct(F.col("_items").alias("Drivers")).alias("DriverTable")).alias("MRData"))
+        F.struct(F.col("_items").alias(array)).alias(table)).alias("MRData"))
+
+
+def driver_listing_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
+    return listing_pages(results, "driverId", "active_drivers", "DriverTable", "Drivers", page_size)
+
+
+def constructor_listing_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
+    return listing_pages(results, "constructorId", "active_constructors", "ConstructorTable", "Constructors", page_size)
 
 
 def write_pages(pages: DataFrame, root: str, kind: str, mode: str = "append") -> None:
@@ -111,6 +120,7 @@ def land_facts(results: DataFrame, qualifying: DataFrame, sprints: DataFrame, ro
     made = {"results": lambda: result_pages(results, page_size, skip),
             "qualifying": lambda: qualifying_pages(qualifying, events, page_size, skip),
             "sprint": lambda: sprint_pages(sprints, events, page_size, skip),
-            "active_drivers": lambda: driver_listing_pages(results, page_size)}
+            "active_drivers": lambda: driver_listing_pages(results, page_size),
+            "active_constructors": lambda: constructor_listing_pages(results, page_size)}
     for kind in kinds:
         write_pages(made[kind](), root, kind)

@@ -79,7 +79,7 @@ def with_page_name(df: DataFrame) -> DataFrame:
     return df.select("MRData", CORRUPT, name.alias("_file"))
 
 
-KINDS = ("results", "qualifying", "sprint", "active_drivers")
+KINDS = ("results", "qualifying", "sprint", "active_drivers", "active_constructors")
 
 
 def landing_paths(root: str, *kinds: str) -> list[str]:

@@ -168,7 +168,7 @@ ADAPTER_SWEEP_GRID = {**SWEEP_GRID, "summer_break_round": (7, 8, 9)}
 
 def adapter_params(**kw) -> Params:
     base = Params(
-        first_period=1995,
+        first_period=1996,  # the oldest rows, of 1995, lie below the floor
         test_period=2001,
         validation_periods=(1997, 1998, 1999, 2000),
         reset_periods=(1998, 2001),
