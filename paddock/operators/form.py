@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import distributed_rank
 from ..spec import PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
@@ -126,12 +127,20 @@ def period_first_seq(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
 def global_median(df: DataFrame, col: str, params: Params, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Exact median of a column as a one-row table (A4; Q5 option as_of_period).
 
+    Values are counted first; running counts over the distinct values (split
+    when there are many) find the middle, so no task holds all of them.
     Consumers attach it with ``.scalar()``: a scalar subquery evaluated once,
     no cross join and nothing collected by library code."""
     src = df
     if params.as_of_period is not None:
         src = src.filter(F.col(spec.period) < F.lit(params.as_of_period))
-    return src.agg(F.percentile(F.col(col), F.lit(0.5)).alias("_median"))
+    counts = src.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")).withColumn("_all", F.lit(1))
+    n = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n")).scalar()
+    running = distributed_rank(counts, ["_all"], [("_v", True)], "_r", cumulative=("_c", "_cum"))
+    # the values at positions (n + 1) / 2 and (n + 2) / 2, rounded down
+    middle = running.filter((F.col("_cum") >= F.floor((n + 1) / 2)) & (F.col("_cum") - F.col("_c") < F.floor((n + 2) / 2)))
+    return middle.agg(((F.min("_v") + F.max("_v")) / 2).alias("_median"))
 
 
 def raw_form(df: DataFrame, totals: DataFrame, params: Params = Params(),
