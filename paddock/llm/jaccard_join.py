@@ -278,7 +278,8 @@ def across(members: DataFrame, how: JaccardJoin) -> DataFrame:
                     near = np.abs(counts[some - a] - hs).sum(axis=1) <= how.radius(n[some], hn)
                     if near.any():
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.maximum(x[some[near]], hx)), pa.array(np.minimum(x[some[near]], hx))], ["x", "p"])
+                            [pa.array(np.maximum(x[some[near]], hx)), pa.array(np.minimum(x[some[near]], hx))],
+                            ["x", "p"])
 
     ordered = members.repartition("region").sortWithinPartitions("region", F.col("far").desc(), "x")
     return map_batches(ordered.select("region", "x", "far", "component", "n", "counts"), run,

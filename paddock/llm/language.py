@@ -178,7 +178,8 @@ def parser(samples: tuple[tuple[str, str], ...], alphabet: int) -> Parser:
     return Parser(samples, alphabet)
 
 
-def predict(texts: pa.Array, samples: tuple[tuple[str, str], ...], model: LanguageModel) -> tuple[list[str], np.ndarray]:
+def predict(texts: pa.Array, samples: tuple[tuple[str, str], ...],
+            model: LanguageModel) -> tuple[list[str], np.ndarray]:
     """Language and score of every text."""
     rows = len(texts)
     data, offsets = utf8(texts)
@@ -235,8 +236,9 @@ def identify(docs: DataFrame, model: LanguageModel = LanguageModel(), *, id_col:
         for batch in batches:
             for part in pieces(batch, "text"):
                 names, score = predict(part.column("text"), samples, model)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(names, pa.string()),
-                                                  pa.array(score)], [id_col, "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score)],
+                    [id_col, "held_out", "lang_pred", "score"])
 
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
     kind = docs.schema["id"].dataType.simpleString()

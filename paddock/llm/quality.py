@@ -149,17 +149,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, model: QualityModel) ->
             for part in pieces(batch, "text"):
                 ids, counts = document_features(part.column("text"), model.features)
                 yield pa.RecordBatch.from_arrays(
-                    [list_array(pa.array(ids.astype(np.int32)), counts), part.column("low"), part.column("toxic")],
-                    ["ids", "low", "toxic"])
+                    [part.column("label_id"), list_array(pa.array(ids.astype(np.int32)), counts), part.column("low"),
+                     part.column("toxic")], ["label_id", "ids", "low", "toxic"])
 
     # the broadcast side is bounded by max_labels rows of three numbers
-    joined = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("text", "low", "toxic")
-    return map_batches(joined, run, "ids array<int>, low double, toxic double").limit(2 * model.max_labels)
+    joined = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select(
+        "label_id", "text", "low", "toxic")
+    made = map_batches(joined, run, "label_id long, ids array<int>, low double, toxic double")
+    return made.limit(2 * model.max_labels)
 
 
 def document_evidence(docs: DataFrame, labels: DataFrame, model: QualityModel) -> DataFrame:
     """(id, host, path, p_low, p_toxic) of every document."""
-    sample = training_sample(docs, labels, model).toArrow()
+    # in order of the id, so that the fit does not depend on how rows were partitioned
+    sample = training_sample(docs, labels, model).toArrow().sort_by(
+        [(c, "ascending") for c in ("label_id", "low", "toxic")])
     lists = sample.column("ids").combine_chunks()
     ids, counts = lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy())
     heads = [fit(ids, counts, sample.column(k).to_numpy(), model) for k in ("low", "toxic")]
@@ -198,7 +202,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, model: QualityModel = Qual
                   path: Column | None = None) -> DataFrame:
     """One row per document: id, p_low, p_toxic, site_rate (shrunk), posterior and ``kept``."""
     host = F.regexp_extract(F.col("source").cast("string"), "^[^/]*", 0) if host is None else host
-    path = F.concat_ws("|", F.col("source").cast("string"), F.coalesce(F.col("lang"), F.lit(""))) if path is None else path
+    if path is None:
+        path = F.concat_ws("|", F.col("source").cast("string"), F.coalesce(F.col("lang"), F.lit("")))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     labels = labels.select(F.col(id_col).cast("long").alias("id"), "quality", "toxic")

@@ -135,7 +135,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad_lines, count(*) FILTER (again) AS n_dup,
                    coalesce(sum(n) FILTER (NOT bad), 0) AS clean FROM judged GROUP BY doc_id),
         counted AS (
-            SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+            SELECT w.doc_id, len(w) AS n_words,
+                   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(p.n_dup, 0) AS n_dup_lines,
                    coalesce(r.n, 0) AS n_repeat_words, coalesce(p.n_lines, 0) AS n_lines,
                    coalesce(p.n_bad_lines, 0) AS n_bad_lines, coalesce(p.clean, 0) AS clean_words
