@@ -34,10 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.text import U64, Words, map_batches, mix, pieces, shingles, utf8
+from paddock.llm.text import U64, Words, list_array, map_batches, mix, pieces, shingles, utf8
 from paddock.session import materialize
 
 
@@ -50,7 +51,7 @@ class PassageRules:
     min_hashes: int = 1  # functions that must agree on a candidate region
     max_gap: int = 10  # unshared shingles that runs join across (about six changed words)
     grid: int = 16  # step of the exact runs of the second grouping
-    chunk: int = 1_000  # regions that travel with one copy of their pivot's text
+    chunk: int = 500  # documents that travel with one copy of their pivot's text
 
     @property
     def width(self) -> int:
@@ -137,7 +138,7 @@ def windows(docs: DataFrame, how: PassageRules) -> DataFrame:
 
 
 def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
-    """(x, p, diagonal, lo, hi, at): candidate regions of x against pivot documents."""
+    """(x, p, parts, at): candidate regions of x against a pivot document, as intervals on diagonals."""
     names = ["x", "p", "f", "diagonal", "lo", "hi", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +159,56 @@ def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
             p, pc, pl, pr = pivot
             before, beyond = np.minimum(c - left, pc - pl), np.minimum(right - c, pr - pc)
             keep = np.flatnonzero((doc != p) & (before + beyond + 1 >= how.width))
+            # a text that has the shingle several times is one row
+            fresh = np.ones(len(keep), dtype=bool)
+            fresh[1:] = (key[keep][1:] != key[keep][:-1]) | (doc[keep][1:] != doc[keep][:-1])
+            lists = np.diff(np.append(np.flatnonzero(fresh), len(keep)))
+            one = keep[fresh]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(col[keep]) for col in (doc, p)] + [pa.array(f[keep].astype(np.int8))]
-                + [pa.array(col[keep].astype(np.int32)) for col in (c - pc, c - before, c + beyond, c)], names)
+                [pa.array(doc[one]), pa.array(p[one]), pa.array(f[one].astype(np.int8))]
+                + [list_array(pa.array(col[keep].astype(np.int32)), lists)
+                   for col in (c - pc, c - before, c + beyond, c)], names)
 
     ordered = found.repartition("key").sortWithinPartitions("key", "id", "c")
-    star = map_batches(ordered, run, "x long, p long, f byte, diagonal int, lo int, hi int, c int")
-    merged = star.groupBy("x", "p", "diagonal").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("f").alias("fs"),
-        # one function's windows are enough for the second grouping
-        F.collect_set(F.when(F.col("f") == 0, F.col("c"))).alias("at"))
-    return merged.filter(F.size("fs") >= how.min_hashes).drop("fs")
+    star = map_batches(ordered, run, "x long, p long, f byte, diagonal array<int>, lo array<int>, hi array<int>, "
+                                     "c array<int>")
+    # one row per pair of documents; one function's windows are enough for the second grouping
+    return star.groupBy("x", "p").agg(
+        F.collect_list(F.struct("f", "diagonal", "lo", "hi")).alias("parts"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("f") == 0, F.col("c"))))).alias("at"))
+
+
+def merged_regions(parts: pa.ListArray, how: PassageRules) -> tuple[np.ndarray, ...]:
+    """(row, diagonal, lo, hi): of every list of parts, the interval of each diagonal that enough
+    hash functions agree on."""
+    row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+    flat = parts.flatten()
+    lists = [pc.struct_field(flat, n) for n in ("diagonal", "lo", "hi")]
+    size = np.diff(lists[0].offsets.to_numpy())
+    row, f = np.repeat(row, size), np.repeat(pc.struct_field(flat, "f").to_numpy(), size)
+    diagonal, lo, hi = (v.flatten().to_numpy() for v in lists)
+    if not len(row):
+        return row, diagonal, lo, hi
+    order = np.lexsort((f, diagonal, row))
+    row, diagonal, lo, hi, f = (v[order] for v in (row, diagonal, lo, hi, f))
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1])
+    new_f = fresh.copy()
+    new_f[1:] |= f[1:] != f[:-1]
+    at = np.flatnonzero(fresh)
+    enough = np.add.reduceat(new_f.astype(np.int64), at) >= how.min_hashes
+    return tuple(v[enough] for v in (row[at], diagonal[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)))
+
+
+def joined(intervals: list[tuple[int, int]]) -> list[list[int]]:
+    """Half-open intervals, joined where they overlap."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
 
 
 def passages(shared: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
@@ -200,29 +240,35 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules) -> DataFrame:
     """Rows of two kinds: passages (p, start, stop; key null) and, for windows that no
     passage covers, exact runs around them (key, start, content) for the second grouping."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, slack = ["x", "p", "lo", "hi", "at", "content"], how.max_gap
+        names, slack = ["x", "p", "spans", "at", "content"], how.max_gap
         for batch in batches:
-            for part in (some for text in pieces(batch, "text") for some in _by_length(text, "asked", 4 * how.chunk)):
+            for part in (some for text in pieces(batch, "text") for some in _by_length(text, "asked", how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
                 short = (seq.values >> U64(32)).astype(np.uint32)
                 asked = part.column("asked")
-                row = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
                 flat = asked.flatten()
-                fields = {n: flat.field(n) for n in ("x", "diagonal", "lo", "hi", "at")}
-                lo, hi, shift = (fields[n].to_numpy() for n in ("lo", "hi", "diagonal"))
-                first, stop = seq.first[row], seq.stop[row]
-                a = np.clip(first + lo - shift - slack, first, stop)
-                b = np.clip(first + hi - shift + 1 + slack, first, stop)
-                content = [short[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                row, diagonal, lo, hi = merged_regions(pc.struct_field(flat, "parts"), how)
+                bound = np.searchsorted(row, np.arange(len(flat) + 1))
+                spans, content = [], []
+                for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
+                    first, stop = int(seq.first[owner[i]]), int(seq.stop[owner[i]])
+                    begin, end, d = lo[a:b], hi[a:b] + 1, diagonal[a:b]
+                    mine = joined(list(zip(begin.tolist(), end.tolist(), strict=True)))
+                    other = joined(list(zip(np.maximum(begin - d - slack, 0).tolist(),
+                                            np.minimum(end - d + slack, stop - first).tolist(), strict=True)))
+                    spans.append([e for pair in mine for e in pair])
+                    content.append(b"".join(short[first + u:first + v].tobytes() for u, v in other if u < v))
                 yield pa.RecordBatch.from_arrays(
-                    [fields["x"], part.column("p").take(pa.array(row)), fields["lo"], fields["hi"], fields["at"],
+                    [pc.struct_field(flat, "x"), part.column("p").take(pa.array(owner)),
+                     pa.array(spans, pa.list_(pa.int32())), pc.struct_field(flat, "at"),
                      pa.array(content, pa.binary())], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = how.width - how.grid + 1
         offsets = sorted({*range(0, run, how.grid), run - 1})  # of the window inside its exact runs
         for batch in batches:
-            for part in (some for text in pieces(batch, "text") for some in _by_length(text, "regions", 4 * how.chunk)):
+            for part in (some for text in pieces(batch, "text") for some in _by_length(text, "regions", how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
                 short = (seq.values >> U64(32)).astype(np.uint32)
                 ids = part.column("x").to_pylist()
@@ -231,11 +277,12 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules) -> DataFrame:
                     base = int(seq.first[i])
                     own, covered, left = short[base:seq.stop[i]], [], set()
                     for g in given:
-                        lo, hi, at = g["lo"], g["hi"], np.array(g["at"])
-                        good = passages(np.isin(own[lo:hi + 1], np.frombuffer(g["content"], dtype=np.uint32)), how)
-                        spans += [(ids[i], g["p"], lo + a, lo + b) for a, b in good]
-                        covered += [(lo + a, lo + b) for a, b in good]
-                        left.update(at.tolist())
+                        other = np.frombuffer(g["content"], dtype=np.uint32)
+                        for lo, hi in zip(g["spans"][::2], g["spans"][1::2], strict=True):
+                            good = passages(np.isin(own[lo:hi], other), how)
+                            spans += [(ids[i], g["p"], lo + a, lo + b) for a, b in good]
+                            covered += [(lo + a, lo + b) for a, b in good]
+                        left.update(g["at"])
                     missed += [base + c for c in left if not any(a <= c < b for a, b in covered)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in spans], t) for j, t in enumerate(
@@ -267,12 +314,12 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules) -> DataFrame:
 
     # a pivot document's text goes with its regions in chunks of bounded size, however many there are
     many = regions.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    chunk = F.pmod(F.xxhash64("x", "diagonal"), F.ceil(F.col("n") / how.chunk))
+    chunk = F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / how.chunk))
     asked = regions.join(many, "p").groupBy("p", chunk.alias("chunk")).agg(
-        F.collect_list(F.struct("x", "diagonal", "lo", "hi", "at")).alias("asked"))
+        F.collect_list(F.struct("x", "parts", "at")).alias("asked"))
     pivots = asked.join(docs.select(F.col("id").alias("p"), "text"), "p").select("p", "text", "asked")
-    other = map_batches(pivots, cut, "x long, p long, lo int, hi int, at array<int>, content binary")
-    grouped = other.groupBy("x").agg(F.collect_list(F.struct("p", "lo", "hi", "at", "content")).alias("regions"))
+    other = map_batches(pivots, cut, "x long, p long, spans array<int>, at array<int>, content binary")
+    grouped = other.groupBy("x").agg(F.collect_list(F.struct("p", "spans", "at", "content")).alias("regions"))
     members = grouped.join(docs.select(F.col("id").alias("x"), "text"), "x").select("x", "text", "regions")
     return map_batches(members, compare, "x long, p long, start int, stop int, key long, content binary")
 
