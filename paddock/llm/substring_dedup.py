@@ -6,19 +6,22 @@ form a Cartesian tree; each is a compact window (l, c, r): all passages inside
 [l, r] that contain c have the min-hash of c. Passages with equal min-hashes
 therefore meet in the group of that value.
 
-1. In each group the first window (smallest id) is the pivot. An interval join
-   keeps members whose window overlaps the pivot's, aligned at c, over a whole
-   passage length; intervals of all hash functions on the same diagonal merge
-   into one candidate region per (document, pivot document, diagonal).
+1. In each group the first window (smallest id) is the pivot. Every other window
+   is laid on it, aligned at c; intervals of all hash functions on the same
+   diagonal merge into one candidate region per (document, pivot document,
+   diagonal).
 2. Verification with the texts: shingles of the region that occur in the
    pivot's region form runs; runs join while ``percent`` of the passage is
    shared; passages of at least ``min_words`` words are reported.
-3. Members that did not verify against their pivot (a common line inside a
-   longer passage, say) are grouped again by exact runs around c, which only
-   texts that share that run can have, and compared run by run.
+3. Exact repeats: the runs of a passage's length inside the first function's
+   windows that the pivot's region has not are grouped by their hash. The
+   pivot document's other windows take part, so no repeat depends on the pivot.
+4. Windows that no passage covers (a common line inside a longer passage, say)
+   go into a further turn, with finer keys: the min-hash, under a new function,
+   of what the pivot has not. Turns go on until no group has two windows.
 
-No pairs within a group are made: each member meets one pivot per group. The
-copy in the smallest document id stays.
+No pairs within a group are made: each member meets one pivot per group and
+turn. The copy in the smallest document id stays.
 
 Defined results: null, blank or short texts have no windows; passages repeated
 inside one document only are not reported; repeated ids are one document and
@@ -38,7 +41,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.llm.text import U64, Words, list_array, map_batches, mix, pieces, shingles, utf8
+from paddock.llm.text import (_BASE, _INVERSE, U64, Words, _power_table, gather, list_array, map_batches, mix, pieces,
+                              shingles, utf8)
 from paddock.session import materialize
 
 
@@ -50,7 +54,6 @@ class PassageRules:
     hashes: int = 3  # min-hash functions; each finds an exact repeat on its own
     min_hashes: int = 1  # functions that must agree on a candidate region
     max_gap: int = 10  # unshared shingles that runs join across (about six changed words)
-    grid: int = 16  # step of the exact runs of the second grouping
     chunk: int = 500  # documents that travel with one copy of their pivot's text
 
     @property
@@ -138,8 +141,9 @@ def windows(docs: DataFrame, how: PassageRules) -> DataFrame:
 
 
 def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
-    """(x, p, parts, at): candidate regions of x against a pivot document, as intervals on diagonals."""
-    names = ["x", "p", "f", "diagonal", "lo", "hi", "c"]
+    """(x, p, parts): every window but a group's pivot, as intervals on diagonals of the pivot document p.
+    Windows that overlap the pivot's by less than a passage stay, and so do the pivot document's own others."""
+    names = ["x", "p", "f", "key", "diagonal", "lo", "hi", "c", "l", "r"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # key and pivot window of the group that the previous batch ended in
@@ -158,24 +162,22 @@ def candidates(found: DataFrame, how: PassageRules) -> DataFrame:
             last = (key[-1], *(col[-1] for col in pivot))
             p, pc, pl, pr = pivot
             before, beyond = np.minimum(c - left, pc - pl), np.minimum(right - c, pr - pc)
-            keep = np.flatnonzero((doc != p) & (before + beyond + 1 >= how.width))
+            keep = np.flatnonzero(~fresh)
             # a text that has the shingle several times is one row
             fresh = np.ones(len(keep), dtype=bool)
             fresh[1:] = (key[keep][1:] != key[keep][:-1]) | (doc[keep][1:] != doc[keep][:-1])
             lists = np.diff(np.append(np.flatnonzero(fresh), len(keep)))
             one = keep[fresh]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[one]), pa.array(p[one]), pa.array(f[one].astype(np.int8))]
+                [pa.array(doc[one]), pa.array(p[one]), pa.array(f[one].astype(np.int8)), pa.array(key[one])]
                 + [list_array(pa.array(col[keep].astype(np.int32)), lists)
-                   for col in (c - pc, c - before, c + beyond, c)], names)
+                   for col in (c - pc, c - before, c + beyond, c, left, right)], names)
 
     ordered = found.repartition("key").sortWithinPartitions("key", "id", "c")
-    star = map_batches(ordered, run, "x long, p long, f byte, diagonal array<int>, lo array<int>, hi array<int>, "
-                                     "c array<int>")
-    # one row per pair of documents; one function's windows are enough for the second grouping
-    return star.groupBy("x", "p").agg(
-        F.collect_list(F.struct("f", "diagonal", "lo", "hi")).alias("parts"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("f") == 0, F.col("c"))))).alias("at"))
+    star = map_batches(ordered, run, "x long, p long, f byte, key long, diagonal array<int>, lo array<int>, "
+                                     "hi array<int>, c array<int>, l array<int>, r array<int>")
+    # one row per pair of documents
+    return star.groupBy("x", "p").agg(F.collect_list(F.struct(*names[2:])).alias("parts"))
 
 
 def merged_regions(parts: pa.ListArray, how: PassageRules) -> tuple[np.ndarray, ...]:
@@ -225,6 +227,35 @@ def passages(shared: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in out if b - a >= how.width]
 
 
+def run_hashes(short: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` neighbours, by position."""
+    # powers are odd, so a run's sum times the inverse power of its start does not depend on the start
+    n = len(short) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    total = np.zeros(len(short) + 1, dtype=U64)
+    np.cumsum(mix(short.astype(U64)) * _power_table(_BASE, len(short)), out=total[1:])
+    return mix((total[width:] - total[:-width]) * _power_table(_INVERSE, n))
+
+
+def cut_runs(content: np.ndarray, cuts: list[int], width: int) -> np.ndarray:
+    """Hashes of the runs inside each cut of a pivot's text."""
+    ends = np.cumsum(cuts).tolist()
+    return np.concatenate([np.zeros(0, U64)] + [run_hashes(content[e - n:e], width)
+                                                for e, n in zip(ends, cuts, strict=True)])
+
+
+def window_lists(parts: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(row, f, key, c, l, r) of all windows of every list of parts."""
+    row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+    flat = parts.flatten()
+    lists = [pc.struct_field(flat, n) for n in ("c", "l", "r")]
+    size = np.diff(lists[0].offsets.to_numpy())
+    return (np.repeat(row, size), np.repeat(pc.struct_field(flat, "f").to_numpy(), size),
+            np.repeat(pc.struct_field(flat, "key").to_numpy(), size),
+            *(v.flatten().to_numpy().astype(np.int64) for v in lists))
+
+
 def _by_length(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose lists have about ``most`` entries together."""
     ends = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()))
@@ -236,11 +267,12 @@ def _by_length(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Rec
         start = stop
 
 
-def verify(regions: DataFrame, docs: DataFrame, how: PassageRules) -> DataFrame:
-    """Rows of two kinds: passages (p, start, stop; key null) and, for windows that no
-    passage covers, exact runs around them (key, start, content) for the second grouping."""
+def verify(regions: DataFrame, docs: DataFrame, how: PassageRules, turn: int) -> DataFrame:
+    """Rows of three kinds: ``kind`` 0, passages (x, p, start, stop); 1, in the first turn, runs of a passage's
+    length that the pivot has not (key, x, start); 2, for windows that no passage covers, the windows of the
+    next turn (key, x, f, c, start, stop)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, slack = ["x", "p", "spans", "at", "content"], how.max_gap
+        names, slack = ["x", "p", "spans", "parts", "content", "cuts"], how.max_gap
         for batch in batches:
             for part in (some for text in pieces(batch, "text") for some in _by_length(text, "asked", how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
@@ -250,106 +282,133 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules) -> DataFrame:
                 flat = asked.flatten()
                 row, diagonal, lo, hi = merged_regions(pc.struct_field(flat, "parts"), how)
                 bound = np.searchsorted(row, np.arange(len(flat) + 1))
-                spans, content = [], []
+                spans, content, cuts = [], [], []
                 for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
                     first, stop = int(seq.first[owner[i]]), int(seq.stop[owner[i]])
                     begin, end, d = lo[a:b], hi[a:b] + 1, diagonal[a:b]
                     mine = joined(list(zip(begin.tolist(), end.tolist(), strict=True)))
                     other = joined(list(zip(np.maximum(begin - d - slack, 0).tolist(),
                                             np.minimum(end - d + slack, stop - first).tolist(), strict=True)))
+                    other = [(u, v) for u, v in other if u < v]
                     spans.append([e for pair in mine for e in pair])
-                    content.append(b"".join(short[first + u:first + v].tobytes() for u, v in other if u < v))
+                    content.append(b"".join(short[first + u:first + v].tobytes() for u, v in other))
+                    cuts.append([v - u for u, v in other])
                 yield pa.RecordBatch.from_arrays(
                     [pc.struct_field(flat, "x"), part.column("p").take(pa.array(owner)),
-                     pa.array(spans, pa.list_(pa.int32())), pc.struct_field(flat, "at"),
-                     pa.array(content, pa.binary())], names)
+                     pa.array(spans, pa.list_(pa.int32())), pc.struct_field(flat, "parts"),
+                     pa.array(content, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))], names)
+
+    names = ["kind", "x", "p", "start", "stop", "key", "f", "c"]
+    types = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int8(), pa.int32())
+
+    def rows(kind: int, x, p=None, start=None, stop=None, key=None, f=None, c=None) -> pa.RecordBatch:
+        cols = [np.full(len(x), kind), x, p, start, stop, key, f, c]
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(x), t) if v is None else pa.array(np.asarray(v, dtype=t.to_pandas_dtype()))
+             for v, t in zip(cols, types, strict=True)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = how.width - how.grid + 1
-        offsets = sorted({*range(0, run, how.grid), run - 1})  # of the window inside its exact runs
         for batch in batches:
             for part in (some for text in pieces(batch, "text") for some in _by_length(text, "regions", how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
                 short = (seq.values >> U64(32)).astype(np.uint32)
-                ids = part.column("x").to_pylist()
-                spans, missed = [], []
-                for i, given in enumerate(part.column("regions").to_pylist()):
-                    base = int(seq.first[i])
-                    own, covered, left = short[base:seq.stop[i]], [], set()
-                    for g in given:
-                        other = np.frombuffer(g["content"], dtype=np.uint32)
-                        for lo, hi in zip(g["spans"][::2], g["spans"][1::2], strict=True):
-                            good = passages(np.isin(own[lo:hi], other), how)
-                            spans += [(ids[i], g["p"], lo + a, lo + b) for a, b in good]
-                            covered += [(lo + a, lo + b) for a, b in good]
-                        left.update(g["at"])
-                    missed += [base + c for c in left if not any(a <= c < b for a, b in covered)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[j] for r in spans], t) for j, t in enumerate(
-                        (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-                    + [pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.binary())],
-                    ["x", "p", "start", "stop", "key", "content"])
-                # exact runs around the windows that no passage covers
-                total = np.zeros(len(seq.values) + 1, dtype=U64)
-                np.cumsum(mix(seq.values), out=total[1:])
-                c = np.array(sorted(missed), dtype=np.int64)
-                row = seq.rows[c] if len(c) else c
-                for offset in offsets:
-                    s = c - offset
-                    fits = (s >= seq.first[row]) & (s + run <= seq.stop[row])
-                    s, r, at = s[fits], row[fits], c[fits]
-                    if not len(s):
-                        continue
-                    key = mix((total[s + run] - total[s]) ^ mix(seq.values[at] + U64(offset)))
-                    reach = np.concatenate([np.arange(-how.grid, 0), run + np.arange(how.grid)])
-                    near = s[:, None] + reach[None, :]
-                    inside = (near >= seq.first[r][:, None]) & (near < seq.stop[r][:, None])
-                    pad = np.where(inside, short[np.clip(near, 0, len(short) - 1)], 0).astype(np.uint32)
-                    begin = (s - seq.first[r]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("x").take(pa.array(r)), pa.nulls(len(s), pa.int64()), pa.array(begin),
-                         pa.array(begin + np.int32(run)), pa.array(key.view(np.int64)),
-                         pa.array([x.tobytes() for x in pad], pa.binary())],
-                        ["x", "p", "start", "stop", "key", "content"])
+                runs = run_hashes(short, how.width)
+                ids = part.column("x").to_numpy()
+                given = part.column("regions")
+                owner = np.repeat(np.arange(part.num_rows), np.diff(given.offsets.to_numpy()))
+                given = given.flatten()
+                pivots = pc.struct_field(given, "p").to_pylist()
+                spans_of, cuts_of = (pc.struct_field(given, n).to_pylist() for n in ("spans", "cuts"))
+                contents = pc.struct_field(given, "content").to_pylist()
+                at, f, key, c, left, right = window_lists(pc.struct_field(given, "parts"))
+                bound = np.searchsorted(at, np.arange(len(given) + 1))
+                spans, exact, again = [], [], []
+                for i, p in enumerate(pivots):
+                    row, mine = owner[i], slice(bound[i], bound[i + 1])
+                    base, end = int(seq.first[row]), int(seq.stop[row])
+                    other = np.frombuffer(contents[i], dtype=np.uint32)
+                    shared = np.isin(short[base:end], other)
+                    covered = [(lo + a, lo + b) for lo, hi in zip(spans_of[i][::2], spans_of[i][1::2], strict=True)
+                               for a, b in passages(shared[lo:hi], how)]
+                    if ids[row] != p:
+                        spans += [(ids[row], p, a, b) for a, b in covered]
+                    cs, ls, rs = c[mine], left[mine], right[mine]
+                    if turn == 0:
+                        first = np.flatnonzero(f[mine] == 0)
+                        low = np.maximum(ls[first], cs[first] - how.width + 1)
+                        n = np.minimum(cs[first], rs[first] - how.width + 1) - low + 1
+                        s = base + gather(low, np.maximum(n, 0))
+                        if ids[row] != p and len(s):  # the pivot document's other windows stay for the others
+                            s = s[~np.isin(runs[s], cut_runs(other, cuts_of[i], how.width))]
+                        exact.append(s)
+                    out = np.ones(len(cs), dtype=bool)
+                    for a, b in covered:
+                        out &= (cs < a) | (cs >= b)
+                    if out.any():
+                        again.append((np.flatnonzero(out) + bound[i], shared, base, row))
+                if spans:
+                    yield rows(0, *zip(*spans, strict=True))
+                s = np.unique(np.concatenate(exact)) if exact else np.zeros(0, np.int64)
+                if len(s):
+                    yield rows(1, ids[seq.rows[s]], start=s - seq.first[seq.rows[s]], key=runs[s].view(np.int64))
+                # what the pivot has not decides the next groups
+                for some in again:
+                    yield from next_windows(seq, ids, *some, f, key, c, left, right)
+
+    def next_windows(seq: Sequences, ids: np.ndarray, which: np.ndarray, shared: np.ndarray, base: int, row: int,
+                     f, key, c, left, right) -> Iterator[pa.RecordBatch]:
+        for kind in np.unique(f[which]).tolist():
+            mine = which[f[which] == kind]
+            size = right[mine] - left[mine] + 1
+            segment, at = np.repeat(np.arange(len(mine)), size), gather(left[mine], size)
+            v = mix(seq.values[base + at] ^ mix(np.full(1, kind + 1 + how.hashes * (turn + 1), dtype=U64)))
+            v = (v >> U64(1)) | U64(1) | (shared[at].astype(U64) << U64(63))
+            first = np.cumsum(size) - size
+            lo, m, hi = compact_windows(v, segment, first, first + size - 1, how.width)
+            part = segment[m]
+            own = c[mine][part]
+            fits = (at[lo] <= own) & (own <= at[hi])
+            lo, m, hi, part = lo[fits], m[fits], hi[fits], part[fits]
+            new = mix(key[mine][part].view(U64) ^ mix(v[m]))
+            yield rows(2, np.full(len(m), ids[row]), start=at[lo], stop=at[hi], key=new.view(np.int64),
+                       f=np.full(len(m), kind), c=at[m])
 
     # a pivot document's text goes with its regions in chunks of bounded size, however many there are
     many = regions.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     chunk = F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / how.chunk))
     asked = regions.join(many, "p").groupBy("p", chunk.alias("chunk")).agg(
-        F.collect_list(F.struct("x", "parts", "at")).alias("asked"))
+        F.collect_list(F.struct("x", "parts")).alias("asked"))
     pivots = asked.join(docs.select(F.col("id").alias("p"), "text"), "p").select("p", "text", "asked")
-    other = map_batches(pivots, cut, "x long, p long, spans array<int>, at array<int>, content binary")
-    grouped = other.groupBy("x").agg(F.collect_list(F.struct("p", "spans", "at", "content")).alias("regions"))
+    parts = regions.schema["parts"].dataType.simpleString()
+    other = map_batches(pivots, cut, f"x long, p long, spans array<int>, parts {parts}, content binary, "
+                                     "cuts array<int>")
+    grouped = other.groupBy("x").agg(
+        F.collect_list(F.struct("p", "spans", "parts", "content", "cuts")).alias("regions"))
     members = grouped.join(docs.select(F.col("id").alias("x"), "text"), "x").select("x", "text", "regions")
-    return map_batches(members, compare, "x long, p long, start int, stop int, key long, content binary")
+    return map_batches(members, compare, "kind byte, x long, p long, start int, stop int, key long, f byte, c int")
 
 
-def exact_runs(missed: DataFrame, how: PassageRules) -> DataFrame:
-    """(x, p, start, stop): exact runs of the second grouping that reach a passage's length."""
-    def same(a: np.ndarray, b: np.ndarray) -> int:
-        unequal = np.flatnonzero((a != b) | (a == 0))
-        return int(unequal[0]) if len(unequal) else len(a)
-
+def exact_runs(runs: DataFrame, how: PassageRules) -> DataFrame:
+    """(x, p, start, stop): of equal runs of a passage's length, all but those of the smallest document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = pivot = None
+        last = None
         for batch in batches:
-            rows = []
-            for k, x, start, stop, content in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                pad = np.frombuffer(content, dtype=np.uint32)
-                if k != key:
-                    key, pivot = k, (x, pad)
-                elif x != pivot[0]:
-                    g = how.grid
-                    left, right = same(pad[:g][::-1], pivot[1][:g][::-1]), same(pad[g:], pivot[1][g:])
-                    if stop - start + left + right >= how.width:
-                        rows.append((x, pivot[0], start - left, stop + right))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)],
-                                                 ["x", "p", "start", "stop"])
-
-    ordered = missed.repartition("key").sortWithinPartitions("key", "x", "start")
-    return map_batches(ordered.select("key", "x", "start", "stop", "content"), run,
-                       "x long, p long, start long, stop long")
+            if not batch.num_rows:
+                continue
+            key, x, start = (batch.column(i).to_numpy() for i in range(3))
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = key[1:] != key[:-1]
+            fresh[0] = last is None or last[0] != key[0]
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+            p = np.where(at < 0, last[1] if last is not None else 0, x[np.maximum(at, 0)])
+            last = key[-1], p[-1]
+            keep = x != p
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[keep].astype(np.int64)) for v in (x, p, start, start + how.width)],
+                ["x", "p", "start", "stop"])
+
+    ordered = runs.repartition("key").sortWithinPartitions("key", "x", "start")
+    return map_batches(ordered.select("key", "x", "start"), run, "x long, p long, start long, stop long")
 
 
 def repeated_passages(docs: DataFrame, how: PassageRules = PassageRules(), *, id_col: str = "doc_id",
@@ -358,10 +417,18 @@ def repeated_passages(docs: DataFrame, how: PassageRules = PassageRules(), *, id
     with smaller ids (one of each group of texts) have too, as half-open word ranges."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(
         "id IS NOT NULL")
-    regions = materialize(candidates(windows(docs, how), how), "regions")
-    checked = materialize(verify(regions, docs, how), "passages")
-    spans = checked.filter("key IS NULL").select("x", "p", F.col("start").cast("long"), F.col("stop").cast("long"))
-    spans = spans.unionByName(exact_runs(checked.filter("key IS NOT NULL"), how))
+    found, spans, turn = windows(docs, how), None, 0
+    while True:  # every group loses its pivot in a turn, so nothing is left at last
+        regions = materialize(candidates(found, how), "regions")
+        checked = materialize(verify(regions, docs, how, turn), "passages")
+        some = checked.filter("kind = 0").select("x", "p", F.col("start").cast("long"), F.col("stop").cast("long"))
+        spans = some.unionByName(exact_runs(checked.filter("kind = 1"), how)) if spans is None else \
+            spans.unionByName(some)
+        found = checked.filter("kind = 2").select("key", F.col("x").alias("id"), "f", "c", F.col("start").alias("l"),
+                                                  F.col("stop").alias("r"))
+        turn += 1
+        if found.isEmpty():
+            break
     return merged_spans(spans, how).select(
         F.col("x").alias(id_col), F.col("start").alias("start_word"), F.col("stop").alias("end_word"),
         (F.col("stop") - F.col("start")).alias("n_words"), F.col("refs").alias(f"ref_{id_col}s"))

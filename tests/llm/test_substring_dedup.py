@@ -92,6 +92,41 @@ def test_edited_passages(docs_of):
     assert max(r.n_words for r in out) >= 140
 
 
+def fresh_words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_line_repeated_in_the_first_document(docs_of):
+    rng, rows, want = random.Random(5), [], set()
+    for k in range(0, 240, 10):
+        line = fresh_words(rng, 42)
+        passage = fresh_words(rng, 5) + line + fresh_words(rng, 5)
+        # the line early, then the passage that contains it; or a first document with the line only
+        own = passage if k % 20 else []
+        first = line + fresh_words(rng, 20) if k % 40 < 20 else fresh_words(rng, 50) + line + fresh_words(rng, 50)
+        rows.append((k, " ".join(first + own + fresh_words(rng, 30))))
+        for j in (1, 2):
+            rows.append((k + j, " ".join(fresh_words(rng, 9 * j) + passage + fresh_words(rng, 11))))
+            if own or j == 2:
+                want.add((k + j, 9 * j))
+    found = {}
+    for r in repeated_passages(docs_of(rows)).collect():
+        found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert {(i, a) for i, a in want if any(b <= a and a + 52 <= e for b, e in found.get(i, ()))} == want
+
+
+def test_edited_passages_around_a_line_of_an_unlike_first_document(docs_of):
+    rng, rows = random.Random(6), []
+    for k in range(0, 300, 10):
+        a, line, b = fresh_words(rng, 14), fresh_words(rng, 49), fresh_words(rng, 14)
+        rows.append((k, " ".join(fresh_words(rng, 60) + line + fresh_words(rng, 60))))
+        rows.append((k + 1, " ".join(fresh_words(rng, 40) + a + line + b + fresh_words(rng, 40))))
+        a[-1] = b[0] = "changed"  # 63 of 73 shingles stay, the longest exact run has 49 words
+        rows.append((k + 2, " ".join(fresh_words(rng, 30) + a + line + b + fresh_words(rng, 30))))
+    found = {(r.doc_id, p) for r in repeated_passages(docs_of(rows)).collect() for p in r.ref_doc_ids}
+    assert found <= {(k + 2, k + 1) for k in range(0, 300, 10)} and len(found) >= 27
+
+
 def test_empty_table(docs_of):
     none = docs_of([])
     assert repeated_passages(none).count() == 0
