@@ -11,7 +11,11 @@ block is held against all documents in one narrow map (no shuffle of texts).
    sums. Fingerprints are cut into four 16-bit blocks and indexed by every
    value within two flips of each block, so all pairs within Hamming distance
    11 are found (pigeonhole), and no other pair passes the popcount.
-3. Candidates are verified: the weight of the item's shingles that occur in
+3. Windows alone miss some edited items. Any set of an item's shingles that
+   reaches ``percent`` of its weight has one of the item's heaviest (rarest)
+   shingles that weigh more than the rest may miss; an exact hit of one of
+   these seeds is a candidate too, so none above ``percent`` is lost.
+4. Candidates are verified: the weight of the item's shingles that occur in
    the aligned item-sized region of the document, over the item's weight, must
    reach ``percent``. A shingle weighs 1 / (number of items that have it).
 
@@ -127,6 +131,7 @@ class Benchmark:
             for v in set(values.tolist()):
                 seen[size, v] = seen.get((size, v), 0) + 1
         self.weights = [{v: 1 / seen[size, v] for v in set(values.tolist())} for size, values in self.items]
+        self.seeds = {size: self._seeds(size) for size in {s for s, _ in self.items if s}}
         self.classes: dict[int, list[WindowClass]] = {}
         for size in {s for s, _ in self.items if s}:
             own = sorted(((i, v) for i, (s, v) in enumerate(self.items) if s == size), key=lambda x: len(x[1]))
@@ -136,6 +141,35 @@ class Benchmark:
                 self.classes.setdefault(size, []).append(WindowClass(group, shortest, rules.window_share))
                 own = own[len(group):]
 
+    def _seeds(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, item, offset), by shingle: of each item the heaviest shingles, with all their places,
+        that weigh more than a leak may miss."""
+        found: list[tuple[int, int, int]] = []
+        for i, (own, values) in enumerate(self.items):
+            if own != size:
+                continue
+            weights, places = self.weights[i], {}
+            for offset, v in enumerate(values.tolist()):
+                places.setdefault(v, []).append(offset)
+            spare = (100 - self.rules.percent) / 100 * sum(weights.values()) + 1e-6
+            for v in sorted(weights, key=lambda v: (-weights[v], v)):
+                found += [(v, i, offset) for offset in places[v]]
+                spare -= weights[v]
+                if spare < 0:
+                    break
+        found.sort()
+        v, item, offset = zip(*found, strict=True)
+        return np.array(v, dtype=U64), np.array(item, dtype=np.int64), np.array(offset, dtype=np.int64)
+
+    def seeded(self, size: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, begin of the item) of every seed in a run of shingles."""
+        v, item, offset = self.seeds[size]
+        hit = np.flatnonzero(np.isin(values, v))
+        low = np.searchsorted(v, values[hit])
+        count = np.searchsorted(v, values[hit], side="right") - low
+        at, entry = np.repeat(hit, count), gather(low, count)
+        return at, item[entry], at - offset[entry]
+
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, float, int]]:
         """(row, item, similarity, first word) of every item found in a run of texts."""
         hashes, words = hashed_words(texts)
@@ -146,6 +180,8 @@ class Benchmark:
             owner = words.row[at]
             first, stop = np.searchsorted(owner, rows), np.searchsorted(owner, rows, side="right")
             sums = bit_sums(values)
+            hit, item, begin = self.seeded(size, values)
+            places = set(zip(owner[hit].tolist(), item.tolist(), begin.tolist(), strict=True))
             for kind in classes:
                 count = np.maximum((stop - first - kind.width) // kind.stride + 1, 0)
                 count[stop - first < kind.width] = 0
@@ -153,15 +189,16 @@ class Benchmark:
                 start = first[which] + (gather(np.zeros(len(rows), np.int64), count)) * kind.stride
                 w, e = kind.search(simhash(sums, start, kind.width), self.rules.radius)
                 begin = start[w] - kind.offset[e]
-                for row, item, p in set(zip(which[w].tolist(), kind.owner[e].tolist(), begin.tolist(), strict=True)):
-                    weights = self.weights[item]
-                    long = len(self.items[item][1])
-                    low, high = max(first[row], p - long // 8), min(stop[row], p + long + long // 8)
-                    shared = set(values[low:high].tolist())
-                    likeness = sum(x for v, x in weights.items() if v in shared) / sum(weights.values())
-                    if 100 * likeness >= self.rules.percent - 1e-9:
-                        word = int(at[max(first[row], p)] - words.first[row])
-                        best[row, item] = max(best.get((row, item), (0.0, 0)), (likeness, -word))
+                places.update(zip(which[w].tolist(), kind.owner[e].tolist(), begin.tolist(), strict=True))
+            for row, item, p in places:
+                weights = self.weights[item]
+                long = len(self.items[item][1])
+                low, high = max(first[row], p - long // 8), min(stop[row], p + long + long // 8)
+                shared = set(values[low:high].tolist())
+                likeness = sum(x for v, x in weights.items() if v in shared) / sum(weights.values())
+                if 100 * likeness >= self.rules.percent - 1e-9:
+                    word = int(at[max(first[row], p)] - words.first[row])
+                    best[row, item] = max(best.get((row, item), (0.0, 0)), (likeness, -word))
         return [(row, item, likeness, -word) for (row, item), (likeness, word) in sorted(best.items())]
 
 

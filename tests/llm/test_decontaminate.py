@@ -75,6 +75,24 @@ def test_edited_items_are_found():
     assert len(found) >= 0.9 * len(items)
 
 
+def test_edited_items_just_above_the_share_against_brute_force():
+    rng = random.Random(12)
+    items = [" ".join(words(rng, n)) for n in (20, 30, 31, 34, 38, 40, 45, 50, 60, 80) for _ in range(10)]
+    known = Benchmark(list(range(len(items))), items, LeakRules())
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for _ in range(12):
+            w = item.split()
+            for _ in range(rng.randint(1, max(1, len(w) // 25))):
+                w[rng.randrange(len(w))] = "other"
+            have = item_shingles(" ".join(w))
+            if 0.8 <= len(item_shingles(item) & have) / len(item_shingles(item)) < 0.95:
+                want.add((len(texts), i))
+                texts.append(" ".join(words(rng, rng.randint(0, 80)) + w + words(rng, 50)))
+    found = {(row, item) for row, item, *_ in known.leaks(pa.array(texts))}
+    assert len(want) > 600 and want <= found, (len(want & found), len(want))
+
+
 def test_empty_tables(docs_of, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
