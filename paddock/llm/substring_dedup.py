@@ -53,7 +53,7 @@ class PassageRules:
     min_words: int = 50
     hashes: int = 3  # min-hash functions; each finds an exact repeat on its own
     min_hashes: int = 1  # functions that must agree on a candidate region
-    max_gap: int = 10  # unshared shingles that runs join across (about six changed words)
+    max_gap: int = 10  # unshared shingles that any runs join across; wider gaps only inside a passage
     chunk: int = 500  # documents that travel with one copy of their pivot's text
 
     @property
@@ -214,8 +214,8 @@ def joined(intervals: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def passages(shared: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
-    """Runs of shared shingles, joined across small gaps while ``percent`` of the whole is shared;
-    the long ones as [start, stop)."""
+    """Runs of shared shingles, joined across small gaps while ``percent`` of the whole is shared, and
+    the best segments across any gaps; the long ones as [start, stop)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
     out: list[list[int]] = []
     for start, stop in edge.reshape(-1, 2).tolist():
@@ -224,7 +224,33 @@ def passages(shared: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
             out[-1][1], out[-1][2] = stop, out[-1][2] + stop - start
         else:
             out.append([start, stop, stop - start])
-    return [(a, b) for a, b, _ in out if b - a >= how.width]
+    found = [(a, b) for a, b, _ in out if b - a >= how.width]
+    return [(a, b) for a, b in joined(found + best_segments(edge.reshape(-1, 2), how))]
+
+
+def best_segments(runs: np.ndarray, how: PassageRules) -> list[tuple[int, int]]:
+    """The best-scoring segments from run to run that have a passage's length and ``percent`` shared, whatever
+    their gaps: the best of all, then the best on either side of it. A shared shingle scores 100 - percent,
+    another -percent."""
+    found, left = [], [runs]
+    while left:
+        part = left.pop()
+        if not len(part) or part[-1, 1] - part[0, 0] < how.width:
+            continue
+        start, stop = part[:, 0], part[:, 1]
+        total = np.cumsum(stop - start)
+        ends = 100 * total - how.percent * stop  # score up to a run's end, and from a run's start
+        begins = 100 * (total - (stop - start)) - how.percent * start
+        fits = np.searchsorted(start, stop - how.width, side="right")  # starts that are far enough back
+        low = np.minimum.accumulate(begins)
+        score = np.where(fits > 0, ends - low[np.maximum(fits - 1, 0)], -1)
+        j = int(np.argmax(score))
+        if score[j] < 0:
+            continue
+        i = int(np.argmin(begins[:fits[j]]))
+        found.append((int(start[i]), int(stop[j])))
+        left += [part[:i], part[j + 1:]]
+    return found
 
 
 def run_hashes(short: np.ndarray, width: int) -> np.ndarray:
@@ -272,7 +298,7 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules, turn: int) ->
     length that the pivot has not (key, x, start); 2, for windows that no passage covers, the windows of the
     next turn (key, x, f, c, start, stop)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, slack = ["x", "p", "spans", "parts", "content", "cuts"], how.max_gap
+        names = ["x", "p", "spans", "parts", "content", "cuts"]
         for batch in batches:
             for part in (some for text in pieces(batch, "text") for some in _by_length(text, "asked", how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
@@ -286,7 +312,10 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules, turn: int) ->
                 for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
                     first, stop = int(seq.first[owner[i]]), int(seq.stop[owner[i]])
                     begin, end, d = lo[a:b], hi[a:b] + 1, diagonal[a:b]
-                    mine = joined(list(zip(begin.tolist(), end.tolist(), strict=True)))
+                    # what a passage of the region may have inserted in either text
+                    slack = np.maximum(how.max_gap, (end - begin) * (100 - how.percent) // how.percent + 1)
+                    mine = joined(list(zip(np.maximum(begin - slack, 0).tolist(), (end + slack).tolist(),
+                                           strict=True)))
                     other = joined(list(zip(np.maximum(begin - d - slack, 0).tolist(),
                                             np.minimum(end - d + slack, stop - first).tolist(), strict=True)))
                     other = [(u, v) for u, v in other if u < v]

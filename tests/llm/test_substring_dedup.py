@@ -127,6 +127,36 @@ def test_edited_passages_around_a_line_of_an_unlike_first_document(docs_of):
     assert found <= {(k + 2, k + 1) for k in range(0, 300, 10)} and len(found) >= 27
 
 
+def test_best_segments_against_all_segments():
+    rng, rules = np.random.RandomState(8), PassageRules(min_words=14, size=3)
+    for _ in range(300):
+        shared = np.repeat(rng.rand(12) < 0.7, rng.randint(1, 14, 12))
+        found = passages(shared, rules)
+        for a in range(len(shared)):
+            for b in range(a + rules.width, len(shared) + 1):
+                if shared[a] and shared[b - 1] and 100 * shared[a:b].sum() >= rules.percent * (b - a):
+                    assert any(a < e and s < b for s, e in found)
+
+
+def test_inserted_words(docs_of):
+    for n, more in ((80, 7), (90, 10), (70, 6), (100, 12)):
+        rng, rows, want = random.Random(n), [], {}
+        for k in range(0, 80, 10):
+            passage = fresh_words(rng, n)
+            longer = passage[:n // 2] + fresh_words(rng, more) + passage[n // 2:]
+            first, second = (longer, passage) if k % 20 else (passage, longer)
+            rows.append((k, " ".join(fresh_words(rng, 20) + first + fresh_words(rng, 30))))
+            rows.append((k + 1, " ".join(fresh_words(rng, 40) + second + fresh_words(rng, 20))))
+            want[k + 1] = {j for j, w in enumerate(second, 40) if w in passage}, set(range(40, 40 + len(second)))
+        found = {}
+        for r in repeated_passages(docs_of(rows)).collect():
+            assert r.ref_doc_ids == [r.doc_id - 1]
+            found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        # two halves that are passages of their own leave the inserted words out
+        assert all(found[i] <= want[i][1] for i in found), (n, more)
+        assert sum(want[i][0] <= found.get(i, set()) for i in want) >= 7, (n, more)
+
+
 def test_empty_table(docs_of):
     none = docs_of([])
     assert repeated_passages(none).count() == 0
