@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paddock.llm.chat_format import format_turns, read_back
 from paddock.llm.decontaminate import benchmark_leaks
@@ -14,6 +15,7 @@ from paddock.llm.jaccard_join import JaccardJoin, jaccard_components
 from paddock.llm.language import identify
 from paddock.llm.line_rules import line_quality
 from paddock.llm.main_text import extract
+from paddock.llm.periodic_runs import periodic_runs
 from paddock.llm.quality import judge_quality
 from paddock.llm.sentence_pieces import encode
 from paddock.llm.substring_dedup import repeated_passages
@@ -83,6 +85,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in every tenth document with words that repeat from some word on (the query's contract)."""
+    h, w = F.crc32(F.col("doc_id").cast("string")), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    planted = docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "w", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), w)).withColumn("n", F.size("w"))
+    g = F.floor(F.col("h") / 10)
+    a = F.when(F.col("n") > 0, g % F.col("n"))
+    planted = planted.withColumn("a", a).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return planted.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    runs = F.expr("transform(arrays_zip(starts, lengths, periods), "
+                  "r -> struct(r.lengths AS length, -r.starts AS back, -r.periods AS less))")
+    best = F.array_max(runs)
+    lines = F.expr("array_join(transform(arrays_zip(starts, lengths, periods), "
+                   "r -> concat(r.starts, ',', r.lengths, ',', r.periods, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("starts").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.expr("1000 * best.length DIV -best.less").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_main_text": op2_main_text,
@@ -94,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
