@@ -19,6 +19,7 @@ from paddock.llm.periodic_runs import periodic_runs
 from paddock.llm.quality import judge_quality
 from paddock.llm.sentence_pieces import encode
 from paddock.llm.substring_dedup import repeated_passages
+from paddock.llm.suffix_dedup import drop_repeats
 from paddock.llm.url_filter import filter_urls
 
 
@@ -114,6 +115,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(zip_with(starts, stops, (a, b) -> b - a), 0L, (s, n) -> s + n)")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_main_text": op2_main_text,
@@ -126,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
