@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.llm.chat_format import format_turns, read_back
+from paddock.llm.conversation_repair import repair, summary
 from paddock.llm.decontaminate import benchmark_leaks
 from paddock.llm.jaccard_join import JaccardJoin, jaccard_components
 from paddock.llm.language import identify
@@ -86,6 +87,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given to the user (the query's contract)."""
+    blank = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"),
+                    F.coalesce(F.col("turn").cast("string"), blank))
+    kind = F.crc32(name) % 20
+    text = F.coalesce("text", blank)
+    rows = turns.select("conv_id", "turn", kind.alias("kind"),
+                        F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+                        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+                        .alias("text")).filter("kind <> 0")
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("copy", copies).select("conv_id", "turn", "role", "text")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    found = summary(repair(damaged(given))).withColumnRenamed("conv_id", "found_id")
+    every = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -133,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
