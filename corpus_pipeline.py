@@ -37,13 +37,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id. Of rows that repeat an id with
+    its text the first in order of the other columns stays (nulls first); rows without an id all stay."""
     workers_find_library(spark)
     found = materialize(jaccard_components(docs), "near-duplicates")
     kept = _without(docs, found.filter("component_id <> doc_id"))
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    # rows that repeat an id with its text are one document
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    again = materialize(found.filter("doc_id IS NOT NULL AND component_id = doc_id").groupBy("doc_id").count().filter(
+        "count > 1").select(F.col("doc_id").alias("__again")), "repeated-ids")
+    repeated = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__one"))
+    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return single.unionByName(one.select("doc_id", "text", "__one.*").select(docs.columns))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
