@@ -32,9 +32,9 @@ a member. Equal sets are grouped before the join and represented by the smallest
 id. The result has every document's component under the links.
 
 Defined results: a null or blank text has an empty set and links with nothing;
-texts shorter than a shingle are one shingle; repeated ids are one document
-for linking and keep their rows; a null id gets a null component; other input
-columns are ignored; an empty table gives an empty result. 64-bit shingle
+texts shorter than a shingle are one shingle; repeated ids are one document,
+linked by every text of its rows, and keep their rows; rows without an id link
+with nothing and get a null component; other input columns are ignored; an empty table gives an empty result. 64-bit shingle
 hashes stand for the shingles.
 """
 
@@ -314,22 +314,31 @@ def verified(pairs: DataFrame, docs: DataFrame, how: JaccardJoin) -> DataFrame:
     return map_batches(texts.select("x", "p", "text_x", "text_p"), run, "x long, p long")
 
 
+def one_document(classes: DataFrame) -> DataFrame:
+    """(x, p): links that hold the rows of a repeated id together, where their sets have different names."""
+    several = classes.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("id")
+    return materialize(classes.join(several, "id").filter("rep <> id").select(
+        F.col("id").alias("x"), F.col("rep").alias("p")).distinct(), "links")
+
+
 def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), *, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(signed(docs, how), "shingle-sets")
-    reps = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    classes = materialize(sets.select("id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select(
-        "id", "n", "rep"), "classes")
-    copies = classes.filter("rep <> id").select("id").distinct()
-    keyed = sets.filter("n > 0 AND id IS NOT NULL").join(copies, "id", "left_anti").select(
-        F.explode("keys").alias("key"), F.col("id").alias("x"))
-    sketch = sets.select(F.col("id").alias("x"), "n", "counts").dropDuplicates(["x"])
+    same = ["n", "h1", "h2"]
+    reps = sets.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"))
+    classes = materialize(sets.select("id", *same).join(reps, same, "left").select(
+        "id", *same, F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
+    given = classes.filter("n > 0 AND rep = id").select("id", *same).distinct()
+    whole = sets.join(given, ["id", *same]).dropDuplicates(["id", *same])  # an id has a row for each of its texts
+    keyed = whole.select(F.explode("keys").alias("key"), F.col("id").alias("x"))
+    sketch = sets.select(F.col("id").alias("x"), *same, "counts").dropDuplicates(["x", *same]).drop("h1", "h2")
     members = materialize(named_regions(keyed).join(sketch, "x"), "members")
 
     pairs = materialize(cells(members, how), "pairs")
-    links = materialize(verified(pairs, docs, how), "links")
+    links = materialize(verified(pairs, docs, how), "links").unionByName(one_document(classes))
     found = components(links, "x", "p")
     named = members.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn(
         "component", F.coalesce("component", "x"))
@@ -344,4 +353,4 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), *, id_
     found = found.select(F.col("node").alias("rep"), "component")
     return classes.join(found, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "id").alias("component_id"))
+        F.coalesce("component", "rep").alias("component_id"))

@@ -77,13 +77,24 @@ def test_near_sets_share_a_region():
 
 
 def test_null_ids_and_empty_table(docs_of):
-    out = jaccard_components(docs_of([(None, "a b c d e f"), (1, "a b c d e f")])).collect()
-    assert {(r.doc_id, r.component_id) for r in out} == {(None, 1), (1, 1)} or {
-        (r.doc_id, r.component_id) for r in out} == {(None, None), (1, 1)}
+    out = jaccard_components(docs_of([(None, "a b c d e f"), (1, "a b c d e f"), (None, ""), (2, "a b c d e f")])).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == [(1, 1), (2, 1), (None, None), (None, None)]
     assert jaccard_components(docs_of([])).count() == 0
     assert jaccard_components(docs_of([(1, None), (2, "")])).filter("component_id = doc_id").count() == 2
 
 
+def test_repeated_ids_link_by_every_text(docs_of):
+    rng = random.Random(11)
+    a, b, c = ([f"{k}{rng.randrange(10 ** 9)}" for _ in range(60)] for k in "abc")
+    near = [["x"] + t[1:] for t in (a, b, c)]
+    rows = [(1, a), (1, b), (2, near[0]), (3, near[1]), (4, b[:59]), (9, c), (7, near[2]), (9, a), (0, a), (8, None), (8, c),
+            (6, ["alone"] * 9)]
+    for order in (rows, rows[::-1]):
+        docs = docs_of([(i, None if t is None else " ".join(t)) for i, t in order]).repartition(3)
+        out = {(r.doc_id, r.component_id) for r in jaccard_components(docs).collect()}
+        assert out == {(i, 0) for i in (0, 1, 2, 3, 4, 7, 8, 9)} | {(6, 6)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}

@@ -5,7 +5,7 @@ from paddock.llm.queries import ORACLE_SQL, QUERIES
 def test_stages_and_registration():
     import __spark_entry__ as entry
     numbers = [name.split("_")[0] for name in QUERIES]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "jaccard_join", "substring_dedup", "decontamination", "sentence_pieces"]
@@ -43,3 +43,17 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf)
         assert now.count() == 0
+
+
+def test_near_duplicates_drops_repeated_rows_by_one_rule(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    nulls = [(None, text, "en", "s", 1), (None, text, "en", "s", 1)]
+    rows = [(7, text, "fr", "s2", None), (7, text, "en", "s1", 5), (7, text, "en", "s1", 5), (7, other, "de", None, 1),
+            (8, other, "en", "s", 1), (9, text + " x", "en", "s", 1)]
+    for given in (nulls, nulls + rows, rows):
+        out = [tuple(r) for r in corpus_pipeline.near_duplicates(
+            spark, spark.createDataFrame(given, schema).repartition(3), "").collect()]
+        want = (nulls if given[0] == nulls[0] else []) + ([(7, text, "en", "s1", 5), (7, other, "de", None, 1)] if
+                                                          len(given) > 2 else [])
+        assert sorted(out, key=str) == sorted(want, key=str)
