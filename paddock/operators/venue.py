@@ -1,7 +1,7 @@
 """Venue block: Spearman correlation (A5) and venue rank retention.
 
 Spearman = Pearson of average ranks over pairwise-complete rows. Ranks come
-from the skew-safe ``distributed_rank``, so no window ever spans a whole
+from the skew-safe ``distributed_ranks``, so no window ever spans a whole
 large group; zero variance gives null (``try_divide``), never an error.
 
 Retention for (venue, period T) uses the rows of that venue in periods
@@ -15,20 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import distributed_rank
+from ..functions.ranking import Rank, distributed_ranks
 from ..spec import PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
 
 
-def _with_avg_rank(pairs: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Average rank of ``col`` per group (ties share the mean of their
-    positions) = (rank + inclusive running count) / 2, both from the
-    skew-safe ``distributed_rank``: no window spans a whole group."""
-    ranked = distributed_rank(pairs.withColumn("_one", F.lit(1)), keys, [(col, True)], "_rk",
-                              cumulative=("_one", "_cum"))
-    return ranked.withColumn(out, (F.col("_rk") + F.col("_cum")).cast("double") / 2.0) \
-        .drop("_one", "_rk", "_cum")
+def _with_avg_ranks(pairs: DataFrame, keys: list[str], cols: dict[str, str]) -> DataFrame:
+    """Average ranks per group of several columns at once, {column: output} (ties share the mean of
+    their positions) = (rank + inclusive running count) / 2, from the skew-safe
+    ``distributed_ranks``: no window spans a whole large group."""
+    ranks = [Rank(keys, [(c, True)], f"_rk{i}", ("_one", f"_cum{i}")) for i, c in enumerate(cols)]
+    ranked = distributed_ranks(pairs.withColumn("_one", F.lit(1)), ranks)
+    return ranked.select(*pairs.columns, *[
+        ((F.col(f"_rk{i}") + F.col(f"_cum{i}")).cast("double") / 2.0).alias(out) for i, out in enumerate(cols.values())])
 
 
 def _with_avg_rank_window(pairs: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
@@ -55,8 +55,10 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "rho",
 
     pairs = df.select(*keys, clean(a).alias("_a"), clean(b).alias("_b")) \
               .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    rank = _with_avg_rank if skew_safe else _with_avg_rank_window
-    ranked = rank(rank(pairs, keys, "_a", "_ra"), keys, "_b", "_rb")
+    if skew_safe:
+        ranked = _with_avg_ranks(pairs, keys, {"_a": "_ra", "_b": "_rb"})
+    else:
+        ranked = _with_avg_rank_window(_with_avg_rank_window(pairs, keys, "_a", "_ra"), keys, "_b", "_rb")
     aggs = [F.try_divide(F.covar_pop("_ra", "_rb"),
                          F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias(out)]
     if n_out:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import distributed_row_number
+from ..functions.ranking import Rank, distributed_ranks
 from ..functions.scalars import points_of
 from ..session import materialize, table_path
 from ..spec import POINTS_BY_POSITION
@@ -63,14 +63,19 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     base = _entry_aggregates(spark, sf_dir).withColumn(
         "raceId", F.concat_ws("_", F.col("season").cast("string"), F.col("round").cast("string"))
     )
-    # one row per (month, supplier); four per-event orders read it, each with
-    # a sampling pass: compute it once
+    # not every entry has times, and only some events a second ranking
+    base = base.withColumn("_timed", ~((F.col("suppkey") % 7 == 0) & (F.col("round") % 5 == 0))) \
+        .withColumn("_sprint", F.col("round").isin(list(SPRINT_MONTHS)))
+    # one row per (month, supplier), written once for the four orders
     base = materialize(base, "entry-aggregates")
     # an event here is a calendar month: one key holds ~1/84 of all line
-    # items, so per-event orders use the skew-safe rank (no window over a
-    # whole event); (value, supplier key) is unique: distributed row_number.
-    ranked = distributed_row_number(base, ["raceId"], [("sumline", False), ("suppkey", True)], "_grid")
-    ranked = distributed_row_number(ranked, ["raceId"], [("sumqty", False), ("suppkey", True)], "_pos")
+    # items, so per-event orders use the skew-safe ranks (no window over a
+    # whole event); (value, supplier key) is unique: row numbers.
+    ranked = materialize(distributed_ranks(base, [
+        Rank(["raceId"], [("sumline", False), ("suppkey", True)], "_grid"),
+        Rank(["raceId"], [("sumqty", False), ("suppkey", True)], "_pos"),
+        Rank(["raceId", "_timed"], [("q_best", True), ("suppkey", True)], "_qpos"),
+        Rank(["raceId", "_sprint"], [("n", False), ("suppkey", True)], "_spos")]), "ranked-entries")
     results = ranked.select(
         "raceId", "season", "round",
         F.concat(F.lit("c"), ((F.col("round") - 1) % VENUES).cast("string")).alias("circuitId"),
@@ -81,9 +86,7 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         _status().alias("status"),
     ).withColumn("points", points_of("positionOrder"))
 
-    timed = base.filter(~((F.col("suppkey") % 7 == 0) & (F.col("round") % 5 == 0)))
-    timed = distributed_row_number(timed, ["raceId"], [("q_best", True), ("suppkey", True)], "_qpos")
-    qualifying = timed.select(
+    qualifying = ranked.filter("_timed").select(
         "raceId",
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
         F.col("_qpos").cast("double").alias("qualifying_pos"),
@@ -92,9 +95,7 @@ def star_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.col("q_best").cast("double").alias("q3_ms"),
     ).withColumn("driver_best_q_ms", F.least("q1_ms", "q2_ms", "q3_ms"))
 
-    sprint_base = distributed_row_number(base.filter(F.col("round").isin(list(SPRINT_MONTHS))), ["raceId"],
-                                         [("n", False), ("suppkey", True)], "_spos")
-    sprints = sprint_base.select(
+    sprints = ranked.filter("_sprint").select(
         "raceId",
         F.concat(F.lit("s"), F.col("suppkey").cast("string")).alias("driverId"),
         F.col("_spos").cast("double").alias("sprint_finish"),

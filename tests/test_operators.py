@@ -200,3 +200,51 @@ def test_distributed_rank_equals_rank_when_groups_are_split(spark):
         for split in (50, 10**6):
             got = distributed_rank(df, ["g"], order, "r", cumulative=("v", "s"), split_rows=split).select("i", "r", "s")
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (order, split)
+
+
+def test_several_ranks_split_over_several_groupings(spark):
+    import random
+
+    from paddock.functions.ranking import Rank, distributed_ranks
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a"] * 8 + ["b", None]), rng.choice([True, False, None]),
+             rng.choice([None, *range(40)]), rng.choice([None, float("nan"), *map(float, range(9))]), rng.randrange(5))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g string, f boolean, x long, y double, v long")
+    ranks = [Rank(["g"], [("x", True), ("i", False)], "r0", ("v", "s0")), Rank(["g", "f"], [("y", False)], "r1"),
+             Rank(["f"], [("x", False)], "r2", ("v", "s2")), Rank([], [("y", True)], "r3")]
+    want = distributed_ranks(df, ranks).orderBy("i").collect()
+    for split in (0, 50, 700):
+        got = distributed_ranks(df, ranks, split_rows=split).orderBy("i")
+        assert [str(r) for r in got.collect()] == [str(r) for r in want]
+    ties = df.selectExpr("i", "rank() OVER (PARTITION BY g ORDER BY x NULLS LAST, i DESC) r0",
+                         "rank() OVER (PARTITION BY g, f ORDER BY y DESC NULLS LAST) r1").orderBy("i").collect()
+    assert [(r.r0, r.r1) for r in want] == [(r.r0, r.r1) for r in ties]
+
+
+def test_three_ranks_read_a_table_once(spark, tmp_path):
+    from paddock.functions.ranking import Rank, distributed_ranks
+    spark.range(5000).selectExpr("id", "id % 2 AS g", "id % 91 AS a", "id % 83 AS b", "id % 7 AS c").write.parquet(
+        str(tmp_path / "t"))
+    ranks = [Rank(["g"], [(c, True)], f"r{c}") for c in "abc"]
+    for split in (100_000, 500):
+        out = distributed_ranks(spark.read.parquet(str(tmp_path / "t")), ranks, split_rows=split)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReadSchema: struct<id:bigint") == 1
+        assert out.filter("ra > 0").count() == 5000
+
+
+def test_global_median_by_bits_equals_a_sort(spark):
+    import random
+    import statistics
+
+    from paddock.operators.form import global_median
+    from paddock.spec import Params
+    rng = random.Random(1)
+    sets = [[], [5.0], [1.0, 2.0], [-0.0, 0.0, 3.0], [-1.5, -1.5, 2.0], [float("-inf"), 4.0, float("inf")],
+            [rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(1001)],
+            [float(rng.randint(-3, 3)) for _ in range(500)], [1.0, 1.0 + 2 ** -52, 1.0 + 2 ** -51, 1.0 + 2 ** -50]]
+    for values in sets:
+        rows = [(v,) for v in [*values, None, float("nan")]]
+        got = global_median(spark.createDataFrame(rows, "positionOrder double"), "positionOrder", Params()).collect()
+        assert len(got) == 1 and got[0][0] == (statistics.median(values) if values else None)
