@@ -318,6 +318,36 @@ def q_parse_results(spark, sf):
               ["grid", "positionOrder", "points"])
 
 
+def _soiled(spark, sf) -> tuple[str, dict[str, int]]:
+    """Dirty results pages, quarantined: the table's folder and the counts that were observed while writing it."""
+    from paddock.session import scratch_path
+    from paddock.sources.landing import land_soiled
+    root, path = scratch_path(spark, "soiled-landing"), scratch_path(spark, "quarantine")
+    land_soiled(star_facts(spark, sf)[0], root)
+    return path, raw.quarantine_results(raw.read_raw(spark, raw.landing_paths(root, "results"), lines=True), path, P)
+
+
+def q_quarantine(spark, sf):
+    """Rows of each kind, as observed and as stored, and the facts that are left of repeated ones."""
+    path, counts = _soiled(spark, sf)
+    kept = raw.read_quarantined(spark, path, "facts").agg(F.count(F.lit(1)).alias("n")).scalar()
+    stored = spark.read.parquet(path).groupBy("kind").agg(F.count(F.lit(1)).alias("stored"))
+    observed = spark.createDataFrame(list(counts.items()), "kind string, observed long")
+    return observed.join(stored, "kind", "left").select(
+        "kind", "observed", F.coalesce("stored", F.lit(0)).alias("stored"), F.when(F.col("kind") == "facts", kept).alias("kept"))
+
+
+def q_soiled_facts(spark, sf):
+    df = raw.read_quarantined(spark, _soiled(spark, sf)[0], "facts")
+    return _r(df, ["raceId", "season", "round", "circuitId", "driverId", "constructorId", "status"],
+              ["grid", "positionOrder", "points"])
+
+
+def q_soiled_starters(spark, sf):
+    df = ev.drop_non_starters(raw.read_quarantined(spark, _soiled(spark, sf)[0], "facts"))
+    return _r(df, ["raceId", "driverId", "status"], ["positionOrder", "points"])
+
+
 def q_parse_qualifying(spark, sf):
     df = raw.parse_qualifying(_landed(spark, sf, "qualifying"), P)
     return _r(df, ["raceId", "driverId"], ["qualifying_pos", "q1_ms", "q2_ms", "q3_ms", "driver_best_q_ms"])
@@ -444,6 +474,61 @@ def q_fit_ranker(spark, sf):
         .alias("ranks_follow"), better.alias("beats_random"))
 
 
+def q_listwise_ranker(spark, sf):
+    """Per event: entries, whether the listwise ranker's ranks follow its scores, and whether its NDCG on later
+    events is above that of a random order."""
+    from paddock.operators.venue import spearman
+    from paddock.plans import models as md
+    train, test = _split(spark, sf)
+    model = md.fit_ranker(train, params=P, method="listwise", trees=12, rate=0.5, depth=4)
+    out = materialize(md.score_ranker(model, test, skew_safe=SKEW_SAFE).select(
+        "raceId", "driverId", "positionOrder", "score", "pred_pos",
+        F.xxhash64("raceId", "driverId").alias("shuffled")), "listwise-scores")
+    k = P.ndcg_cuts[-1]
+    better = mt.ndcg_at_k(out, "score", P.ndcg_cuts).select(F.col(f"ndcg_{k}").alias("v")).scalar() \
+        > mt.ndcg_at_k(out, "shuffled", P.ndcg_cuts).select(F.col(f"ndcg_{k}").alias("v")).scalar()
+    follow = spearman(out, ["raceId"], "score", "pred_pos", "rho")
+    return out.groupBy("raceId").agg(F.count(F.lit(1)).alias("entries"), F.min("pred_pos").alias("first_pos")) \
+        .join(follow, "raceId").select("raceId", "entries", "first_pos", (F.col("rho") < -1 + 1e-9).alias("ranks_follow"),
+                                       better.alias("beats_random"))
+
+
+RATE_COLUMNS = ("driverId", "constructorId", "circuitId", "pu_manufacturer", "regulatory_era")
+
+
+def q_category_rates(spark, sf):
+    from paddock.plans.encode import category_rates
+    out = category_rates(_entries(spark, sf), RATE_COLUMNS, F.col("is_classified"), until=P.test_period)
+    return _r(out, ["raceId", "driverId"], [f"{c}__rate" for c in RATE_COLUMNS])
+
+
+def q_partitioned_matrix(spark, sf):
+    """A store by season: all seasons written, two of them replaced, read back split by period."""
+    from paddock.session import scratch_path
+    from paddock.sources.store import read_periods, write_periods
+    rows = _entries(spark, sf).select("raceId", "driverId", "season", "positionOrder", F.lit(1).alias("version"))
+    path = scratch_path(spark, "matrix-store")
+    write_periods(rows, path)
+    again = rows.filter(F.col("season").isin(P.test_period - 1, P.test_period) & (F.col("positionOrder") <= 10))
+    write_periods(again.withColumn("version", F.lit(2)), path)
+    train, test = mt.chrono_split(read_periods(spark, path, rows.schema), P.test_period)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.groupBy("split", "season").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("positionOrder").alias("positions"),
+        F.min("version").cast("bigint").alias("oldest"), F.max("version").cast("bigint").alias("newest"))
+
+
+def q_merge_stages(spark, sf):
+    """P28 on fixed scores: flags and scores from the entries, positions merged."""
+    from paddock.plans import models as md
+    rows = _entries(spark, sf).filter(F.col("season") == P.test_period).select(
+        "raceId", "driverId", F.col("is_classified").alias("predicted_classified"),
+        (-F.col("grid") % 17).alias("rank_score"),
+        F.when(F.col("grid") % 5 != 0, (F.col("positionOrder") % 7) / 10).alias("survival_prob"))
+    return md.merge_stages(rows, skew_safe=SKEW_SAFE).select(
+        "raceId", "driverId", "two_stage_pred_pos", "single_stage_pred_pos")
+
+
 def q_classifier(spark, sf):
     """Per event: entries, whether flags follow the probabilities, and whether
     the log loss is below that of a coin."""
@@ -561,6 +646,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_event_key": q_event_key,
     "p20_p22_position_maps": q_position_maps,
     "p1_parse_results": q_parse_results,
+    "p1_p6_soiled_facts": q_soiled_facts,
+    "p10_soiled_starters": q_soiled_starters,
+    "u3_quarantine": q_quarantine,
     "p2_parse_qualifying": q_parse_qualifying,
     "p3_parse_sprints": q_parse_sprints,
     "s2_missing_pages": q_missing_pages,
@@ -575,6 +663,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p29_p30_extended_matrix": q_extended_matrix,
     "s8_params_artifact": q_params_artifact,
     "m1_fit_ranker": q_fit_ranker,
+    "m1_listwise_ranker": q_listwise_ranker,
+    "p25_category_rates": q_category_rates,
+    "s6_partitioned_matrix": q_partitioned_matrix,
+    "p28_merge_stages": q_merge_stages,
     "m2_classifier": q_classifier,
     "m3_two_stage": q_two_stage,
     "m4_chrono_cv": q_chrono_cv,

@@ -10,6 +10,7 @@ exponential weights, correlated ranges for past periods. Only lookup tables
 from __future__ import annotations
 
 from paddock.sources.adapter import ADAPTER_SQL_CTES, STRINGS_SQL_CTE
+from paddock.sources.landing import SOILED_SQL
 from paddock.functions.scalars import NUMERIC_PATTERN
 from paddock.spec import ADAPTER_SWEEP_GRID as SWEEP_GRID
 from paddock.spec import RELEVANCE_BY_POSITION, RELEVANCE_DEFAULT, adapter_params
@@ -347,6 +348,21 @@ def raw_queries() -> dict[str, str]:
     q["p3_parse_sprints"] = (
         f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('sprint_finish')} AS sprint_finish, "
         f"{r6('sprint_points')} AS sprint_points FROM fact_sprints {floor}")
+    dirty = f"WITH {ADAPTER_SQL_CTES},\n{SOILED_SQL}"
+    known = f"driverId IS NOT NULL AND season >= {P.first_period}"
+    q["p1_p6_soiled_facts"] = (
+        f"{dirty}\nSELECT raceId, season, round, circuitId, driverId, constructorId, status, grid, positionOrder, points "
+        f"FROM soiled WHERE {known}")
+    q["p10_soiled_starters"] = (
+        f"{dirty}\nSELECT raceId, driverId, status, positionOrder, points FROM soiled WHERE {known} "
+        "AND NOT coalesce(regexp_matches(status, '(?i)(dns|did not start)'), false)")
+    q["u3_quarantine"] = f"""{dirty},
+counted AS (
+  SELECT 'facts' AS kind, count(*) + count(*) FILTER (kind = 5) AS n, count(*) AS kept FROM soiled WHERE {known}
+  UNION ALL SELECT 'keyless_rows', count(*), NULL FROM soiled WHERE driverId IS NULL AND season >= {P.first_period}
+  UNION ALL SELECT 'bad_pages', count(DISTINCT raceId), NULL FROM soiled WHERE round % 5 = 0
+)
+SELECT kind, n AS observed, n AS stored, kept FROM counted"""
     q["s2_missing_pages"] = f"""WITH {ADAPTER_SQL_CTES},
 ev AS (SELECT DISTINCT raceId, season, round FROM fact_results),
 tot AS (
@@ -435,6 +451,37 @@ FROM flat f LEFT JOIN rho USING (strategy) LEFT JOIN mae USING (strategy)""".rep
     q["m1_fit_ranker"] = with_features(
         "SELECT raceId, count(*) AS entries, CAST(1 AS BIGINT) AS first_pos, true AS ranks_follow, "
         f"true AS beats_random {per_event}")
+    q["m1_listwise_ranker"] = q["m1_fit_ranker"]
+    rates = ", ".join(
+        f"""(SELECT (coalesce(sum(b.v), 0) + 20.0 * e.prior) / (coalesce(sum(b.n), 0) + 20.0) FROM cat_{c} b
+             WHERE b.k IS NOT DISTINCT FROM e.{c} AND (b.season, b.round) < (e.season, e.round)) AS {c}__rate"""
+        for c in ("driverId", "constructorId", "circuitId", "pu_manufacturer", "regulatory_era"))
+    cats = ", ".join(
+        f"""cat_{c} AS (SELECT {c} AS k, season, round, count(*) AS n, sum(is_classified) AS v FROM e2
+            WHERE season < {TEST} GROUP BY ALL)"""
+        for c in ("driverId", "constructorId", "circuitId", "pu_manufacturer", "regulatory_era"))
+    columns = ", ".join(f"{r6(c + '__rate')} AS {c}__rate"
+                        for c in ("driverId", "constructorId", "circuitId", "pu_manufacturer", "regulatory_era"))
+    q["p25_category_rates"] = with_features(f""", {cats},
+per_event AS (SELECT season, round, count(*) FILTER (season < {TEST}) AS n,
+                     coalesce(sum(is_classified) FILTER (season < {TEST}), 0) AS v FROM e2 GROUP BY season, round),
+priors AS (SELECT a.season, a.round, coalesce((SELECT sum(b.v) / nullif(sum(b.n), 0) FROM per_event b
+             WHERE (b.season, b.round) < (a.season, a.round)), 0.5) AS prior FROM per_event a),
+e AS (SELECT e2.*, p.prior FROM e2 JOIN priors p USING (season, round)),
+rated AS (SELECT raceId, driverId, {rates} FROM e)
+SELECT raceId, driverId, {columns} FROM rated""".replace("WITH \n, ", "WITH "))
+    q["s6_partitioned_matrix"] = with_features(f"""
+SELECT CASE WHEN season < {TEST} THEN 'train' ELSE 'test' END AS split, season, count(*) AS rows,
+       sum(positionOrder) AS positions, CAST(CASE WHEN season >= {TEST} - 1 THEN 2 ELSE 1 END AS BIGINT) AS oldest,
+       CAST(CASE WHEN season >= {TEST} - 1 THEN 2 ELSE 1 END AS BIGINT) AS newest
+FROM e2 WHERE season <= {TEST} AND (season < {TEST} - 1 OR positionOrder <= 10) GROUP BY season""")
+    q["p28_merge_stages"] = with_features(f"""
+SELECT raceId, driverId,
+       rank() OVER (PARTITION BY raceId ORDER BY is_classified DESC,
+                    CASE WHEN is_classified = 1 THEN s ELSE p END DESC NULLS LAST) AS two_stage_pred_pos,
+       rank() OVER (PARTITION BY raceId ORDER BY s DESC NULLS LAST) AS single_stage_pred_pos
+FROM (SELECT *, (-grid) % 17 AS s, CASE WHEN grid % 5 <> 0 THEN (positionOrder % 7) / 10 END AS p
+      FROM e2 WHERE season = {TEST})""")
     q["m2_classifier"] = with_features(
         "SELECT raceId, count(*) AS entries, CAST(sum(is_classified) AS BIGINT) AS classified, true AS flags_follow, "
         f"true AS beats_coin {per_event}")

@@ -1,9 +1,11 @@
 """Model runners on MLlib.
 
-MLlib has no learning-to-rank objective. The ranker is pointwise: gradient
-boosted trees regress log1p(relevance label) and entries are ranked per
-event by the score. Scores therefore differ from a LambdaRank learner; the
-metrics that judge them are exact. A training set is its features and label
+MLlib has no learning-to-rank objective. Two rankers are built on its trees:
+``listwise`` boosts regression trees on the gradient of a softmax over each
+event's entries, so it optimises order within an event; ``pointwise`` regresses
+log1p(relevance label) with gradient boosted trees. Entries are ranked per
+event by the score. Scores differ from a LambdaRank learner; the metrics that
+judge them are exact. A training set is its features and label
 only, written once as parquet in the shared checkpoint folder: the learner
 reads it for every tree, its partitions follow its size, and a lost executor
 re-reads files.
@@ -49,14 +51,17 @@ def assemble(df: DataFrame, features: Sequence[str] = FEATURES, out: str = "feat
 
 def index_categoricals(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str],
                        max_categories: int = 256):
-    """Category columns -> indices fitted on the training split (P25); unseen
-    categories get their own index (``handleInvalid="keep"``). Columns with
-    more than ``max_categories`` values are left out: a tree must look at all
-    categories of a column at once, so ids of entities are no features at
-    scale. Returns (train, others, index column names)."""
+    """Category columns -> indices fitted on the training split; unseen
+    categories get their own index (``handleInvalid="keep"``). A tree must look
+    at all categories of a column at once, so columns of more than
+    ``max_categories`` values raise: ``encode.category_rates`` takes any number.
+    Returns (train, others, index column names)."""
     from pyspark.ml.feature import StringIndexer
-    counts = train.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
-    used = [c for c in cols if 0 < counts[c] <= max_categories]
+    counts = train.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    wide = [c for c in cols if counts[c] > max_categories]
+    if wide:
+        raise ValueError(f"too many categories to index, use category_rates: {wide}")
+    used = [c for c in cols if counts[c] > 0]
     if not used:
         return train, list(others), []
     names = [f"{c}__idx" for c in used]
@@ -70,9 +75,10 @@ def feature_names(features: Sequence[str] = FEATURES, categorical: Sequence[str]
     return [c for c in features for _ in range(2)] + list(categorical)
 
 
-def _training(df: DataFrame, features: Sequence[str], categorical: Sequence[str], label) -> tuple[DataFrame, int]:
-    """Features and label, written once, and the bins that the largest category needs."""
-    data = assemble(df.withColumn("_label", label), features, categorical=categorical, keep=["_label"])
+def _training(df: DataFrame, features: Sequence[str], categorical: Sequence[str], label,
+              keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """Features, label and ``keep``, written once, and the bins that the largest category needs."""
+    data = assemble(df.withColumn("_label", label), features, categorical=categorical, keep=["_label", *keep])
     bins = 32
     for attr in (data.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])):
         bins = max(bins, len(attr.get("vals", [])) + 1)
@@ -83,14 +89,93 @@ def _training(df: DataFrame, features: Sequence[str], categorical: Sequence[str]
 
 def fit_ranker(train: DataFrame, features: Sequence[str] = FEATURES, trees: int = 150, rate: float = 0.05,
                depth: int = 5, min_rows: int = 20, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
-               categorical: Sequence[str] = ()):
-    """Pointwise ranker: GBT regression on log1p(relevance) (M1)."""
+               categorical: Sequence[str] = (), method: str = "pointwise"):
+    """Ranker (M1): ``pointwise``, GBT regression on log1p(relevance), or ``listwise``, see ``fit_listwise``."""
+    if method == "listwise":
+        return fit_listwise(train, features, trees, rate, depth, min_rows, params, spec, categorical)
+    if method != "pointwise":
+        raise ValueError(f"unknown ranking method {method!r}")
     data, bins = _training(train, features, categorical, F.log1p(relevance_of(spec.outcome).cast("double")))
+    return pointwise_trees(data, trees, rate, depth, min_rows, params, bins)
+
+
+def pointwise_trees(data: DataFrame, trees: int, rate: float, depth: int, min_rows: int, params: Params, bins: int = 32):
+    """GBT regression on a stored table of ``features`` and ``_label``."""
     return GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
                         maxDepth=depth, minInstancesPerNode=min_rows, seed=params.seed, maxBins=bins,
                         checkpointInterval=10).fit(data)
 
 
+class ListwiseRanker:
+    """Sum of regression trees whose leaves carry their own values."""
+
+    def __init__(self, spark):
+        self.spark, self.trees = spark, []  # (tree model, {leaf: value})
+
+    def add(self, tree, leaves: dict[int, float]) -> None:
+        self.trees.append((tree, leaves))
+
+    @staticmethod
+    def step(df: DataFrame, tree, leaves: dict[int, float], score: str) -> DataFrame:
+        """``df`` with the tree's value added to ``score``."""
+        table = F.create_map(*[F.lit(x) for leaf, value in leaves.items() for x in (float(leaf), float(value))])
+        out = tree.setLeafCol("_leaf").setPredictionCol("_tree").transform(df)
+        return out.withColumn(score, F.col(score) + F.coalesce(F.element_at(table, F.col("_leaf")), F.lit(0.0))) \
+            .drop("_leaf", "_tree")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("prediction", F.lit(0.0))
+        for tree, leaves in self.trees:
+            out = self.step(out, tree, leaves, "prediction")
+        return out
+
+    @property
+    def featureImportances(self):
+        from pyspark.ml.linalg import Vectors
+        total = sum(tree.featureImportances.toArray() for tree, _ in self.trees)
+        return Vectors.dense(total / max(total.sum(), 1e-300))
+
+
+def fit_listwise(train: DataFrame, features: Sequence[str] = FEATURES, trees: int = 150, rate: float = 0.05,
+                 depth: int = 5, min_rows: int = 20, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
+                 categorical: Sequence[str] = (), checkpoint_every: int = 5) -> ListwiseRanker:
+    """Listwise ranker (M1): boosting on the cross entropy between each event's target shares (relevance over the
+    event's sum) and the softmax of its scores.
+
+    The gradient of an entry is its target share minus its score share, so a
+    round needs one sum per event and no pairs: a grouped sum joined back. A
+    regression tree is fitted to the gradients, scaled by the event's size; a
+    leaf's value is its Newton step, from grouped sums over at most 2^depth
+    leaves. Scores are written every ``checkpoint_every`` rounds, which cuts the
+    lineage; a lost executor re-reads files.
+    """
+    from pyspark.ml.regression import DecisionTreeRegressor
+    gain = relevance_of(spec.outcome).cast("double")
+    stored, bins = _training(train.filter(F.col(spec.event).isNotNull()), features, categorical, gain, [spec.event])
+    meta = {"metadata": stored.schema["features"].metadata}
+    data = stored.withColumn("_score", F.lit(0.0))
+    model = ListwiseRanker(train.sparkSession)
+    for done in range(trees):
+        # shares of each event; scores are bounded so that no weight overflows
+        weight = F.exp(F.least(F.greatest(F.col("_score"), F.lit(-50.0)), F.lit(50.0)))
+        sums = data.groupBy(spec.event).agg(F.sum(weight).alias("_w"), F.sum("_label").alias("_g"),
+                                            F.count(F.lit(1)).alias("_n"))
+        share, target = weight / F.col("_w"), F.try_divide(F.col("_label"), F.col("_g"))
+        rows = data.join(sums, spec.event).select(
+            "features", ((F.coalesce(target, 1 / F.col("_n")) - share) * F.col("_n")).alias("_step"),
+            (share * (1 - share) * F.col("_n")).alias("_curve"))
+        rows = materialize(rows, "listwise-round").withColumn("features", F.col("features").alias("features", **meta))
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="_step", maxDepth=depth, maxBins=bins,
+                                     minInstancesPerNode=min_rows, seed=params.seed, leafCol="_leaf").fit(rows)
+        found = tree.transform(rows).groupBy("_leaf").agg(F.sum("_step").alias("s"), F.sum("_curve").alias("c")).collect()
+        leaves = {int(r["_leaf"]): rate * r["s"] / (r["c"] + 1.0) for r in found}
+        model.add(tree, leaves)
+        data = model.step(data, tree, leaves, "_score")
+        if (done + 1) % checkpoint_every == 0 and done + 1 < trees:
+            data = materialize(data, "listwise-scores").withColumn("features", F.col("features").alias("features", **meta))
+    return model
+
+
 def score_ranker(model, df: DataFrame, features: Sequence[str] = FEATURES, score: str = "score",
                  pos: str = "pred_pos", spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False,
                  categorical: Sequence[str] = ()) -> DataFrame:
@@ -130,25 +215,43 @@ def two_stage_rank(train: DataFrame, test: DataFrame, features: Sequence[str] =
     """M2 on all entries, M1 on classified entries only, merged (P28): entries
     predicted to finish come first by rank score, the others after them by
     survival probability. Ordered by two keys, not an offset (Q24).
-    ``categorical`` columns are indexed on the training split (P25). The
-    ranker alone over all entries is ``single_stage_pred_pos``."""
-    idx: Sequence[str] = ()
+    ``categorical`` columns, of any width, become rates of being classified and
+    mean outcomes over earlier events of the training split (P25). The ranker
+    alone over all entries is ``single_stage_pred_pos``."""
     if categorical:
-        train, (test,), idx = index_categoricals(train, [test], categorical)
-    clf = fit_classifier(train, features, params=params, categorical=idx, **(classifier_kw or {}))
-    rk = fit_ranker(train.filter(F.col("is_classified") == 1), features, params=params, spec=spec,
-                    categorical=idx, **(ranker_kw or {}))
-    t = classify(clf, test, features, params, idx)
-    t = rk.transform(assemble(t, features, categorical=idx)).withColumnRenamed("prediction", "rank_score") \
-        .drop("features")
+        train, test, names = encode_split(train, test, categorical, spec)
+        features = [*features, *names]
+    clf = fit_classifier(train, features, params=params, **(classifier_kw or {}))
+    rk = fit_ranker(train.filter(F.col("is_classified") == 1), features, params=params, spec=spec, **(ranker_kw or {}))
+    t = classify(clf, test, features, params)
+    t = rk.transform(assemble(t, features)).withColumnRenamed("prediction", "rank_score").drop("features")
+    return merge_stages(t, spec, skew_safe)
+
+
+def encode_split(train: DataFrame, test: DataFrame, cols: Sequence[str],
+                 spec: PanelSpec = DEFAULT_SPEC) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both splits with the ordered rates of ``cols``; outcomes of the test split count for nobody."""
+    from .encode import category_rates
+    both = train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True)),
+                                                               allowMissingColumns=True)
+    flag = F.when(~F.col("_test"), F.col("is_classified"))
+    place = F.when(~F.col("_test"), F.col(spec.outcome))
+    done = materialize(category_rates(category_rates(both, cols, flag, "rate", spec=spec), cols, place, "place",
+                                      fill=10.0, spec=spec), "encoded-split")
+    names = [f"{c}__{kind}" for c in cols for kind in ("rate", "place")]
+    return (done.filter("NOT _test").select(*train.columns, *names), done.filter("_test").select(*test.columns, *names),
+            names)
+
+
+def merge_stages(t: DataFrame, spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False) -> DataFrame:
+    """Positions from ``predicted_classified``, ``rank_score`` and ``survival_prob``."""
     t = t.withColumn("_key2", F.when(F.col("predicted_classified") == 1, F.col("rank_score"))
                      .otherwise(F.col("survival_prob")))
     if skew_safe:
-        from ..functions.ranking import distributed_rank
-        t = materialize(t, "two-stage-scores")
-        t = distributed_rank(t, [spec.event], [("predicted_classified", False), ("_key2", False)],
-                             "two_stage_pred_pos")
-        return distributed_rank(t, [spec.event], [("rank_score", False)], "single_stage_pred_pos").drop("_key2")
+        from ..functions.ranking import Rank, distributed_ranks
+        return distributed_ranks(materialize(t, "two-stage-scores"), [
+            Rank([spec.event], [("predicted_classified", False), ("_key2", False)], "two_stage_pred_pos"),
+            Rank([spec.event], [("rank_score", False)], "single_stage_pred_pos")]).drop("_key2")
     w = Window.partitionBy(spec.event)
     return t.withColumn("two_stage_pred_pos", F.rank().over(w.orderBy(
         F.col("predicted_classified").desc(), F.col("_key2").desc_nulls_last())).cast("bigint")) \

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import distributed_rank
+from ..functions.scalars import relevance_of
 from ..operators import form as fm
 from ..operators.venue import spearman
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources.store import read_periods, write_periods
 from ..spec import FEATURES, SWEEP_GRID, PanelSpec, Params
-from .metrics import expected_points_error
-from .models import fit_ranker, score_ranker
+from .metrics import chrono_split, expected_points_error, rank_within
+from .models import assemble, pointwise_trees
 
 DEFAULT_SPEC = PanelSpec()
 
@@ -38,23 +40,27 @@ def chrono_cv(matrix: DataFrame, params: Params = Params(), features: Sequence[s
 
     One row per fold: events, train_rows, val_rows, scored_rows, pace_rho
     (qualifying position vs outcome), model_rho, p1_acc, beats_baseline. The
-    input is written once, features and keys only. Folds are fitted side by
+    feature vectors are written once, by period; a fold reads the folders of
+    its periods and writes no training set of its own. Folds are fitted side by
     side; all metrics are one grouped query over the union of the folds.
     """
     kw = dict(trees=100, rate=0.03, depth=4, min_rows=20)
     kw.update(ranker_kw or {})
-    needed = dict.fromkeys([spec.event, spec.entity, spec.period, spec.outcome, "qualifying_pos", *features])
-    data = materialize(matrix.select(*needed), "cv-input")
+    keys = [spec.event, spec.entity, spec.period, spec.outcome]
+    given = assemble(matrix.withColumn("_pace", F.col("qualifying_pos").cast("double")).withColumn(
+        "_label", F.log1p(relevance_of(spec.outcome).cast("double"))), features, keep=[*keys, "_pace", "_label"])
+    path = scratch_path(matrix.sparkSession, "cv-features")
+    write_periods(given, path, spec.period)
+    data = read_periods(matrix.sparkSession, path, given.schema)
 
     def fold(v: int) -> DataFrame:
-        train = data.filter(F.col(spec.period) < F.lit(v))
-        val = data.filter(F.col(spec.period) == F.lit(v))
-        model = fit_ranker(train, features, params=params, spec=spec, **kw)
-        return score_ranker(model, val, features, spec=spec, skew_safe=skew_safe).select(
+        train, val = chrono_split(data, v, spec)
+        model = pointwise_trees(train.select("features", "_label"), params=params, **kw)
+        scored = model.transform(val).withColumnRenamed("prediction", "_score")
+        return rank_within(scored, "_score", "_pred", spec, skew_safe=skew_safe).select(
             F.lit(v).cast("bigint").alias("fold"), spec.event, spec.entity,
-            F.col(spec.outcome).cast("double").alias("target"),
-            F.col("qualifying_pos").cast("double").alias("pace"),
-            F.col("pred_pos").cast("double").alias("model"))
+            F.col(spec.outcome).cast("double").alias("target"), F.col("_pace").alias("pace"),
+            F.col("_pred").cast("double").alias("model"))
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         preds = list(pool.map(inheritable_thread_target(fold), params.validation_periods))
@@ -87,15 +93,8 @@ def chrono_cv(matrix: DataFrame, params: Params = Params(), features: Sequence[s
 def param_grid(spark: SparkSession, ranges: dict | None = None) -> DataFrame:
     """Cross product of the sweep ranges with a ``combo_id`` that follows
     parameter order (first parameter slowest) — the tie-break order."""
-    ranges = ranges or SWEEP_GRID
-    grid = spark.range(1).select()
-    cid = F.lit(0)
-    for name, values in ranges.items():
-        dtype = "bigint" if name == "summer_break_round" else "double"
-        arr = F.array(*[F.lit(v).cast(dtype) for v in values])
-        grid = grid.select("*", F.posexplode(arr).alias(f"_i_{name}", name))
-        cid = cid * len(values) + F.col(f"_i_{name}")
-    return grid.select(cid.cast("bigint").alias("combo_id"), *ranges.keys())
+    gen, cols = grid_columns(ranges)
+    return spark.range(1).select(gen).select(F.col("combo_id").cast("bigint"), *[c.alias(n) for n, c in cols.items()])
 
 
 def grid_columns(ranges: dict | None = None) -> tuple:

@@ -36,7 +36,7 @@ def _paginate(df: DataFrame, group: list[str], order: list[str], elem: Column, p
 
 
 def _race_pages(df: DataFrame, kind: str, array_name: str, elem: Column, page_size: int,
-                circuit: bool = False, skip: Column | None = None) -> DataFrame:
+                circuit: bool = False, skip: Column | None = None, suffix: str = "") -> DataFrame:
     group = ["season", "round"] + (["circuitId"] if circuit else [])
     p = _paginate(df, group, ["_ord", "driverId"], elem, page_size)
     if skip is not None:
@@ -46,7 +46,7 @@ def _race_pages(df: DataFrame, kind: str, array_name: str, elem: Column, page_si
         race_fields.append(F.struct(F.col("circuitId").alias("circuitId")).alias("Circuit"))
     race = F.struct(*race_fields, F.col("_items").alias(array_name))
     name = F.concat(F.lit("race_"), F.col("season").cast("string"), F.lit("_"), F.col("round").cast("string"),
-                    F.lit(f"_{kind}_offset_"), (F.col("_page") * page_size).cast("string"))
+                    F.lit(f"_{kind}{suffix}_offset_"), (F.col("_page") * page_size).cast("string"))
     return p.select(name.alias("page"), F.struct(
         F.col("_total").cast("string").alias("total"),
         F.struct(F.array(race).alias("Races")).alias("RaceTable")).alias("MRData"))
@@ -62,6 +62,47 @@ def result_pages(results: DataFrame, page_size: int = 100, skip: Column | None =
     return _race_pages(df, "results", "Results", elem, page_size, circuit=True, skip=skip)
 
 
+def soiled(results: DataFrame) -> DataFrame:
+    """Results as strings with the dirt of real pages, by entity, period and round: null and ``\\N`` points,
+    positions, status and start positions, non-starters, entries that come again on a later page (``again``) and
+    entries without an id. The same derivation is ``SOILED_SQL``."""
+    kind = (F.regexp_extract("driverId", "[0-9]+", 0).cast("bigint") * 7 + F.col("season") * 3 + F.col("round")) % 13
+    null = F.lit(None).cast("string")
+    return results.withColumn("_kind", kind).select(
+        "raceId", "season", "round", "circuitId", "constructorId", "_kind", F.col("driverId").alias("_ord"),
+        F.when(F.col("_kind") != 6, F.col("driverId")).alias("driverId"),
+        F.when(F.col("_kind") == 4, "R").when(F.col("_kind") == 8, "").otherwise(_num_str(F.col("grid"))).alias("grid"),
+        F.when(F.col("_kind") == 1, null).otherwise(_num_str(F.col("positionOrder"))).alias("position"),
+        F.when(F.col("_kind") == 0, "\\N").otherwise(_num_str(F.col("points"))).alias("points"),
+        F.when(F.col("_kind") == 2, null).when(F.col("_kind") == 3, "DNS").when(F.col("_kind") == 7, "\\N")
+        .otherwise(F.col("status")).alias("status"), (F.col("_kind") == 5).alias("again"))
+
+
+SOILED_SQL = """
+soiled AS (
+  SELECT raceId, season, round, circuitId, constructorId, kind, CASE WHEN kind <> 6 THEN driverId END AS driverId,
+         CASE WHEN kind NOT IN (4, 8) THEN grid END AS grid, CASE WHEN kind <> 1 THEN positionOrder END AS positionOrder,
+         CASE WHEN kind <> 0 THEN points END AS points,
+         CASE WHEN kind IN (2, 7) THEN NULL WHEN kind = 3 THEN 'DNS' ELSE status END AS status
+  FROM (SELECT *, (CAST(substr(driverId, 2) AS BIGINT) * 7 + season * 3 + round) % 13 AS kind FROM fact_results)
+)"""
+
+
+def land_soiled(results: DataFrame, root: str, page_size: int = 100) -> None:
+    """Results pages with dirt: pages of ``soiled`` rows, later pages that repeat some entries with other points,
+    and one cut-off page per event of every fifth round."""
+    rows = soiled(results)
+    elem = F.struct(
+        F.struct(F.col("driverId").alias("driverId")).alias("Driver"),
+        F.struct(F.col("constructorId").alias("constructorId")).alias("Constructor"), "grid", "position", "points", "status")
+    write_pages(_race_pages(rows, "results", "Results", elem, page_size, circuit=True), root, "results")
+    late = rows.filter("again").withColumn("points", F.lit("999"))
+    write_pages(_race_pages(late, "results", "Results", elem, page_size, circuit=True, suffix="_repeat"), root, "results")
+    cut = results.filter(F.col("round") % 5 == 0).select("raceId").distinct().select(
+        F.concat(F.lit('{"page":"race_'), "raceId", F.lit('_results_offset_0","MRData":{"total":"1')))
+    cut.write.mode("append").text(landing_paths(root, "results")[0])
+
+
 def qualifying_pages(qualifying: DataFrame, events: DataFrame, page_size: int = 100,
                      skip: Column | None = None) -> DataFrame:
     """``events`` maps raceId -> season, round."""

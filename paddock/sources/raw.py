@@ -18,8 +18,10 @@ without an entity id match nothing later; the parsers leave them to
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,13 +135,10 @@ def keyless_rows(exploded: DataFrame, keys: list[str] | None = None) -> DataFram
     return exploded.filter(missing)
 
 
-def explode_results(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
-    """Results pages -> flat rows with their page position, before the
-    keep-first (streaming-safe: no window)."""
-    r = _races(raw, params, on_bad).select("*", F.posexplode("race.Results").alias("_row_idx", "res"))
+def _result_columns(rows: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     nn = normalize_null
-    out = r.select(
-        "_file", "_race_idx", "_row_idx", "raceId", "season", "round",
+    return rows.select(
+        *keep, "_file", "_race_idx", "_row_idx", "raceId", "season", "round",
         nn(F.col("race.Circuit.circuitId")).alias("circuitId"),
         nn(F.col("res.Driver.driverId")).alias("driverId"),
         nn(F.col("res.Constructor.constructorId")).alias("constructorId"),
@@ -147,7 +146,44 @@ def explode_results(raw: DataFrame, params: Params = Params(), on_bad: str = "ra
         to_number(nn(F.col("res.position"))).alias("positionOrder"),
         to_number(nn(F.col("res.points"))).alias("points"),
         nn(F.col("res.status")).alias("status"))
-    return out
+
+
+QUARANTINE_KINDS = ("facts", "keyless_rows", "bad_pages")
+
+
+def explode_results(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
+    """Results pages -> flat rows with their page position, before the
+    keep-first (streaming-safe: no window)."""
+    r = _races(raw, params, on_bad).select("*", F.posexplode("race.Results").alias("_row_idx", "res"))
+    return _result_columns(r)
+
+
+def quarantine_results(raw: DataFrame, path: str, params: Params = Params()) -> dict[str, int]:
+    """One pass over results pages into a table with a folder per kind of row: ``facts`` (flat rows with their
+    page position), ``keyless_rows`` (no event or entity) and ``bad_pages`` (malformed, with their text). Returns
+    the number of rows of each, counted while they are written."""
+    bad = _is_bad()
+    pages = raw.select("_file", F.col(CORRUPT).alias("text"), bad.alias("_bad"), F.posexplode_outer(
+        F.when(~bad, F.col("MRData.RaceTable.Races"))).alias("_race_idx", "race"))
+    rows = pages.select("*", F.posexplode_outer("race.Results").alias("_row_idx", "res")).filter(
+        "_bad OR res IS NOT NULL")
+    season, rnd = to_int("race.season", 0), to_int("race.round", 0)
+    flat = _result_columns(rows.withColumn("season", season).withColumn("round", rnd).withColumn(
+        "raceId", event_key("season", "round")), ["_bad", "text"])
+    flat = flat.filter(F.col("_bad") | (F.col("season") >= F.lit(params.first_period)))
+    keyless = F.col("raceId").isNull() | F.col("driverId").isNull()
+    kind = F.when(F.col("_bad"), "bad_pages").when(keyless, "keyless_rows").otherwise("facts")
+    flat = flat.withColumn("kind", kind).withColumn("text", F.when(F.col("_bad"), F.col("text"))).drop("_bad")
+    seen = Observation("quarantine")
+    flat = flat.observe(seen, *[F.count_if(F.col("kind") == k).alias(k) for k in QUARANTINE_KINDS])
+    flat.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return {k: int(seen.get[k] or 0) for k in QUARANTINE_KINDS}
+
+
+def read_quarantined(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of one kind; of facts the first of each (raceId, driverId)."""
+    rows = spark.read.parquet(path).filter(F.col("kind") == kind).drop("kind")
+    return keep_first(rows.drop("text")) if kind == "facts" else rows
 
 
 def parse_results(raw: DataFrame, params: Params = Params(), on_bad: str = "raise") -> DataFrame:
@@ -234,15 +270,7 @@ def event_universe(race_pages: DataFrame, active: DataFrame, start_period: int)
 
 
 # ---------------------------------------------------------------------------
-# sinks and the parameter artifact
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Full overwrite of a parquet table (S6); the matrix goes by period."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
+# the parameter artifact
 
 PARAM_FIELDS = ("off_season_decay", "regulation_reset_decay", "summer_break_decay",
                 "driver_reg_reset_decay", "summer_break_round")

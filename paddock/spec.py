@@ -178,12 +178,3 @@ def adapter_params(**kw) -> Params:
         supplier_rules=ADAPTER_SUPPLIER_RULES,
     )
     return replace(base, **kw)
-
-
-def sweep_grid(ranges: dict | None = None) -> list[dict]:
-    """Cartesian product of sweep ranges, in parameter order (tie-break order)."""
-    ranges = ranges or SWEEP_GRID
-    combos: list[dict] = [{}]
-    for name, values in ranges.items():
-        combos = [dict(c, **{name: v}) for c in combos for v in values]
-    return combos

@@ -108,8 +108,10 @@ def _toy_matrix(spark, n=400):
 def test_category_columns_stay_categories(spark):
     from paddock.plans import models as md
     df = _toy_matrix(spark)
-    train, (test,), idx = md.index_categoricals(df, [df], ["circuitId", "driverId"], max_categories=20)
-    assert idx == ["circuitId__idx"]  # driverId has too many values to be a feature
+    with pytest.raises(ValueError, match="driverId"):  # too wide to index; never left out in silence
+        md.index_categoricals(df, [df], ["circuitId", "driverId"], max_categories=20)
+    train, (test,), idx = md.index_categoricals(df, [df], ["circuitId"], max_categories=20)
+    assert idx == ["circuitId__idx"]
     model = md.fit_ranker(train, ["x"], trees=3, min_rows=1, categorical=idx)
     data = md.assemble(train, ["x"], categorical=idx)
     attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
@@ -145,3 +147,95 @@ def test_each_sweep_parameter_changes_some_error(spark):
     window = vd.sweep_decay(entries, p, ranges=ADAPTER_SWEEP_GRID).collect()
     assert {(r.combo_id, round(r.mean_exp_pts_err, 9)) for r in rows} == {
         (r.combo_id, round(r.mean_exp_pts_err, 9)) for r in window}
+
+
+def _panel(spark, events, entries, seed=4):
+    """Order within an event follows x plus noise; every event shifts x by its own amount."""
+    import random
+    rng = random.Random(seed)
+    rows = []
+    for e in range(events):
+        shift = rng.uniform(-50, 50)
+        skill = [rng.uniform(0, 10) for _ in range(entries)]
+        order = sorted(range(entries), key=lambda i: skill[i] + rng.uniform(-0.5, 0.5))
+        for pos, i in enumerate(order):
+            rows.append((f"{2000 + e // 20}_{e % 20}", 2000 + e // 20, e % 20, f"d{i}", float(pos + 1), skill[i] + shift / 25,
+                         rng.random()))
+    return spark.createDataFrame(rows, "raceId string, season long, round long, driverId string, positionOrder double, "
+                                       "x double, y double")
+
+
+def test_listwise_ranker_orders_within_events(spark):
+    from paddock.plans import models as md
+    df = _panel(spark, 80, 12)
+    train, test = mt.chrono_split(df, 2003)
+    kw = dict(trees=8, rate=0.5, depth=3, min_rows=5)
+    ndcg = {}
+    for method in ("pointwise", "listwise"):
+        model = md.fit_ranker(train, ["x", "y"], method=method, **kw)
+        scored = md.score_ranker(model, test, ["x", "y"])
+        ndcg[method] = mt.ndcg_at_k(scored, "score", (10,)).first()[0]
+        imp = {r.feature: r.importance for r in md.importances(model, md.feature_names(["x", "y"]), spark).collect()}
+        assert abs(sum(imp.values()) - 1) < 1e-9 and imp["x"] > imp["y"]
+    assert ndcg["listwise"] >= ndcg["pointwise"] and ndcg["listwise"] > 0.9
+    with pytest.raises(ValueError, match="unknown"):
+        md.fit_ranker(train, ["x"], method="pairwise")
+
+
+def test_category_rates_see_earlier_events_only_at_any_width(spark):
+    import random
+
+    from paddock.plans.encode import category_rates
+    rng = random.Random(2)
+    rows = []
+    for i in range(20_000):
+        event = rng.randrange(30)
+        cat = None if rng.random() < .05 else "hot" if rng.random() < .4 else f"c{rng.randrange(10_000)}"
+        rows.append((i, f"{event // 10}_{event % 10}", event // 10, event % 10, cat, rng.choice([0.0, 1.0, None])))
+    df = spark.createDataFrame(rows, "i long, raceId string, season long, round long, cat string, v double")
+    for until in (None, 2):
+        got = {r.i: r.cat__rate for r in category_rates(df, ["cat"], F.col("v"), until=until).collect()}
+        sums, all_sums = {}, [0, 0.0]
+        by_event = {}
+        for r in rows:
+            by_event.setdefault((r[2], r[3]), []).append(r)
+        for key in sorted(by_event):
+            prior = all_sums[1] / all_sums[0] if all_sums[0] else 0.5
+            for r in by_event[key]:
+                n, s = sums.get(r[4], (0, 0.0))
+                assert abs(got[r[0]] - (s + 20 * prior) / (n + 20)) < 1e-9
+            for r in by_event[key]:
+                if r[5] is not None and (until is None or r[2] < until):
+                    n, s = sums.get(r[4], (0, 0.0))
+                    sums[r[4]] = n + 1, s + r[5]
+                    all_sums = [all_sums[0] + 1, all_sums[1] + r[5]]
+
+
+def test_period_store_overwrites_named_periods_and_prunes(spark, tmp_path):
+    from paddock.sources.store import read_periods, write_periods
+    df = spark.range(600).selectExpr("id", "id % 6 + 2000 AS season", "id * 2 AS v")
+    path = str(tmp_path / "store")
+    write_periods(df, path)
+    write_periods(df.filter("season IN (2001, 2004) AND id < 300").withColumn("v", F.lit(-1).cast("bigint")), path)
+    write_periods(df.limit(0), path)  # nothing to replace
+    stored = read_periods(spark, path, df.schema)
+    assert stored.schema.simpleString() == df.schema.simpleString()
+    got = {r.season: (r.n, r.v) for r in stored.groupBy("season").agg(F.count("id").alias("n"), F.max("v").alias("v"))
+           .collect()}
+    assert got == {s: (50, -1) if s in (2001, 2004) else (100, (594 + s - 2000) * 2) for s in range(2000, 2006)}
+    train, test = mt.chrono_split(stored, 2004)
+    for part, rows, files in ((train, 350, "season#"), (test, 50, "season#")):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(season" in plan and files in plan and part.count() == rows
+
+
+def test_two_stage_takes_wide_categories(spark):
+    from paddock.plans import models as md
+    df = _panel(spark, 60, 12).withColumn("is_classified", (F.col("positionOrder") < 11).cast("long")).withColumn(
+        "wide", F.concat("driverId", F.lit("_"), (F.xxhash64("raceId") % 400).cast("string")))
+    train, test = mt.chrono_split(df, 2002)
+    _, coded, names = md.encode_split(train, test, ["wide", "driverId"])
+    assert names == ["wide__rate", "wide__place", "driverId__rate", "driverId__place"]
+    assert coded.columns == [*test.columns, *names] and coded.count() == test.count()
+    one = coded.groupBy("driverId").agg(F.countDistinct("driverId__rate").alias("n"))
+    assert one.filter("n <> 1").count() == 0  # the test split's own outcomes change nothing

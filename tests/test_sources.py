@@ -134,3 +134,25 @@ def test_stream_equals_batch_and_second_run_adds_nothing(spark):
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
     assert batch.count() == r.filter(F.col("season") >= p.first_period).count() < r.count()
+
+
+def test_quarantine_counts_what_it_stores_and_loses_no_row(spark, tmp_path):
+    d = str(tmp_path / "pages")
+    os.makedirs(d)
+    res = [{"Driver": {"driverId": c}, "Constructor": {"constructorId": "t"}, "grid": "R", "position": "\\N",
+            "points": "18", "status": None} for c in "ab"]
+    race = {"season": "2020", "round": "1", "Circuit": {"circuitId": "x"}, "Results": res + [dict(res[0], Driver={})]}
+    _write(d, "race_2020_1_results_offset_0.json", _page([race], total="300"))
+    _write(d, "race_2020_1_results_offset_100.json", _page([dict(race, Results=[dict(res[1], points="7")])], total="300"))
+    _write(d, "race_1900_1_results_offset_0.json", _page([dict(race, season="1900")], total="3"))
+    _write(d, "race_2020_2_results_offset_0.json", _page([], total="0"))
+    with open(os.path.join(d, "race_2020_3_results_offset_0.json"), "w") as f:
+        f.write('{"MRData": {"total": ')
+    path = str(tmp_path / "out")
+    counts = raw.quarantine_results(raw.read_raw(spark, f"{d}/*.json"), path, Params().with_(first_period=2000))
+    assert counts == {"facts": 3, "keyless_rows": 1, "bad_pages": 1}
+    facts = sorted(tuple(r) for r in raw.read_quarantined(spark, path, "facts").select(
+        "raceId", "driverId", "grid", "positionOrder", "points", "status").collect())
+    assert facts == [("2020_1", "a", None, None, 18.0, None), ("2020_1", "b", None, None, 18.0, None)]
+    assert raw.read_quarantined(spark, path, "bad_pages").first().text == '{"MRData": {"total": '
+    assert raw.quarantine_results(raw.read_raw(spark, f"{d}/*.json").limit(0), path)["facts"] == 0
