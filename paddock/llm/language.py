@@ -9,9 +9,14 @@ document is the sum over its words, whatever its length. Ties go to the language
 frequent in its sample, then to the smaller name.
 
 Learned: text and language of documents whose crc32(id) mod 3 is not 1. The
-sample has at most ``docs_per_language`` documents a language in hash order
-and ``chars_per_document`` characters of each. Language, source and id are no
-inputs of a prediction.
+sample has at most ``docs_per_language`` documents a language in hash order,
+and of each up to ``pieces_per_document`` pieces of ``piece_chars`` characters,
+drawn by hash from the whole text. Every letter of a language's sample is known
+to its parser: the ``dense`` most frequent ones of that language by a table, the
+others by a sorted list of transitions. A worker holds about
+``docs_per_language * pieces_per_document * piece_chars`` letters a language;
+more than ``max_languages`` languages are an error. Language, source and id are
+no inputs of a prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text when nothing can be learned; a null id is not held out and not
@@ -43,11 +48,11 @@ NOT_LETTER[48:58] = True
 @dataclass(frozen=True)
 class LanguageModel:
     docs_per_language: int = 64
-    chars_per_document: int = 1_500
-    max_languages: int = 200  # bound of the sample that the driver and the workers hold
-    alphabet: int = 128  # most frequent letters known to the parser, the space and a mark for all others
+    pieces_per_document: int = 4
+    piece_chars: int = 250
+    max_languages: int = 200  # what the driver and the workers can hold; more are an error, none is left out
+    dense: int = 126  # letters of a language that its table has a column for
     longest: int = 64  # letters parsed in one go where no space comes
-    table_entries: int = 1 << 26  # bound of all transition tables of a worker
 
 
 class SuffixAutomaton:
@@ -88,14 +93,20 @@ class SuffixAutomaton:
         self.count.append(count)
         return len(self.next) - 1
 
-    def table(self, alphabet: dict[str, int], width: int) -> np.ndarray:
-        """Transitions as a dense table (state, letter) -> state; 0 where there is none."""
+    def table(self, alphabet: dict[str, int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Transitions of the alphabet's letters as a dense table (state, letter) -> state, 0 where there is
+        none; those of all other letters as sorted keys (state, code point) and their states."""
         out = np.zeros((len(self.next), width), dtype=np.int32)
+        rare = []
         for state, arrows in enumerate(self.next):
             for ch, to in arrows.items():
                 if ch in alphabet:
                     out[state, alphabet[ch]] = to
-        return out
+                else:
+                    rare.append((state << 21 | ord(ch), to))
+        rare.sort()
+        keys = np.array([k for k, _ in rare], dtype=np.int64)
+        return out, keys, np.array([to for _, to in rare], dtype=np.int32)
 
 
 def letters(text: str) -> str:
@@ -115,23 +126,37 @@ def letter_mask() -> np.ndarray:
 class Parser:
     """Cross-parses of words in all languages of a sample."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...], alphabet: int):
-        frequent = Counter("".join(text for _, text in samples))
-        frequent.pop(" ", None)
-        # 0 is any unknown letter, 1 the space before a word
-        letters_known = {c: i + 2 for i, (c, _) in enumerate(sorted(
-            frequent.items(), key=lambda x: (-x[1], x[0]))[:alphabet - 2])} | {" ": 1}
-        self.codes = np.zeros(0x110000, dtype=np.int16)
-        for c, i in letters_known.items():
-            self.codes[ord(c)] = i
-        self.tables, self.weights, self.sizes = [], [], []
+    def __init__(self, samples: tuple[tuple[str, str], ...], dense: int):
+        self.codes, self.tables, self.rare, self.weights, self.sizes = [], [], [], [], []
         for _, text in samples:
+            frequent = Counter(text)
+            frequent.pop(" ", None)
+            # 0 is any other letter, 1 the space before a word
+            known = {c: i + 2 for i, (c, _) in enumerate(sorted(
+                frequent.items(), key=lambda x: (-x[1], x[0]))[:dense])} | {" ": 1}
+            codes = np.zeros(0x110000, dtype=np.int16)
+            for c, i in known.items():
+                codes[ord(c)] = i
             automaton = SuffixAutomaton(text)
-            self.tables.append(automaton.table(letters_known, alphabet))
+            table, keys, to = automaton.table(known, len(known) + 1)
+            self.codes.append(codes)
+            self.tables.append(table)
+            self.rare.append((keys, to))
             self.weights.append(np.log(np.maximum(automaton.count, 1)) - math.log(automaton.size))
             self.weights[-1][0] = 0.0
             self.sizes.append(automaton.size)
 
+    def step(self, j: int, state: np.ndarray, code: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """States of language j after one more letter, 0 where no phrase goes on with it."""
+        then = np.where(code > 0, self.tables[j][state, code], 0)
+        keys, to = self.rare[j]
+        other = np.flatnonzero(code == 0)
+        if len(keys) and len(other):
+            wanted = state[other].astype(np.int64) << 21 | point[other]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            then[other] = np.where(keys[at] == wanted, to[at], 0)
+        return then
+
     def parse(self, words: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Letters (word), phrases and log frequencies (word, language) of distinct words."""
         text = b"\n".join(words).decode("utf-8").lower() + "\n"
@@ -146,21 +171,21 @@ class Parser:
         stop = np.flatnonzero(letter & (~np.concatenate([letter[1:], [False]]) | (since % longest == longest - 1))) + 1
         order = np.argsort(start - stop, kind="stable")
         start, size, run_owner = start[order], (stop - start)[order], owner[start[order]]
-        codes = self.codes[points]
         phrases = np.zeros((len(words), len(self.tables)))
         likely = np.zeros((len(words), len(self.tables)))
-        for j, (table, weight) in enumerate(zip(self.tables, self.weights, strict=True)):
-            state = np.full(len(start), table[0, 1])
+        for j, weight in enumerate(self.weights):
+            codes = self.codes[j][points]
+            state = np.full(len(start), self.tables[j][0, 1])
             count, odds = np.zeros(len(start)), np.zeros(len(start))
             for step in range(int(size[0]) if len(size) else 0):
                 k = int(np.searchsorted(-size, -step))  # runs longer than ``step``
-                ch, now = codes[start[:k] + step], state[:k]
-                then = np.where(ch > 0, table[now, ch], 0)
+                ch, point, now = codes[start[:k] + step], points[start[:k] + step], state[:k]
+                then = self.step(j, now, ch, point)
                 miss = np.flatnonzero(then == 0)
                 old = now[miss]
                 count[miss] += old > 0
                 odds[miss] += weight[old]
-                again = np.where(ch[miss] > 0, table[0, ch[miss]], 0)
+                again = self.step(j, np.zeros_like(old), ch[miss], point[miss])
                 count[miss] += again == 0  # an unknown letter is a phrase of its own
                 odds[miss] -= np.where(again == 0, math.log(2 * self.sizes[j]), 0.0)
                 then[miss] = again
@@ -173,9 +198,9 @@ class Parser:
 
 
 @lru_cache(maxsize=2)
-def parser(samples: tuple[tuple[str, str], ...], alphabet: int) -> Parser:
+def parser(samples: tuple[tuple[str, str], ...], dense: int) -> Parser:
     """The parser of a sample, once per worker."""
-    return Parser(samples, alphabet)
+    return Parser(samples, dense)
 
 
 def predict(texts: pa.Array, samples: tuple[tuple[str, str], ...],
@@ -188,7 +213,7 @@ def predict(texts: pa.Array, samples: tuple[tuple[str, str], ...],
     _, where, place = np.unique(hashes, return_index=True, return_inverse=True)
     raw, n = data.tobytes(), len(samples)
     distinct = [raw[a:b] for a, b in zip(words.start[where].tolist(), words.end[where].tolist(), strict=True)]
-    count, phrases, likely = parser(samples, model.alphabet).parse(distinct, model.longest)
+    count, phrases, likely = parser(samples, model.dense).parse(distinct, model.longest)
     total = np.bincount(words.row, weights=count[place], minlength=rows)
     sums = np.stack([np.bincount(words.row, weights=phrases[place, j], minlength=rows) for j in range(n)], axis=1) \
         if n else np.zeros((rows, 0))
@@ -210,19 +235,23 @@ def predict(texts: pa.Array, samples: tuple[tuple[str, str], ...],
 def language_samples(docs: DataFrame, model: LanguageModel) -> tuple[tuple[str, str], ...]:
     """(language, normalised text) of the learned sample; bounded by the model's limits."""
     learned = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND crc32(CAST(id AS STRING)) % 3 <> 1").select(
-        "lang", F.substring("text", 1, model.chars_per_document).alias("text"),
-        F.xxhash64("id").alias("h"), "id")
+        "lang", "text", F.xxhash64("id").alias("h"), "id")
+    # pieces of the whole text, the first by hash
+    size, most = model.piece_chars, model.pieces_per_document
+    drawn = learned.withColumn("parts", F.expr(
+        f"slice(array_sort(transform(sequence(0, int((length(text) - 1) / {size})), "
+        f"i -> struct(xxhash64(h, i) AS r, i AS i))), 1, {most})")).withColumn(
+        "parts", F.expr(f"transform(parts, p -> substring(text, p.i * {size} + 1, {size}))")).drop("text")
     # the rank limit is applied before the shuffle too, so a frequent language sends few rows
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
-    chosen = learned.withColumn("rank", rank).filter(F.col("rank") <= model.docs_per_language)
-    rows = chosen.orderBy("rank", "lang").limit(model.docs_per_language * model.max_languages).select(
-        "lang", "text").collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "parts"))
+    chosen = drawn.withColumn("rank", rank).filter(F.col("rank") <= model.docs_per_language)
+    rows = chosen.select("lang", "parts").limit(model.docs_per_language * model.max_languages + 1).collect()
     texts: dict[str, list[str]] = {}
     for r in rows:
-        texts.setdefault(r.lang, []).append(normalised(r.text))
-    # an automaton has at most two states a letter
-    most = model.table_entries // (2 * model.alphabet * max(1, len(texts)))
-    return tuple((lang, "".join(sorted(t))[:most]) for lang, t in sorted(texts.items()))
+        texts.setdefault(r.lang, []).extend(normalised(p) for p in r.parts)
+    if len(rows) > model.docs_per_language * model.max_languages or len(texts) > model.max_languages:
+        raise ValueError(f"more than {model.max_languages} languages to learn")
+    return tuple((lang, "".join(sorted(t))) for lang, t in sorted(texts.items()))
 
 
 def identify(docs: DataFrame, model: LanguageModel = LanguageModel(), *, id_col: str = "doc_id",

@@ -25,10 +25,11 @@ def naive(text, word):
     return phrases, likely
 
 
-def test_parse_against_naive_search():
+@pytest.mark.parametrize("dense", [126, 3, 0])
+def test_parse_against_naive_search(dense):
     samples = (("a", normalised("the cat sat on the mat with that hat")), ("b", normalised("öl über züge äther ß")))
     words = ["the", "Cat", "hats", "zug", "ÜBER", "xyz", "that's", "ätherthe", "thethe", "é1a", "matmat" * 20]
-    count, phrases, likely = parser(samples, 128).parse([w.encode() for w in words], 64)
+    count, phrases, likely = parser(samples, dense).parse([w.encode() for w in words], 64)
     for i, w in enumerate(words):
         parts = normalised(w).split()
         parts = [p[a:a + 64] for p in parts for a in range(0, len(p), 64)]
@@ -85,3 +86,32 @@ def test_learns_only_from_the_other_folds(docs_of):
 
 def test_no_samples():
     assert predict(pa.array(["a"]), (), LanguageModel())[0] == ["und"]
+
+
+def test_every_part_of_a_text_and_every_letter_is_learned(docs_of):
+    """Openings alike, the rest told apart by rare letters only; and many letters in each language."""
+    head = "same opening words " * 200
+    a = [chr(0x4e00 + i) for i in range(400)]
+    b = [chr(0x5e00 + i) for i in range(400)]
+    rows = []
+    for i in range(80):
+        letters = a if i % 2 else b
+        rows.append((i, head + " ".join("".join(letters[(i * 7 + k * 3 + m) % 400] for m in range(3)) for k in range(900)),
+                     "aa" if i % 2 else "bb", "s"))
+    rows += [(1000 + i, "".join((a if i % 2 else b)[(i * 11 + m) % 400] for m in range(40)), None, "s") for i in range(20)]
+    out = {r.doc_id: r.lang_pred for r in identify(docs_of(rows)).collect()}
+    assert all(out[1000 + i] == ("aa" if i % 2 else "bb") for i in range(20))
+
+
+def test_a_rare_language_beside_a_frequent_one(docs_of):
+    rows = [(i, f"the house and the garden number {i} are over there", "en", "s") for i in range(300)]
+    rows += [(500, "kissa istuu puussa ja katsoo alas", "fi", "s"), (502, "kissat ja koirat istuvat puussa", "fi", "s"),
+             (503, "kissa ja koira istuu", "fi", "s"), (900, "koirat istuvat puussa", None, "s")]
+    out = {r.doc_id: r.lang_pred for r in identify(docs_of(rows)).collect()}
+    assert out[900] == "fi" and out[7] == "en"
+
+
+def test_too_many_languages_are_an_error(docs_of):
+    rows = [(i, "some words", f"l{i}", "s") for i in range(30)]
+    with pytest.raises(ValueError, match="languages"):
+        identify(docs_of(rows), LanguageModel(docs_per_language=2, max_languages=5))
