@@ -57,7 +57,7 @@ _ORDER = U64(0xD6E8FEB86659FD93)
 class SuffixRules:
     length: int = 200  # bytes of a repeated string
     gram: int = 40  # bytes that a suffix is sorted by
-    most: int = 1_000  # exts of a key that one task compares
+    most: int = 8_000  # exts of a key that one task compares, in about 50 MB
     block: int = 1 << 20  # bytes that are indexed at a time
 
     def __post_init__(self):
@@ -335,7 +335,9 @@ def repeated_spans(docs: DataFrame, how: SuffixRules, batches: int) -> DataFrame
     for number in range(batches):
         index.settle()
         index.add(every.filter(F.col("batch") == number).drop("batch"))
-    hits = materialize(every.drop("batch").join(index.matches(), "key"), "suffix-hits")
+    # a written table, so that the join may split a frequent key
+    matches = materialize(index.matches(), "matches")
+    hits = materialize(every.drop("batch").join(matches, "key"), "suffix-hits")
     plain = hits.filter("NOT mixed").select("rid", "at", F.lit(None).cast("array<short>").alias("windows"))
     mixed = hits.filter("mixed")
     exts = materialize(mixed.groupBy("key", "ext").agg(
