@@ -264,11 +264,13 @@ def run_hashes(short: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * _power_table(_INVERSE, n))
 
 
-def cut_runs(content: np.ndarray, cuts: list[int], width: int) -> np.ndarray:
-    """Hashes of the runs inside each cut of a pivot's text."""
-    ends = np.cumsum(cuts).tolist()
-    return np.concatenate([np.zeros(0, U64)] + [run_hashes(content[e - n:e], width)
-                                                for e, n in zip(ends, cuts, strict=True)])
+def among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the others."""
+    if not len(others):
+        return np.zeros(len(values), dtype=bool)
+    others = np.sort(others)
+    at = np.searchsorted(others, values)
+    return others[np.minimum(at, len(others) - 1)] == values
 
 
 def window_lists(parts: pa.ListArray) -> tuple[np.ndarray, ...]:
@@ -341,66 +343,87 @@ def verify(regions: DataFrame, docs: DataFrame, how: PassageRules, turn: int) ->
             for part in (some for text in pieces(batch, "text") for some in _by_length(text, "regions", how.chunk)):
                 seq = Sequences(part.column("text"), how.size)
                 short = (seq.values >> U64(32)).astype(np.uint32)
-                runs = run_hashes(short, how.width)
+                runs = run_hashes(short, how.width) if turn == 0 else None
                 ids = part.column("x").to_numpy()
                 given = part.column("regions")
                 owner = np.repeat(np.arange(part.num_rows), np.diff(given.offsets.to_numpy()))
-                given = given.flatten()
-                pivots = pc.struct_field(given, "p").to_pylist()
-                spans_of, cuts_of = (pc.struct_field(given, n).to_pylist() for n in ("spans", "cuts"))
-                contents = pc.struct_field(given, "content").to_pylist()
-                at, f, key, c, left, right = window_lists(pc.struct_field(given, "parts"))
-                bound = np.searchsorted(at, np.arange(len(given) + 1))
-                spans, exact, again = [], [], []
-                for i, p in enumerate(pivots):
-                    row, mine = owner[i], slice(bound[i], bound[i + 1])
-                    base, end = int(seq.first[row]), int(seq.stop[row])
-                    other = np.frombuffer(contents[i], dtype=np.uint32)
-                    shared = np.isin(short[base:end], other)
-                    covered = [(lo + a, lo + b) for lo, hi in zip(spans_of[i][::2], spans_of[i][1::2], strict=True)
-                               for a, b in passages(shared[lo:hi], how)]
-                    if ids[row] != p:
-                        spans += [(ids[row], p, a, b) for a, b in covered]
-                    cs, ls, rs = c[mine], left[mine], right[mine]
-                    if turn == 0:
-                        first = np.flatnonzero(f[mine] == 0)
-                        low = np.maximum(ls[first], cs[first] - how.width + 1)
-                        n = np.minimum(cs[first], rs[first] - how.width + 1) - low + 1
-                        s = base + gather(low, np.maximum(n, 0))
-                        if ids[row] != p and len(s):  # the pivot document's other windows stay for the others
-                            s = s[~np.isin(runs[s], cut_runs(other, cuts_of[i], how.width))]
-                        exact.append(s)
-                    out = np.ones(len(cs), dtype=bool)
-                    for a, b in covered:
-                        out &= (cs < a) | (cs >= b)
-                    if out.any():
-                        again.append((np.flatnonzero(out) + bound[i], shared, base, row))
-                if spans:
-                    yield rows(0, *zip(*spans, strict=True))
-                s = np.unique(np.concatenate(exact)) if exact else np.zeros(0, np.int64)
-                if len(s):
-                    yield rows(1, ids[seq.rows[s]], start=s - seq.first[seq.rows[s]], key=runs[s].view(np.int64))
-                # what the pivot has not decides the next groups
-                for some in again:
-                    yield from next_windows(seq, ids, *some, f, key, c, left, right)
-
-    def next_windows(seq: Sequences, ids: np.ndarray, which: np.ndarray, shared: np.ndarray, base: int, row: int,
-                     f, key, c, left, right) -> Iterator[pa.RecordBatch]:
-        for kind in np.unique(f[which]).tolist():
-            mine = which[f[which] == kind]
-            size = right[mine] - left[mine] + 1
-            segment, at = np.repeat(np.arange(len(mine)), size), gather(left[mine], size)
-            v = mix(seq.values[base + at] ^ mix(np.full(1, kind + 1 + how.hashes * (turn + 1), dtype=U64)))
-            v = (v >> U64(1)) | U64(1) | (shared[at].astype(U64) << U64(63))
-            first = np.cumsum(size) - size
-            lo, m, hi = compact_windows(v, segment, first, first + size - 1, how.width)
-            part = segment[m]
-            own = c[mine][part]
-            fits = (at[lo] <= own) & (own <= at[hi])
-            lo, m, hi, part = lo[fits], m[fits], hi[fits], part[fits]
-            new = mix(key[mine][part].view(U64) ^ mix(v[m]))
-            yield rows(2, np.full(len(m), ids[row]), start=at[lo], stop=at[hi], key=new.view(np.int64),
-                       f=np.full(len(m), kind), c=at[m])
+                # so many pairs at a time that their texts together stay small
+                sizes = np.cumsum((seq.stop - seq.first)[owner])
+                low = 0
+                while low < len(owner):
+                    done = sizes[low - 1] if low else 0
+                    high = max(low + 1, int(np.searchsorted(sizes, done + (1 << 20), side="right")))
+                    yield from compare_pairs(seq, short, runs, ids, owner[low:high],
+                                             given.flatten().slice(low, high - low))
+                    low = high
+
+    def compare_pairs(seq: Sequences, short: np.ndarray, runs, ids: np.ndarray, owner: np.ndarray,
+                      given: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        p, x = pc.struct_field(given, "p").to_numpy(), ids[owner]
+        base, size = seq.first[owner], (seq.stop - seq.first)[owner]
+        off = np.cumsum(size) - size  # of each pair's text in the arrays over all pairs
+        pair = np.repeat(np.arange(len(owner), dtype=np.int64), size)
+        contents = pc.struct_field(given, "content").to_pylist()
+        other = np.frombuffer(b"".join(contents), dtype=np.uint32)
+        length = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents)) // 4
+        shared = among((pair << 32) | short[gather(base, size)].astype(np.int64),
+                       (np.repeat(np.arange(len(owner)), length) << 32) | other.astype(np.int64))
+        spans, covered = [], []
+        for i, span in enumerate(pc.struct_field(given, "spans").to_pylist()):
+            mine = shared[off[i]:off[i] + size[i]]
+            covered += [(i, lo + a, lo + b) for lo, hi in zip(span[::2], span[1::2], strict=True)
+                        for a, b in passages(mine[lo:hi], how)]
+        spans = [(x[i], p[i], a, b) for i, a, b in covered if x[i] != p[i]]
+        if spans:
+            yield rows(0, *zip(*spans, strict=True))
+        at, f, key, c, left, right = window_lists(pc.struct_field(given, "parts"))
+        if turn == 0:
+            first = np.flatnonzero(f == 0)
+            low = np.maximum(left[first], c[first] - how.width + 1)
+            n = np.maximum(np.minimum(c[first], right[first] - how.width + 1) - low + 1, 0)
+            s, whose = base[np.repeat(at[first], n)] + gather(low, n), np.repeat(at[first], n)
+            cuts = pc.struct_field(given, "cuts")
+            of_pair = np.repeat(np.arange(len(owner)), np.diff(cuts.offsets.to_numpy()))
+            wide = cuts.flatten().to_numpy().astype(np.int64)
+            inside = np.maximum(wide - how.width + 1, 0)
+            theirs = run_hashes(other, how.width)[gather(np.cumsum(wide) - wide, inside)]
+            has = among(runs[s] ^ mix(whose.astype(U64)), theirs ^ mix(np.repeat(of_pair, inside).astype(U64)))
+            # the pivot document's other windows stay for the others
+            s = np.unique(s[~has | (x == p)[whose]])
+            if len(s):
+                yield rows(1, ids[seq.rows[s]], start=s - seq.first[seq.rows[s]], key=runs[s].view(np.int64))
+        out, bound = np.ones(len(c), dtype=bool), np.searchsorted(at, np.arange(len(owner) + 1))
+        for i, a, b in covered:
+            mine = slice(bound[i], bound[i + 1])
+            out[mine] &= (c[mine] < a) | (c[mine] >= b)
+        # what the pivot has not decides the next groups
+        which = np.flatnonzero(out)
+        width = np.cumsum(right[which] - left[which] + 1)
+        low = 0
+        while low < len(which):
+            done = width[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(width, done + (1 << 20), side="right")))
+            some = which[low:high]
+            yield from next_windows(seq, shared, x[at[some]], base[at[some]], off[at[some]], f[some], key[some], c[some],
+                                    left[some], right[some])
+            low = high
+
+    def next_windows(seq: Sequences, shared: np.ndarray, x, base, off, f, key, c, left, right
+                     ) -> Iterator[pa.RecordBatch]:
+        size = right - left + 1
+        segment, at = np.repeat(np.arange(len(c)), size), gather(left, size)
+        seeds = mix(np.arange(1, how.hashes + 1, dtype=U64) + U64(how.hashes * (turn + 1)))
+        v = mix(seq.values[base[segment] + at] ^ seeds[f[segment]])
+        v = (v >> U64(1)) | U64(1) | (shared[off[segment] + at].astype(U64) << U64(63))
+        first = np.cumsum(size) - size
+        lo, m, hi = compact_windows(v, segment, first, first + size - 1, how.width)
+        own = c[segment[m]]
+        fits = (at[lo] <= own) & (own <= at[hi])
+        lo, m, hi = lo[fits], m[fits], hi[fits]
+        part = segment[m]
+        new = mix(key[part].view(U64) ^ mix(v[m]))
+        if len(m):
+            yield rows(2, x[part], start=at[lo], stop=at[hi], key=new.view(np.int64), f=f[part], c=at[m])
 
     # a pivot document's text goes with its regions in chunks of bounded size, however many there are
     many = regions.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
