@@ -18,7 +18,7 @@ from paddock.llm.decontaminate import benchmark_leaks
 from paddock.llm.jaccard_join import jaccard_components
 from paddock.llm.quality import judge_quality
 from paddock.llm.queries import table, workers_find_library
-from paddock.llm.sentence_pieces import encode
+from paddock.llm.sentence_pieces import BPE_PIECES, encode
 from paddock.llm.substring_dedup import drop_passages, repeated_passages
 from paddock.session import materialize
 
@@ -66,7 +66,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document with its N best segmentations."""
     workers_find_library(spark)
-    return encode(docs)
+    return encode(docs, BPE_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ from paddock.llm.line_rules import line_quality
 from paddock.llm.main_text import extract
 from paddock.llm.periodic_runs import periodic_runs
 from paddock.llm.quality import judge_quality
-from paddock.llm.sentence_pieces import encode
+from paddock.llm.sentence_pieces import BPE_PIECES, decode, encode
 from paddock.llm.substring_dedup import repeated_passages
 from paddock.llm.suffix_dedup import drop_repeats
 from paddock.llm.url_filter import filter_urls
@@ -38,7 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    """Every document's ids and N best segmentations, and the digest of the text that its ids decode to."""
+    encoded = encode(table(spark, sf_dir, "documents"), BPE_PIECES)
+    kept = ("ids", "n_tokens", "score", "exact", "alternatives")
+    decoded = decode(encoded, BPE_PIECES, keep=kept)
+    return decoded.select("doc_id", *kept, F.sha2("text", 256).alias("text_sha256"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

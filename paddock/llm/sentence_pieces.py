@@ -13,10 +13,18 @@ of texts. All words are handled together in numpy:
    segmentations; the forward scores are its exact heuristic, so paths come out
    in order of score. The lists merge into the N best of the whole text.
 
-Scores are the model's; a character without a piece costs 10 more than the
-worst piece and is written as byte pieces. Decoding concatenates the pieces'
-bytes and restores spaces. Models are read with the sentencepiece library,
-which also normalises the text; nothing is trained.
+Scores are the model's own (``scores="model"``, for unigram models) or Zipf's
+law over the order of the pieces (``"zipf"``): the r-th piece has probability
+1 / (r * H), where H sums 1 / r over all pieces. A BPE model's scores only say
+in which order pieces were merged, and their sums prefer short early pieces;
+the order itself is one of frequency, which Zipf's law turns into probabilities
+without training. Scores are rounded to multiples of 2^-20, so that sums are
+exact whatever their order and A-star meets equal paths as equal.
+
+A character without a piece costs 10 more than the worst piece and is written
+as byte pieces. Decoding concatenates the pieces' bytes and restores spaces.
+Models are read with the sentencepiece library, which also normalises the text;
+nothing is trained.
 
 Defined results: null and empty texts have no ids and one alternative of score
 0; texts of one character or of one very long word are handled whole; ties go
@@ -33,6 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +49,37 @@ from paddock.llm.text import U64, gather, list_array, map_batches, pieces, span_
 
 SPACE = "▁"
 _CELLS = 1 << 17  # word positions in one numpy block
+_DECODED = 256  # texts decoded at once
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
 _TABLE_BITS = 18
+_UNIT = float(1 << 20)
 
 
 @dataclass(frozen=True)
 class PieceModel:
     path: str = "/opt/tokenizers/piece_bpe_32k.model"
     nbest: int = 3
+    scores: str = "model"
+
+
+# the given model is BPE
+BPE_PIECES = PieceModel(scores="zipf")
+
+
+def zipf_scores(given: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law over the descending order of the given scores."""
+    rank = np.empty(len(given))
+    rank[np.argsort(-given, kind="stable")] = np.arange(1, len(given) + 1)
+    return -np.log(rank) - np.log((1.0 / rank).sum())
 
 
 class Pieces:
     """A model's pieces: hash table for the lattice, bytes for decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "model"):
+        if kind not in ("model", "zipf"):
+            raise ValueError(f"scores are 'model' or 'zipf', not {kind!r}")
         import sentencepiece
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -76,6 +101,9 @@ class Pieces:
                 scores.append(sp.get_score(i))
                 ids.append(i)
         self.has_bytes = any(sp.is_byte(i) for i in range(n))
+        if kind == "zipf":
+            scores = zipf_scores(np.array(scores))
+        scores = (np.rint(np.array(scores) * _UNIT) / _UNIT).tolist()
         self.score_of = dict(zip(names, zip(scores, ids, strict=True), strict=True))
         self.unk_score = min(scores) - 10.0
         self.longest = max(map(len, names))
@@ -124,8 +152,8 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Pieces:
-    return Pieces(path)
+def load(path: str, scores: str = "model") -> Pieces:
+    return Pieces(path, scores)
 
 
 class Segmented:
@@ -235,9 +263,9 @@ def spell(char: str, known: Pieces) -> list[int]:
 
 
 @lru_cache(maxsize=1 << 15)
-def word_nbest(word: str, path: str, nbest: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
+def word_nbest(word: str, path: str, nbest: int, scores: str = "model") -> tuple[tuple[float, tuple[int, ...]], ...]:
     """The N best segmentations of a word: forward Viterbi, then backward A-star."""
-    known, n = load(path), len(word)
+    known, n = load(path, scores), len(word)
     edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
     forward = [0.0] + [-np.inf] * n
     for i in range(1, n + 1):
@@ -262,7 +290,7 @@ def word_nbest(word: str, path: str, nbest: int) -> tuple[tuple[float, tuple[int
             continue
         for j, s, ids in edges[at]:
             tick += 1
-            heapq.heappush(agenda, (-round(done + s + forward[j], 4), j, tick, done + s, (ids, tail)))
+            heapq.heappush(agenda, (-(done + s + forward[j]), j, tick, done + s, (ids, tail)))
     return tuple(sorted(out, key=lambda x: -x[0]))
 
 
@@ -280,7 +308,7 @@ class Encoded:
     """Ids, scores and N-best alternatives of a run of texts."""
 
     def __init__(self, texts: pa.Array, model: PieceModel):
-        known = load(model.path)
+        known = load(model.path, model.scores)
         normal = known.sp.normalize([t or "" for t in texts.to_pylist()])
         data, offsets = utf8(pa.array(normal, pa.string()))
         rows = len(texts)
@@ -323,7 +351,7 @@ class Encoded:
             stop = first[i + 1] if i + 1 < rows else len(row)
             some = [w for w in order[first[i]:min(stop, first[i] + model.nbest - 1)].tolist()
                     if np.isfinite(found.loss[place[w]])]
-            choices = [(w, word_nbest(self.words[place[w]], model.path, model.nbest)) for w in sorted(some)]
+            choices = [(w, word_nbest(self.words[place[w]], model.path, model.nbest, model.scores)) for w in sorted(some)]
             out = []
             for score, edits in merge_nbest(choices, float(self.score[i]), model.nbest):
                 change = sum(len(ids) - int(found.count[place[w]]) for w, ids in edits)
@@ -357,20 +385,37 @@ def encode(docs: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "
                                     f"alternatives {ALTERNATIVES}")
 
 
-def decode(encoded: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) from ids: the pieces' bytes with spaces restored, without the leading space that encoding adds."""
+def _texts(ids: pa.Array, known: Pieces) -> pa.Array:
+    """The text of every list of ids; null for null."""
+    count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = known.piece_size[flat]
+    data = known.piece_bytes[gather(known.piece_start[flat], size)]
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [
+        None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    try:
+        text = raw.cast(pa.large_string())
+    except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+        text = pa.array([v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.large_string())
+    text = pc.replace_substring(text, SPACE, " ")
+    text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+    return pc.if_else(pc.is_valid(ids), text, pa.scalar(None, pa.large_string())).cast(pa.string())
+
+
+def decode(encoded: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "doc_id",
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, columns of ``keep``) from ids: the pieces' bytes with spaces restored, without the leading
+    space that encoding adds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = load(model.path)
+        known = load(model.path, model.scores)
         for batch in batches:
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                if ids is None:
-                    out.append(None)
-                    continue
-                text = b"".join(known.bytes_of[i] for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
-                out.append(text[1:] if text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], [id_col, "text"])
-
-    narrow = encoded.select(F.col(id_col).alias("id"), "ids")
-    kind = narrow.schema["id"].dataType.simpleString()
-    return map_batches(narrow, run, f"{id_col} {kind}, text string")
+            for at in range(0, batch.num_rows, _DECODED):
+                part = batch.slice(at, _DECODED)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _texts(part.column(1), known), *part.columns[2:]], [id_col, "text", *keep])
+
+    narrow = encoded.select(F.col(id_col).alias("id"), "ids", *keep)
+    types = [f"{id_col} {narrow.schema['id'].dataType.simpleString()}", "text string",
+             *[f"{c} {narrow.schema[c].dataType.simpleString()}" for c in keep]]
+    return map_batches(narrow, run, ", ".join(types))

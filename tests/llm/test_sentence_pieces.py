@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from paddock.llm.sentence_pieces import Encoded, PieceModel, decode, encode, word_nbest
+from paddock.llm.sentence_pieces import BPE_PIECES, Encoded, PieceModel, decode, encode, load, word_nbest
 
 MODEL = PieceModel()
 
@@ -121,3 +121,53 @@ def test_round_trip(docs_of):
 
 def test_empty_table(docs_of):
     assert encode(docs_of([])).count() == 0 == decode(encode(docs_of([]))).count()
+
+
+def test_zipf_pieces_are_close_to_the_models_own_encoding():
+    """Tokens a word within 5 % of the library's merges, and whole words where the model has them."""
+    import pyarrow.parquet as pq
+    known = load(BPE_PIECES.path, BPE_PIECES.scores)
+    given = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    want = sum(map(len, known.sp.encode(given)))
+    assert abs(int(Encoded(pa.array(given), BPE_PIECES).count.sum()) - want) < 0.05 * want
+    e = Encoded(pa.array(["the house is small"]), BPE_PIECES)
+    assert [known.sp.id_to_piece(int(i)) for i in e.ids] == ["▁the", "▁house", "▁is", "▁small"]
+
+
+def test_zipf_order_is_exact():
+    """All segmentations of words, by exact sums; many equal paths do not grow the agenda."""
+    known = load(BPE_PIECES.path, BPE_PIECES.scores)
+
+    def every(word):
+        if not word:
+            return [(0.0, ())]
+        return [(known.score_of[word[:k]][0] + s, (known.score_of[word[:k]][1], *ids))
+                for k in range(1, len(word) + 1) if word[:k] in known.score_of for s, ids in every(word[k:])]
+
+    for word in ("▁hello", "▁thinking", "▁aaaa", "ab", "▁überall"):
+        want = sorted((s for s, _ in every(word)), reverse=True)[:8]
+        got = word_nbest(word, BPE_PIECES.path, 8, BPE_PIECES.scores)
+        assert [s for s, _ in got] == want
+        assert len({ids for _, ids in got}) == len(got) and all(x in every(word) for x in got)
+    assert len(word_nbest("ab" * 5000, BPE_PIECES.path, 3, BPE_PIECES.scores)) == 3
+
+
+def test_query_decodes_every_text(spark):
+    import hashlib
+
+    from paddock.llm.queries import op1_sentence_pieces
+    got = {r.doc_id: r for r in op1_sentence_pieces(spark, "/root/testdata/sf0.001").collect()}
+    known = load(BPE_PIECES.path)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        normal = known.sp.decode(known.sp.encode(text or ""))
+        assert got[doc_id].text_sha256 == hashlib.sha256(normal.encode()).hexdigest() and got[doc_id].exact
+
+
+def test_ids_that_are_no_utf8_and_null_lists(spark):
+    known = load(BPE_PIECES.path)
+    byte = int(known.byte_id[0xE9])
+    given = spark.createDataFrame([(1, None), (2, []), (3, [byte]), (4, [int(known.sp.piece_to_id("▁the"))])],
+                                  "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in decode(given, BPE_PIECES).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "the"}
