@@ -153,13 +153,13 @@ def q_global_median(spark, sf):
 
 def q_entity_form_raw(spark, sf):
     df = fm.ewma_prior(_entries(spark, sf), "positionOrder", ["driverId"], ["season", "round"],
-                       P.ewma_alpha, "form_raw")
+                       P.ewma_alpha, "form_raw", SKEW_SAFE)
     return _r(df, ["raceId", "driverId"], ["form_raw"])
 
 
 def q_team_form_raw(spark, sf):
     df = fm.ewma_prior(_totals(spark, sf), "team_total", ["constructorId"], ["season", "round"],
-                       P.ewma_alpha, "form_raw")
+                       P.ewma_alpha, "form_raw", SKEW_SAFE)
     return _r(df, ["season", "round", "constructorId"], ["form_raw"])
 
 
@@ -377,6 +377,16 @@ def q_active_teams(spark, sf):
     return raw.active_entities(_landed(spark, sf, "active_constructors"), "constructor")
 
 
+def q_race_lists(spark, sf):
+    """The event universe from race lists of every entity, read for the entities of the latest period."""
+    pages = _landed(spark, sf, "driver_races", "active_drivers")
+    listing = pages.filter(F.col("_file").startswith("active_drivers"))
+    period = F.regexp_extract("_file", r"active_drivers_([0-9]+)_offset", 1).cast("bigint")
+    latest = listing.select(F.max(period).alias("p")).scalar()
+    active = raw.active_entities(listing.filter(period == latest))
+    return raw.race_list_universe(pages.filter(F.col("_file").startswith("driver_")), active, P.first_period)
+
+
 def q_event_universe(spark, sf):
     pages = _landed(spark, sf, "results", "active_drivers")
     listing = pages.filter(F.col("_file").startswith("active_drivers"))
@@ -402,6 +412,23 @@ def q_ingest_incremental(spark, sf):
               ["grid", "positionOrder", "points"])
 
 
+def q_ingest_merged(spark, sf):
+    """Two landed batches, the later seasons' pages landed again, and a pass over all of it from a new checkpoint;
+    each is merged into the table by event."""
+    from paddock.session import scratch_path
+    from paddock.sources.landing import land_facts
+    from paddock.streaming.ingest import ingest_merged, read_merged
+    r, q, s = star_facts(spark, sf)
+    root, table, ckpt, again = (scratch_path(spark, n) for n in ("landing", "merged-facts", "stream-ckpt", "stream-ckpt"))
+    late = r.filter(F.col("season") >= P.test_period - 2)
+    for batch in (r.filter(F.col("season") < P.test_period - 2), late, late):
+        land_facts(batch, q, s, root, kinds=["results"])
+        ingest_merged(spark, raw.landing_paths(root, "results")[0], table, ckpt, P, lines=True)
+    ingest_merged(spark, raw.landing_paths(root, "results")[0], table, again, P, lines=True)
+    return _r(read_merged(spark, table), ["raceId", "season", "round", "circuitId", "driverId", "constructorId", "status"],
+              ["grid", "positionOrder", "points"])
+
+
 def q_event_rates(spark, sf):
     """Failure rates over whole earlier events: the leak-free mode."""
     base = _entries(spark, sf)
@@ -657,6 +684,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s4_active_constructors": q_active_teams,
     "s5_event_universe": q_event_universe,
     "st1_ingest_incremental": q_ingest_incremental,
+    "s5_race_lists": q_race_lists,
+    "st1_ingest_merged": q_ingest_merged,
     "w9_w11_event_rates": q_event_rates,
     "a4_a7_as_of_period": q_as_of,
     "a3_group_sizes": q_group_sizes,

@@ -340,6 +340,7 @@ def raw_queries() -> dict[str, str]:
            f"WHERE season >= {P.first_period}")
     q["p1_parse_results"] = f"WITH {ADAPTER_SQL_CTES}\n{res}"
     q["st1_ingest_incremental"] = f"WITH {ADAPTER_SQL_CTES}\n{res}"
+    q["st1_ingest_merged"] = q["st1_ingest_incremental"]
     floor = f"WHERE raceId IN (SELECT raceId FROM fact_results WHERE season >= {P.first_period})"
     q["p2_parse_qualifying"] = (
         f"WITH {ADAPTER_SQL_CTES}\nSELECT raceId, driverId, {r6('qualifying_pos')} AS qualifying_pos, "
@@ -388,6 +389,7 @@ EXCEPT SELECT season, round, endpoint FROM landed"""
 SELECT DISTINCT season, round FROM fact_results
 WHERE season >= {P.first_period}
   AND driverId IN (SELECT driverId FROM fact_results WHERE season = (SELECT max(season) FROM fact_results))"""
+    q["s5_race_lists"] = q["s5_event_universe"]
     return q
 
 

@@ -22,6 +22,7 @@ import struct
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import SPLIT_ROWS, distributed_row_number
 from ..session import materialize
 from ..spec import PanelSpec, Params
 
@@ -39,11 +40,13 @@ def _block_size(beta: float) -> int:
 
 
 def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
-               alpha: float, out: str) -> DataFrame:
+               alpha: float, out: str, skew_safe: bool = False, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Exponentially weighted mean of the *earlier* rows of each partition.
 
     ``order`` must make rows unique within a partition. Null when no earlier
-    non-null value exists.
+    non-null value exists. With ``skew_safe`` a grouped count runs when the plan
+    is built, and histories of more than ``split_rows`` rows are spread over
+    tasks (``_ewma_by_blocks``; ``order`` then names columns).
 
     Rows are numbered i within the partition and cut into blocks of B rows
     (B from ``_block_size``: the rebased weights beta^-offset stay finite).
@@ -57,6 +60,8 @@ def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
     x_r, so the value is exact in double precision; each step is O(1) per
     row. The anchored value is carried forward to later rows.
     """
+    if skew_safe and not df.groupBy(*partition).count().filter(F.col("count") > split_rows).isEmpty():
+        return _ewma_by_blocks(df, value, partition, order, alpha, out, split_rows)
     beta = 1.0 - alpha
     bsz = _block_size(beta)
     w = Window.partitionBy(*partition).orderBy(*order)
@@ -79,6 +84,64 @@ def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
     return df.drop(idx, blk, off, "_ew_w", "_ew_xw", anchored)
 
 
+_SPLIT_BLOCK = 4_096
+
+
+def _ewma_by_blocks(df: DataFrame, value: str, partition: list[str], order: list[str], alpha: float, out: str,
+                    split_rows: int) -> DataFrame:
+    """``ewma_prior`` with no window over a whole history.
+
+    Weighted sums are combined as a monoid: the sums anchored at the end of block
+    b are A_b = beta^(B-1) * T_b + beta^B * A_(b-1), where T_b totals the block.
+    1. Rows get their place in the history by split ranks; the numbered rows are written.
+    2. One grouped sum gives a row a block of at most 4,096 rows; the windows
+       that scan A_b and the newest mean run over this table only.
+    3. It is joined back, and the rows' windows run per block.
+    """
+    beta = 1.0 - alpha
+    size = min(_block_size(beta), _SPLIT_BLOCK)
+    flags = {f"_ew_n{i}": F.col(c).isNotNull() for i, c in enumerate(order)}  # nulls first, as in a plain window
+    keys = [(k, True) for i, c in enumerate(order) for k in (f"_ew_n{i}", c)]
+    rows = distributed_row_number(df.withColumns(flags), partition, keys, "_ew_i", split_rows)
+    x = F.col(value).cast("double")
+    rows = rows.drop(*flags).withColumn("_ew_b", F.floor((F.col("_ew_i") - 1) / F.lit(size)))
+    weight = F.pow(F.lit(beta), -((F.col("_ew_i") - 1) % F.lit(size)).cast("double"))
+    rows = materialize(rows.withColumn("_ew_w", F.when(x.isNotNull(), weight).otherwise(F.lit(0.0))).withColumn(
+        "_ew_xw", F.coalesce(x * F.col("_ew_w"), F.lit(0.0))), "ewma-rows")
+    sums = ("_ew_xw", "_ew_w")
+
+    # the same sums over blocks: rebased inside runs of blocks, plus the run before
+    blocks = rows.groupBy(*partition, "_ew_b").agg(*[F.sum(c).alias(c) for c in sums])
+    step = beta ** size
+    run = _block_size(step)
+    blocks = blocks.withColumn("_ew_run", F.floor(F.col("_ew_b") / F.lit(run))).withColumn(
+        "_ew_off", (F.col("_ew_b") % F.lit(run)).cast("double"))
+    inside = Window.partitionBy(*partition, "_ew_run").orderBy("_ew_b").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*partition).orderBy("_ew_run").rangeBetween(-1, -1)
+    history = Window.partitionBy(*partition).orderBy("_ew_b")
+    carry = step ** run if run < (1 << 40) else 0.0
+    for c in sums:
+        blocks = blocks.withColumn("_ew_t", F.col(c) * F.pow(F.lit(step), -F.col("_ew_off")))
+        total = F.sum("_ew_t").over(inside) + F.lit(carry) * F.coalesce(F.sum("_ew_t").over(before), F.lit(0.0))
+        blocks = blocks.withColumn("_ew_a" + c, F.lit(beta ** (size - 1)) * F.pow(F.lit(step), F.col("_ew_off")) * total)
+        blocks = blocks.withColumn("_ew_p" + c, F.lit(beta) * F.coalesce(F.lag("_ew_a" + c).over(history), F.lit(0.0)))
+    newest = F.when(F.col("_ew_w") > 0, (F.col("_ew_xw") + F.col("_ew_p_ew_xw")) / (F.col("_ew_w") + F.col("_ew_p_ew_w")))
+    blocks = blocks.withColumn("_ew_newest", newest).withColumn("_ew_carry", F.last("_ew_newest", ignorenulls=True).over(
+        history.rowsBetween(Window.unboundedPreceding, -1)))
+    side = blocks.select(*[F.col(c).alias(f"_ew_k{i}") for i, c in enumerate(partition)], F.col("_ew_b").alias("_ew_kb"),
+                         *["_ew_p" + c for c in sums], "_ew_carry")
+    same = F.col("_ew_b") == F.col("_ew_kb")
+    for i, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_ew_k{i}"))
+    block = Window.partitionBy(*partition, "_ew_b").orderBy("_ew_i")
+    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
+    num, den = (F.sum(c).over(so_far) + F.col("_ew_p" + c) for c in sums)
+    joined = rows.join(side, same).withColumn("_ew_anchor", F.when(F.col("_ew_w") > 0, num / den))
+    earlier = F.last("_ew_anchor", ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, -1))
+    kept = [c for c in df.columns if c != out]
+    return joined.withColumn("_ew_out", F.coalesce(earlier, F.col("_ew_carry"))).select(*kept, F.col("_ew_out").alias(out))
+
+
 def weekend_reward(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Sprint points null -> 0; total reward = points + sprint points."""
     return df.withColumn("sprint_points", F.coalesce(F.col("sprint_points"), F.lit(0.0))) \
@@ -175,14 +238,14 @@ def global_median(df: DataFrame, col: str, params: Params, spec: PanelSpec = DEF
 
 
 def raw_form(df: DataFrame, totals: DataFrame, params: Params = Params(),
-             spec: PanelSpec = DEFAULT_SPEC) -> tuple[DataFrame, DataFrame]:
+             spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parameter-free part of the decayed form: raw EWMAs.
 
     Returns (rows with ``_drv_ewma_raw``, team table with ``_con_ewma_raw``).
     """
     order = [spec.period, spec.seq]
-    rows = ewma_prior(df, spec.outcome, [spec.entity], order, params.ewma_alpha, "_drv_ewma_raw")
-    teams = ewma_prior(totals, "team_total", [spec.team], order, params.ewma_alpha, "_con_ewma_raw")
+    rows = ewma_prior(df, spec.outcome, [spec.entity], order, params.ewma_alpha, "_drv_ewma_raw", skew_safe)
+    teams = ewma_prior(totals, "team_total", [spec.team], order, params.ewma_alpha, "_con_ewma_raw", skew_safe)
     return rows, teams.select(spec.period, spec.seq, spec.team, "_con_ewma_raw")
 
 
@@ -239,9 +302,10 @@ def decayed_form(df: DataFrame, totals: DataFrame, params: Params = Params(),
     ).drop("_drv_ewma_raw", "_con_ewma_raw", "_first_seq", "_median")
 
 
-def h2h_form(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def h2h_form(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
+             skew_safe: bool = False) -> DataFrame:
     """EWMA of earlier head-to-head outcomes per entity, fill 0.5."""
     df = ewma_prior(df, "h2h_win", [spec.entity], [spec.period, spec.seq], params.ewma_alpha,
-                    "teammate_h2h_form")
+                    "teammate_h2h_form", skew_safe)
     return df.withColumn("teammate_h2h_form",
                          F.coalesce(F.col("teammate_h2h_form"), F.lit(params.h2h_fill)))

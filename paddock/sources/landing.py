@@ -148,6 +148,22 @@ def constructor_listing_pages(results: DataFrame, page_size: int = 100) -> DataF
     return listing_pages(results, "constructorId", "active_constructors", "ConstructorTable", "Constructors", page_size)
 
 
+def race_list_pages(results: DataFrame, page_size: int = 100) -> DataFrame:
+    """Pages ``driver_<id>_races``: the events of each entity. The events of even rounds come again on pages
+    ``driver_<id>_races_repeat``, so lists overlap within an entity as well as between entities."""
+    events = results.select("driverId", "season", "round").distinct()
+
+    def listed(rows: DataFrame, suffix: str) -> DataFrame:
+        elem = F.struct(F.col("season").cast("string").alias("season"), F.col("round").cast("string").alias("round"))
+        p = _paginate(rows, ["driverId"], ["season", "round"], elem, page_size)
+        name = F.concat(F.lit("driver_"), "driverId", F.lit(f"_races{suffix}_offset_"),
+                        (F.col("_page") * page_size).cast("string"))
+        return p.select(name.alias("page"), F.struct(F.col("_total").cast("string").alias("total"), F.struct(
+            F.col("_items").alias("Races")).alias("RaceTable")).alias("MRData"))
+
+    return listed(events, "").unionByName(listed(events.filter(F.col("round") % 2 == 0), "_repeat"))
+
+
 def write_pages(pages: DataFrame, root: str, kind: str, mode: str = "append") -> None:
     """Page files of one kind: one page a line, as many pages a file as a task has."""
     pages.write.mode(mode).json(landing_paths(root, kind)[0])
@@ -161,6 +177,7 @@ def land_facts(results: DataFrame, qualifying: DataFrame, sprints: DataFrame, ro
     made = {"results": lambda: result_pages(results, page_size, skip),
             "qualifying": lambda: qualifying_pages(qualifying, events, page_size, skip),
             "sprint": lambda: sprint_pages(sprints, events, page_size, skip),
+            "driver_races": lambda: race_list_pages(results, page_size),
             "active_drivers": lambda: driver_listing_pages(results, page_size),
             "active_constructors": lambda: constructor_listing_pages(results, page_size)}
     for kind in kinds:

@@ -117,14 +117,18 @@ def _races(raw: DataFrame, params: Params, on_bad: str) -> DataFrame:
             .withColumn("raceId", event_key("season", "round"))
 
 
-def keep_first(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per (raceId, driverId): the first by (file, race, row)."""
+POSITION = ("_file", "_race_idx", "_row_idx")
+
+
+def keep_first(df: DataFrame, keys: list[str] | None = None, positions: bool = False) -> DataFrame:
+    """One row per (raceId, driverId): the first by (file, race, row) (U3, Q12). With ``positions`` the
+    result keeps these, so that it can be merged with more pages and reduced again."""
     keys = keys or ["raceId", "driverId"]
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    w = Window.partitionBy(*keys).orderBy("_file", "_race_idx", "_row_idx")
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1) \
-             .drop("_rn", "_file", "_race_idx", "_row_idx")
+    w = Window.partitionBy(*keys).orderBy(*POSITION)
+    first = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return first if positions else first.drop(*POSITION)
 
 
 def keyless_rows(exploded: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -269,6 +273,17 @@ def event_universe(race_pages: DataFrame, active: DataFrame, start_period: int)
     return r.join(active, "id", "left_semi").select("season", "round").distinct()
 
 
+def race_list_universe(race_lists: DataFrame, active: DataFrame, start_period: int) -> DataFrame:
+    """Distinct (season, round) from period ``start_period`` on in the race lists of active entities (S5). A
+    page ``driver_<id>_races_offset_<n>`` lists events of one entity; lists share events and pages may overlap. The
+    lists of other entities are left before their events are exploded."""
+    entity = F.regexp_extract("_file", r"^driver_(.+)_races(?:_[a-z]+)?_offset_[0-9]+(?:\.json)?$", 1)
+    r = good_pages(race_lists).withColumn("id", entity).join(active, "id", "left_semi")
+    r = r.select(F.explode("MRData.RaceTable.Races").alias("race")).select(
+        to_int("race.season", 0).alias("season"), to_int("race.round", 0).alias("round"))
+    return r.filter(F.col("season") >= F.lit(start_period)).distinct()
+
+
 # ---------------------------------------------------------------------------
 # the parameter artifact
 

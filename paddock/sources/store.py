@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def write_periods(df: DataFrame, path: str, period: str = "season") -> None:
-    """Replace the periods that ``df`` has rows of. Rows of a period go to as many tasks as the shuffle
+def write_periods(df: DataFrame, path: str, *period: str) -> None:
+    """Replace the periods (``season``, or folders by the given columns) that ``df`` has rows of. Rows of a period go to as many tasks as the shuffle
     has, so a large period is no single file."""
+    period = period or ("season",)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(8))
-    df.repartition(F.col(period), salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy(period).parquet(path)
+    df.repartition(*period, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*period).parquet(path)
 
 
 def read_periods(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -52,6 +52,34 @@ def test_ewma_prior_of_large_values_over_long_histories(spark):
         assert np.isnan(got[0]) and np.allclose(got[1:], exp[1:], rtol=1e-12)
 
 
+def test_ewma_prior_splits_a_huge_history(spark):
+    """One history holds 60 % of the rows, with nulls, long runs of nulls, a null key and null order keys: equal to
+    the plain windows, and no task of the result holds much of it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, n in ((1, 30_000), (None, 8_000), (2, 11_999), (3, 1)):
+        for i in range(n):
+            gap = rng.random() < 0.2 or (k == 1 and (9_000 < i < 16_000 or i < 700))
+            rows.append((k, i if i != 5 else None, None if gap else float(rng.integers(1, 25))))
+    df = spark.createDataFrame(rows, "k long, i long, x double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for alpha in (0.4, 0.05, 0.9, 0.0005, 1.0, 0.0):
+            plain = fm.ewma_prior(df, "x", ["k"], ["i"], alpha, "e").selectExpr("k", "i", "x", "e")
+            split = fm.ewma_prior(df, "x", ["k"], ["i"], alpha, "e2", skew_safe=True, split_rows=5_000)
+            both = plain.join(split.withColumnsRenamed({"k": "k2", "i": "i2", "x": "x2"}), F.expr("k <=> k2 AND i <=> i2"))
+            n, unlike, worst = both.agg(F.count(F.lit(1)), F.count_if(F.expr("(e IS NULL) <> (e2 IS NULL)")),
+                                        F.max(F.abs(F.col("e") - F.col("e2")))).first()
+            assert (n, unlike) == (len(rows), 0) and worst < 1e-9, alpha
+        split = fm.ewma_prior(df, "x", ["k"], ["i"], 0.4, "e", skew_safe=True, split_rows=5_000)
+        sizes = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 2 and max(sizes) < 0.35 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    same = fm.ewma_prior(df, "x", ["k"], ["i"], 0.4, "e", skew_safe=True)
+    assert same.columns == ["k", "i", "x", "e"] and same.count() == len(rows)
+
+
 def test_peer_values_per_column_first_non_null(spark):
     # three-car team, first mate has a null time: next non-null per column (Q9)
     rows = [("r1", 2020, 1, "c", "a", "t", 1.0, 1.0, 25.0, "Finished", None),

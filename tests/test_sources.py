@@ -156,3 +156,70 @@ def test_quarantine_counts_what_it_stores_and_loses_no_row(spark, tmp_path):
     assert facts == [("2020_1", "a", None, None, 18.0, None), ("2020_1", "b", None, None, 18.0, None)]
     assert raw.read_quarantined(spark, path, "bad_pages").first().text == '{"MRData": {"total": '
     assert raw.quarantine_results(raw.read_raw(spark, f"{d}/*.json").limit(0), path)["facts"] == 0
+
+
+def test_race_lists_of_active_entities(spark, tmp_path):
+    d = str(tmp_path / "pages")
+    os.makedirs(d)
+
+    def races(*events):
+        return _page([{"season": str(y), "round": str(n)} for y, n in events], total="3")
+
+    _write(d, "driver_a_races_offset_0.json", races((2019, 1), (2020, 1), (2020, 2)))
+    _write(d, "driver_a_races_repeat_offset_0.json", races((2020, 2), (2021, 4)))
+    _write(d, "driver_b_races_offset_0.json", races((2020, 2), (2020, 3)))
+    _write(d, "driver_b_b_races_offset_0.json", races((2022, 9)))
+    _write(d, "driver_c_races_offset_0.json", races())
+    pages = raw.read_raw(spark, f"{d}/*.json")
+
+    def got(*ids):
+        active = spark.createDataFrame([(i,) for i in ids], "id string")
+        return sorted(tuple(r) for r in raw.race_list_universe(pages, active, 2020).collect())
+
+    assert got("a", "c", "a") == [(2020, 1), (2020, 2), (2021, 4)]
+    assert got("a", "b") == [(2020, 1), (2020, 2), (2020, 3), (2021, 4)]
+    assert got("b_b") == [(2022, 9)] and got() == [] and got("c") == []
+
+
+def _stored_files(table):
+    table = table.removeprefix("file://").removeprefix("file:")
+    return {os.path.join(p, f) for p, _, names in os.walk(table) for f in names if f.endswith(".parquet")}
+
+
+def test_merged_table_equals_batch_and_rewrites_touched_events_only(spark):
+    from paddock.sources.adapter import star_facts
+    from paddock.sources.landing import land_facts
+    from paddock.spec import adapter_params
+    from paddock.streaming.ingest import ingest_merged, merge_batch, read_merged
+    p = adapter_params()
+    r, q, s = star_facts(spark, "/root/testdata/sf0.001")
+    r = r.filter(F.col("season") >= 1996)
+    root, table, ckpt = (scratch_path(spark, n) for n in ("landing", "merged", "ckpt"))
+    glob = raw.landing_paths(root, "results")[0]
+    land_facts(r.filter(F.col("season") < 1998), q.limit(0), s.limit(0), root, kinds=["results"])
+    assert ingest_merged(spark, glob, table, ckpt, p, lines=True) > 0
+    before = _stored_files(table)
+    assert ingest_merged(spark, glob, table, ckpt, p, lines=True) == 0 and _stored_files(table) == before
+    land_facts(r.filter(F.col("season") == 1998), q.limit(0), s.limit(0), root, kinds=["results"])
+    assert ingest_merged(spark, glob, table, ckpt, p, lines=True) > 0
+    assert before < _stored_files(table)  # nothing of earlier seasons was written again
+
+    pages = raw.read_raw(spark, raw.landing_paths(root, "results"), lines=True)
+    batch = raw.parse_results(pages, p)
+
+    def same():
+        got = read_merged(spark, table).select(batch.columns)
+        return got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+
+    assert same() and batch.filter("season = 1998").count() > 0
+    # one event again under an id the ledger has not, then under the same id, and a page that sorts first
+    flat = raw.explode_results(pages, p).filter("season = 1998 AND round = 1")
+    ledger = scratch_path(spark, "ledger")
+    merge_batch(spark, flat, 7, table, ledger)
+    kept = _stored_files(table)
+    merge_batch(spark, flat.withColumn("points", F.lit(0.5)).withColumn("_file", F.lit("a")), 7, table, ledger)
+    assert same() and _stored_files(table) == kept
+    merge_batch(spark, flat.withColumn("points", F.lit(0.5)).withColumn("_file", F.lit("a")), 8, table, ledger)
+    changed = read_merged(spark, table).filter("points = 0.5")
+    assert changed.select("season", "round").distinct().collect() == [(1998, 1)] and changed.count() == flat.select(
+        "driverId").distinct().count()
