@@ -252,6 +252,19 @@ def q_sweep_decay(spark, sf):
                "mean_exp_pts_err"])
 
 
+# without a summer break the round does not matter: 12 combinations, four matrices a fold at most
+MODEL_SWEEP = {"off_season_decay": (0.5, 0.9), "regulation_reset_decay": (0.1, 0.4), "summer_break_decay": (1.0,),
+               "driver_reg_reset_decay": (0.5,), "summer_break_round": (7, 8, 9)}
+
+
+def q_sweep_models(spark, sf):
+    """The sweep scored by a model: the grid, its folds, whose fit a combination shares, and whether errors are points."""
+    res = vd.sweep_models(_features(spark, sf), _entries(spark, sf), P, ranges=MODEL_SWEEP, skew_safe=SKEW_SAFE,
+                          ranker_kw=dict(trees=10, rate=0.2, depth=4))
+    return res.select("combo_id", "off_season_decay", "regulation_reset_decay", "summer_break_round", "folds", "same_as",
+                      F.col("mean_exp_pts_err").between(0.0, 25.0).alias("error_in_points"))
+
+
 def q_best_params(spark, sf):
     res = vd.best_params(_sweep(spark, sf))
     return _r(res, ["combo_id", "summer_break_round"],
@@ -666,6 +679,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a15_split_profile": q_split_profile,
     "a16_classification_accuracy": q_classification_accuracy,
     "m5_sweep_decay": q_sweep_decay,
+    "m5_sweep_models": q_sweep_models,
     "a17_best_params": q_best_params,
     "a18_distinct_counts": q_distinct_counts,
     "p8_p9_lap_time_ms": q_lap_time_ms,

@@ -548,6 +548,12 @@ SELECT g.combo_id, g.summer_break_round, f.folds, {r6('g.off_season_decay')} AS
   {r6('g.regulation_reset_decay')} AS regulation_reset_decay, {r6('g.summer_break_decay')} AS summer_break_decay,
   {r6('g.driver_reg_reset_decay')} AS driver_reg_reset_decay, {r6('f.err')} AS mean_exp_pts_err
 FROM (SELECT combo_id, avg(err) AS err, count(*) AS folds FROM folds GROUP BY combo_id) f JOIN grid g USING (combo_id)""")
+    q["m5_sweep_models"] = with_features(f"""
+SELECT CAST(a * 6 + b * 3 + c AS BIGINT) AS combo_id, CASE a WHEN 0 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS off_season_decay,
+       CASE b WHEN 0 THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END AS regulation_reset_decay, CAST(7 + c AS BIGINT) AS summer_break_round,
+       (SELECT count(DISTINCT season) FROM e2 WHERE season IN ({", ".join(map(str, P.validation_periods))})) AS folds,
+       CAST(a * 6 + b * 3 AS BIGINT) AS same_as, TRUE AS error_in_points
+FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1), (2)) z(c)""")
     q["a17_best_params"] = with_features(_sweep_ctes() + f""",
 per AS (SELECT combo_id, avg(err) AS err FROM folds GROUP BY combo_id)
 SELECT g.combo_id, g.summer_break_round, {r6('g.off_season_decay')} AS off_season_decay,

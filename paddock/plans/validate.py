@@ -4,7 +4,8 @@ The sweep splits the decayed form into its parameter-free part (raw EWMAs,
 computed once) and per-period factors. An event's ranking depends on its
 factors only, and few combinations differ in them, so entries are ranked once
 per event and distinct set of factors; the errors are mapped back to the
-combinations in the small event x grid table.
+combinations in the small event x grid table. ``sweep_models`` scores the
+combinations by a fitted ranker instead, one fit per distinct matrix.
 """
 
 from __future__ import annotations
@@ -117,20 +118,36 @@ def grid_columns(ranges: dict | None = None) -> tuple:
     return gen, cols
 
 
-def sweep_inputs(entries: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def sweep_inputs(entries: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
+                 up_to: int | None = None) -> DataFrame:
     """Parameter-free columns the sweep needs, per entry of the validation
-    periods: raw entity/team EWMAs, median, first seq of the period."""
+    periods (or of all periods up to ``up_to``): raw entity/team EWMAs, median, first seq of the period."""
     totals = fm.team_event_totals(fm.weekend_reward(entries, spec), spec)
     rows, teams = fm.raw_form(entries, totals, params, spec)
     med = fm.global_median(entries, spec.outcome, params, spec).scalar()
     firsts = fm.period_first_seq(entries, spec)
-    return rows.filter(F.col(spec.period).isin(list(params.validation_periods))) \
+    wanted = F.col(spec.period).isin(list(params.validation_periods)) if up_to is None \
+        else F.col(spec.period) <= F.lit(up_to)
+    return rows.filter(wanted) \
         .join(teams, [spec.period, spec.seq, spec.team], "left") \
         .join(firsts, spec.period, "left") \
         .select(spec.event, spec.entity, spec.period, spec.seq, spec.outcome, "_drv_ewma_raw", "_con_ewma_raw",
                 "_first_seq", med.alias("_median"))
 
 
+def event_factors(inputs: DataFrame, params: Params, spec: PanelSpec, ranges: dict | None) -> tuple[DataFrame, list[str]]:
+    """The decay factors of every event and combination, without entries, and their column names: the first
+    is the entity's, the others are the team's."""
+    gen, pcols = grid_columns(ranges)
+    events = inputs.select(spec.event, spec.period, spec.seq, "_first_seq").distinct()
+    x = events.select("*", gen).select("*", *[c.alias(n) for n, c in pcols.items()])
+    drv_f, con_f = fm.decay_factors(F.col(spec.period), F.col(spec.seq), F.col("_first_seq"),
+                                    {k: F.col(k) for k in pcols}, params.reset_periods)
+    names = ["_f0", *[f"_f{i + 1}" for i in range(len(con_f))]]
+    return x.select("combo_id", spec.event, spec.period, *[
+        c.cast("double").alias(n) for n, c in zip(names, [drv_f, *con_f], strict=True)]), names
+
+
 def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
                 ranges: dict | None = None, skew_safe: bool = False) -> DataFrame:
     """Mean expected points error of every decay combination over the
@@ -139,15 +156,7 @@ def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec =
     spark = entries.sparkSession
     grid = param_grid(spark, ranges)
     inputs = materialize(sweep_inputs(entries, params, spec), "sweep-inputs")
-    # events x combinations, without entries: the factors of each
-    gen, pcols = grid_columns(ranges)
-    events = inputs.select(spec.event, spec.period, spec.seq, "_first_seq").distinct()
-    x = events.select("*", gen).select("*", *[c.alias(n) for n, c in pcols.items()])
-    drv_f, con_f = fm.decay_factors(F.col(spec.period), F.col(spec.seq), F.col("_first_seq"),
-                                    {k: F.col(k) for k in pcols}, params.reset_periods)
-    names = ["_f0", *[f"_f{i + 1}" for i in range(len(con_f))]]
-    factors = x.select("combo_id", spec.event, spec.period,
-                       *[c.cast("double").alias(n) for n, c in zip(names, [drv_f, *con_f], strict=True)])
+    factors, names = event_factors(inputs, params, spec, ranges)
     variants = factors.select(spec.event, *names).distinct()
     # entries once per event and distinct set of factors
     score = fm.apply_factors(F.coalesce(F.col("_con_ewma_raw"), F.lit(0.0)), [F.col(n) for n in names[1:]]) \
@@ -168,12 +177,74 @@ def sweep_decay(entries: DataFrame, params: Params = Params(), spec: PanelSpec =
     return grid.join(per, "combo_id", "inner")
 
 
+FORMS = ("driver_form_ewma", "constructor_form_ewma")
+
+
+def _classes(factors: DataFrame, names: list[str], folds: Sequence[int], spec: PanelSpec) -> DataFrame:
+    """(fold, combo_id, rep): combinations whose factors agree at every event up to the fold's period have one
+    training and validation matrix, and share the smallest id as ``rep``. They are found by two 64-bit sums of
+    hashes over (event, factors), grouped, without comparing combinations. Folds without events are left out."""
+    upto = factors.select("*", F.explode(F.array(*[F.lit(v).cast("bigint") for v in folds])).alias("fold")) \
+        .filter(F.col(spec.period) <= F.col("fold"))
+    signed = upto.groupBy("fold", "combo_id").agg(
+        F.bit_xor(F.xxhash64(spec.event, *names)).alias("_h"),
+        F.sum(F.xxhash64(F.lit("sum"), spec.event, *names).cast("decimal(20,0)")).alias("_s"),
+        F.max(spec.period).alias("_last")).filter(F.col("_last") == F.col("fold"))
+    reps = signed.groupBy("fold", "_h", "_s").agg(F.min("combo_id").cast("bigint").alias("rep"))
+    return signed.join(reps, ["fold", "_h", "_s"]).select("fold", F.col("combo_id").cast("bigint").alias("combo_id"), "rep")
+
+
+def sweep_models(matrix: DataFrame, entries: DataFrame, params: Params = Params(), features: Sequence[str] = FEATURES,
+                 spec: PanelSpec = DEFAULT_SPEC, ranges: dict | None = None, ranker_kw: dict | None = None,
+                 skew_safe: bool = False, threads: int = 4) -> DataFrame:
+    """The sweep scored by a model (M5): for every decay combination and validation period a ranker is fitted on
+    the earlier periods, with both form features under the combination's decay, and judged by the expected points
+    error; one row a combination with the mean over folds.
+
+    ``matrix`` has the other features (``plans.matrix.feature_table``). Combinations that give one matrix are fitted
+    once (``_classes``) and share the error; ``same_as`` is the combination fitted in the last fold. None is left
+    out. Rows are written once without decay; a fit joins its small table of factors. The driver gets one error a fit.
+    """
+    kw = dict(trees=80, rate=0.05, depth=4, min_rows=20)
+    kw.update(ranker_kw or {})
+    spark, folds = entries.sparkSession, sorted(params.validation_periods)
+    others = [c for c in features if c not in FORMS]
+    inputs = sweep_inputs(entries, params, spec, up_to=folds[-1])
+    rows = materialize(inputs.join(matrix.select(spec.event, spec.entity, *others), [spec.event, spec.entity]), "sweep-rows")
+    factors, names = event_factors(rows, params, spec, ranges)
+    factors = materialize(factors, "sweep-factors")
+    classes = materialize(_classes(factors, names, folds, spec), "sweep-classes")
+    entity_form = F.coalesce("_drv_ewma_raw", "_median") * F.col("_f0")
+    team_form = fm.apply_factors(F.coalesce(F.col("_con_ewma_raw"), F.lit(0.0)), [F.col(n) for n in names[1:]])
+
+    def fit(todo: tuple[int, int]) -> tuple[int, int, float]:
+        v, combo = todo
+        mine = factors.filter((F.col("combo_id") == combo) & (F.col(spec.period) <= v)).select(spec.event, *names)
+        full = rows.filter(F.col(spec.period) <= v).join(mine, spec.event).withColumns({
+            FORMS[0]: entity_form, FORMS[1]: team_form, "_label": F.log1p(relevance_of(spec.outcome).cast("double"))})
+        keep = [spec.event, spec.entity, spec.period, spec.outcome, "_label"]
+        train, val = chrono_split(materialize(assemble(full, features, keep=keep), "sweep-fold"), v, spec)
+        model = pointwise_trees(train.select("features", "_label"), params=params, **kw)
+        scored = model.transform(val).withColumnRenamed("prediction", "_score")
+        ranked = rank_within(scored, "_score", "_pred", spec, skew_safe=skew_safe)
+        err = ranked.agg(F.avg(expected_points_error(F.col(spec.outcome), F.col("_pred")))).first()[0]
+        return v, combo, err
+
+    todo = [(int(r.fold), int(r.rep)) for r in classes.select("fold", "rep").distinct().orderBy("fold", "rep").collect()]
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        errors = spark.createDataFrame(list(pool.map(inheritable_thread_target(fit), todo)),
+                                       "fold bigint, rep bigint, _err double")
+    per = classes.join(errors, ["fold", "rep"]).groupBy("combo_id").agg(
+        F.avg("_err").alias("mean_exp_pts_err"), F.count(F.lit(1)).alias("folds"), F.max_by("rep", "fold").alias("same_as"))
+    return param_grid(spark, ranges).join(per, "combo_id")
+
+
 def best_params(sweep: DataFrame) -> DataFrame:
     """Arg-min of the mean error; ties go to the lowest combo_id.
 
     Errors are compared at 9 decimals so that combinations with the same
     predictions tie exactly whatever the summation order was."""
-    names = [c for c in sweep.columns if c not in ("combo_id", "mean_exp_pts_err", "folds")]
+    names = [c for c in sweep.columns if c not in ("combo_id", "mean_exp_pts_err", "folds", "same_as")]
     best = sweep.agg(F.min_by(F.struct("combo_id", *names, "mean_exp_pts_err"),
                               F.struct(F.round("mean_exp_pts_err", 9), "combo_id")).alias("b"))
     return best.select("b.*")

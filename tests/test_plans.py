@@ -239,3 +239,36 @@ def test_two_stage_takes_wide_categories(spark):
     assert coded.columns == [*test.columns, *names] and coded.count() == test.count()
     one = coded.groupBy("driverId").agg(F.countDistinct("driverId__rate").alias("n"))
     assert one.filter("n <> 1").count() == 0  # the test split's own outcomes change nothing
+
+
+def test_model_sweep_equals_fitting_each_combination(spark, monkeypatch):
+    """12 combinations over two folds: six fits instead of 24, and the errors of 24 fits on separately built forms."""
+    import itertools
+
+    from paddock.operators import form as fm
+    from paddock.plans import models as md
+    from paddock.plans.metrics import chrono_split, expected_points_error, rank_within
+    from paddock.sources.adapter import star_facts
+    from paddock.spec import adapter_params
+    p = adapter_params().with_(validation_periods=(1997, 1999))
+    entries = mx.entries_table(*star_facts(spark, "/root/testdata/sf0.001"), p)
+    ranges = {"off_season_decay": (0.5, 0.9), "regulation_reset_decay": (0.1, 0.4), "summer_break_decay": (1.0,),
+              "driver_reg_reset_decay": (0.5,), "summer_break_round": (7, 8, 9)}
+    features, kw = ["grid", "driver_form_ewma", "constructor_form_ewma"], dict(trees=2, rate=0.5, depth=3, min_rows=5)
+    fits, trees = [], vd.pointwise_trees
+    monkeypatch.setattr(vd, "pointwise_trees", lambda *a, **k: fits.append(1) or trees(*a, **k))
+    got = {r.combo_id: r for r in vd.sweep_models(entries, entries, p, features, ranges=ranges, ranker_kw=kw).collect()}
+    assert len(got) == 12 and len(fits) == 6 and all(r.folds == 2 for r in got.values())
+    assert {i: r.same_as for i, r in got.items()} == {i: i - i % 3 for i in range(12)}
+    totals = fm.team_event_totals(fm.weekend_reward(entries))
+    for i, (off, reset, summer, own, rnd) in enumerate(itertools.product(*ranges.values())):
+        mine = p.with_(off_season_decay=off, regulation_reset_decay=reset, summer_break_decay=summer,
+                       driver_reg_reset_decay=own, summer_seq=rnd)
+        formed = fm.decayed_form(entries, totals, mine)
+        errors = []
+        for v in mine.validation_periods:
+            train, val = chrono_split(formed, v)
+            out = md.score_ranker(md.fit_ranker(train, features, params=mine, **kw), val, features)
+            ranked = rank_within(out, "score", "_pred")
+            errors.append(ranked.agg(F.avg(expected_points_error(F.col("positionOrder"), F.col("_pred")))).first()[0])
+        assert got[i].mean_exp_pts_err == pytest.approx(sum(errors) / 2, abs=1e-9), i
