@@ -35,14 +35,15 @@ DEFAULT_RULES = (("com/", ALLOW), ("example.com/en/", BLOCK), ("www.example.com/
 UNWANTED = ("casino", "poker-win", "slots", "online-casino", "bets", "free-spins", "sports-bets", "jackpot-win",
             "pills", "cheap-meds", "pharma-pills", "cheap-replica", "diet-pills", "adult", "adult-chat", "xxx",
             "porn", "x-videos", "spam", "link-farm", "spam-links", "seo-farm", "ads", "ad-track", "track-click",
-            "ads-banner", "popup-ads", "malware", "phishing", "warez", "free-crack", "payday-loans")
+            "ads-banner", "popup-ads", "malware", "phishing", "warez", "free-crack", "payday-loans", "lottery", "roulette",
+            "blackjack", "betting", "viagra", "escort", "torrent", "gambling", "webcam-girls", "loan-shark")
 WANTED = ("library", "university", "museum", "news", "city-news", "weather", "garden", "recipes", "history",
           "science", "music", "travel", "school", "docs", "forum", "health", "sports", "books", "book-club", "code",
           "theatre", "art-gallery", "physics", "maths", "open-data", "maps", "radio", "cinema", "village", "nature",
           "bird-watch", "astronomy", "literature", "cooking", "running", "chess", "gov", "research", "archive",
           "photo-notes", "engineering", "economics", "teaching", "medicine", "the-herald", "mountain", "river",
-          "interior", "orthography", "heating", "tension", "mention", "shore", "thread", "there", "within", "other",
-          "therein", "hearing", "wholesome", "north-shore", "ending", "notes", "thorough")
+          "hospital", "painting", "railway", "philosophy", "newspaper", "orchestra", "kitchen", "geography",
+          "parliament", "languages", "harbour", "football", "bakery", "observatory", "gallery", "church", "council")
 
 
 @dataclass(frozen=True)
