@@ -3,15 +3,16 @@
 The benchmark is the query set; it is taken in blocks of bounded size and every
 block is held against all documents in one narrow map (no shuffle of texts).
 
-1. Items are classed by length. A class has windows of ``c`` shingles, a bit
-   shorter than its items, and a document stride ``s`` with c + s - 1 <= item
-   length: whichever way an item lies in a document, one document window lies
-   wholly inside it, and the item has fingerprints at all offsets.
+1. Items are classed by length. A class has windows of ``c`` shingles, shorter
+   than half an item, and a document stride ``s`` with c + 3 * s - 1 <= item
+   length: whichever way an item lies in a document, three document windows lie
+   wholly inside it, so edits seldom touch all of them. The item has fingerprints
+   at all offsets.
 2. A window's SimHash is the majority of its shingles' hash bits, from prefix
    sums. Fingerprints are cut into four 16-bit blocks and indexed by every
    value within two flips of each block, so all pairs within Hamming distance
    11 are found (pigeonhole), and no other pair passes the popcount.
-3. Windows alone miss some edited items. Any set of an item's shingles that
+3. Windows alone miss a few edited items. Any set of an item's shingles that
    reaches ``percent`` of its weight has one of the item's heaviest (rarest)
    shingles that weigh more than the rest may miss; an exact hit of one of
    these seeds is a candidate too, so none above ``percent`` is lost.
@@ -50,9 +51,12 @@ class LeakRules:
     size: int = 5  # words per shingle
     percent: int = 80
     radius: int = 11  # Hamming distance; four blocks with two flips guarantee up to 11
-    window_share: float = 0.75  # window of a class over its shortest item
+    window_share: float = 0.4  # window of a class over its shortest item
+    windows: int = 3  # document windows that lie in an item, wherever it is
     class_ratio: float = 1.3
-    block_items: int = 2_000  # benchmark items per block
+    seeds: bool = True  # complete the windows' candidates by exact hits of rare shingles
+    block_items: int = 2_000  # benchmark items per block, on average
+    block_chars: int = 4_000_000  # and characters
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, Words]:
@@ -84,9 +88,9 @@ def simhash(sums: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
 class WindowClass:
     """Fingerprints of the items of one length class and their block index."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], shortest: int, share: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], shortest: int, share: float, windows: int):
         self.width = min(max(1, int(np.ceil(share * shortest))), 1 << 14)
-        self.stride = shortest - self.width + 1
+        self.stride = max(1, (shortest - self.width + 1) // windows)
         prints, owner, offset = [], [], []
         for i, values in items:
             start = np.arange(len(values) - self.width + 1)
@@ -138,7 +142,7 @@ class Benchmark:
             while own:
                 shortest = len(own[0][1])
                 group = [x for x in own if len(x[1]) < max(shortest * rules.class_ratio, shortest + 1)]
-                self.classes.setdefault(size, []).append(WindowClass(group, shortest, rules.window_share))
+                self.classes.setdefault(size, []).append(WindowClass(group, shortest, rules.window_share, rules.windows))
                 own = own[len(group):]
 
     def _seeds(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,8 +184,10 @@ class Benchmark:
             owner = words.row[at]
             first, stop = np.searchsorted(owner, rows), np.searchsorted(owner, rows, side="right")
             sums = bit_sums(values)
-            hit, item, begin = self.seeded(size, values)
-            places = set(zip(owner[hit].tolist(), item.tolist(), begin.tolist(), strict=True))
+            places: set[tuple[int, int, int]] = set()
+            if self.rules.seeds:
+                hit, item, begin = self.seeded(size, values)
+                places.update(zip(owner[hit].tolist(), item.tolist(), begin.tolist(), strict=True))
             for kind in classes:
                 count = np.maximum((stop - first - kind.width) // kind.stride + 1, 0)
                 count[stop - first < kind.width] = 0
@@ -208,7 +214,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = Le
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, similarity double, start_word long"
-    blocks = max(1, -(-items.count() // rules.block_items))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // rules.block_items), -(-size.chars // rules.block_chars))
     out = None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
