@@ -17,7 +17,8 @@ rest of ``source`` with the language; both columns are parameters.
 Defined results: a null or empty text has style features only; a null source
 or language is a group of its own; repeated rows get equal results; labels
 that are null are not used (a null ``toxic`` counts as 0), repeated labels
-count once per distinct row; with labels of one class only a head gives
+count once per distinct row, and of rows that repeat a labelled id the one whose
+features come first is learned from; with labels of one class only a head gives
 ``default_rate``; very long texts are read whole; other input columns are
 ignored; an empty table gives an empty result.
 """
@@ -156,7 +157,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, model: QualityModel) ->
     joined = docs.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select(
         "label_id", "text", "low", "toxic")
     made = map_batches(joined, run, "label_id long, ids array<int>, low double, toxic double")
-    return made.limit(2 * model.max_labels)
+    return made.groupBy("label_id", "low", "toxic").agg(F.min("ids").alias("ids"))
 
 
 def document_evidence(docs: DataFrame, labels: DataFrame, model: QualityModel) -> DataFrame:

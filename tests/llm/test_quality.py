@@ -78,3 +78,86 @@ def test_odd_rows(docs_of, spark):
     none = spark.createDataFrame([], LABELS)
     assert judge_quality(docs_of(rows), none).filter("NOT kept").count() == 0
     assert judge_quality(docs_of([]), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def planted_sites(rng):
+    """Hosts of bad or of clean documents, with documents that their text alone leaves open: rows, labels, open ids."""
+    rows, labels, unsure = [], [], {}
+
+    def add(kind, source, labelled=None):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        if kind == "bad":
+            words = ["junk", "spam", *words]
+        if kind == "open":
+            words = ["perhaps", *words]
+        rows.append((len(rows), " ".join(words), "en", source))
+        if labelled is not None:
+            labels.append((len(rows) - 1, labelled, 0, "t"))
+        return len(rows) - 1
+
+    for h in range(12):
+        bad = h % 2 == 0
+        for k in range(120):
+            add("bad" if bad else "clean", f"h{h}/p{k % 3}", int(not bad) if k < 60 else None)
+        for k in range(40):
+            add("open", f"h{h}/p{k % 3}", int(k % 2 == 0) if k < 24 else None)
+        unsure[h] = [i for i in range(len(rows) - 10, len(rows))]
+    large = [add("clean", "h0/large") for _ in range(300)]  # a large clean path of a bad host
+    sparse = add("open", "h0/sparse")
+    return rows, labels, unsure, large, sparse
+
+
+def direct_posterior(out, path_of):
+    """Rates and posteriors recomputed in numpy from the documents' own evidence."""
+    out = out.set_index("doc_id")
+    p = 1 - (1 - out.p_low) * (1 - out.p_toxic)
+    path, host = out.index.map(path_of), out.index.map(lambda i: path_of(i).split("/")[0])
+    overall = p.mean()
+
+    def strength(n, bad, m):
+        m = np.clip(m, 1e-6, 1 - 1e-6)
+        many = n > 1
+        n, bad, m = n[many], bad[many], m[many] if np.ndim(m) else m
+        m = m * np.ones(len(n))
+        excess = max(0.0, (n * (bad / n - m) ** 2).sum() - (m * (1 - m)).sum()) / (n * m * (1 - m)).sum()
+        return min(1000.0, max(1.0, 1 / excess - 1 if excess > 0 else 1000.0))
+
+    hosts = p.groupby(host).agg(["size", "sum"])
+    a = strength(hosts["size"].to_numpy(), hosts["sum"].to_numpy(), overall)
+    host_rate = (hosts["sum"] + a * overall) / (hosts["size"] + a)
+    paths = p.groupby(path).agg(["size", "sum"])
+    of_path = np.array([host_rate[x.split("/")[0]] for x in paths.index])
+    b = strength(paths["size"].to_numpy(), paths["sum"].to_numpy(), of_path)
+    n, bad = paths["size"].loc[path].to_numpy(), paths["sum"].loc[path].to_numpy()
+    site = (bad - p.to_numpy() + b * host_rate.loc[host].to_numpy()) / (n - 1 + b)
+
+    def logit(x):
+        x = np.clip(x, 1e-6, 1 - 1e-6)
+        return np.log(x / (1 - x))
+    return host_rate, site, 1 / (1 + np.exp(-(logit(p.to_numpy()) + logit(site) - logit(overall))))
+
+
+def test_sites_decide_where_texts_do_not(docs_of, spark):
+    rows, labels, unsure, large, sparse = planted_sites(random.Random(8))
+    out = judge_quality(docs_of(rows), spark.createDataFrame(labels, LABELS)).toPandas().sort_values("doc_id")
+    host_rate, site, posterior = direct_posterior(out, lambda i: rows[i][3])
+    np.testing.assert_allclose(out.site_rate, site, rtol=1e-9)
+    np.testing.assert_allclose(out.posterior, posterior, rtol=1e-9)
+    own = out.set_index("doc_id")
+    p = 1 - (1 - own.p_low) * (1 - own.p_toxic)
+    undecided = [(h, i) for h, some in unsure.items() for i in some if 0.3 <= p[i] <= 0.7]
+    assert len(undecided) >= 30
+    assert all(own.kept[i] == (h % 2 == 1) for h, i in undecided)  # the site decides where the text does not
+    assert any(own.kept[i] != (p[i] < QualityModel().reject) for _, i in undecided)
+    assert abs(own.site_rate[sparse] - host_rate["h0"]) < 0.02  # a sparse path moves to its host
+    assert own.site_rate[large].max() < 0.15 < host_rate["h0"]  # a large one does not
+    assert own.kept[large].mean() > 0.98
+
+
+def test_repeated_labelled_ids_are_learned_alike(docs_of, spark):
+    rows, labels = corpus(random.Random(5), 120)
+    rows += [(i, "other text altogether", "en", "host0/sec") for i in range(0, 120, 3)]
+    known = spark.createDataFrame(labels, LABELS)
+    one = judge_quality(docs_of(rows), known).groupBy("doc_id").agg(F.sum("p_low").alias("p")).collect()
+    two = judge_quality(docs_of(rows[::-1]).repartition(7), known).groupBy("doc_id").agg(F.sum("p_low").alias("p")).collect()
+    assert {r.doc_id: pytest.approx(r.p) for r in one} == {r.doc_id: r.p for r in two}
