@@ -1,13 +1,22 @@
 """Main text of HTML pages by a maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score the log-odds of lying in
-the article given their element and container; tags score below zero. The
-weights are learned from labelled pages: a bounded, hash-ordered sample of the
-pages that mark their article (``article``, ``main`` or
-``itemprop=articleBody``), counted by a grouped aggregation. One linear scan
-finds the contiguous region with the largest sum; it is widened to whole
-blocks, and blocks of menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments inside it are left out.
+the article given their element, their container, the length and the share of
+links of their block, and whether a class name speaks against them; tags score
+below zero. The weights are learned from labelled pages: a bounded, hash-ordered
+sample of the pages that mark their article (``article``, ``main`` or
+``itemprop=articleBody``), counted by a grouped aggregation. The marks are the
+label and no feature. One linear scan finds the contiguous region with the
+largest sum; it is widened to whole blocks, and blocks of menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments inside it are
+left out.
+
+What elements and roles say (``nav``, ``form``, ``role=banner``, ...) holds. A
+class name alone deletes nothing: an element it speaks against is left out
+where the page marks its article elsewhere, where the element's words score
+below zero, or where it holds at most half of the page's words (nine tenths for
+reader comments, which often are longer than the article). Outside a marked
+article, neighbouring blocks of nothing but links, three or more, are a menu.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one newline; a line
@@ -45,6 +54,7 @@ RAW = frozenset("script style title noscript template iframe textarea xmp noembe
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("div section article main nav aside header footer form details fieldset center".split())
 LEFT_OUT = frozenset("nav footer aside form button select menu dialog object audio video canvas head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar "
@@ -52,16 +62,20 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset("nav navbar navigation menu menubar footer sidebar aside ad ads advert adverts advertisement "
                   "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal "
                   "overlay newsletter subscribe signup social share sharing related recommended breadcrumb breadcrumbs "
-                  "pagination pager widget toolbar login searchform masthead skip".split())
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+                  "pagination pager widget toolbar login searchform masthead skip adsbygoogle".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion feedback".split())
 
 
 @dataclass(frozen=True)
 class RegionModel:
     max_pages: int = 2_000  # bound of the labelled sample
-    max_features: int = 5_000
     word_prior: float = 0.5
     limit: float = 4.0  # largest weight of a feature
+    block_limit: float = 1.0  # of a block's length and links
+    marked_share: float = 0.5  # an element with a mark is kept when it holds more of the page's words
+    comment_share: float = 0.9
+    menu_share: float = 0.8  # linked words of a menu's block
+    menu_links: int = 3
     left_out: float = -0.2  # a word that is left out anyway
     left_out_total: float = -6.0  # at most per element
 
@@ -73,27 +87,37 @@ def is_marked(name: str) -> bool:
 
 
 class Element:
-    __slots__ = ("name", "container", "out", "by_class", "inside", "spent")
+    """An element with what it inherits: ``out`` (left out whatever it holds), ``inside`` a marked article, ``link``,
+    and ``mark``, the nearest element, itself included, that a class name speaks against."""
+
+    __slots__ = ("name", "block", "container", "out", "by_class", "comment", "inside", "link", "spent", "mark", "up", "level", "words", "score")
 
     def __init__(self, name: str, attrs: str, parent: Element | None):
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
-        tokens = re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")
-        marked = bool(COMMENTS.intersection(tokens))
-        self.name, self.by_class = name, False
+        names = f"{found.get('class', '')} {found.get('id', '')}"
+        tokens = re.split(r"[^a-z0-9]+", names)
+        self.name = name
+        self.block = parent.block if parent and name in INLINE else name
+        self.comment = name not in ("html", "body") and bool(COMMENTS.intersection(tokens))
         self.inside = parent is not None and parent.inside
-        out = (name in LEFT_OUT or found.get("role") in ROLES or marked or "hidden" in found
+        self.link = name == "a" or parent is not None and parent.link
+        out = (name in LEFT_OUT or found.get("role") in ROLES or "hidden" in found
                or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
                or name == "header" and not self.inside)
-        if not out and name not in ("html", "body", *ARTICLE):
-            names = f"{found.get('class', '')} {found.get('id', '')}".split()
-            self.by_class = out = any(is_marked(n) for n in names) or "header" in tokens and not self.inside
-        if (name in ARTICLE or found.get("itemprop") == "articlebody") and not marked:
+        self.by_class = self.comment
+        if name not in ("html", "body", *ARTICLE):
+            self.by_class |= any(is_marked(n) for n in names.split()) or "header" in tokens and not self.inside
+        if (name in ARTICLE or found.get("itemprop") == "articlebody") and not self.comment:
             self.inside = True
         self.out = out or parent is not None and parent.out
         first = next((t for t in found.get("class", "").split() if t), "")
-        kept = name in SECTIONS and (first or name != "div")
+        kept = name in SECTIONS and name not in ARTICLE and (first or name != "div")
         self.container = f"{name}.{first}".rstrip(".") if kept else parent.container if parent else ""
-        self.spent = 0.0
+        self.spent = self.score = 0.0
+        self.words = 0
+        self.up = parent.mark if parent else None
+        self.level = self.up.level + 1 if self.up else 0
+        self.mark = self if self.by_class else self.up
 
 
 def read(html: str) -> Iterator[tuple]:
@@ -137,42 +161,56 @@ def read(html: str) -> Iterator[tuple]:
         if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1].name == name:
             stack.pop()
         element = Element(name, m["attrs"], stack[-1])
-        if element.inside and not stack[-1].inside and not any(e.out and not e.by_class for e in stack):
+        if element.inside and not stack[-1].inside:
             for e in stack:  # a wrapper around the article is no sidebar, whatever its class says
-                e.out = e.by_class = False
-            element.out = False
+                e.by_class = False
         stack.append(element)
 
 
-def word_features(element: Element, block: str) -> tuple[str, ...]:
-    features = ("w:" + block, "c:" + element.container)
-    return (*features, "m:article") if element.inside else features  # marked by the page itself
-
-
 class Page:
-    """Blocks of a page: texts with their features, and the sequence of scored tokens."""
+    """Blocks of a page: texts with their elements, and the sequence of tokens."""
 
     def __init__(self, html: str):
-        self.blocks: list[list[str]] = [[]]
-        self.tokens: list[tuple] = []  # (feature, ) of a tag, (features, words, element, block) of a run of words
-        inner = "body"
+        self.blocks: list[list[tuple[str, Element]]] = [[]]
+        self.tokens: list[tuple] = []  # (feature, ) of a tag, (inner element, words, element, block) of a run of words
+        self.words, self.linked, self.links = [0], [0], [0]  # per block
+        self.marked = False  # the page marks an article that has words
+        self.marks: dict[Element, None] = {}  # elements that a class name speaks against, in page order
         for kind, *rest in read(html):
             if kind == "tag":
                 self.tokens.append(("t:" + rest[0],))
             elif kind == "break":
                 if self.blocks[-1]:
                     self.blocks.append([])
+                    for counts in (self.words, self.linked, self.links):
+                        counts.append(0)
             else:
                 text, element = rest
                 if not element.out:
                     text = unescape(text) if "&" in text else text
+                    self.blocks[-1].append((text, element))
+                elif not self.blocks[-1]:
+                    self.blocks[-1].append(("", element))  # a block of its own, for its length and links
                 words = len(text.split())
-                if not element.out:
-                    self.blocks[-1].append(text)
-                if element.name == "a" or element.name not in INLINE:
-                    inner = element.name
+                inner = "a" if element.link and element.block not in HEADINGS else element.block
                 if words:
-                    self.tokens.append((word_features(element, inner), words, element, len(self.blocks) - 1))
+                    self.tokens.append((inner, words, element, len(self.blocks) - 1))
+                    self.words[-1] += words
+                    self.linked[-1] += words * element.link
+                    self.links[-1] += element.link
+                    self.marked |= element.inside and not element.out
+                    mark = element.mark
+                    while mark is not None and mark not in self.marks:
+                        self.marks[mark] = None
+                        mark = mark.up
+
+    def features(self, inner: str, element: Element, block: int) -> tuple[str, ...]:
+        long, links = min(self.words[block].bit_length(), 7), -(-3 * self.linked[block] // self.words[block])
+        common = ("w:" + inner, "c:" + element.container, f"n:{long}", f"l:{links}")
+        mark = element.mark
+        while mark is not None and not mark.by_class:
+            mark = mark.up
+        return common if mark is None else (*common, "k:mark")
 
     def counts(self) -> tuple[Counter, Counter]:
         """Features of words and tags inside and outside the marked article."""
@@ -181,35 +219,81 @@ class Page:
             if len(token) == 1:
                 (inside if now else outside)[token[0]] += 1
             else:
-                features, words, element, _ = token
-                now = element.inside and not element.out
-                for f in features:
+                inner, words, element, block = token
+                features = self.features(inner, element, block)
+                marked = "k:mark" in features
+                now = element.inside and not element.out and not marked
+                for f in features[1:] if marked else features:  # the mark explains it, whatever the element's name
                     (inside if now else outside)[f] += words
         return inside, outside
 
+    def left_out(self, scores: list[float], model: RegionModel) -> set[Element]:
+        """The elements that a class name speaks against and that other evidence does not keep."""
+        total = 0
+        for token, score in zip(self.tokens, scores, strict=True):
+            if len(token) > 1 and not token[2].out:
+                total += token[1]
+                if token[2].mark is not None:
+                    token[2].mark.words += token[1]
+                    token[2].mark.score += score
+        inner_first = sorted(self.marks, key=lambda e: -e.level)
+        for mark in inner_first:
+            if mark.up is not None:
+                mark.up.words += mark.words
+                mark.up.score += mark.score
+        out = set()
+        for mark in reversed(inner_first):
+            share = model.comment_share if mark.comment else model.marked_share
+            kept = not self.marked and mark.score > 0 and mark.words > share * total
+            if mark.by_class and not kept or mark.up in out:
+                out.add(mark)
+        return out
+
+    def menus(self, out: set[Element], model: RegionModel) -> set[int]:
+        """Blocks of runs of nothing but links outside a marked article."""
+        found, run, links = set(), [], 0
+        for b in range(len(self.blocks) + 1):
+            own = [e for t, e in self.blocks[b] if t and not e.out and e.mark not in out] if b < len(self.blocks) else []
+            if b < len(self.blocks) and not self.words[b]:
+                continue
+            if own and self.linked[b] >= model.menu_share * self.words[b] and not any(e.inside for e in own):
+                run.append(b)
+                links += self.links[b]
+                continue
+            if links >= model.menu_links:
+                found.update(run)
+            run, links = [], 0
+        return found
+
     def text(self, weights: dict[str, float], model: RegionModel) -> str:
         """Text of the best region."""
+        scores = [weights.get(t[0], -0.1) if len(t) == 1 else
+                  t[1] * (model.word_prior + sum(weights.get(f, 0.0) for f in self.features(t[0], t[2], t[3])))
+                  for t in self.tokens]
+        out = self.left_out(scores, model)
         best, best_span, total, begin = 0.0, None, 0.0, None
-        for token in self.tokens:
+        for token, score in zip(self.tokens, scores, strict=True):
             if len(token) == 1:
-                total += weights.get(token[0], -0.1)
+                total += score
             else:
-                features, words, element, block = token
-                if element.out:
+                _, words, element, block = token
+                if element.out or element.mark in out:
                     cost = max(model.left_out * words, model.left_out_total - element.spent)
                     element.spent += cost
                     total += min(cost, 0.0)
                 else:
                     if total <= 0 or begin is None:
                         total, begin = 0.0, block
-                    total += words * (model.word_prior + sum(weights.get(f, 0.0) for f in features))
+                    total += score
                     if total > best:
                         best, best_span = total, (begin, block)
             if total <= 0:
                 total, begin = 0.0, None
         if best_span is None:  # no element that the labelled pages speak for: all blocks that are not left out
             best_span = (0, len(self.blocks) - 1)
-        lines = (" ".join("".join(b).split()) for b in self.blocks[best_span[0]:best_span[1] + 1])
+        menus = self.menus(out, model)
+        chosen = (self.blocks[b] for b in range(best_span[0], best_span[1] + 1) if b not in menus)
+        lines = (" ".join("".join(t for t, e in b if e.mark not in out).split()) for b in chosen)
         return "\n".join(line for line in lines if line)
 
 
@@ -234,15 +318,15 @@ def learn_weights(pages: DataFrame, model: RegionModel) -> dict[str, float]:
 
     counts = map_batches(sample, run, "feature string, inside long, outside long").groupBy("feature").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(model.max_features).collect()
+    rows = counts.orderBy("feature").collect()  # of at most max_pages pages
     weights = {}
-    for kind in "wcmt":
+    for kind in "wcnlkt":
         own = [r for r in rows if r.feature.startswith(kind + ":")]
         a, b = sum(r.inside for r in own) + 1, sum(r.outside for r in own) + 1
         for r in own:
             odds = math.log((r.inside + 0.5) / (a + 1)) - math.log((r.outside + 0.5) / (b + 1))
-            odds = model.limit if kind == "m" else odds
-            odds = max(-model.limit, min(model.limit, odds))
+            limit = model.block_limit if kind in "nl" else model.limit
+            odds = max(-limit, min(limit, odds))
             weights[r.feature] = odds if kind != "t" else min(-0.05, odds / model.limit - 0.1)
     return weights
 

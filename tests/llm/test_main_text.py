@@ -50,3 +50,50 @@ def test_odd_pages(spark):
         if want[r.page_id] is not None:
             assert r.text == want[r.page_id], r.page_id
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def unmarked(html):
+    return re.sub(r"<(/?)article>", r"<\1div>", html)
+
+
+def test_marks_are_no_feature(spark):
+    """The scan alone finds the article: the same pages without their marks give the same text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    weights = learn_weights(pages.selectExpr("page_id AS id", "html"), RegionModel())
+    assert not any("article" in f for f in weights if not f.startswith("t:"))
+    weights = {f: w for f, w in weights.items() if f != "t:article"}
+    wrong = [i for i, h in html.items() if Page(unmarked(h)).text(weights, RegionModel()) != truth(h)]
+    assert len(wrong) <= 0.02 * len(html), len(wrong)
+
+
+PARAGRAPHS = "".join(f"<p>Sentence number {i} of an article that has a few words to say.</p>" for i in range(6))
+ARTICLE = "\n".join(f"Sentence number {i} of an article that has a few words to say." for i in range(6))
+LINKS = "".join(f'<a href="/{i}">Other story {i}</a> ' for i in range(5))
+
+
+def page_of(body):
+    return f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>&copy; foot</footer></body></html>"
+
+
+def test_class_words_do_not_decide_alone(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights, model = learn_weights(pages.selectExpr("page_id AS id", "html"), RegionModel()), RegionModel()
+
+    def text(body):
+        return Page(page_of(body)).text(weights, model)
+
+    assert text(f"<div class='promo-story'>{PARAGRAPHS}</div>") == ARTICLE
+    assert text(f"<div class='comment-open'>{PARAGRAPHS}</div>") == ARTICLE
+    assert text(f"<div>{PARAGRAPHS}</div><div class=links>{LINKS}</div>") == ARTICLE
+    assert text(f"<div class=links><ul>{LINKS.replace('<a', '<li><a')}</ul></div><div>{PARAGRAPHS}</div>") == ARTICLE
+    assert text(f"<h1><a href=/s>The story</a></h1><div>{PARAGRAPHS}</div>") == "The story\n" + ARTICLE
+    for name in ("user_feedback", "comments"):  # also where readers write more than the author
+        assert text(f"<div>{PARAGRAPHS}</div><div class='{name}'>{PARAGRAPHS * 3}</div>") == ARTICLE
+        assert text(f"<article>{PARAGRAPHS}</article><div class='{name}'>{PARAGRAPHS * 30}</div>") == ARTICLE
+    half = PARAGRAPHS.index("<p>Sentence number 3")
+    for cut in ("<ins class='adsbygoogle'>Buy this now</ins>", "<div class=sidebar><p>On the side of it</p></div>"):
+        for opened, closed in (("<article>", "</article>"), ("<div>", "</div>")):
+            assert text(opened + PARAGRAPHS[:half] + cut + PARAGRAPHS[half:] + closed) == ARTICLE
+    nested = f"<div class='promo-story'>{PARAGRAPHS}<div class='sidebar'><p>On the side</p></div></div>"
+    assert text(nested) == ARTICLE
