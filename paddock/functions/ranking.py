@@ -41,12 +41,18 @@ _NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 @dataclass(frozen=True)
 class Rank:
     """``out`` = rank within ``group`` by ``order``, [(column, ascending)]; with ``total`` = (value, name) also
-    ``name`` = sum of ``value`` over the rows of the group up to and including this order key."""
+    ``name`` = sum of ``value`` over the rows of the group up to and including this order key. ``totals``: more such
+    sums in the same window."""
 
     group: list[str]
     order: list[tuple[str, bool]]
     out: str
     total: tuple[str, str] | None = None
+    totals: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def sums(self) -> list[tuple[str, str]]:
+        return [*([self.total] if self.total else []), *self.totals]
 
 
 def _sorted(c: str, asc: bool):
@@ -76,7 +82,10 @@ def _hashes(group: tuple[str, ...], number: int, suffix: str = "") -> list[Colum
 
 
 def _bounds_below(bounds: str, key: Column) -> Column:
-    return F.when(F.col(bounds).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < key)))
+    """The number of sorted bounds below the key, of the first 2,047: found by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(11))])
+    return F.when(F.col(bounds).isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        F.get(bounds, n + step - 1) < key, n + step).otherwise(n)))
 
 
 def _window(rank: Rank, bucket: list[str]):
@@ -86,9 +95,9 @@ def _window(rank: Rank, bucket: list[str]):
 def _add(df: DataFrame, rank: Rank, bucket: list[str]) -> DataFrame:
     w = _window(rank, bucket)
     df = df.withColumn(rank.out, F.rank().over(w).cast("bigint"))
-    if rank.total:
-        df = df.withColumn(rank.total[1], F.coalesce(F.sum(rank.total[0]).over(
-            w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    if rank.sums:
+        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        df = df.withColumns({name: F.coalesce(F.sum(value).over(upto), F.lit(0)) for value, name in rank.sums})
     return df
 
 
@@ -134,7 +143,7 @@ def distributed_ranks(df: DataFrame, ranks: list[Rank], split_rows: int = SPLIT_
             _bounds_below(f"_rank_b{n}", k).alias(f"_rank_k{n}") for n, k in mine]).drop(*[f"_rank_b{n}" for n, _ in mine])
 
     # rows and sums of the earlier buckets of every split group, in one table
-    totals = [(n, r.total[0]) for n, r, _, _ in split if r.total]
+    totals = [(f"{n}_{j}", value) for n, r, _, _ in split for j, (value, _) in enumerate(r.sums)]
     cells = F.explode(F.filter(F.array(*[F.struct(
         F.lit(n).alias("_rank_no"), F.col(f"_rank_h{i}").alias("_rank_h"), F.col(f"_rank_i{i}").alias("_rank_i"),
         F.col(f"_rank_k{n}").alias("_rank_k"), F.col(f"_rank_s{i}").alias("s")) for n, _, _, i in split]),
@@ -149,18 +158,18 @@ def distributed_ranks(df: DataFrame, ranks: list[Rank], split_rows: int = SPLIT_
 
     for n, r, _, i in split:
         here = [f"_rank_h{i}", f"_rank_i{i}", f"_rank_k{n}"]
-        sums = [f"_rank_t{n}"] if r.total else []
+        sums = [f"_rank_t{n}_{j}" for j in range(len(r.sums))]
         mine = offsets.filter(F.col("_rank_no") == n).select(
             *[F.col(a).alias(b) for a, b in zip([*names, "_rank_k"], here, strict=True)], "_rank_off", *sums)
         bucketed = _add(bucketed, r, [f"_rank_k{n}"]).join(mine, here, "left")
         bucketed = bucketed.withColumn(r.out, F.col(r.out) + F.coalesce("_rank_off", F.lit(0)))
-        if r.total:
-            bucketed = bucketed.withColumn(r.total[1], F.col(r.total[1]) + F.coalesce(*sums, F.lit(0)))
+        bucketed = bucketed.withColumns({name: F.col(name) + F.coalesce(s, F.lit(0))
+                                         for (_, name), s in zip(r.sums, sums, strict=True)})
         bucketed = bucketed.drop("_rank_off", *sums)
     for r, k in zip(ranks, keys, strict=True):
         if k is None:
             bucketed = _add(bucketed, r, [])
-    added = [c for r in ranks for c in (r.out, *([r.total[1]] if r.total else []))]
+    added = [c for r in ranks for c in (r.out, *[name for _, name in r.sums])]
     return bucketed.select(*[c for c in df.columns if c not in added], *added)
 
 

@@ -13,10 +13,13 @@ Team-mate values come from partially aggregated first/second values per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import non_starter
+from ..session import materialize
 from ..spec import PanelSpec, Params
 
 DEFAULT_SPEC = PanelSpec()
@@ -65,7 +68,10 @@ def peer_first_values(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT_
     second non-null (order key, value) are found with two partially
     aggregated ``min`` passes; a row takes the second when it is itself the
     first. Nothing is ever grouped by raw rows, so a huge team-in-event
-    splits across tasks. ``window``: the same through two ordered frames
+    splits across tasks. Only rows up to the second lowest outcome can be
+    first or second: two hashed ``min`` of the outcome alone, which sort
+    nothing, name these rows before whole keys are compared. The values found
+    are written, one row a team-in-event. ``window``: the same through two ordered frames
     (preceding, then following members) over (event, team).
     """
     key = [spec.event, spec.team]
@@ -87,18 +93,28 @@ def peer_first_values(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT_
             o.isNull().alias("o_null"), o.alias("o"), e.isNull().alias("e_null"), e.alias("e"),
             F.col(c).alias("v")))
 
-    first = df.groupBy(*key).agg(*[F.min(ord_struct(c)).alias(f"_p1_{i}") for i, c in enumerate(cols)])
-    tagged = df.select(*key, *[ord_struct(c).alias(f"_s_{i}") for i, c in enumerate(cols)]) \
-        .join(first, key, "inner")
-    second = tagged.groupBy(*key).agg(*[
-        F.min(F.when(F.col(f"_s_{i}") != F.col(f"_p1_{i}"), F.col(f"_s_{i}"))).alias(f"_p2_{i}")
-        for i in range(len(cols))])
-    out = df.join(first, key, "left").join(second, key, "left")
+    o, n = F.col(spec.outcome), range(len(cols))
+    rows = df.select(*dict.fromkeys([*key, spec.outcome, spec.entity, *cols]))
+    lowest = materialize(rows.groupBy(*key).agg(*[
+        F.min(F.when(F.col(c).isNotNull(), o)).alias(f"_m1_{i}") for i, c in enumerate(cols)]), "lowest-outcomes")
+    next_lowest = materialize(rows.join(lowest, key).groupBy(*key).agg(*[
+        F.min(F.when(F.col(c).isNotNull() & (o > F.col(f"_m1_{i}")), o)).alias(f"_m2_{i}") for i, c in enumerate(cols)]),
+        "next-outcomes")
+    # without a second outcome all rows tie or have none
+    near = [F.when(F.col(f"_m2_{i}").isNull() | (o <= F.col(f"_m2_{i}")), ord_struct(c)) for i, c in enumerate(cols)]
+    tagged = rows.join(next_lowest, key).select(*key, *[s.alias(f"_s_{i}") for i, s in enumerate(near)]).filter(
+        reduce(Column.__or__, [F.col(f"_s_{i}").isNotNull() for i in n]))
+    first = tagged.groupBy(*key).agg(*[F.min(f"_s_{i}").alias(f"_p1_{i}") for i in n])
+    second = tagged.join(first, key).groupBy(*key).agg(*[
+        F.min(F.when(F.col(f"_s_{i}") != F.col(f"_p1_{i}"), F.col(f"_s_{i}"))).alias(f"_p2_{i}") for i in n])
+    peers = materialize(first.join(second, key).select(*key, *[f"_p1_{i}" for i in n], *[
+        F.col(f"_p2_{i}")["v"].alias(f"_p2_{i}") for i in n]), "peer-values")
+    out = df.join(peers, key, "left")
     for i, c in enumerate(cols):
         own = ord_struct(c)
         p1, p2 = F.col(f"_p1_{i}"), F.col(f"_p2_{i}")
         is_self = own.isNotNull() & p1.eqNullSafe(own)
-        out = out.withColumn(c + suffix, F.when(is_self, p2["v"]).otherwise(p1["v"]))
+        out = out.withColumn(c + suffix, F.when(is_self, p2).otherwise(p1["v"]))
     return out.drop(*[f"_p{k}_{i}" for k in (1, 2) for i in range(len(cols))])
 
 
@@ -111,7 +127,7 @@ def pace_features(df: DataFrame, params: Params = Params(),
     from; pass the short-lineage entries table when ``df`` is a long chain.
     """
     t = spec.trial_time
-    ext = event_extremes(source if source is not None else df, spec)
+    ext = materialize(event_extremes(source if source is not None else df, spec), "event-extremes")
     df = df.join(ext, spec.event, "left").withColumn("pace_delta_pct", _pct_delta(F.col(t), F.col("_pole")))
     # slowest pace of the event before filling; (x - p) / p * 100 is monotone
     # in x for a positive pole, so it is the pace of the slowest time.

@@ -41,7 +41,13 @@ def _block_size(beta: float) -> int:
 
 def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
                alpha: float, out: str, skew_safe: bool = False, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Exponentially weighted mean of the *earlier* rows of each partition.
+    """Exponentially weighted mean of the *earlier* rows of each partition; see ``ewma_priors``."""
+    return ewma_priors(df, {value: out}, partition, order, alpha, skew_safe, split_rows)
+
+
+def ewma_priors(df: DataFrame, values: dict[str, str], partition: list[str], order: list, alpha: float,
+                skew_safe: bool = False, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Exponentially weighted means of the *earlier* rows of each partition, {value column: output}, in two sorts.
 
     ``order`` must make rows unique within a partition. Null when no earlier
     non-null value exists. With ``skew_safe`` a grouped count runs when the plan
@@ -55,33 +61,39 @@ def ewma_prior(df: DataFrame, value: str, partition: list[str], order: list,
         (L_r + beta^B * T_{b-1}) / (LW_r + beta^B * TW_{b-1})
 
     with L/LW running sums of beta^-offset * x (resp. beta^-offset) inside
-    the block and T/TW the totals of the previous block (a range frame over
-    the block number). Older blocks weigh below beta^B, about 1e-100, relative to
+    the block and T/TW the totals of the previous block, which are L/LW at its
+    last row. Older blocks weigh below beta^B, about 1e-100, relative to
     x_r, so the value is exact in double precision; each step is O(1) per
-    row. The anchored value is carried forward to later rows.
+    row. The anchored value is carried forward to later rows. After the
+    numbering every window is ordered by (block, number), so one sort serves
+    all of them and all values.
     """
     if skew_safe and not df.groupBy(*partition).count().filter(F.col("count") > split_rows).isEmpty():
-        return _ewma_by_blocks(df, value, partition, order, alpha, out, split_rows)
+        for value, out in values.items():
+            df = _ewma_by_blocks(df, value, partition, order, alpha, out, split_rows)
+        return df
     beta = 1.0 - alpha
     bsz = _block_size(beta)
-    w = Window.partitionBy(*partition).orderBy(*order)
-    x = F.col(value).cast("double")
     idx, blk, off = "_ew_i", "_ew_b", "_ew_o"
-    df = df.withColumn(idx, F.row_number().over(w) - 1) \
+    df = df.withColumn(idx, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) \
            .withColumn(blk, F.floor(F.col(idx) / F.lit(bsz))) \
            .withColumn(off, F.col(idx) - F.col(blk) * F.lit(bsz))
-    wt = F.when(x.isNotNull(), F.pow(F.lit(beta), -F.col(off).cast("double"))).otherwise(F.lit(0.0))
-    df = df.withColumn("_ew_w", wt).withColumn("_ew_xw", F.coalesce(x * F.col("_ew_w"), F.lit(0.0)))
     in_block = Window.partitionBy(*partition, blk).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
+    earlier = Window.partitionBy(*partition).orderBy(blk, idx).rowsBetween(Window.unboundedPreceding, -1)
+    xs = {out: F.col(value).cast("double") for value, out in values.items()}
+    weight = F.pow(F.lit(beta), -F.col(off).cast("double"))
+    sums = {}
+    for i, x in enumerate(xs.values()):
+        w = F.when(x.isNotNull(), weight).otherwise(F.lit(0.0))
+        sums |= {f"_ew_w{i}": F.sum(w).over(in_block), f"_ew_xw{i}": F.sum(F.coalesce(x * w, F.lit(0.0))).over(in_block)}
+    df = df.withColumns(sums)
     carry = F.lit(beta ** bsz) if bsz < (1 << 40) else F.lit(0.0)
-    num = F.sum("_ew_xw").over(in_block) + carry * F.coalesce(F.sum("_ew_xw").over(prev_block), F.lit(0.0))
-    den = F.sum("_ew_w").over(in_block) + carry * F.coalesce(F.sum("_ew_w").over(prev_block), F.lit(0.0))
-    anchored = "_ew_anchor"
-    df = df.withColumn(anchored, F.when(x.isNotNull(), num / den))
-    df = df.withColumn(out, F.last(anchored, ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, -1)))
-    return df.drop(idx, blk, off, "_ew_w", "_ew_xw", anchored)
+    df = df.withColumns({f"{c}_t": F.coalesce(F.last(F.when(F.col(off) == F.lit(bsz - 1), F.col(c)), ignorenulls=True)
+                                              .over(earlier), F.lit(0.0)) for c in sums})
+    num, den = ([F.col(f"_ew_{c}{i}") + carry * F.col(f"_ew_{c}{i}_t") for i in range(len(xs))] for c in ("xw", "w"))
+    df = df.withColumns({f"_ew_a{i}": F.when(x.isNotNull(), num[i] / den[i]) for i, x in enumerate(xs.values())})
+    df = df.withColumns({out: F.last(f"_ew_a{i}", ignorenulls=True).over(earlier) for i, out in enumerate(xs)})
+    return df.drop(idx, blk, off, *sums, *[f"{c}_t" for c in sums], *[f"_ew_a{i}" for i in range(len(xs))])
 
 
 _SPLIT_BLOCK = 4_096
@@ -172,7 +184,8 @@ def _lagged_running_sum(df: DataFrame, value: str, partition: list[str], order:
 
 def driver_points_lag(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Entity's points before this event within the period."""
-    return _lagged_running_sum(df, "total_weekend_pts", [spec.period, spec.entity],
+    # the entity first: rows sorted for the other windows of an entity's history need no other sort
+    return _lagged_running_sum(df, "total_weekend_pts", [spec.entity, spec.period],
                                [spec.seq], "driver_pts_lag")
 
 
@@ -180,7 +193,8 @@ def team_points_lag(df: DataFrame, totals: DataFrame, spec: PanelSpec = DEFAULT_
     """Team's points before this event within the period (A1 + W5)."""
     lagged = _lagged_running_sum(totals, "team_total", [spec.period, spec.team], [spec.seq],
                                  "team_pts_lag").drop("team_total")
-    return df.join(lagged, [spec.period, spec.seq, spec.team], "left")
+    # written, so that its size is known and a small one is not met by a shuffle of all entries
+    return df.join(materialize(lagged, "team-lags"), [spec.period, spec.seq, spec.team], "left")
 
 
 def period_first_seq(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
@@ -237,16 +251,18 @@ def global_median(df: DataFrame, col: str, params: Params, spec: PanelSpec = DEF
     return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("_median"))
 
 
-def raw_form(df: DataFrame, totals: DataFrame, params: Params = Params(),
-             spec: PanelSpec = DEFAULT_SPEC, skew_safe: bool = False) -> tuple[DataFrame, DataFrame]:
+def raw_form(df: DataFrame, totals: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
+             skew_safe: bool = False, more: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Parameter-free part of the decayed form: raw EWMAs.
 
     Returns (rows with ``_drv_ewma_raw``, team table with ``_con_ewma_raw``).
+    ``more``: other values of the entity's history to average in the same sorts, {column: output}.
     """
     order = [spec.period, spec.seq]
-    rows = ewma_prior(df, spec.outcome, [spec.entity], order, params.ewma_alpha, "_drv_ewma_raw", skew_safe)
+    rows = ewma_priors(df, {spec.outcome: "_drv_ewma_raw", **(more or {})}, [spec.entity], order, params.ewma_alpha,
+                       skew_safe)
     teams = ewma_prior(totals, "team_total", [spec.team], order, params.ewma_alpha, "_con_ewma_raw", skew_safe)
-    return rows, teams.select(spec.period, spec.seq, spec.team, "_con_ewma_raw")
+    return rows, materialize(teams.select(spec.period, spec.seq, spec.team, "_con_ewma_raw"), "team-form")
 
 
 def decay_factors(period: Column, seq: Column, first_seq: Column, params_cols: dict,
@@ -274,16 +290,16 @@ def apply_factors(x: Column, factors: list[Column]) -> Column:
     return x
 
 
-def decayed_form(df: DataFrame, totals: DataFrame, params: Params = Params(),
-                 spec: PanelSpec = DEFAULT_SPEC, source: DataFrame | None = None) -> DataFrame:
+def decayed_form(df: DataFrame, totals: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
+                 source: DataFrame | None = None, more: dict[str, str] | None = None) -> DataFrame:
     """Entity and team form with period-reset decay (W16 = W6+W7+W12+W13).
 
     ``source`` (default ``df``) feeds the global median and the first seq of
-    each period."""
+    each period. ``more``: see ``raw_form``."""
     src = source if source is not None else df
-    rows, teams = raw_form(df, totals, params, spec)
+    rows, teams = raw_form(df, totals, params, spec, more=more)
     med = global_median(src, spec.outcome, params, spec).scalar()
-    firsts = period_first_seq(src, spec)
+    firsts = materialize(period_first_seq(src, spec), "first-seqs")
     rows = rows.join(teams, [spec.period, spec.seq, spec.team], "left") \
                .join(firsts, spec.period, "left").withColumn("_median", med)
     lits = {
@@ -305,7 +321,11 @@ def decayed_form(df: DataFrame, totals: DataFrame, params: Params = Params(),
 def h2h_form(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
              skew_safe: bool = False) -> DataFrame:
     """EWMA of earlier head-to-head outcomes per entity, fill 0.5."""
-    df = ewma_prior(df, "h2h_win", [spec.entity], [spec.period, spec.seq], params.ewma_alpha,
-                    "teammate_h2h_form", skew_safe)
+    return h2h_fill(ewma_prior(df, "h2h_win", [spec.entity], [spec.period, spec.seq], params.ewma_alpha,
+                               "teammate_h2h_form", skew_safe), params)
+
+
+def h2h_fill(df: DataFrame, params: Params = Params()) -> DataFrame:
+    """The fill of ``h2h_form``, for a table that has the raw mean as ``teammate_h2h_form``."""
     return df.withColumn("teammate_h2h_form",
                          F.coalesce(F.col("teammate_h2h_form"), F.lit(params.h2h_fill)))

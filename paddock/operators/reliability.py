@@ -101,9 +101,22 @@ def reliability_features(df: DataFrame, params: Params = Params(),
     ``df``) and joined back on (event, entity).
     """
     src = source if source is not None else df
+    return key_rates(entity_team_rate(entity_rate(df, params, spec), params, spec), src, params, spec)
+
+
+def entity_rate(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """W8 without its fill."""
+    return entity_prior_rate(df, [spec.entity], "is_dnf", "driver_dnf_rate_10", params, spec)
+
+
+def entity_team_rate(df: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """W10 without its fill."""
+    return entity_prior_rate(df, [spec.entity, spec.team], "is_dnf", "driver_team_dnf_rate_10", params, spec)
+
+
+def key_rates(df: DataFrame, src: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """W9 and W11 joined to rows that have W8 and W10, and the fills of all four."""
     fill = F.lit(params.dnf_rate_fill)
-    df = entity_prior_rate(df, [spec.entity], "is_dnf", "driver_dnf_rate_10", params, spec)
-    df = entity_prior_rate(df, [spec.entity, spec.team], "is_dnf", "driver_team_dnf_rate_10", params, spec)
     # team and supplier keys can be hot: pre-aggregated / prefix-sum path
     for keys, out in (([spec.team], "constructor_dnf_rate_10"), ([spec.supplier], "pu_dnf_rate_10")):
         df = df.join(rolling_prior_rate(src, keys, "is_dnf", out, params, spec),

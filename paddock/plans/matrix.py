@@ -106,29 +106,38 @@ def entries_table(results: DataFrame, qualifying: DataFrame, sprints: DataFrame,
 def feature_table(results: DataFrame, qualifying: DataFrame, sprints: DataFrame,
                   params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
                   materialize: bool = True) -> DataFrame:
-    """All intermediate and final feature columns (before projection).
+    """All intermediate and final feature columns (before projection)."""
+    return features_of(entries_table(results, qualifying, sprints, params, spec, materialize), params, spec)
+
+
+def features_of(base: DataFrame, params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """The feature columns of an entries table (``entries_table``).
 
     The venue tables branch off the entries table (few columns, short
-    lineage) and come back by a join on (venue, period). The row pipeline
-    alternates entity windows with joins of small per-event, per-team and
-    per-period tables.
+    lineage) and come back by a join on (venue, period). Per-event, per-team,
+    per-period and per-venue tables are written before they are joined: their
+    sizes are known, so small ones are broadcast and the rows are shuffled
+    twice only, by entity for the windows over histories (whose order shares
+    sorts) and by (event, entity) for the rates of teams and suppliers.
     """
-    base = entries_table(results, qualifying, sprints, params, spec, materialize)
+    from ..session import materialize as write_and_read
     # venue block: small tables keyed by (venue, period)
-    ret = vn.venue_retention(base, params, spec)
-    vrate = rl.venue_event_rate(base, params, spec)
+    ret = write_and_read(vn.venue_retention(base, params, spec), "venue-retention")
+    vrate = write_and_read(rl.venue_event_rate(base, params, spec), "venue-rates")
     # side tables from the entries table
-    totals = fm.team_event_totals(fm.weekend_reward(base, spec), spec)
+    totals = write_and_read(fm.team_event_totals(fm.weekend_reward(base, spec), spec), "team-totals")
     # event block
     df = ev.pace_features(base, params, spec, source=base)
-    # entity / team history
-    df = fm.h2h_form(df, params, spec)
+    # entity / team history; the first three windows need one sort
+    df = rl.entity_rate(df, params, spec)
     df = fm.weekend_reward(df, spec)
     df = fm.driver_points_lag(df, spec)
+    df = fm.decayed_form(df, totals, params, spec, source=base, more={"h2h_win": "teammate_h2h_form"})
+    df = fm.h2h_fill(df, params)
     df = fm.team_points_lag(df, totals, spec)
-    df = fm.decayed_form(df, totals, params, spec, source=base)
     # reliability
-    df = rl.reliability_features(df, params, spec, source=base)
+    df = rl.entity_team_rate(df, params, spec)
+    df = rl.key_rates(df, base, params, spec)
     df = df.join(ret, [spec.venue, spec.period], "left") \
         .withColumn("track_retention_idx", F.coalesce("track_retention_idx", F.lit(params.retention_fill))) \
         .withColumn("track_retention_confidence", F.coalesce("track_retention_confidence", F.lit(0.0)))
