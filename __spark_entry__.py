@@ -259,7 +259,8 @@ MODEL_SWEEP = {"off_season_decay": (0.5, 0.9), "regulation_reset_decay": (0.1, 0
 
 def q_sweep_models(spark, sf):
     """The sweep scored by a model: the grid, its folds, whose fit a combination shares, and whether errors are points."""
-    res = vd.sweep_models(_features(spark, sf), _entries(spark, sf), P, ranges=MODEL_SWEEP, skew_safe=SKEW_SAFE,
+    base = _entries(spark, sf)
+    res = vd.sweep_models(mx.features_of(base, P), base, P, ranges=MODEL_SWEEP, skew_safe=SKEW_SAFE,
                           ranker_kw=dict(trees=10, rate=0.2, depth=4))
     return res.select("combo_id", "off_season_decay", "regulation_reset_decay", "summer_break_round", "folds", "same_as",
                       F.col("mean_exp_pts_err").between(0.0, 25.0).alias("error_in_points"))
@@ -483,9 +484,8 @@ def q_params_artifact(spark, sf):
 
 
 def _split(spark, sf):
-    full = _features(spark, sf)
-    train, test = mt.chrono_split(full, P.test_period)
-    return materialize(train, "train"), materialize(test, "test")
+    """Both splits of one written feature table: it is computed once."""
+    return mt.chrono_split(materialize(_features(spark, sf), "features"), P.test_period)
 
 
 # The model queries return what is exact (rows, ranks, baselines) and gates
