@@ -16,9 +16,10 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,9 +102,40 @@ def fit_ranker(train: DataFrame, features: Sequence[str] = FEATURES, trees: int
 
 def pointwise_trees(data: DataFrame, trees: int, rate: float, depth: int, min_rows: int, params: Params, bins: int = 32):
     """GBT regression on a stored table of ``features`` and ``_label``."""
-    return GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
-                        maxDepth=depth, minInstancesPerNode=min_rows, seed=params.seed, maxBins=bins,
-                        checkpointInterval=10).fit(data)
+    return fit_varying(GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
+                                    maxDepth=depth, minInstancesPerNode=min_rows, seed=params.seed, maxBins=bins,
+                                    checkpointInterval=10), data)
+
+
+class SlicedModel:
+    """A model fitted on some slots of the feature vector; takes and reports the whole vector's."""
+
+    def __init__(self, model, slots: list[int], size: int):
+        self.model, self.slots, self.size = model, slots, size
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(slice_slots(df, self.slots)).drop("_slots")
+
+    @property
+    def featureImportances(self):
+        from pyspark.ml.linalg import Vectors
+        return Vectors.sparse(self.size, self.slots, self.model.featureImportances.toArray())
+
+
+def slice_slots(df: DataFrame, slots: list[int]) -> DataFrame:
+    return VectorSlicer(inputCol="features", outputCol="_slots", indices=slots).transform(df)
+
+
+def fit_varying(learner, data: DataFrame):
+    """``learner`` fitted on the slots that are not constant over ``data`` (one pass of minima and maxima tells): no
+    tree can split at the others, such as indicators of features that are never missing, so the trees are the same,
+    and each pass over the rows counts fewer of them."""
+    found = data.select(Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")).select("s.*").first()
+    slots = [i for i, (low, high) in enumerate(zip(found["min"], found["max"], strict=True)) if low != high]
+    if not slots or len(slots) == len(found["min"]):
+        return learner.fit(data)
+    model = learner.copy().setFeaturesCol("_slots").fit(slice_slots(data, slots))
+    return SlicedModel(model, slots, len(found["min"]))
 
 
 class ListwiseRanker:
@@ -194,8 +226,8 @@ def fit_classifier(train: DataFrame, features: Sequence[str] = FEATURES, trees:
                    categorical: Sequence[str] = ()):
     """P(classified) with gradient boosted trees (M2)."""
     data, bins = _training(train, features, categorical, F.col(label).cast("double"))
-    return GBTClassifier(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate, maxBins=bins,
-                         maxDepth=depth, seed=params.seed, checkpointInterval=10).fit(data)
+    return fit_varying(GBTClassifier(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate, maxBins=bins,
+                                     maxDepth=depth, seed=params.seed, checkpointInterval=10), data)
 
 
 def classify(model, df: DataFrame, features: Sequence[str] = FEATURES, params: Params = Params(),

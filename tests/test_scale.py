@@ -111,3 +111,19 @@ def test_model_sweep_derives_its_facts_once(spark, monkeypatch):
         "1L combo_id", "1D off_season_decay", "1D regulation_reset_decay", "1L summer_break_round", "1L folds", "1L same_as",
         "1D mean_exp_pts_err"))
     assert se.q_sweep_models(spark, SF).isEmpty() and seen and len(calls) == 1
+
+
+def test_constant_slots_do_not_change_the_trees(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    from paddock.plans import models as md
+    df = spark.range(400).selectExpr("id", "cast(hash(id) % 50 AS double) a", "IF(id % 9 = 0, null, cast(id % 17 AS double)) b",
+                                     "3.0D c", "cast(hash(id) % 50 + id % 17 AS double) _label")
+    data = md.assemble(df, ["a", "b", "c"], keep=["id", "_label"])
+    learner = GBTRegressor(featuresCol="features", labelCol="_label", maxIter=4, maxDepth=3, seed=1)
+    whole, sliced = learner.fit(data), md.fit_varying(learner, data)
+    assert sliced.slots == [0, 2, 3] and sliced.size == 6
+    assert sliced.featureImportances.toArray().tolist() == pytest.approx(whole.featureImportances.toArray().tolist())
+    rows = zip(*(m.transform(data).orderBy("id").select("prediction").collect() for m in (whole, sliced)), strict=True)
+    assert all(math.isclose(a[0], b[0], rel_tol=1e-12) for a, b in rows)
+    assert "_slots" not in sliced.transform(data).columns
