@@ -13,6 +13,7 @@ re-reads files.
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.ml.classification import GBTClassifier
@@ -121,6 +122,11 @@ class SlicedModel:
         from pyspark.ml.linalg import Vectors
         return Vectors.sparse(self.size, self.slots, self.model.featureImportances.toArray())
 
+    @property
+    def toDebugString(self) -> str:
+        """The trees, with the whole vector's slot numbers."""
+        return re.sub(r"\bfeature (\d+)", lambda m: f"feature {self.slots[int(m[1])]}", self.model.toDebugString)
+
 
 def slice_slots(df: DataFrame, slots: list[int]) -> DataFrame:
     return VectorSlicer(inputCol="features", outputCol="_slots", indices=slots).transform(df)

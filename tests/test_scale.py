@@ -127,3 +127,5 @@ def test_constant_slots_do_not_change_the_trees(spark):
     rows = zip(*(m.transform(data).orderBy("id").select("prediction").collect() for m in (whole, sliced)), strict=True)
     assert all(math.isclose(a[0], b[0], rel_tol=1e-12) for a, b in rows)
     assert "_slots" not in sliced.transform(data).columns
+    trees = [m.toDebugString.split("\n", 1)[1] for m in (whole, sliced)]
+    assert trees[0] == trees[1]
