@@ -48,7 +48,9 @@ from pyspark.sql import functions as F
 from paddock.llm.text import U64, gather, list_array, map_batches, pieces, span_hashes, utf8
 
 SPACE = "▁"
-_CELLS = 1 << 17  # word positions in one numpy block
+_CELLS = 1 << 15  # word positions in one numpy block
+_BLOCK_WORDS = 8192  # words in one numpy block
+_RUN_BYTES = 1 << 19  # bytes of the texts encoded at once
 _DECODED = 256  # texts decoded at once
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
@@ -165,11 +167,11 @@ class Segmented:
         size = np.fromiter(map(len, words), dtype=np.int64, count=n)
         order = np.argsort(size, kind="stable")
         parts, owners = [], []
-        at = 0
+        at, ranked = 0, size[order]
         while at < n:
-            stop = at + 1  # a block holds words of similar length
-            while stop < n and (stop - at + 1) * size[order[stop]] <= _CELLS and stop - at < 8192:
-                stop += 1
+            # a block holds words of similar length; its cells grow with every further word
+            more = ranked[at + 1:at + _BLOCK_WORDS]
+            stop = at + 1 + int(np.searchsorted(np.arange(2, len(more) + 2) * more, _CELLS, side="right"))
             block = order[at:stop]
             ids, owner = self._block([words[i] for i in block], size[block], block, known)
             parts.append(ids)
@@ -365,6 +367,15 @@ _ARROW = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int32()),
     "edits", pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
 
+def encode_run(part: pa.RecordBatch, model: PieceModel, id_col: str) -> pa.RecordBatch:
+    """The encoded rows of a run of (id, text); what was built for it is freed before the next run."""
+    e = Encoded(part.column("text"), model)
+    return pa.RecordBatch.from_arrays(
+        [part.column("id"), list_array(pa.array(e.ids), e.count), pa.array(e.count), pa.array(e.score),
+         pa.array(e.exact), pa.array(e.alternatives, _ARROW)],
+        [id_col, "ids", "n_tokens", "score", "exact", "alternatives"])
+
+
 def encode(docs: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """One row per document: id, ``ids``, ``n_tokens``, ``score``, ``exact`` (decoding gives the
@@ -372,12 +383,7 @@ def encode(docs: DataFrame, model: PieceModel = PieceModel(), *, id_col: str = "
     best one. A narrow map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 21):
-                e = Encoded(part.column("text"), model)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), list_array(pa.array(e.ids), e.count), pa.array(e.count), pa.array(e.score),
-                     pa.array(e.exact), pa.array(e.alternatives, _ARROW)],
-                    [id_col, "ids", "n_tokens", "score", "exact", "alternatives"])
+            yield from (encode_run(part, model, id_col) for part in pieces(batch, "text", _RUN_BYTES))
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()

@@ -171,3 +171,22 @@ def test_ids_that_are_no_utf8_and_null_lists(spark):
     given = spark.createDataFrame([(1, None), (2, []), (3, [byte]), (4, [int(known.sp.piece_to_id("▁the"))])],
                                   "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in decode(given, BPE_PIECES).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "the"}
+
+
+def test_memory_of_encoding_does_not_follow_the_batch():
+    import tracemalloc
+
+    from paddock.llm.sentence_pieces import _RUN_BYTES, encode_run
+    from paddock.llm.text import pieces
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 12))) for _ in range(250)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2_000)), "text": texts})
+    load(BPE_PIECES.path, BPE_PIECES.scores)
+    tracemalloc.start()
+    try:
+        rows = sum(encode_run(part, BPE_PIECES, "id").num_rows for part in pieces(batch, "text", _RUN_BYTES))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2_000
+    assert peak < 90 << 20, peak
