@@ -307,6 +307,7 @@ def importances(model, names: Sequence[str], spark) -> DataFrame:
         .orderBy(F.desc("importance"), "feature")
 
 
+ALARM_MEMORY_MB = 2
 LEAK_DENY = ("raceId", "driverId", "constructorId", "positionOrder", "status", "is_classified")
 
 
@@ -325,8 +326,9 @@ def leakage_alarm(df: DataFrame, params: Params = Params(), spec: PanelSpec = DE
              .filter(F.col("_label").isNotNull())
     data = materialize(VectorAssembler(inputCols=numeric, outputCol="features").transform(data).select(
         "features", "_label"), "alarm-set")
+    # a pass over the rows counts few nodes, whose sums fit a core's cache; the trees are the same
     model = RandomForestRegressor(featuresCol="features", labelCol="_label", numTrees=50, maxDepth=5,
-                                  featureSubsetStrategy="all", seed=params.seed).fit(data)
+                                  featureSubsetStrategy="all", seed=params.seed, maxMemoryInMB=ALARM_MEMORY_MB).fit(data)
     imp = importances(model, numeric, df.sparkSession)
     top = imp.agg(F.max("importance").alias("_top")).scalar()
     return imp.withColumn("alarm", top > F.lit(params.leakage_threshold))

@@ -131,6 +131,23 @@ def test_leakage_alarm_names_a_copy_of_the_outcome(spark):
     assert bad.filter("alarm").count() == 3 and bad.first().feature == "copy"
 
 
+def test_alarm_forest_counts_few_nodes_a_pass_and_grows_the_same_trees(spark, monkeypatch):
+    from paddock.plans import models as md
+    df = _toy_matrix(spark).select("positionOrder", "x", "season").coalesce(1)  # bags are drawn by partition
+    made = []
+
+    class Spy(md.RandomForestRegressor):
+        def fit(self, data):
+            made.append(self.getMaxMemoryInMB())
+            return super().fit(data)
+
+    monkeypatch.setattr(md, "RandomForestRegressor", Spy)
+    few = md.leakage_alarm(df).collect()
+    monkeypatch.setattr(md, "ALARM_MEMORY_MB", 256)
+    assert md.leakage_alarm(df).collect() == few
+    assert made == [2, 256]
+
+
 def test_each_sweep_parameter_changes_some_error(spark):
     from paddock.sources.adapter import star_facts
     from paddock.spec import ADAPTER_SWEEP_GRID, adapter_params
