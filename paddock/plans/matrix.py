@@ -163,11 +163,20 @@ def feature_matrix(results: DataFrame, qualifying: DataFrame, sprints: DataFrame
 def extended_matrix(results: DataFrame, qualifying: DataFrame, sprints: DataFrame,
                     params: Params = Params(), spec: PanelSpec = DEFAULT_SPEC,
                     materialize: bool = True) -> DataFrame:
-    """Matrix plus the extra columns some strategies consume."""
+    """Matrix plus the extra columns some strategies consume.
+
+    The features are written once, and the sprint flags of the events, few rows, are
+    written too: the tables joined here would else compute every feature each.
+    Without ``materialize`` the plan stays lazy."""
+    from ..session import materialize as write_and_read
     full = feature_table(results, qualifying, sprints, params, spec, materialize)
+    if materialize:
+        full = write_and_read(full.select(*dict.fromkeys([*MATRIX_COLUMNS, spec.start])), "features")
     base = _project(full)
     sprint_ev = full.groupBy(spec.event).agg(
         F.max(F.col("sprint_finish").isNotNull().cast("bigint")).alias("is_sprint_weekend"))
+    if materialize:
+        sprint_ev = write_and_read(sprint_ev, "sprint-events")
     ext = full.select(
         spec.event, spec.entity,
         F.col(spec.start).cast("double").alias("grid"),

@@ -148,6 +148,33 @@ def test_alarm_forest_counts_few_nodes_a_pass_and_grows_the_same_trees(spark, mo
     assert made == [2, 256]
 
 
+def _fact_rows(spark):
+    """Two events of two entities; one entry comes twice, one has no entity."""
+    entries = [("2020_1", 1, "a", 1.0), ("2020_1", 1, "b", 2.0), ("2020_2", 2, "a", 2.0), ("2020_2", 2, "a", 1.0),
+               ("2020_2", 2, None, 3.0)]
+    results = spark.createDataFrame(
+        [(e, 2020, n, "c", d, "t", pos, pos, 25.0 - pos, "Finished") for e, n, d, pos in entries],
+        "raceId string, season long, round long, circuitId string, driverId string, constructorId string, grid double, "
+        "positionOrder double, points double, status string")
+    qualifying = spark.createDataFrame(
+        [("2020_1", "a", 1.0, 100.0, None, 100.0, 100.0)],
+        "raceId string, driverId string, qualifying_pos double, q1_ms double, q2_ms double, q3_ms double, "
+        "driver_best_q_ms double")
+    sprints = spark.createDataFrame([("2020_1", "a", 1.0, 8.0)],
+                                    "raceId string, driverId string, sprint_finish double, sprint_points double")
+    return results, qualifying, sprints
+
+
+def test_extended_matrix_computes_its_features_once(spark):
+    facts = _fact_rows(spark)
+    once = mx.extended_matrix(*facts)
+    assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString()
+    was = mx.extended_matrix(*facts, materialize=False)
+    cols = ["raceId", "driverId", "is_sprint_weekend", "grid_x_retention", "team_point_contribution_pct", "pace_delta_pct"]
+    got, want = (sorted(map(repr, m.select(*cols).collect())) for m in (once, was))
+    assert got == want and "is_sprint_weekend=1" in got[0]
+
+
 def test_each_sweep_parameter_changes_some_error(spark):
     from paddock.sources.adapter import star_facts
     from paddock.spec import ADAPTER_SWEEP_GRID, adapter_params
