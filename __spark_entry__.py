@@ -200,8 +200,10 @@ def q_labels(spark, sf):
 
 
 def _test_matrix(spark, sf):
-    """Feature table of the test period with the reference's baselines."""
-    full = materialize(_features(spark, sf).filter(F.col("season") == P.test_period), "test-period")
+    """Feature matrix of the test period, with the start column and the reference's baselines. Columns that only lead
+    to features are not written."""
+    full = materialize(_features(spark, sf).filter(F.col("season") == P.test_period).select(
+        *mx.MATRIX_COLUMNS, "grid"), "test-period")
     # adapter events are calendar months: use the skew-safe ranks
     return mt.baseline_predictions(full, skew_safe=SKEW_SAFE)
 

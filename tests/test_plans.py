@@ -175,6 +175,12 @@ def test_extended_matrix_computes_its_features_once(spark):
     assert got == want and "is_sprint_weekend=1" in got[0]
 
 
+def test_test_period_table_holds_the_matrix_columns_only(spark):
+    import __spark_entry__ as se
+    got = se._test_matrix(spark, "/root/testdata/sf0.001").columns
+    assert got == [*mx.MATRIX_COLUMNS, "grid", "championship_pred_pos"]
+
+
 def test_each_sweep_parameter_changes_some_error(spark):
     from paddock.sources.adapter import star_facts
     from paddock.spec import ADAPTER_SWEEP_GRID, adapter_params
