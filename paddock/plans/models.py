@@ -101,11 +101,17 @@ def fit_ranker(train: DataFrame, features: Sequence[str] = FEATURES, trees: int
     return pointwise_trees(data, trees, rate, depth, min_rows, params, bins)
 
 
-def pointwise_trees(data: DataFrame, trees: int, rate: float, depth: int, min_rows: int, params: Params, bins: int = 32):
-    """GBT regression on a stored table of ``features`` and ``_label``."""
+def pointwise_trees(data: DataFrame, trees: int, rate: float, depth: int, min_rows: int, params: Params, bins: int = 32,
+                    extremes: DataFrame | None = None):
+    """GBT regression on a stored table of ``features`` and ``_label``. ``extremes``: see ``fit_varying``."""
     return fit_varying(GBTRegressor(featuresCol="features", labelCol="_label", maxIter=trees, stepSize=rate,
                                     maxDepth=depth, minInstancesPerNode=min_rows, seed=params.seed, maxBins=bins,
-                                    checkpointInterval=10), data)
+                                    checkpointInterval=10), data, extremes)
+
+
+def cached_row_bytes(slots: int) -> int:
+    """About what the boosted trees keep cached of a training row: a bin a slot, objects, residual and two predictions."""
+    return 160 + 4 * slots
 
 
 class SlicedModel:
@@ -132,11 +138,13 @@ def slice_slots(df: DataFrame, slots: list[int]) -> DataFrame:
     return VectorSlicer(inputCol="features", outputCol="_slots", indices=slots).transform(df)
 
 
-def fit_varying(learner, data: DataFrame):
+def fit_varying(learner, data: DataFrame, extremes: DataFrame | None = None):
     """``learner`` fitted on the slots that are not constant over ``data`` (one pass of minima and maxima tells): no
     tree can split at the others, such as indicators of features that are never missing, so the trees are the same,
-    and each pass over the rows counts fewer of them."""
-    found = data.select(Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")).select("s.*").first()
+    and each pass over the rows counts fewer of them. ``extremes``: a smaller table whose ``features`` have the minima
+    and maxima of those of ``data``, read instead."""
+    seen = data if extremes is None else extremes
+    found = seen.select(Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")).select("s.*").first()
     slots = [i for i, (low, high) in enumerate(zip(found["min"], found["max"], strict=True)) if low != high]
     if not slots or len(slots) == len(found["min"]):
         return learner.fit(data)

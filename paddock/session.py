@@ -74,6 +74,17 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def storage_bytes(spark: SparkSession) -> int:
+    """Memory for cached blocks of all executors together (in local mode the driver's)."""
+    sc = spark.sparkContext._jsc.sc()
+    driver = sc.env().blockManager().blockManagerId().hostPort()
+    found, each = {}, sc.getExecutorMemoryStatus().iterator()
+    while each.hasNext():
+        one = each.next()
+        found[one._1()] = one._2()._1()
+    return int(sum(n for name, n in found.items() if len(found) == 1 or name != driver))
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet into a fresh folder under the shared checkpoint
     folder and read it back: cuts lineage (executor loss re-reads files),

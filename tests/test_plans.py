@@ -321,3 +321,89 @@ def test_model_sweep_equals_fitting_each_combination(spark, monkeypatch):
             ranked = rank_within(out, "score", "_pred")
             errors.append(ranked.agg(F.avg(expected_points_error(F.col("positionOrder"), F.col("_pred")))).first()[0])
         assert got[i].mean_exp_pts_err == pytest.approx(sum(errors) / 2, abs=1e-9), i
+
+
+def test_model_sweep_writes_vectors_once_and_fits_equal_training_sets_once(spark, monkeypatch):
+    """A reset in a fold's own period leaves its training set as it is: six fits for eight scored matrices, over vectors
+    assembled once, one fit at a time when the storage memory holds no two; errors as of fitting each combination."""
+    import itertools
+    import random
+    import threading
+
+    from paddock.operators import form as fm
+    from paddock.plans import models as md
+    from paddock.plans.metrics import chrono_split, expected_points_error, rank_within
+    from paddock.spec import Params
+    rng = random.Random(7)
+    rows = []
+    for season, rnd in itertools.product((2000, 2001, 2002), (1, 2, 3)):
+        order = rng.sample(range(24), 24)
+        for pos, i in enumerate(order):
+            rows.append((f"{season}_{rnd}", season, rnd, f"d{i:02}", f"t{i % 6}", rng.choice([None, float(pos + rng.randrange(4))]),
+                         rng.choice([float(pos + 1)] * 15 + [None]), max(0.0, 25.0 - 3 * pos), rng.choice([None, 2.0])))
+    entries = spark.createDataFrame(rows, "raceId string, season long, round long, driverId string, constructorId string, "
+                                          "grid double, positionOrder double, points double, sprint_points double")
+    p = Params().with_(validation_periods=(2001, 2002), reset_periods=(2001,), first_period=2000)
+    ranges = {"off_season_decay": (0.5, 0.9), "regulation_reset_decay": (0.1, 0.4), "summer_break_decay": (1.0,),
+              "driver_reg_reset_decay": (0.5,), "summer_break_round": (2, 3)}
+    features, kw = ["grid", "driver_form_ewma", "constructor_form_ewma"], dict(trees=2, rate=0.5, depth=3, min_rows=2)
+    trees, made, running, most, lock = vd.pointwise_trees, vd.assemble, [0], [], threading.Lock()
+    assembled = []
+
+    def fit(*a, **k):
+        with lock:
+            running[0] += 1
+            most.append(running[0])
+        try:
+            return trees(*a, **k)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(vd, "pointwise_trees", fit)
+    monkeypatch.setattr(vd, "assemble", lambda *a, **k: assembled.append(1) or made(*a, **k))
+    monkeypatch.setattr(vd, "storage_bytes", lambda spark: 1, raising=False)
+    got = {r.combo_id: r for r in vd.sweep_models(entries, entries, p, features, ranges=ranges, ranker_kw=kw).collect()}
+    assert len(got) == 8 and len(most) == 6 and len(assembled) == 1 and max(most) == 1
+    assert {i: r.same_as for i, r in got.items()} == {i: i - i % 2 for i in range(8)}
+    totals = fm.team_event_totals(fm.weekend_reward(entries))
+    for i, (off, reset, summer, own, rnd) in enumerate(itertools.product(*ranges.values())):
+        mine = p.with_(off_season_decay=off, regulation_reset_decay=reset, summer_break_decay=summer,
+                       driver_reg_reset_decay=own, summer_seq=rnd)
+        if i % 2:
+            assert got[i].mean_exp_pts_err == got[i - 1].mean_exp_pts_err
+            continue
+        formed = fm.decayed_form(entries, totals, mine)
+        errors = []
+        for v in mine.validation_periods:
+            train, val = chrono_split(formed, v)
+            out = md.score_ranker(md.fit_ranker(train, features, params=mine, **kw), val, features)
+            ranked = rank_within(out, "score", "_pred")
+            errors.append(ranked.agg(F.avg(expected_points_error(F.col("positionOrder"), F.col("_pred")))).first()[0])
+        assert got[i].mean_exp_pts_err == pytest.approx(sum(errors) / 2, abs=1e-9), i
+    assert len({round(r.mean_exp_pts_err, 9) for r in got.values()}) > 1
+
+
+def test_room_admits_what_fits_side_by_side(spark):
+    import threading
+
+    from paddock.session import storage_bytes
+    assert storage_bytes(spark) > 1 << 20
+    room, inside, seen, lock = vd.Room(10), [], [], threading.Lock()
+
+    def task(size):
+        with room.of(size):
+            with lock:
+                inside.append(size)
+                seen.append(tuple(inside))
+            threading.Event().wait(0.05)
+            with lock:
+                inside.remove(size)
+
+    threads = [threading.Thread(target=task, args=(s,)) for s in (6, 4, 20, 5, 5, 3, 30)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(seen) == 7 and all(sum(s) <= 10 or len(s) == 1 for s in seen) and any(len(s) > 1 for s in seen)
+    assert room.held == 0
